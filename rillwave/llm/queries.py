@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import decontam, quality
 from .shared import crc_bucket, table
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, quality.train_labels(table(spark, sf_dir, "labels")))
@@ -19,6 +24,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
 }
 
