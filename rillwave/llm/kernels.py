@@ -62,13 +62,13 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def blocks(offs: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about `limit` bytes each, at least one row; no row is cut."""
+def blocks(offs: np.ndarray, limit: int = BLOCK_BYTES, most: int = 1 << 15) -> Iterator[tuple[int, int]]:
+    """Row ranges of about `limit` bytes and at most `most` rows each, at least one row; no row is cut."""
     n = len(offs) - 1
     lo = 0
     while lo < n:
         hi = int(np.searchsorted(offs, offs[lo] + limit, side="right")) - 1
-        hi = min(n, max(hi, lo + 1))
+        hi = min(n, max(hi, lo + 1), lo + most)
         yield lo, hi
         lo = hi
 
