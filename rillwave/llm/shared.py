@@ -1,47 +1,24 @@
-"""Tables and folders that all executors and the driver can reach."""
+"""Tables of the given folder, and tables in the folder that all executors and the driver share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillwave.functions.ordering import materialise as written
+from rillwave.functions.ordering import scratch_path as shared_path
 
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. Only where none is set (tests, one machine) a local one is made."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        have = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = have.get() if have.isDefined() else None
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-rillwave-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder; every call gives another one."""
-    return f"{shared_root(spark)}/rillwave-{name}-{uuid.uuid4().hex}"
+__all__ = ["crc_bucket", "partitions", "shared_path", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a small derived table to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def crc_bucket(column: str, modulus: int) -> F.Column:
+def crc_bucket(column: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo `modulus`; null ids count as the text ''."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
