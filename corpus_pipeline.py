@@ -1,8 +1,59 @@
-"""Corpus pipeline: quality filter, near duplicates, decontamination, mixing, token files."""
+"""Corpus pipeline: quality filter, near duplicates, decontamination, mixing to source targets, token files.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame. It works on all that the stage before it kept; all stages
+but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from rillwave.llm import decontam, dedup, mixing, quality, tokens
+from rillwave.llm.shared import table, written
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the quality classifier rejects (score under 0.5)."""
+    model = quality.fit(docs, quality.train_labels(table(spark, sf_dir, "labels")))
+    return quality.score(docs, model, score_col="_score").where("_score >= 0.5").drop("_score")
+
+
+def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the least doc_id of each class of near duplicates."""
+    return dedup.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a window of a benchmark item."""
+    checked = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), result_prefix="_")
+    return checked.where("not _contaminated").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; a document taken twice is two rows."""
+    return mixing.mix(docs)
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the corpus in the shared folder, and one row a document read back from them."""
+    return tokens.token_table(docs)
+
+
+STAGES = [
+    ("quality_classifier", keep_good),
+    ("minhash_near_dedup", keep_one_copy),
+    ("benchmark_decontamination", drop_leaks),
+    ("cube_mixing", mix_sources),
+    ("token_files", write_token_files),
+]
+
+#: A fitted classifier, sampled similarity and a tokenizer are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over the documents of sf_dir; each stage's rows are written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -229,8 +229,12 @@ def _scan(documents: DataFrame, text_col: str, columns: list[str], index: Index,
     return read.mapInArrow(run, T.StructType([*fields, *extra.fields]))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, window: int = WINDOW, index_bytes: int = INDEX_BYTES) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, window: int = WINDOW, index_bytes: int = INDEX_BYTES, result_prefix: str = "") -> DataFrame:
     """The rows of `documents` (all columns, or those in `keep`) with n_words, n_hit, n_items, items_sha256 and contaminated."""
+    if result_prefix:
+        found = decontaminate(documents.withColumnsRenamed({c: f"{c}__own" for c in documents.columns if c in RESULT.fieldNames()}), benchmark, text_col, None, window, index_bytes)
+        found = found.withColumnsRenamed({c: result_prefix + c for c in RESULT.fieldNames()})
+        return found.withColumnsRenamed({f"{c}__own": c for c in documents.columns if c in RESULT.fieldNames()})
     columns = [c for c in documents.columns if c not in RESULT.fieldNames() and (keep is None or c in keep)]
     wins = written(windows(benchmark, size=window), "windows")
     room = wins.agg(F.coalesce(F.sum(F.octet_length("words") + 3 * F.octet_length("hashes") + 32 * F.size("items") + 100), F.lit(0)).alias("b")).first().b
