@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, dedup, mixing, quality, secrets, tokens
+from . import decontam, dedup, lm, mixing, quality, secrets, tokens
 from .shared import crc_bucket, table
 
 
@@ -29,6 +29,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, train = lm.split(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    scored = lm.score_texts(docs, train, keep=["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -46,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_token_files": op4_token_files,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
 }
