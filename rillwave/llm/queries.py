@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, dedup, lm, mixing, quality, secrets, tokens
+from . import decontam, dedup, html, lm, mixing, quality, secrets, tokens
 from .shared import crc_bucket, table
 
 
@@ -40,6 +40,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, quality.train_labels(table(spark, sf_dir, "labels")))
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_html_extraction": op7_html_extraction,
     "op8_quality_classifier": op8_quality_classifier,
 }
 
