@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, dedup, html, lm, mixing, quality, secrets, tokens
+from . import decontam, dedup, flac, html, lm, mixing, quality, secrets, tokens
 from .shared import crc_bucket, table
 
 
@@ -51,6 +51,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_bucket("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.read_back(flac.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cube_mixing": op1_cube_mixing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_html_extraction": op7_html_extraction,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_flac_media": op9_flac_media,
 }
 
 ORACLES: dict[str, str] = {}
