@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, dedup, flac, html, lm, mixing, quality, secrets, tokens
+from . import chat, decontam, dedup, flac, html, lm, mixing, quality, secrets, tokens
 from .shared import crc_bucket, table
 
 
@@ -55,6 +55,13 @@ def op9_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.read_back(flac.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    model = chat.fit(chat.training_rows(talks))
+    parsed = chat.parse_transcripts(talks.select("conv_id", "turn", "text"), model)
+    return parsed.select("conv_id", "turn", "segment", (crc_bucket("conv_id", 5) == 0).alias("held_out"), "said", "rendered")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cube_mixing": op1_cube_mixing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -65,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_html_extraction": op7_html_extraction,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_flac_media": op9_flac_media,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLES: dict[str, str] = {}
