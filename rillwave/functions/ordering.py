@@ -1,6 +1,6 @@
 """Global row numbers and running totals without a single-task window.
 
-Rows are dealt to ranges of the sort key, each range is numbered by itself, and the ranges' totals (one row for each
+Rows are dealt to ranges of the sort key, each range is summed by itself, and the ranges' totals (one row for each
 partition) give the offsets.
 """
 
@@ -33,22 +33,24 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_global_sum(df: DataFrame, order: list[Column], value: Column, out: str, partitions: int | None = None) -> DataFrame:
-    """Adds the sum of `value` over all rows up to and with this one in the order, which must be total for unique results."""
+def with_global_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], partitions: int | None = None) -> DataFrame:
+    """Adds running sums (long) over all rows up to and with this one in the order, which must be total for unique results."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialise(df.withColumn("_value", value.cast("long")).repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    totals = ranged.groupBy("_part").agg(F.sum("_value").alias("n")).orderBy("_part").collect()  # one row a partition
-    base, rows = 0, []
+    values = {f"_value_{k}": v.cast("long") for k, v in sums.items()}
+    ranged = materialise(df.withColumns(values).repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("_part").agg(*[F.coalesce(F.sum(f"_value_{k}"), F.lit(0)).alias(k) for k in sums]).orderBy("_part").collect()  # one row a partition
+    base, rows = dict.fromkeys(sums, 0), []
     for r in totals:
-        rows.append((r._part, base))
-        base += r.n or 0
-    offsets = spark.createDataFrame(rows, "_part int, _base long")
-    within = F.sum("_value").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn("_run", within).join(F.broadcast(offsets), "_part").withColumn(out, F.col("_run") + F.col("_base")).drop("_part", "_value", "_run", "_base")
+        rows.append((r._part, *base.values()))
+        base = {k: base[k] + r[k] for k in sums}
+    offsets = spark.createDataFrame(rows, "_part int, " + ", ".join(f"`_base_{k}` long" for k in sums))
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    runs = {k: F.sum(f"_value_{k}").over(within) for k in sums}
+    out = ranged.withColumns(runs).join(F.broadcast(offsets), "_part").withColumns({k: F.col(k) + F.col(f"_base_{k}") for k in sums})
+    return out.drop("_part", *values, *[f"_base_{k}" for k in sums])
 
 
 def with_global_number(df: DataFrame, order: list[Column], out: str = "row_no", partitions: int | None = None) -> DataFrame:
     """Adds the 0-based place of each row in the order."""
-    numbered = with_global_sum(df, order, F.lit(1), out, partitions)
-    return numbered.withColumn(out, F.col(out) - 1)
+    return with_global_sums(df, order, {out: F.lit(1)}, partitions).withColumn(out, F.col(out) - 1)
