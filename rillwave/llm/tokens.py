@@ -11,7 +11,7 @@ A shard is written under a name of its own attempt and renamed when whole, so a
 The ids are written first; the shards' totals (one row each) give every shard its base by a prefix sum, and the offsets are
 written from it. Readers map the files into memory where the folder is a mounted one, and stream them elsewhere.
 
-Words recur, so a task keeps the ids of words that it has met (bounded by `MEMORY_WORDS`); white space only parts words for
+Words recur, so a task keeps the ids of words that it has met (bounded by `MEMORY_WORDS` and `MEMORY_PARTS`); white space only parts words for
 this tokenizer, so a text's ids are its words' ids in a row (tests compare with whole texts).
 
 Defined results: a null or empty text has the end id alone; a null doc_id comes first; equal ids follow each other.
@@ -36,9 +36,11 @@ from . import kernels as K
 from .shared import partitions, shared_path
 
 END_ID = 2
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 200_000
+MEMORY_PARTS = 400_000
 BATCH_WORDS = 20_000
 NO_ID = -(1 << 63)
+_TAIL = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json", folder: str = "/opt/tokenizers") -> str:
@@ -48,7 +50,12 @@ def vocabulary_path(name: str = "word_bpe_49k.json", folder: str = "/opt/tokeniz
 
 
 class WordEncoder:
-    """Ids of whole texts as flat arrays, from a bounded memory of words."""
+    """Ids of whole texts as flat arrays, from a bounded memory of words.
+
+    The tokenizer lowers case and parts letters from what follows them. So words are held in lower case (A-Z), and a word of
+    a stem that ends in a letter and a tail of ASCII punctuation is its stem's ids and its tail's: stems recur far more often
+    than words. An apostrophe is not such a tail, as it may begin a contraction.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -56,34 +63,45 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def _learn(self, words: list[bytes]) -> None:
-        for lo in range(0, len(words), BATCH_WORDS):
-            part = words[lo : lo + BATCH_WORDS]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, self.kind).tobytes()
+        split: list[tuple[str, str]] = []
+        for w in words:
+            text = w.decode()
+            stem = text.rstrip(_TAIL)
+            split.append((stem, text[len(stem) :]) if stem and stem[-1].isalpha() and "<|" not in text else (text, ""))
+        new = [p for p in dict.fromkeys(p for pair in split for p in pair) if p and p not in self.parts]
+        if len(self.parts) + len(new) > MEMORY_PARTS:
+            self.parts = {}
+            new = [p for p in dict.fromkeys(p for pair in split for p in pair) if p]
+        for lo in range(0, len(new), BATCH_WORDS):
+            batch = new[lo : lo + BATCH_WORDS]
+            for p, e in zip(batch, self.tokenizer.encode_batch(batch, add_special_tokens=False), strict=True):
+                self.parts[p] = np.array(e.ids, self.kind).tobytes()
+        self.parts[""] = b""
+        for w, (stem, tail) in zip(words, split, strict=True):
+            self.words[w] = self.parts[stem] + self.parts[tail]
+
+    def encode_all(self, texts: list[bytes], end: int) -> list[bytes]:
+        """The ids of each text and the end id, as flat bytes."""
+        if len(self.words) > MEMORY_WORDS:
+            self.words = {}
+        # bytes are lowered in A-Z only and split at U+0020 and U+0009 to U+000D only
+        # (names of special tokens are the one place where case counts)
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        new: dict[bytes, None] = {}
+        known = self.words
+        for words in split:
+            new.update(dict.fromkeys(w for w in words if w not in known))
+        if new:
+            self._learn(list(new))
+        last = self.kind.type(end).tobytes()
+        return [b"".join(map(known.__getitem__, words)) + last for words in split]
 
     def encode(self, text: bytes, end: int) -> bytes:
-        words = text.split()  # bytes are split at U+0020 and U+0009 to U+000D only
-        try:
-            got = list(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > MEMORY_WORDS:
-                self.known = {}
-            self._learn([w for w in dict.fromkeys(words) if w not in self.known])
-            got = list(map(self.known.__getitem__, words))
-        got.append(self.kind.type(end).tobytes())
-        return b"".join(got)
-
-    def prepare(self, texts: list[bytes]) -> None:
-        """Learn the new words of many texts at once."""
-        if len(self.known) > MEMORY_WORDS:
-            self.known = {}
-        new: dict[bytes, None] = {}
-        for t in texts:
-            new.update(dict.fromkeys(w for w in t.split() if w not in self.known))
-        self._learn(list(new))
+        return self.encode_all([text], end)[0]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -142,10 +160,9 @@ def write_tokens(documents: DataFrame, folder: str, id_col: str = "doc_id", text
             for batch in batches:
                 raw, offs = K.text_buffers(batch.column("text"))
                 ids.append(batch.column("id").fill_null(NO_ID).to_numpy(zero_copy_only=False))
-                for lo, hi in K.blocks(offs, 4 << 20):
+                for lo, hi in K.blocks(offs, 2 << 20):
                     texts = [raw[a:b].tobytes() for a, b in zip(offs[lo:hi], offs[lo + 1 : hi + 1], strict=True)]
-                    coder.prepare(texts)
-                    coded = [coder.encode(t, end) for t in texts]
+                    coded = coder.encode_all(texts, end)
                     lengths.append(np.array([len(c) for c in coded], np.int64) // coder.kind.itemsize)
                     out.write(b"".join(coded))
         length = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
