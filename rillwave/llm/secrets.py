@@ -114,7 +114,10 @@ def find_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     overlaps = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     spans = hit.select("key", F.explode(F.concat("base", overlaps)).alias("s")).select("key", "s.start", "s.kind", "s.end")
     linked = _linked(written(spans, "candidates"), scope).groupBy("key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("linked"))
-    return rows.join(linked, "key", "left").select(id_col, "base", F.coalesce("linked", none).alias("linked"))
+    # only rows with candidates meet the links: the many others have no key and would all go to one task
+    some = F.size("weak") > 0
+    met = rows.where(some).join(linked, "key", "left").select(id_col, "base", F.coalesce("linked", none).alias("linked"))
+    return met.unionByName(rows.where(~some).select(id_col, "base", none.alias("linked")))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
