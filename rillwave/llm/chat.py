@@ -72,14 +72,20 @@ class Model:
 
     def __init__(self, start: np.ndarray, move: np.ndarray, show: dict[str, np.ndarray]):
         norm = lambda x: np.log(x / x.sum(-1, keepdims=True))
-        self.start, self.move = norm(start), norm(move)
-        # a twentieth of each distribution is uniform: what no state has shown speaks for none of them
+        # a tenth of each transition row is the prior: a corpus of one-line turns does not forbid longer ones
+        prior = _priors()[1]
+        self.start, self.move = norm(start), np.log(0.9 * np.exp(norm(move)) + 0.1 * np.exp(norm(prior)))
+        # lengths and ends lean on those of all lines, and a twentieth of each distribution is uniform: what no state has
+        # shown, or a state that was hardly seen, speaks for none of them
+        for k in ("length", "ends"):
+            seen = show[k] - 1
+            show = show | {k: seen + 20 * (seen.sum(0) + 1) / (seen.sum() + seen.shape[1])}
         self.show = {k: np.log(0.95 * np.exp(norm(v)) + 0.05 / v.shape[1]) for k, v in show.items()}
         # whether a corpus writes markers at all says nothing of a line without one: only the marker's kind tells states apart
         marked = show["marker"][:, 1:]
         self.show["marker"] = np.concatenate((np.zeros((len(marked), 1)), np.log(marked / marked.sum(-1, keepdims=True) * np.where([[bool(i)] for _, i in STATES], 0.003, 1.0))), 1)
         # nor does a corpus of one turn a row say that rows never hold several
-        self.show["opens"] = np.log(np.maximum(np.exp(self.show["opens"]), 0.02))
+        self.show["opens"] = np.log(np.maximum(np.exp(self.show["opens"]), 0.05))
 
     def emissions(self, columns: dict[str, np.ndarray]) -> np.ndarray:
         return sum(self.show[k][:, v].T for k, v in columns.items())

@@ -75,4 +75,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+
+ORACLES: dict[str, str] = {
+    "op6_benchmark_decontamination": f"""WITH it AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+      win AS (SELECT DISTINCT item, w[s:least(s+9,len(w))] AS k FROM (SELECT item, w, unnest(range(1, greatest(2, len(w)-8))) AS s FROM it WHERE len(w)>0)),
+      sizes AS (SELECT DISTINCT len(k) AS n FROM win), d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+      g AS (SELECT doc_id, n, w[s:s+n-1] AS k, s FROM (SELECT doc_id, w, n, unnest(range(1, len(w)-n+2)) AS s FROM d, sizes WHERE len(w)>=n)),
+      hit AS (SELECT DISTINCT doc_id, item, s, n FROM g JOIN win USING (k)),
+      pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s+n)) AS p FROM hit) GROUP BY doc_id),
+      its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS h FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+      SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit,0)::BIGINT AS n_hit, coalesce(n_items,0)::BIGINT AS n_items, coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit,0)>0 AS contaminated
+      FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+}
