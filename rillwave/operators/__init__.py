@@ -1,0 +1 @@
+"""DataFrame to DataFrame operators: metrics, signal preparation, splits, models, contracts."""

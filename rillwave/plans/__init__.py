@@ -1,0 +1 @@
+"""Queries over the given tables, with their SQL."""

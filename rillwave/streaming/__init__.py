@@ -1,0 +1 @@
+"""The surveyed pipeline is a batch one: no streaming operators are part of it."""
