@@ -129,38 +129,45 @@ def ntriples(graph: DataFrame, base: str = "urn:x:") -> DataFrame:
 
 
 def infer_types(graph: DataFrame, axioms: tuple[tuple[str, str, str], ...] = AXIOMS) -> DataFrame:
-    """The graph with the types that domains and ranges give to subjects and objects."""
+    """The graph with the types that domains and ranges give to subjects and objects; each type triple once."""
     known = F.broadcast(graph.sparkSession.createDataFrame(axioms, "p string, domain string, range string"))  # a fixed list
     met = graph.join(known, "p")
     more = met.select(F.inline(F.array(F.struct(F.col("s").alias("s"), F.col("domain").alias("o")), F.struct(F.col("o").alias("s"), F.col("range").alias("o")))))
-    return graph.unionByName(more.select("s", F.lit(TYPE).alias("p"), "o", F.lit("iri").alias("kind"))).distinct()
+    types = graph.where(F.col("p") == TYPE).select("s", "o").unionByName(more).distinct()
+    return graph.where(F.col("p") != TYPE).unionByName(types.select("s", F.lit(TYPE).alias("p"), "o", F.lit("iri").alias("kind")))
 
 
 def violations(graph: DataFrame, shapes: tuple = SHAPES) -> DataFrame:
-    """(focus, class, path, rule, n): nodes of a shape's class that break a property rule, n being the values that break it or, for counts, those there are."""
+    """(focus, class, path, rule, n): nodes of a shape's class that break a property rule, n being the values that break it or, for counts, those there are.
+
+    Values are summed by (node, property) before they meet the nodes' types; only objects that lack their class are joined
+    with the types a second time.
+    """
     spark = graph.sparkSession
     names = "class string, path string, least int, most int, datatype string, shortest int, low double, high double, object_class string"
     rules = F.broadcast(spark.createDataFrame(list(shapes), names))  # a fixed list
     types = graph.where(F.col("p") == TYPE).select(F.col("s").alias("focus"), F.col("o").alias("class")).distinct()
-    wanted = types.join(rules, "class")
-    values = graph.where(F.col("p") != TYPE).select(F.col("s").alias("focus"), F.col("p").alias("path"), "o", "kind")
-    kinds = types.select(F.col("focus").alias("o"), F.col("class").alias("object_class"), F.lit(True).alias("is_class"))
-    met = wanted.join(values, ["focus", "path"], "left").join(kinds, ["o", "object_class"], "left")
-    there = F.col("o").isNotNull()
+    own = graph.where(F.col("p") != TYPE).select(F.col("s").alias("focus"), F.col("p").alias("path"), "o", "kind")
+    # repeated triples are one: dealt by node and property, they fall together where they are summed
+    values = own.repartition("focus", "path").distinct().join(rules, "path")
     number = F.expr("try_cast(o as double)")
     numeric = F.col("low").isNotNull() | F.col("high").isNotNull()
     outside = numeric & (number.isNull() | F.coalesce(number < F.col("low"), F.lit(False)) | F.coalesce(number > F.col("high"), F.lit(False)))
-    count = lambda c: F.sum(F.when(there & c, 1).otherwise(0))
-    each = met.groupBy("focus", "class", "path", "least", "most").agg(
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    sums = values.groupBy("focus", "path", "class").agg(
         F.count("o").alias("n"),
         count(F.col("datatype").isNotNull() & (F.col("kind") != F.col("datatype"))).alias("datatype"),
         count(F.col("shortest").isNotNull() & (F.length("o") < F.col("shortest"))).alias("length"),
         count(outside).alias("range"),
-        count(F.col("object_class").isNotNull() & F.col("is_class").isNull()).alias("object class"),
     )
+    wanted = types.join(rules.select("class", "path", "least", "most"), "class")
+    each = wanted.join(sums, ["focus", "class", "path"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     few, many = F.when(F.col("n") < F.col("least"), F.col("n")), F.when(F.col("n") > F.col("most"), F.col("n"))
-    found = [F.struct(F.lit(r).alias("rule"), v.alias("n")) for r, v in (("min count", few), ("max count", many), *((r, F.when(F.col(r) > 0, F.col(r))) for r in ("datatype", "length", "range", "object class")))]
-    return each.select("focus", "class", "path", F.inline(F.array(*found))).where("n is not null")
+    found = [F.struct(F.lit(r).alias("rule"), v.alias("n")) for r, v in (("min count", few), ("max count", many), *((r, F.when(F.col(r) > 0, F.col(r))) for r in ("datatype", "length", "range")))]
+    counted = each.select("focus", "class", "path", F.inline(F.array(*found))).where("n is not null")
+    linked = values.where("object_class is not null").select("focus", "class", "path", "o", "object_class")
+    strange = linked.join(types.select(F.col("focus").alias("o"), F.col("class").alias("object_class")), ["o", "object_class"], "left_anti").join(types, ["focus", "class"], "left_semi")
+    return counted.unionByName(strange.groupBy("focus", "class", "path").agg(F.count("*").alias("n")).select("focus", "class", "path", F.lit("object class").alias("rule"), "n"))
 
 
 def pair_violations(graph: DataFrame, first: str = "hasOnset", second: str = "hasOffset") -> DataFrame:
