@@ -10,7 +10,7 @@ from rillwave.sources import recordings as S
 
 from .tables import ORIGIN, pred_sql, predictions, r6, seconds, table, windows
 
-_LABELS = F.create_map(*[F.lit(x) for pair in (("click", "gnsz"), ("view", "fnsz"), ("purchase", "bckg"), ("error", "seiz")) for x in pair])
+_LABELS = {"click": "gnsz", "view": "fnsz", "purchase": "bckg", "error": "seiz"}
 
 
 def summary_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -29,7 +29,7 @@ def summary_scan(spark: SparkSession, d: str) -> DataFrame:
 
 def interval_csv(spark: SparkSession, d: str) -> DataFrame:
     """Interval tables of users modulo 8 (with comments and a header), events of seizure kinds with confidence value / 100."""
-    ev = table(spark, d, "events").select((F.col("user_id") % 8).alias("part"), F.floor(seconds()).alias("t"), F.coalesce(F.element_at(_LABELS, F.col("event_type")), F.lit("bckg")).alias("label"), F.round(F.col("value") / 100, 4).alias("confidence"), "event_id")
+    ev = table(spark, d, "events").select((F.col("user_id") % 8).alias("part"), F.floor(seconds()).alias("t"), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in _LABELS.items() for x in pair]), F.col("event_type")), F.lit("bckg")).alias("label"), F.round(F.col("value") / 100, 4).alias("confidence"), "event_id")
     path = scratch_path(spark, "intervals")
     rows = ev.select("part", F.lit(1).alias("o"), F.concat_ws(",", F.lit("TERM"), F.col("t").cast("string"), (F.col("t") + 60).cast("string"), F.upper("label"), F.format_string("%.4f", "confidence")).alias("value"))
     heads = ev.select("part").distinct().select("part", F.lit(0).alias("o"), F.explode(F.array(F.lit("# version = 1"), F.lit(" Channel, Start_time, stop_time, Label, confidence"))).alias("value"))
