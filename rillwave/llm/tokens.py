@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import importlib.util
 import os
+import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -40,6 +42,12 @@ MEMORY_WORDS = 200_000
 MEMORY_PARTS = 400_000
 BATCH_WORDS = 20_000
 NO_ID = -(1 << 63)
+#: Lower-case letters of U+0061 to U+00FF: one code point each in NFC.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+_PROBES = ("a", "the", "onenthe", "qzxv", "été", "straße", "ñandú", "çà", "öäüøþÿ", "s", "re", "ll")
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: Byte-level vocabularies write a byte as its own letter where that is printed, and the others as U+0100 and on, in order.
+_LETTERS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _TAIL = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and chr(c) != "'")
 
 
@@ -65,6 +73,16 @@ class WordEncoder:
         self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        # only where the vocabulary's outer steps do leave such stems as they are
+        self.plain = all(self._by_model(p) == self._whole(p) for p in _PROBES)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _by_model(self, stem: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(stem.encode().decode("latin-1").translate(_LETTERS))]
+        return struct.pack(f"<{len(ids)}{self.kind.char}", *ids)
 
     def _learn(self, words: list[bytes]) -> None:
         split: list[tuple[str, str]] = []
@@ -76,6 +94,15 @@ class WordEncoder:
         if len(self.parts) + len(new) > MEMORY_PARTS:
             self.parts = {}
             new = [p for p in dict.fromkeys(p for pair in split for p in pair) if p]
+        if self.plain:
+            # lower-case Latin stems pass the tokenizer's outer steps unchanged, so the model alone encodes them, far faster
+            rest = []
+            for p in new:
+                if _PLAIN.fullmatch(p):
+                    self.parts[p] = self._by_model(p)
+                else:
+                    rest.append(p)
+            new = rest
         for lo in range(0, len(new), BATCH_WORDS):
             batch = new[lo : lo + BATCH_WORDS]
             for p, e in zip(batch, self.tokenizer.encode_batch(batch, add_special_tokens=False), strict=True):
