@@ -50,7 +50,6 @@ def fir_filter(samples: DataFrame, kernel: np.ndarray, by: list[str], idx: str =
     own = F.floor(F.col(idx) / chunk)
     halo = F.array_distinct(F.array(own, F.floor((F.col(idx) - half) / chunk), F.floor((F.col(idx) + half) / chunk)))
     dealt = samples.withColumn("_chunk", F.explode(halo)).where("_chunk >= 0")
-    schema = dealt.schema.simpleString()[7:-1] + f",{out}:double"
 
     def convolve(table: pa.Table) -> pa.Table:
         table = table.sort_by(idx)
@@ -65,7 +64,6 @@ def fir_filter(samples: DataFrame, kernel: np.ndarray, by: list[str], idx: str =
         return kept.append_column(out, pa.array(result[at[mine] - first]))
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields) + f", `{out}` double"
-    del schema
     return dealt.groupBy(*by, "_chunk").applyInArrow(convolve, ddl).drop("_chunk")
 
 

@@ -10,7 +10,6 @@ from rillwave.operators import metrics as M
 from .tables import pred_sql, predictions, r6
 
 LOW, STEP, COUNT = 0.05, 0.01, 91
-_ALARM = F.col
 
 
 def _score() -> F.Column:
