@@ -3,8 +3,11 @@
 Counting: each task counts words and pairs of its texts and sends them, packed and pre-aggregated, to hash buckets; a bucket
 merges its counts and writes a table of its words and a filter segment. A count c is held as the level 1 + floor(log_b c):
 the filter has the n-gram at every level up to its own, and reading probes level 1, 2, ... until a probe fails (Talbot and
-Osborne 2007). A segment has `BITS` bits an entry until the filter as a whole would exceed `filter_bytes`; from there on a
-bucket leaves out pairs under the least count that fits, so the broadcast filter has a fixed bound at every size of corpus.
+Osborne 2007). A segment has `BITS` bits an entry, and no word or pair is left out at any size of corpus.
+
+Reading: while all segments together have at most `filter_bytes`, they are broadcast. Beyond that the texts are written in
+blocks, each block sends its distinct n-grams by bucket to the segments in a shuffle, and the levels go back to the block,
+where its texts are scored. Segments and levels are the same on both paths, and so are the scores.
 
 Scoring: P(w | u) = (1 - L) P1(w) + L c(u, w) / c(u) with counts from the filter, P1 smoothed by 0.1; the end token opens
 and closes every text. The base score uses exact counts: their table is broadcast while it has at most `table_words`
@@ -17,6 +20,7 @@ join, so repeated rows get equal scores.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +39,11 @@ TABLE_WORDS = 1 << 22
 LAMBDA = 0.5
 SMOOTH = 0.1
 END = K.U64(0x632BE59BD9B4E019)
+#: The filter and the pairs use the upper 44 bits of a hash: at 5 * 10^9 n-grams 0.03 % meet another, far under the filter's own errors.
+_LOW = K.U64(20)
 _FLUSH = 4 << 20
+#: Bytes of text in a block that asks the segments.
+_SENT = 2 << 20
 
 
 def _sequence(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +59,27 @@ def _sequence(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return K.mix(before * K.U64(0xA0761D6478BD642F) + word * K.U64(0xE7037ED1A0B428DB))
+    return _upper(K.mix(before * K.U64(0xA0761D6478BD642F) + word * K.U64(0xE7037ED1A0B428DB)))
+
+
+def _upper(h: np.ndarray) -> np.ndarray:
+    return h >> _LOW << _LOW
+
+
+def _packed(h: np.ndarray) -> bytes:
+    """Sorted upper parts: the first and the steps in four bytes each, or as they are where a step is too large."""
+    step = np.diff(h >> _LOW)
+    if not len(h) or len(step) and step.max() >> K.U64(32):
+        return b"\0" + h.tobytes()
+    return b"\1" + h[:1].tobytes() + step.astype("<u4").tobytes()
+
+
+def _unpacked(load: pa.Buffer) -> np.ndarray:
+    raw = memoryview(load)
+    if raw[0] == 0:
+        return np.frombuffer(raw, np.uint64, offset=1)
+    steps = np.frombuffer(raw, "<u4", offset=9).astype(np.uint64)
+    return np.cumsum(np.append(np.frombuffer(raw, np.uint64, 1, 1) >> _LOW, steps), dtype=np.uint64) << _LOW
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
@@ -91,6 +119,7 @@ def _probes(h: np.ndarray, level: np.ndarray | int, bits: np.ndarray | int) -> I
 
 def build_segment(h: np.ndarray, counts: np.ndarray) -> bytes:
     """A filter of a whole number of bytes for the n-grams of one bucket."""
+    h = _upper(h)
     level = levels_of(counts) if len(counts) else np.zeros(0, np.int64)
     bits = -(-int(level.sum()) * BITS // 8) * 8
     mark = np.zeros(bits, bool)
@@ -116,6 +145,7 @@ class LogFrequencyFilter:
         out = np.zeros(len(h), np.int64)
         if not len(self.bits):
             return out
+        h = _upper(h)
         bucket = _bucket(h, len(self.bits)).astype(np.int64)
         alive = np.flatnonzero(self.bits[bucket] > 0)
         level = 0
@@ -134,9 +164,22 @@ class LogFrequencyFilter:
         return out
 
 
+@dataclass
+class Looked:
+    """Levels that were read elsewhere, of sorted n-grams."""
+
+    known: np.ndarray
+    level: np.ndarray
+
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        return self.level[np.searchsorted(self.known, _upper(h))]
+
+
 @dataclass
 class Model:
-    filter: LogFrequencyFilter
+    """`filter` is None where it is not broadcast."""
+
+    filter: LogFrequencyFilter | Looked | None
     tokens: int
     words: int
 
@@ -156,10 +199,9 @@ class Model:
         return np.log10((1 - lam) * p1 + lam * p2)
 
 
-def count_ngrams(train: DataFrame, text_col: str = "text", filter_bytes: int = FILTER_BYTES, buckets: int | None = None) -> DataFrame:
+def count_ngrams(train: DataFrame, text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """One row a bucket: bucket, words, tokens, hashes and counts of its words (packed), segment of the filter."""
     n_buckets = buckets or max(64, 2 * partitions(train.sparkSession))
-    room = filter_bytes * 8 // n_buckets
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
@@ -174,7 +216,7 @@ def count_ngrams(train: DataFrame, text_col: str = "text", filter_bytes: int = F
                     [
                         pa.array(full, pa.int32()),
                         pa.array(np.full(len(full), kind), pa.int32()),
-                        pa.array([h[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()),
+                        pa.array([_packed(h[cut[b] : cut[b + 1]]) if kind else h[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()),
                         pa.array([c[cut[b] : cut[b + 1]].astype(np.uint32).tobytes() for b in full], pa.binary()),
                     ],
                     names=["bucket", "kind", "hashes", "counts"],
@@ -197,14 +239,9 @@ def count_ngrams(train: DataFrame, text_col: str = "text", filter_bytes: int = F
     def merge(table: pa.Table) -> pa.Table:
         parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
         for kind, h, c in zip(table.column("kind").to_pylist(), table.column("hashes"), table.column("counts"), strict=True):
-            parts[kind].append((np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.uint32).astype(np.int64)))
+            parts[kind].append((_unpacked(h.as_buffer()) if kind else np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.uint32).astype(np.int64)))
         word, count = _merged(parts[0])
         pair, times = _merged(parts[1])
-        least = 1
-        while BITS * (int(levels_of(count).sum()) + int(levels_of(times).sum())) > room and len(times):
-            least += 1
-            keep = times >= least
-            pair, times = pair[keep], times[keep]
         segment = build_segment(np.concatenate((word, pair)), np.concatenate((count, times)))
         row = (table.column("bucket")[0].as_py(), len(word), int(count.sum()), word.tobytes(), count.astype("<u8").tobytes(), segment)
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -214,11 +251,14 @@ def count_ngrams(train: DataFrame, text_col: str = "text", filter_bytes: int = F
     return written(sent.groupBy("bucket").applyInArrow(merge, "bucket int, words long, tokens long, hashes binary, counts binary, segment binary"), "ngrams").withColumn("buckets", F.lit(n_buckets))
 
 
-def load_model(ngrams: DataFrame) -> Model:
-    """The filter (bounded by filter_bytes and the buckets' words) and the totals."""
-    rows = ngrams.select("bucket", "words", "tokens", "segment", "buckets").collect()
-    if not rows:
+def load_model(ngrams: DataFrame, filter_bytes: int = FILTER_BYTES) -> Model:
+    """The totals, and the filter where its segments have at most filter_bytes."""
+    total = ngrams.agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words"), F.sum(F.length("segment")).alias("size")).first()
+    if total.tokens is None:
         return Model(LogFrequencyFilter(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)), 0, 0)
+    if total.size > filter_bytes:
+        return Model(None, total.tokens, total.words)
+    rows = ngrams.select("bucket", "segment", "buckets").collect()  # filter_bytes at most
     n = rows[0].buckets
     size = np.zeros(n, np.int64)
     for r in rows:
@@ -227,7 +267,82 @@ def load_model(ngrams: DataFrame) -> Model:
     data = np.zeros(int(size.sum()), np.uint8)
     for r in rows:
         data[start[r.bucket] : start[r.bucket] + size[r.bucket]] = np.frombuffer(r.segment, np.uint8)
-    return Model(LogFrequencyFilter(data, start, size * 8), sum(r.tokens for r in rows), sum(r.words for r in rows))
+    return Model(LogFrequencyFilter(data, start, size * 8), total.tokens, total.words)
+
+
+def _ngrams_of(column: pa.Array) -> np.ndarray:
+    """The sorted distinct words and pairs of a block of texts."""
+    raw, offs = K.text_buffers(column)
+    parts = []
+    for lo, hi in K.blocks(offs):
+        seq, before, _ = _sequence(K.Words(raw, offs[lo : hi + 1], K.NOT_SPACE))
+        parts += [K.distinct(_upper(seq)), K.distinct(pair_hash(before, seq))]
+    return K.distinct(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def looked_up(read: DataFrame, ngrams: DataFrame, text_col: str) -> DataFrame:
+    """(block, kind, bucket, load): the texts of `read` in blocks (kind 1, an Arrow stream) after the levels of their sorted distinct n-grams, bucket by bucket (kind 0), in partitions sorted so."""
+    n_buckets = ngrams.select("buckets").first().buckets
+    ddl = "block string, kind int, bucket int, load binary"
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary())
+
+    def made(rows: list[tuple[str, int, int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["block", "kind", "bucket", "load"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(whole)
+            return made([(uuid.uuid4().hex, 1, -1, sink.getvalue().to_pybytes())])
+
+        for batch in batches:
+            _, offs = K.text_buffers(batch.column(text_col))
+            for lo, hi in K.blocks(offs, _SENT):
+                held.append(batch.slice(lo, hi - lo))
+                size += int(offs[hi] - offs[lo])
+                if size >= _SENT:
+                    yield packed()
+                    size = 0
+        if held:
+            yield packed()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, load in zip(batch.column("block"), batch.column("load"), strict=True):
+                h = _ngrams_of(pa.ipc.open_stream(load.as_buffer()).read_all().column(text_col))
+                cut = np.searchsorted(_bucket(h, n_buckets), np.arange(n_buckets + 1, dtype=np.uint64))
+                yield made([(block.as_py(), 1, int(b), _packed(h[cut[b] : cut[b + 1]])) for b in np.flatnonzero(np.diff(cut))])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, segment = -1, b""
+        for batch in batches:
+            rows: list[tuple[str, int, int, bytes]] = []
+            for block, kind, bucket, load in zip(*(batch.column(c) for c in ("block", "kind", "bucket", "load")), strict=True):
+                b = bucket.as_py()
+                if not kind.as_py():
+                    at, segment = b, load.as_py()
+                    continue
+                h = _unpacked(load.as_buffer())
+                level = np.zeros(len(h), np.uint8)
+                if at == b and segment:
+                    bits = len(segment) * 8
+                    one = LogFrequencyFilter(np.frombuffer(segment, np.uint8), np.zeros(1, np.int64), np.array([bits]))
+                    level = one.levels(h).astype(np.uint8)
+                rows.append((block.as_py(), 0, b, level.tobytes()))
+            yield made(rows)
+
+    blocks = written(read.mapInArrow(pack, ddl), "texts")
+    asked = blocks.mapInArrow(ask, ddl)
+    segments = ngrams.select(F.lit("").alias("block"), F.lit(0).alias("kind"), "bucket", F.col("segment").alias("load"))
+    answers = segments.unionByName(asked).repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, ddl)
+    # a task scores about sixteen blocks
+    return answers.unionByName(blocks).repartition(max(n_buckets, blocks.count() // 16), "block").sortWithinPartitions("block", "kind", "bucket")
 
 
 def exact_table(ngrams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -246,8 +361,8 @@ _RESULT = "n_tokens long, n_known long, base_score double, score double"
 def score_texts(documents: DataFrame, train: DataFrame, text_col: str = "text", keep: list[str] | None = None, filter_bytes: int = FILTER_BYTES, table_words: int = TABLE_WORDS) -> DataFrame:
     """Rows of `documents` (columns in `keep`, or all) with n_tokens, n_known, train_tokens, base_score and score; learned from `train`."""
     spark = documents.sparkSession
-    ngrams = count_ngrams(train, text_col, filter_bytes)
-    model = load_model(ngrams)
+    ngrams = count_ngrams(train, text_col)
+    model = load_model(ngrams, filter_bytes)
     n, v = model.tokens, model.words
     bound = v <= table_words
     sent = spark.sparkContext.broadcast((model, exact_table(ngrams) if bound else None))
@@ -258,37 +373,58 @@ def score_texts(documents: DataFrame, train: DataFrame, text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, exact = sent.value
         for batch in batches:
-            raw, offs = K.text_buffers(batch.column(text_col))
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for lo, hi in K.blocks(offs):
-                w = K.Words(raw, offs[lo : hi + 1], K.NOT_SPACE)
-                seq, before, first = _sequence(w)
-                heads = first[:-1]
-                out[0].append(np.diff(first))
-                if exact is not None and len(exact[0]):
-                    u = K.distinct(seq)
-                    at = np.minimum(np.searchsorted(exact[0], u), len(exact[0]) - 1)
-                    c = np.where(exact[0][at] == u, exact[1][at], 0).astype(np.float64)[np.searchsorted(u, seq)]
-                    out[1].append(np.add.reduceat((c > 0).astype(np.int64), heads))
-                    out[2].append(np.add.reduceat(np.log10((c + SMOOTH) / whole), heads))
-                else:
-                    out[1].append(np.zeros(hi - lo, np.int64))
-                    out[2].append(np.zeros(hi - lo) if n == 0 else np.diff(first) * np.log10(SMOOTH / whole))
-                out[3].append(np.add.reduceat(own.log_probabilities(seq, before), heads))
-            made = [pa.array(np.concatenate(x) if x else np.zeros(0), t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], names=[*columns, "n_tokens", "n_known", "base_score", "score"])
+            yield scored_batch(batch, own, exact)
+
+    def run_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, exact = sent.value
+        levels: list[np.ndarray] = []
+        for batch in batches:
+            for kind, load in zip(batch.column("kind"), batch.column("load"), strict=True):
+                if not kind.as_py():
+                    levels.append(np.frombuffer(load.as_buffer(), np.uint8))
+                    continue
+                for texts in pa.ipc.open_stream(load.as_buffer()).read_all().combine_chunks().to_batches():
+                    known = _ngrams_of(texts.column(text_col))
+                    yield scored_batch(texts, Model(Looked(known, np.concatenate(levels).astype(np.int64)), own.tokens, own.words), exact)
+                levels.clear()
+
+    def scored_rows(read: DataFrame, ddl: str) -> DataFrame:
+        if model.filter is not None:
+            return read.mapInArrow(run, ddl)
+        return looked_up(read, ngrams, text_col).mapInArrow(run_blocks, ddl)
+
+    def scored_batch(batch: pa.RecordBatch, own: Model, exact: tuple[np.ndarray, np.ndarray] | None) -> pa.RecordBatch:
+        raw, offs = K.text_buffers(batch.column(text_col))
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for lo, hi in K.blocks(offs):
+            w = K.Words(raw, offs[lo : hi + 1], K.NOT_SPACE)
+            seq, before, first = _sequence(w)
+            heads = first[:-1]
+            out[0].append(np.diff(first))
+            if exact is not None and len(exact[0]):
+                u = K.distinct(seq)
+                at = np.minimum(np.searchsorted(exact[0], u), len(exact[0]) - 1)
+                c = np.where(exact[0][at] == u, exact[1][at], 0).astype(np.float64)[np.searchsorted(u, seq)]
+                out[1].append(np.add.reduceat((c > 0).astype(np.int64), heads))
+                out[2].append(np.add.reduceat(np.log10((c + SMOOTH) / whole), heads))
+            else:
+                out[1].append(np.zeros(hi - lo, np.int64))
+                out[2].append(np.zeros(hi - lo) if n == 0 else np.diff(first) * np.log10(SMOOTH / whole))
+            out[3].append(np.add.reduceat(own.log_probabilities(seq, before), heads))
+        made = [pa.array(np.concatenate(x) if x else np.zeros(0), t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], names=[*columns, "n_tokens", "n_known", "base_score", "score"])
 
     read = documents.select(*columns, *([] if text_col in columns else [text_col]))
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields if f.name in columns] + [_RESULT])
     if bound:
-        return read.mapInArrow(run, ddl).withColumn("train_tokens", F.lit(n).cast("long"))
+        return scored_rows(read, ddl).withColumn("train_tokens", F.lit(n).cast("long"))
 
     # the table has no bound: distinct words of each text meet the counts in a shuffled join
     key = F.concat_ws(":", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), F.length(text_col).cast("string"))
     keyed = documents.withColumn("_key", key)
     columns = [*columns, "_key"]
     read = keyed.select(*columns, *([] if text_col in columns else [text_col]))
-    scored = written(read.mapInArrow(run, ddl.replace(_RESULT, f"_key string, {_RESULT}")), "scored")
+    scored = written(scored_rows(read, ddl.replace(_RESULT, f"_key string, {_RESULT}")), "scored")
 
     def explode_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

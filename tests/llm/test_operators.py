@@ -165,6 +165,24 @@ def test_language_model_base_scores(spark, docs, empty):
     assert {r.n_known for r in lm.score_texts(docs.select("doc_id", "text"), empty).collect()} == {0}
 
 
+def test_language_model_keeps_every_pair_beyond_the_broadcast(spark, docs, empty):
+    marked, train = lm.split(docs.select("doc_id", "text"))
+    pairs = set()
+    for i, t, *_ in rows():
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 10:
+            seq = ["\0", *[w.translate(LOW) for w in words(t)], "\0"]
+            pairs |= set(zip(seq[:-1], seq[1:], strict=True))
+    ngrams = lm.count_ngrams(train, buckets=3)
+    held = sum(len(r.segment) * 8 // lm.BITS for r in ngrams.select("segment").collect())
+    assert held >= len(pairs) + ngrams.agg({"words": "sum"}).first()[0]
+    read = lambda **bounds: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 9)) for r in lm.score_texts(marked, train, keep=["doc_id"], **bounds).collect())
+    whole = read()
+    assert read(filter_bytes=1) == whole
+    assert read(filter_bytes=1, table_words=1) == whole
+    assert lm.load_model(ngrams, 1).filter is None
+    assert lm.score_texts(empty, train, filter_bytes=1).count() == 0
+
+
 def test_decontamination_against_brute_force(spark, docs, empty):
     text = rows()[4][1]
     passage = " ".join(text.split()[20:45])
