@@ -229,14 +229,23 @@ def main_text(page: str | None) -> str:
         up = up.parent
     if up is not None:
         threshold = min(threshold, up.density)
-    picked = [chosen]
-    if holder is None and chosen.name not in ("body", "html") and chosen.parent is not None:
-        # blocks beside the content that are as dense as the threshold asks belong to it
-        for sibling in chosen.parent.items:
-            if isinstance(sibling, Node) and sibling is not chosen and not sibling.noise and sibling.C and sibling.density >= threshold and sibling.LC * 2 < sibling.C:
-                picked.append(sibling)
-    place = {id(n): i for i, n in enumerate(order)}
-    picked.sort(key=lambda n: place[id(n)])
+    # the densest node of each part that is as dense as the threshold asks belongs to the content, wherever it stands
+    peak: dict[int, Node] = {}
+    for node in reversed(order):
+        parts = [peak[id(x)] for x in node.items if isinstance(x, Node) and not x.noise and x.C]
+        peak[id(node)] = max([node, *parts], key=lambda n: n.total)
+    marked = {id(chosen)} | {id(peak[id(n)]) for n in full if n.density >= threshold and n.LC * 2 < n.C and n.name not in ("body", "html")}
+    above, up = set(), chosen.parent
+    while up is not None:
+        above.add(id(up))
+        up = up.parent
+    picked, inside = [], set()
+    for node in order:
+        if node.parent is not None and id(node.parent) in inside:
+            inside.add(id(node))
+        elif id(node) in marked and id(node) not in above:
+            picked.append(node)
+            inside.add(id(node))
     return "\n".join(b for n in picked for b in _blocks(n))
 
 

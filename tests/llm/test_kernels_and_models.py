@@ -231,3 +231,13 @@ def test_crc_matches_definition():
     assert flac.crc8(b"123456789") == 0xF4
     assert int(flac.crc16_all([b"123456789"])[0]) == 0xFEE8
     assert zlib.crc32(b"123456789") == 0xCBF43926
+
+
+def test_html_content_in_cousin_containers():
+    part = lambda k, n: "".join(f"<p>{k}{i} some words of a long enough paragraph of prose, as articles have them.</p>" for i in range(n))
+    first, second = ([f"{k}{i} some words of a long enough paragraph of prose, as articles have them." for i in range(n)] for k, n in (("a", 10), ("b", 8)))
+    links = "<ul><li><a href=x>one link</a><li><a href=y>other link</a></ul>"
+    page = f"<body>{links}<div><div class=a><div class=t>{part('a', 10)}</div></div><div class=b><div class=t>{part('b', 8)}</div></div></div></body>"
+    assert html.main_text(page).split("\n") == first + second
+    beside = f"<body>{links}<article>{part('a', 10)}</article><div><div class=t>{part('b', 8)}</div></div></body>"
+    assert html.main_text(beside).split("\n") == first + second
