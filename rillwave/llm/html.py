@@ -8,7 +8,8 @@ totals LCb and Cb its density is
 and its density sum is the sum of its children's densities. The node with the greatest density sum is the content; the
 least density on its path to the body is the threshold, and the part outside the content whose density reaches the
 threshold is content too. Elements that never hold article text (scripts, menus, forms, notices, comments and the like, by
-name, role, or a word of class or id) are taken out first and carry no characters.
+name, or by a whole token of class, id or role or its leading piece) are taken out first and carry no characters; one that
+only class, id or role call so stays if it holds an article or main, or most of the body's characters.
 
 The text of the content: character references decoded, white space in a block made one space, blocks trimmed and joined by
 one newline in page order; <br> is white space.
@@ -48,11 +49,12 @@ ENDS = {
     "tfoot": (("tbody", "thead", "tfoot", "tr", "td", "th"), ("table",)),
     "option": (("option",), ("select",)),
 }
-#: Words of class, id or role that mark what is not the article.
-NOISE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|sidebar|side-bar|widget|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|cookie|cookies|consent|notice|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|recommendations|comment|comments|disqus|reply|replies|complementary|contentinfo|search|toolbar|pagination|pager|skip|copyright|legal|disclaimer|gdpr|alert)(?:$|[\s_-])",
-    re.I,
+#: Words that mark what is not the article, as a whole token of class, id or role or as its leading piece.
+NOISE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo sidebar side-bar widget nav navbar navigation menu breadcrumb breadcrumbs header masthead footer cookie cookies consent notice popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations comment comments disqus reply replies complementary contentinfo search toolbar pagination pager skip copyright legal disclaimer gdpr alert".split()
 )
+#: Of these, words that sections of articles are named after: as a whole token only.
+TOPICS = frozenset("legal social search alert notice".split())
 #: Elements that are the article however their class is called.
 HOLDERS = frozenset("html body article main".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)(?:>|\Z)", re.S)
@@ -61,28 +63,37 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("name", "parent", "items", "noise", "C", "T", "LC", "LT", "density", "total")
+    __slots__ = ("name", "parent", "items", "noise", "doubt", "C", "T", "LC", "LT", "density", "total")
 
-    def __init__(self, name: str, parent: Node | None, noise: bool):
-        self.name, self.parent, self.noise = name, parent, noise
+    def __init__(self, name: str, parent: Node | None, noise: bool, doubt: bool = False):
+        self.name, self.parent, self.noise, self.doubt = name, parent, noise, doubt
         self.items: list[Node | str] = []
         self.C = self.T = self.LC = self.LT = 0
         self.density = self.total = 0.0
 
 
-def _is_noise(name: str, attributes: str) -> bool:
-    if name in NOISE:
+def _noise_token(token: str) -> bool:
+    if token in NOISE_WORDS:
         return True
+    piece = re.split("[_-]", token, maxsplit=1)[0]
+    return piece in NOISE_WORDS and piece not in TOPICS
+
+
+def _is_noise(name: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is noise by its kind, and whether its class, id or role says so."""
+    if name in NOISE:
+        return True, False
     if not attributes or name in HOLDERS:
-        return False
+        return False, False
+    doubt = False
     for key, a, b, c in _MARK.findall(attributes):
-        value = a or b or c
+        value = (a or b or c).lower()
         if key.lower() == "aria-hidden":
-            if value.lower() == "true":
-                return True
-        elif key.lower() != "hidden" and NOISE_WORDS.search(value):
-            return True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes, re.I))
+            if value == "true":
+                return True, False
+        elif key.lower() != "hidden" and any(_noise_token(t) for t in value.split()):
+            doubt = True
+    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes, re.I)), doubt
 
 
 def parse(page: str) -> Node:
@@ -127,7 +138,7 @@ def parse(page: str) -> Node:
                 up = up.parent
             if last is not None:
                 here = last.parent or root
-        node = Node(name, here, _is_noise(name, m[3]))
+        node = Node(name, here, *_is_noise(name, m[3]))
         here.items.append(node)
         if name in VOID or m[4] and name not in BLOCKS and name not in RAW:
             continue
@@ -149,8 +160,25 @@ def _walk(root: Node) -> list[Node]:
     return order
 
 
+def _settle(root: Node) -> None:
+    """Elements that class, id or role call noise are taken out unless they hold an article or main, or most of the body's characters."""
+    order = _walk(root)
+    if not any(n.doubt for n in order):
+        return
+    chars: dict[int, int] = {}
+    holds: set[int] = set()
+    for node in reversed(order):
+        chars[id(node)] = sum(len(_SPACE.sub(" ", x).strip()) if isinstance(x, str) else chars.get(id(x), 0) for x in node.items)
+        if node.parent is not None and (node.name in ("article", "main") or id(node) in holds):
+            holds.add(id(node.parent))
+    body = next((n for n in order if n.name == "body"), root)
+    for node in order:
+        node.noise = node.noise or node.doubt and id(node) not in holds and chars[id(node)] * 2 <= chars[id(body)]
+
+
 def densities(root: Node) -> list[Node]:
     """Counts, densities and density sums of all nodes outside noise."""
+    _settle(root)
     order = _walk(root)
     for node in reversed(order):
         for x in node.items:

@@ -241,3 +241,13 @@ def test_html_content_in_cousin_containers():
     assert html.main_text(page).split("\n") == first + second
     beside = f"<body>{links}<article>{part('a', 10)}</article><div><div class=t>{part('b', 8)}</div></div></body>"
     assert html.main_text(beside).split("\n") == first + second
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-header", "with-nav", "legal-news", "social-science", "search-results", "sidebar"])
+def test_html_class_words_do_not_take_out_the_page(name):
+    text = [f"{i} some words of a long enough paragraph of prose, as articles have them." for i in range(6)]
+    inner = "".join(f"<p>{t}</p>" for t in text)
+    noise = '<div class="ad">buy</div><div class="sidebar-left"><p>an aside</p></div>'
+    assert html.main_text(f'<body><div class="{name}">{inner}</div>{noise}</body>').split("\n") == text
+    assert html.main_text(f'<body><div class="{name}"><article>{inner}</article></div>{noise}</body>').split("\n") == text
+    assert html.main_text(f'<body><ul><li><a href=x>one link</a><li><a href=y>other link</a></ul><div class="legal-news">{inner}</div><div class="other">{inner * 3}</div>{noise}</body>').split("\n") == text * 4
