@@ -38,15 +38,18 @@ def split_sizes(n: int, train: float = 0.7, val: float = 0.15) -> tuple[int, int
     return n - v - t, v, t
 
 
-def _trials(matrix: DataFrame, patient: str, trials: int, seed: int) -> DataFrame:
+def _trials(matrix: DataFrame, patient: str, trials: DataFrame, seed: int) -> DataFrame:
     """Every trial's order of the patients: rows (trial, patient, rn, …); candidates are independent, so this is as parallel as trials x patients."""
-    spark = matrix.sparkSession
-    grid = matrix.crossJoin(F.broadcast(spark.range(trials).withColumnRenamed("id", "trial")))
+    grid = matrix.crossJoin(F.broadcast(trials))
     order = Window.partitionBy("trial").orderBy(draw(seed, "trial", patient), patient)
     return grid.withColumn("rn", F.row_number().over(order))
 
 
-def balanced_split(matrix: DataFrame, patient: str, trials: int = 64, seed: int = 42, train: float = 0.7, val: float = 0.15) -> DataFrame:
+def _numbers(df: DataFrame, trials: int) -> DataFrame:
+    return df.sparkSession.range(trials).withColumnRenamed("id", "trial")
+
+
+def balanced_split(matrix: DataFrame, patient: str, trials: int = 10_000, seed: int = 42, train: float = 0.7, val: float = 0.15) -> DataFrame:
     """(trial, score, patient, side) of the best of `trials` random patient splits.
 
     Score: over the sides, squared drift of the class shares, 1.5 (window share - target)^2, 100 a missing class, and 0.02 for
@@ -54,26 +57,26 @@ def balanced_split(matrix: DataFrame, patient: str, trials: int = 64, seed: int
     """
     all_ = matrix.agg(F.count("*").alias("p"), *[F.sum(c).alias(c) for c in ("n", "n0", "n1", "n2")]).first()
     a, b, c = split_sizes(all_.p, train, val)
-    dealt = _trials(matrix, patient, trials, seed).withColumn("side", F.when(F.col("rn") <= a, "train").when(F.col("rn") <= a + b, "validation").otherwise("test"))
-    sides = dealt.groupBy("trial", "side").agg(*[F.sum(k).alias(k) for k in ("n", "n0", "n1", "n2")])
+    deal = lambda chosen: _trials(matrix, patient, chosen, seed).withColumn("side", F.when(F.col("rn") <= a, "train").when(F.col("rn") <= a + b, "validation").otherwise("test"))
+    sides = deal(_numbers(matrix, trials)).groupBy("trial", "side").agg(*[F.sum(k).alias(k) for k in ("n", "n0", "n1", "n2")])
     target = F.when(F.col("side") == "train", a / all_.p).when(F.col("side") == "validation", b / all_.p).otherwise(c / all_.p)
     term = 1.5 * F.pow(F.col("n") / all_.n - target, 2)
     for k in ("n0", "n1", "n2"):
         term = term + F.pow(F.col(k) / F.col("n") - all_[k] / all_.n, 2) + F.when(F.col(k) == 0, 100.0).otherwise(0.0) + 0.02 * F.greatest(F.lit(0), 10 - F.col(k))
     best = sides.groupBy("trial").agg(F.round(F.sum(term), 9).alias("score")).agg(F.min_by(F.struct("trial", "score"), F.struct("score", "trial")).alias("b")).select("b.*")
-    return dealt.join(F.broadcast(best), "trial").select("trial", "score", patient, "side")
+    return deal(best).select("trial", "score", patient, "side")
 
 
-def kfold_search(matrix: DataFrame, patient: str, folds: int = 5, trials: int = 64, seed: int = 42) -> DataFrame:
+def kfold_search(matrix: DataFrame, patient: str, folds: int = 5, trials: int = 200_000, seed: int = 42) -> DataFrame:
     """(trial, score, patient, fold) of the best feasible deal; a fold without class 1 or 2 is not feasible.
 
     Score: mean over folds of the weighted squared relative errors of the class counts (0.25, 1, 1), 0.05 of the variances of
     the patients with class 1 and 2, and 0.05 of the mean log1p of the squared relative window error.
     """
     all_ = matrix.agg(F.count("*").alias("p"), *[F.sum(c).alias(c) for c in ("n", "n0", "n1", "n2")]).first()
-    dealt = _trials(matrix, patient, trials, seed).withColumn("fold", F.floor((F.col("rn") - 1) * folds / all_.p).cast("int"))
+    deal = lambda chosen: _trials(matrix, patient, chosen, seed).withColumn("fold", F.floor((F.col("rn") - 1) * folds / all_.p).cast("int"))
     has = [F.sum(F.when(F.col(f"n{c}") > 0, 1).otherwise(0)).alias(f"with{c}") for c in (1, 2)]
-    each = dealt.groupBy("trial", "fold").agg(*[F.sum(k).alias(k) for k in ("n", "n0", "n1", "n2")], *has)
+    each = deal(_numbers(matrix, trials)).groupBy("trial", "fold").agg(*[F.sum(k).alias(k) for k in ("n", "n0", "n1", "n2")], *has)
     error = F.lit(0.0)
     for k, w in (("n0", 0.25), ("n1", 1.0), ("n2", 1.0)):
         fair = all_[k] / folds
@@ -82,10 +85,10 @@ def kfold_search(matrix: DataFrame, patient: str, folds: int = 5, trials: int =
     score = F.avg(error) + 0.05 * (F.var_pop("with1") + F.var_pop("with2")) + 0.05 * F.avg(window)
     scored = each.groupBy("trial").agg(F.round(score, 9).alias("score"), F.min(F.least("n1", "n2")).alias("least"), F.count("*").alias("k")).where((F.col("least") > 0) & (F.col("k") == folds))
     best = scored.agg(F.min_by(F.struct("trial", "score"), F.struct("score", "trial")).alias("b")).where("b is not null").select("b.*")
-    return dealt.join(F.broadcast(best), "trial").select("trial", "score", patient, "fold")
+    return deal(best).select("trial", "score", patient, "fold")
 
 
-def inner_search(matrix: DataFrame, patient: str, outer: str, trials: int = 64, seed: int = 42, least_minority: int = 4, share: tuple[float, float] = (0.10, 0.40)) -> DataFrame:
+def inner_search(matrix: DataFrame, patient: str, outer: str, trials: int = 100_000, seed: int = 42, least_minority: int = 4, share: tuple[float, float] = (0.10, 0.40)) -> DataFrame:
     """(outer, trial, score, patient) of the validation patients chosen inside each outer fold's training side.
 
     Feasible: all classes on both sides, `least_minority` patients with class 1 and with class 2, window share in bounds.

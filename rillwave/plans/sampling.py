@@ -9,6 +9,7 @@ from rillwave.operators import splits as D
 
 from .tables import SAMPLES_SQL, pred_sql, predictions, r6, samples, table
 
+#: Candidates of the queries that SQL is compared with; the `_full` ones take the operators' own 10,000, 200,000 and 100,000.
 TRIALS = 64
 
 
@@ -36,6 +37,18 @@ def inner_search(spark: SparkSession, d: str) -> DataFrame:
     return D.inner_search(_matrix(spark, d).withColumn("outer_fold", F.col("patient") % 5), "patient", "outer_fold", TRIALS)
 
 
+def balanced_split_full(spark: SparkSession, d: str) -> DataFrame:
+    return D.balanced_split(_matrix(spark, d), "patient")
+
+
+def kfold_search_full(spark: SparkSession, d: str) -> DataFrame:
+    return D.kfold_search(_matrix(spark, d), "patient", 5)
+
+
+def inner_search_full(spark: SparkSession, d: str) -> DataFrame:
+    return D.inner_search(_matrix(spark, d).withColumn("outer_fold", F.col("patient") % 5), "patient", "outer_fold")
+
+
 def leakage_check(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers' folds by hash; suppliers that divide by 7 are held out twice, those that divide by 11 never."""
     cohort = table(spark, d, "supplier").select(F.col("s_suppkey").alias("patient"))
@@ -76,7 +89,7 @@ def cohort_table(spark: SparkSession, d: str) -> DataFrame:
     return D.cohort_table(p, "side", "patient", "truth").withColumns({f"pct_{c}": r6(F.col(f"pct_{c}")) for c in range(3)})
 
 
-QUERIES = {f.__name__: f for f in (patient_class_matrix, split_rows, balanced_split, kfold_search, inner_search, leakage_check, strat_cap, calibration_sample, even_sample, block_batches, round_robin_batches, class_weights, cohort_table)}
+QUERIES = {f.__name__: f for f in (patient_class_matrix, split_rows, balanced_split, kfold_search, inner_search, balanced_split_full, kfold_search_full, inner_search_full, leakage_check, strat_cap, calibration_sample, even_sample, block_batches, round_robin_batches, class_weights, cohort_table)}
 
 P = pred_sql()
 _MATRIX = f"WITH {P}, m AS (SELECT patient, count(*) AS n, count(*) FILTER (truth=0) AS n0, count(*) FILTER (truth=1) AS n1, count(*) FILTER (truth=2) AS n2 FROM pred GROUP BY patient), tot AS (SELECT count(*) AS p, sum(n)::DOUBLE AS n, sum(n0)::DOUBLE AS n0, sum(n1)::DOUBLE AS n1, sum(n2)::DOUBLE AS n2 FROM m)"
