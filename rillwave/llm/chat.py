@@ -5,7 +5,7 @@ block, a length class, and its end (question, sentence, other); given the state
 emission counts come from labelled rows by two aggregations; without labels the priors let markers decide.
 
 Viterbi decoding is a product of max-plus matrices, which is associative, so a transcript of any length is cut into blocks
-of turns: each block gives the matrix of best scores from entry to exit state, one small row a block is chained into entry
+of lines, numbered in the total order of all rows, whatever their turns: each block gives the matrix of best scores from entry to exit state, one small row a block is chained into entry
 and exit states, and each block is then decoded alone between them. No task holds a whole conversation's lines.
 
 Defined results: rows are keyed by conversation, turn and text, so equal rows get equal results and ties in turn are ordered
@@ -19,14 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillwave.functions.ordering import with_global_sums
+
 from .shared import crc_bucket, partitions, written
 
 ROLES = ("system", "user", "assistant")
 STATES = [(r, b) for r in range(len(ROLES)) for b in (0, 1)]  # (role, 1 if inside)
-TURNS = 256
+LINES = 256
 #: Fixed words that mark a speaker at the start of a line.
 MARKERS = (r"system|sys", r"user|human|customer|client|question|me|q", r"assistant|ai|bot|agent|answer|support|model|a")
 _MARKER = r"(?i)^\s*(?:[#>*\[(<|_-]*\s*)(" + "|".join(MARKERS) + r")\s*(?:[\])>|*_]*)\s*:+[*_]*\s*"
@@ -34,19 +36,20 @@ LENGTHS = 12
 FEATURES = {"marker": 4, "opens": 2, "length": LENGTHS, "ends": 3}
 
 
-def _lines(turns: DataFrame) -> DataFrame:
+def _lines(turns: DataFrame, *keep: str) -> DataFrame:
     """(ckey, turn, thash, line, marker, opens, length, ends): what each line shows."""
     line = F.col("text")
     said = F.lower(F.regexp_extract(line, _MARKER, 1))
     marker = F.lit(0)
     for i, words in enumerate(MARKERS):
         marker = F.when(said.rlike(f"^(?:{words})$"), i + 1).otherwise(marker)
-    out = turns.select("ckey", "turn", "thash", "role", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
+    out = turns.select("ckey", "turn", "thash", "role", *keep, F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
     return out.select(
         "ckey",
         "turn",
         "thash",
         "role",
+        *keep,
         "line",
         marker.alias("marker"),
         (F.col("line") == 0).cast("int").alias("opens"),
@@ -196,13 +199,16 @@ def chain(start: np.ndarray, matrices: np.ndarray) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def recover_roles(narrow: DataFrame, model: Model, turns: int = TURNS) -> DataFrame:
+def recover_roles(narrow: DataFrame, model: Model, size: int = LINES) -> DataFrame:
     """(ckey, turn, thash, segment, said, from_line, n_lines): runs of one role in each row, by Viterbi over the conversation."""
     spark = narrow.sparkSession
     sent = spark.sparkContext.broadcast(model)
     n = partitions(spark)
     k = len(STATES)
-    lines = _lines(narrow).withColumn("part", F.floor(F.col("turn") / turns).cast("long")).drop("role")
+    numbered = with_global_sums(narrow.withColumn("_n", F.size(F.split("text", "\n", -1))), [F.col("ckey"), F.col("turn"), F.col("thash")], {"_to": F.col("_n")})
+    place = F.col("_to") - F.col("_n") + F.col("line")
+    cut = F.floor((F.col("_to") - F.col("_n")) / size) != F.floor((F.col("_to") - 1) / size)
+    lines = _lines(numbered, "_to", "_n").withColumns({"part": F.floor(place / size).cast("long"), "cut": cut}).drop("role", "_to", "_n")
     dealt = written(lines.repartition(n, "ckey", "part").sortWithinPartitions("ckey", "part", "turn", "thash", "line"), "lines")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,34 +242,43 @@ def recover_roles(narrow: DataFrame, model: Model, turns: int = TURNS) -> DataFr
         rows: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
             rows.clear()
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["ckey", "turn", "thash", "segment", "said", "from_line", "n_lines"])
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["ckey", "turn", "thash", "segment", "said", "from_line", "n_lines", "cut"])
 
         for t in _groups(batches):
-            path = best_path(own, _emissions(own, t), t.column("entry")[0].as_py(), t.column("leave")[0].as_py())
+            entry = t.column("entry")[0].as_py()
+            path = best_path(own, _emissions(own, t), entry, t.column("leave")[0].as_py())
             ck = t.column("ckey")[0].as_py()
             turn, thash, line = (t.column(c).to_pylist() for c in ("turn", "thash", "line"))
-            begin, segment = 0, 0
+            split = t.column("cut").to_pylist()
+            # a row that another block began goes on, as segment -1, unless a turn begins here
+            begin, segment = 0, -1 if line[0] > 0 and (STATES[path[0]] == STATES[entry] or STATES[path[0]][1]) else 0
             for i in range(1, len(path) + 1):
                 new_row = i == len(path) or (turn[i], thash[i]) != (turn[i - 1], thash[i - 1])
                 if new_row or STATES[path[i]] != STATES[path[i - 1]] and not STATES[path[i]][1]:
-                    rows.append((ck, turn[begin], thash[begin], segment, STATES[path[begin]][0], line[begin], i - begin))
+                    rows.append((ck, turn[begin], thash[begin], segment, STATES[path[begin]][0], line[begin], i - begin, split[begin]))
                     begin, segment = i, 0 if new_row else segment + 1
             if len(rows) >= 2000:
                 yield batch()
         yield batch()
 
     blocks = written(dealt.mapInArrow(matrices, "ckey string, part long, inner binary, first binary"), "blocks")
-    # one row of a few hundred bytes for each `turns` turns: a group stays small for any conversation that can be read
+    # one row of a few hundred bytes for each `size` lines
     several = blocks.groupBy("ckey").agg(F.count("*").alias("n"))
     ends = blocks.join(several, "ckey")
     alone = ends.where("n = 1").mapInArrow(_single(k), "ckey string, part long, entry int, leave int")
     linked = ends.where("n > 1").drop("n").groupBy("ckey").applyInArrow(chained, "ckey string, part long, entry int, leave int")
     ready = dealt.join(written(alone.unionByName(linked), "ends"), ["ckey", "part"])
     ready = ready.repartition(n, "ckey", "part").sortWithinPartitions("ckey", "part", "turn", "thash", "line")
-    return ready.mapInArrow(decode, "ckey string, turn long, thash long, segment int, said int, from_line int, n_lines int")
+    found = written(ready.mapInArrow(decode, "ckey string, turn long, thash long, segment int, said int, from_line int, n_lines int, cut boolean"), "found")
+    # the pieces of a row that lies in several blocks are put together
+    row = ["ckey", "turn", "thash"]
+    along = Window.partitionBy(*row).orderBy("from_line").rowsBetween(Window.unboundedPreceding, 0)
+    pieces = found.where("cut").withColumn("segment", (F.sum((F.col("segment") >= 0).cast("int")).over(along) - 1).cast("int"))
+    met = pieces.groupBy(*row, "segment").agg(F.min_by("said", "from_line").alias("said"), F.min("from_line").alias("from_line"), F.sum("n_lines").cast("int").alias("n_lines"))
+    return found.where("not cut").drop("cut").unionByName(met)
 
 
 def _single(k: int):  # noqa: ANN202
@@ -283,7 +298,7 @@ def render(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|"), role, F.lit("|>\n"), body, F.lit("\n<|end|>"))
 
 
-def parse_transcripts(turns: DataFrame, model: Model, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", block_turns: int = TURNS) -> DataFrame:
+def parse_transcripts(turns: DataFrame, model: Model, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", block_turns: int = LINES) -> DataFrame:
     """All columns of `turns` with segment, said (the recovered role) and rendered; a row that holds several speakers is several rows."""
     keyed = _keyed(turns, conv_col, turn_col, text_col, None)
     found = recover_roles(_narrow(keyed), model, block_turns)

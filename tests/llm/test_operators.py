@@ -296,3 +296,35 @@ def test_rows_of_all_queries_are_the_tables(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for name in ("op1_cube_mixing", "op8_quality_classifier"):
         assert QUERIES[name](spark, SF).select(F.countDistinct("doc_id")).first()[0] == n
+
+
+def test_chat_blocks_are_cut_by_lines_where_turns_repeat(spark):
+    rng = np.random.default_rng(5)
+    line = lambda: "w" * int(rng.integers(1, 900)) + "?. "[int(rng.integers(3))]
+    texts = [f"{'User: ' if i % 2 else 'Assistant: '}{line()}\n{line()}\n{line()}" for i in range(60)]
+    long = "\n".join(f"{'User: ' if i % 3 else 'Assistant: '}{line()}\n{line()}" for i in range(50))
+    talk = [(None, None, t) for t in texts] + [(None, 0, long), ("c", 0, "User: a?"), ("c", 1, "Assistant: b.")]
+    df = spark.createDataFrame(talk, "conv_id string, turn long, text string")
+    n = len(chat.STATES)
+    # equal scores are as good as excluded: random weights and lines
+    model = chat.Model(rng.random(n) + 0.1, rng.random((n, n)) + 0.1, {k: rng.random((n, m)) * 900 + 1.1 for k, m in chat.FEATURES.items()})
+    narrow = chat._narrow(chat._keyed(df, "conv_id", "turn", "text", None))
+    read = lambda size: sorted(tuple(r) for r in chat.recover_roles(narrow, model, size).collect())
+    sizes = []
+    whole, groups = chat.recover_roles.__globals__["written"], {}
+
+    def spy(frame, name="table"):
+        out = whole(frame, name)
+        groups[name] = out
+        return out
+
+    chat.recover_roles.__globals__["written"] = spy
+    try:
+        once = read(1 << 20)
+        cut = read(7)
+        sizes = [r["count"] for r in groups["lines"].groupBy("ckey", "part").count().collect()]
+    finally:
+        chat.recover_roles.__globals__["written"] = whole
+    assert cut == once
+    assert max(sizes) <= 7
+    assert sum(r[6] for r in cut) == sum(t.count("\n") + 1 for _, _, t in talk)
