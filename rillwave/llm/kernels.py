@@ -7,13 +7,15 @@ so testing bytes and testing code points give the same words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 _byte = np.arange(256)
 #: White space is U+0020 and U+0009 to U+000D; everything else is part of a word.
@@ -44,6 +46,22 @@ def coefficients(n: int) -> np.ndarray:
     return _coefficients
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task function that gives its freed memory back at its end: Python workers live on and would else add it up over the stages."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return task
+
+
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets (length n + 1) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -73,6 +91,17 @@ def blocks(offs: np.ndarray, limit: int = BLOCK_BYTES, most: int = 1 << 15) -> I
         lo = hi
 
 
+def run_hashes(letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes; the runs follow each other in `letters` and none is empty."""
+    if not len(lengths):
+        return np.zeros(0, U64)
+    heads = np.cumsum(lengths) - lengths
+    pos = np.arange(len(letters)) - np.repeat(heads, lengths)
+    terms = coefficients(int(lengths.max()))[pos]
+    terms *= letters.astype(U64) + U64(1)
+    return mix(np.add.reduceat(terms, heads))
+
+
 class Words:
     """The words of a block of texts: their byte ranges, lengths, the row each is in, and a 64-bit hash."""
 
@@ -100,7 +129,7 @@ class Words:
         self.lengths = self.stops - self.starts
         #: words of row i are numbered first[i] to first[i + 1]
         self.first = np.searchsorted(self.starts, offs)
-        self._letters = self.raw[inside] if n else self.raw
+        self.letters = self.raw[inside] if n else self.raw
         self._hash: np.ndarray | None = None
 
     def __len__(self) -> int:
@@ -113,14 +142,7 @@ class Words:
     @property
     def hashes(self) -> np.ndarray:
         if self._hash is None:
-            if not len(self.starts):
-                self._hash = np.zeros(0, U64)
-            else:
-                heads = np.cumsum(self.lengths) - self.lengths
-                pos = np.arange(len(self._letters)) - np.repeat(heads, self.lengths)
-                terms = coefficients(int(self.lengths.max()))[pos]
-                terms *= self._letters.astype(U64) + U64(1)
-                self._hash = mix(np.add.reduceat(terms, heads))
+            self._hash = run_hashes(self.letters, self.lengths)
         return self._hash
 
     def rows(self) -> np.ndarray:
