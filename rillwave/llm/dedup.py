@@ -7,18 +7,22 @@ verified links are joined into classes.
 
 * Document frequency is read as a share of all texts from a count-min table over all documents. Its size is fixed, and so is
   its error as a share; weights only change for shingles in more than 1/`COMMON` of the texts, well above that error, so
-  the weights behave alike at every size of corpus. Damping keeps a weight within [0.75, 1], as copies would else make
-  their own shingles worthless.
-* Texts with the same words are one node, whatever their number, so exact copies add no pairs.
+  the weights behave alike at every size of corpus. Damping keeps a weight within [0.75, 1]: passages that very many texts
+  share count less, while a group of copies, however large, cannot make its own shingles worthless and fall apart.
+* Texts with the same words are one node, whatever their number: copies are put together before anything is joined, so a
+  group of exact copies adds one row to the candidate search and no pairs.
 * In every band bucket all members are compared with one leader. Where members stay in different classes after that, all
-  of them are compared: in small buckets pair by pair, else block by block, each text sent once for each block of its
-  cluster of buckets, so pairs exist only inside a task and only the links that join classes leave it.
+  of them are compared across classes: in small buckets pair by pair, in larger ones block by block, where only identities
+  are dealt to blocks and each block's sets meet inside a task; only the links that join classes leave it.
 * Classes come from min-label propagation with pointer jumping over tables in the shared folder; nothing but counts
-  reaches the driver.
+  reaches the driver. Every table that is joined on a hot key (words of copies, a bucket) is written before, so adaptive
+  execution can split the hot side.
 
 Defined results: class_id is the least doc_id of the class. A null, empty or wordless text is like every other wordless
-text in nothing: each is alone. Rows that share a doc_id share a class. A row without doc_id takes the class of the rows
-with its words, or null. Extra columns pass through.
+text in nothing: each is alone. A text of fewer than five words is one shingle of all its words. Rows that share a doc_id
+share a class, and repeated rows are repeated in the result. A row without doc_id takes the class of the rows with its
+words, or null. A very long text is sampled and compared whole. An empty table gives no rows. Extra columns, whatever their
+names, are not read by `near_duplicate_classes` and pass through `keep_one`; ties are broken by the least id.
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ COMMON = 64
 FLOOR = 0.75
 #: Buckets of up to so many members are compared pair by pair, larger ones in blocks of so many bytes of sets.
 SMALL_BUCKET = 8
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 _DRAWS = 1 << 16
 _PIECE = 1 << 14
 _HASH = K.U64((1 << 48) - 1)
@@ -55,6 +59,7 @@ def _cells(h: np.ndarray, d: int) -> np.ndarray:
 def document_frequency(documents: DataFrame, text_col: str, size: int = SHINGLE) -> tuple[np.ndarray, int]:
     """The count-min table of shingles over all texts, and the number of texts with words."""
 
+    @K.released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, n = np.zeros((DEPTH, WIDTH), np.int64), 0
         for batch in batches:
@@ -160,6 +165,7 @@ def sketch(documents: DataFrame, id_col: str, text_col: str, factor: np.ndarray,
     sent = documents.sparkSession.sparkContext.broadcast(factor)
     kind = documents.schema[id_col].dataType.simpleString()
 
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(bands * rows)
         c = K.coefficients(rows + bands)
@@ -188,10 +194,11 @@ def sketch(documents: DataFrame, id_col: str, text_col: str, factor: np.ndarray,
 
 
 def shingle_sets(texts: DataFrame, ids: DataFrame, factor: np.ndarray, size: int) -> DataFrame:
-    """(doc, items): the whole weighted set of each text in `ids` (doc); texts: (doc, text). Written to the shared folder."""
+    """(doc, items, size in bytes): the whole weighted set of each text in `ids` (doc); texts: (doc, text). Written to the shared folder."""
     sent = texts.sparkSession.sparkContext.broadcast(factor)
     kind = texts.schema["doc"].dataType.simpleString()
 
+    @K.released
     def to_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = K.text_buffers(batch.column("text"))
@@ -201,15 +208,16 @@ def shingle_sets(texts: DataFrame, ids: DataFrame, factor: np.ndarray, size: int
                 # 32 bits tell the shingles of two texts apart; ascending order of the hash keeps these ascending too
                 top = (h >> K.U64(16)).astype(np.uint32)
                 out += [top[a:b].tobytes() + weight[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.binary())], names=["doc", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.binary()), pa.array([len(x) for x in out], pa.int64())], names=["doc", "items", "size"])
 
-    return written(texts.join(ids, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")).mapInArrow(to_set, f"doc {kind}, items binary"), "sets")
+    return written(texts.join(ids, "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text")).mapInArrow(to_set, f"doc {kind}, items binary, size long"), "sets")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity is at least `least`."""
+    """The pairs (a, b) whose weighted Jaccard similarity is at least `least`. Many pairs may share an a: its set is added last, so no copy of it is shuffled."""
     kind = sets.schema["doc"].dataType.simpleString()
 
+    @K.released
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
@@ -217,7 +225,7 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 keep[i] = weighted_jaccard(x.as_buffer(), y.as_buffer()) >= least - 1e-9
             yield batch.filter(pa.array(keep)).select(["a", "b"])
 
-    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
+    both = pairs.join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(check, f"a {kind}, b {kind}")
 
 
@@ -225,7 +233,7 @@ def _block_links(docs: list, roots: list, side: np.ndarray, items: list, least:
     """Links between the texts of side 0 and those of side 1 (all texts, if there is but one side) that join two classes."""
     at = {c: k for k, c in enumerate(dict.fromkeys(roots))}
     parent = list(range(len(at)))
-    own = [at[c] for c in roots]
+    own = [at[c] for c in roots]  # the class of each text, by number
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -237,37 +245,47 @@ def _block_links(docs: list, roots: list, side: np.ndarray, items: list, least:
     hashes = [np.frombuffer(x, np.uint32, k) for x, k in zip(items, n, strict=True)]
     weights = [np.frombuffer(x, np.float32, k, 4 * k) for x, k in zip(items, n, strict=True)]
     total = np.array([float(w.sum(dtype=np.float64)) for w in weights])
-    two = bool(side.any())
-    right = np.flatnonzero(side == 1) if two else np.arange(len(items))
-    flat = np.concatenate([hashes[k] for k in right])
-    order = np.argsort(flat, kind="stable")
-    flat, which = flat[order], np.repeat(right, [n[k] for k in right])[order]
-    weight = np.concatenate([weights[k] for k in right])[order].astype(np.float64)
-    largest = max(set(own), key=own.count)
-    # without sides, members of the largest class need not be compared among themselves
-    left = np.flatnonzero(side == 0) if two else [k for k in range(len(items)) if own[k] != largest]
-    links = []
-    for x in left:
-        lo, hi = np.searchsorted(flat, hashes[x], "left"), np.searchsorted(flat, hashes[x], "right")
-        times = hi - lo
-        e = np.repeat(lo - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
-        shared = np.bincount(which[e], np.minimum(weight[e], np.repeat(weights[x], times)), len(items))
-        like = shared >= (least - 1e-9) * (total[x] + total - shared)
-        for y in np.flatnonzero(like & (shared > 0)):
-            p, q = find(own[x]), find(own[y])
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                links.append((docs[x], docs[y]))
+    links: list[tuple] = []
+
+    def compare(left: np.ndarray, right: np.ndarray) -> None:
+        """All of left against all of right, through the shingles of right in order."""
+        if not len(left) or not len(right):
+            return
+        flat = np.concatenate([hashes[k] for k in right])
+        order = np.argsort(flat, kind="stable")
+        flat, which = flat[order], np.repeat(right, [n[k] for k in right])[order]
+        weight = np.concatenate([weights[k] for k in right])[order].astype(np.float64)
+        for x in left:
+            lo, hi = np.searchsorted(flat, hashes[x], "left"), np.searchsorted(flat, hashes[x], "right")
+            times = hi - lo
+            e = np.repeat(lo - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+            shared = np.bincount(which[e], np.minimum(weight[e], np.repeat(weights[x], times)), len(items))
+            like = shared >= (least - 1e-9) * (total[x] + total - shared)
+            for y in np.flatnonzero(like & (shared > 0)):
+                p, q = find(own[x]), find(own[y])
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    links.append((docs[x], docs[y]))
+
+    # members of the largest class need not be compared among themselves
+    main = np.array(own) == np.bincount(own).argmax()
+    if side.any():
+        compare(np.flatnonzero((side == 0) & ~main), np.flatnonzero(side == 1))
+        compare(np.flatnonzero((side == 1) & ~main), np.flatnonzero((side == 0) & main))
+    else:
+        compare(np.flatnonzero(~main), np.arange(len(items)))
     return links
 
 
-def block_links(members: DataFrame, sets: DataFrame, least: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Links (a, b) between different classes of a cluster. members: (cluster, doc, class_id), each doc once."""
+def block_links(members: DataFrame, sets: DataFrame, least: float, block_bytes: int | None = None) -> DataFrame:
+    """Links (a, b) between different classes of a group (a bucket). members: (group, doc, class_id), each doc once a group."""
     kind = sets.schema["doc"].dataType.simpleString()
-    full = members.join(sets, "doc")
-    room = full.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("items") + 64) / F.lit(block_bytes)).cast("int").alias("n"))
-    dealt = full.join(room, "cluster").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "class_id", "items")
+    size = block_bytes or BLOCK_BYTES
+    sized = members.join(sets.select("doc", "size"), "doc")
+    # written, so that a large group can be split in the join below
+    room = written(sized.groupBy("group").agg(F.ceil(F.sum(F.col("size") + 64) / F.lit(size)).cast("int").alias("n")), "room")
+    dealt = members.join(room, "group").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "class_id").join(sets.select("doc", "items"), "doc")
 
     def meet(table: pa.Table) -> pa.Table:
         docs = table.column("doc").to_pylist()
@@ -276,7 +294,7 @@ def block_links(members: DataFrame, sets: DataFrame, least: float, block_bytes:
         links = [] if alone else _block_links(docs, table.column("class_id").to_pylist(), side, [x.as_buffer() for x in table.column("items")], least)
         return pa.table([pa.array([a for a, _ in links], table.column("doc").type), pa.array([b for _, b in links], table.column("doc").type)], names=["a", "b"])
 
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}")
+    return dealt.groupBy("group", "i", "j").applyInArrow(meet, f"a {kind}, b {kind}")
 
 
 def weighted_jaccard(x: pa.Buffer | bytes, y: pa.Buffer | bytes) -> float:
@@ -319,39 +337,42 @@ def near_duplicate_classes(
     factor = damped_idf(table, n)
     made = written(sketch(documents, id_col, text_col, factor, size, bands, rows), "sketch")
     worded = made.where("k1 is not null and doc is not null")
-    nodes = worded.groupBy("k1", "k2").agg(F.min("doc").alias("node"))
-    # rows with one id but several texts: their nodes are linked through the id
-    rep = written(worded.select("doc", "k1", "k2").join(nodes, ["k1", "k2"]).select("doc", "node").distinct(), "rep")
-    banded = made.join(nodes, ["k1", "k2"]).where("doc = node").dropDuplicates(["doc", "k1", "k2"]).select("doc", F.posexplode("band").alias("no", "bucket"))
-    met = banded.groupBy("no", "bucket").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = written(banded.join(met, ["no", "bucket"]).select("no", "bucket", "leader", "doc"), "members")
-    texts = documents.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    sets = shingle_sets(texts, members.select("doc").distinct(), factor, size)
+    # one node for all texts of the same words; map-side, so that copies are few before they meet
+    nodes = written(worded.groupBy("k1", "k2").agg(F.min("doc").alias("node"), F.first("band").alias("band")), "nodes")
+    banded = nodes.select(F.col("node").alias("doc"), F.posexplode("band").alias("no", "bucket"))
+    met = written(banded.groupBy("no", "bucket").agg(F.min("doc").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n"), "met")
+    members = written(banded.join(met, ["no", "bucket"]).select("no", "bucket", "leader", "doc").distinct(), "members")
+    own = _shared_ids(worded, nodes)
+    start = written(members.select("doc").unionByName(own.select(F.col("a").alias("doc"))).unionByName(own.select(F.col("b").alias("doc"))).distinct(), "start")
+    sets = shingle_sets(documents.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")), start, factor, size)
 
     tested = written(members.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     links = written(similar(tested, sets, similarity), "links")
-    own = rep.where("doc <> node").select(F.col("node").alias("a"), F.col("doc").alias("b"))
-    start = rep.select("doc", F.col("doc").alias("class_id")).distinct()
-    label = components(start, links.unionByName(own))
+    label = components(start.select("doc", F.col("doc").alias("class_id")), links.unionByName(own))
 
     # buckets whose members are still in several classes
-    now = members.join(label, "doc")
-    split = now.groupBy("no", "bucket").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y"), F.count("*").alias("n")).where("x <> y").select("no", "bucket", "n")
+    now = members.join(label, "doc").drop("leader")
+    split = written(now.groupBy("no", "bucket").agg(F.min("class_id").alias("x"), F.max("class_id").alias("y"), F.count("*").alias("n")).where("x <> y").select("no", "bucket", "n"), "split")
     left = written(now.join(split, ["no", "bucket"]), "left")
     few, many = left.where(F.col("n") <= SMALL_BUCKET), left.where(F.col("n") > SMALL_BUCKET)
-    pairs = _across(few).join(tested, ["a", "b"], "left_anti")
-    more = similar(pairs, sets, similarity)
-    ties = many.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-    cluster = components(written(many.select("doc", F.col("doc").alias("class_id")).distinct(), "clusters"), ties)
-    crowd = cluster.select("doc", F.col("class_id").alias("cluster")).join(label, "doc")
+    more = similar(_across(few).join(tested, ["a", "b"], "left_anti"), sets, similarity)
+    crowd = many.select(F.xxhash64("no", "bucket").alias("group"), "doc", "class_id")
     links = written(more.unionByName(block_links(crowd, sets, similarity)), "links")
     label = components(label, links)
 
-    found = label.select("doc", "class_id").distinct()
-    key_class = written(worded.select("k1", "k2", "doc").join(found, "doc").groupBy("k1", "k2").agg(F.min("class_id").alias("of_words")), "classes")
-    out = made.select("doc", "k1", "k2").join(found, "doc", "left").join(key_class, ["k1", "k2"], "left")
-    class_id = F.coalesce("class_id", "of_words", "doc")
-    return out.select(F.col("doc").alias(id_col), class_id.alias("class_id"), F.coalesce(F.col("doc") == class_id, F.lit(False)).alias("is_kept"))
+    of_words = nodes.join(label.withColumnRenamed("doc", "node"), "node", "left").select("k1", "k2", F.coalesce("class_id", "node").alias("class_id"))
+    # a row without words meets nothing
+    with_words = made.where("k1 is not null").select("doc", "k1", "k2").join(written(of_words, "classes"), ["k1", "k2"], "left")
+    out = with_words.select("doc", F.coalesce("class_id", "doc").alias("class_id")).unionByName(made.where("k1 is null").select("doc", F.col("doc").alias("class_id")))
+    return out.select(F.col("doc").alias(id_col), "class_id", F.coalesce(F.col("doc") == F.col("class_id"), F.lit(False)).alias("is_kept"))
+
+
+def _shared_ids(worded: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of rows that share an id but not their words."""
+    several = worded.groupBy("doc").agg(F.min("k1").alias("p"), F.max("k1").alias("q"), F.min("k2").alias("r"), F.max("k2").alias("s")).where("p <> q or r <> s").select("doc")
+    rows = written(worded.join(several, "doc", "left_semi").select("doc", "k1", "k2").distinct().join(nodes.drop("band"), ["k1", "k2"]).select("doc", "node"), "ids")
+    least = written(rows.groupBy("doc").agg(F.min("node").alias("a")), "ids")
+    return written(rows.join(least, "doc").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "ids")
 
 
 def _across(left: DataFrame) -> DataFrame:

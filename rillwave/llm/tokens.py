@@ -157,6 +157,11 @@ class TextEncoder:
                 lengths.append(len(ids[-1]))
         return np.concatenate(ids) if ids else np.zeros(0, self.kind), np.array(lengths, np.int64)
 
+    def encode(self, text: bytes, end: int) -> bytes:
+        """The ids of one text and the end id, as flat bytes."""
+        raw = np.frombuffer(text, np.uint8)
+        return self.encode_block(raw, np.array([0, len(raw)]), end)[0].tobytes()
+
     def _by_pieces(self, raw: np.ndarray, offs: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         w = K.Words(K.LOWER[raw], offs, K.NOT_SPACE, lower=False)
         whole = self._left_as_it_is(raw, w)

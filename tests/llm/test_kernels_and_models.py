@@ -210,6 +210,31 @@ def test_encoder_equals_the_tokenizer_on_whole_texts(text):
     assert np.frombuffer(coder.encode(text.encode(), 2), coder.kind).tolist() == want
 
 
+def test_encoder_equals_the_tokenizer_on_random_texts():
+    import random
+
+    rng = random.Random(1)
+    alphabet = [*"aAbTtHhwWyYjJiIİıſßẞéÉåÅ'’.,!?;:-_<>|=\"()sdlmrev09½ªº×÷ǅΣσς\u0338\u0331\u0300\u0301\u0307\u0308\u030a\u030c\u0340\u0345  \u2003\u200b \t\n\r\x0b\x0c\x85\x1c\x00한각가日本🙂", "<|startoftext|>", "<|STARTOFTEXT|>", "<|endoftext|>", "'re", "'LL"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(30000)]
+    raw, offs = K.text_buffers(pa.array(texts))
+    coder = tokens.TextEncoder(tokens.vocabulary_path())
+    coder.memory = tokens.PieceMemory(coder.kind, 12)  # emptied again and again
+    assert coder.by_pieces
+    for lo, hi in K.blocks(offs, 1 << 14):
+        ids, lengths = coder.encode_block(raw, offs[lo : hi + 1], 2)
+        cut = np.concatenate(([0], np.cumsum(lengths)))
+        for k, e in enumerate(coder.tokenizer.encode_batch(texts[lo:hi], add_special_tokens=False)):
+            assert ids[cut[k] : cut[k + 1]].tolist() == [*e.ids, 2], texts[lo + k]
+
+
+@pytest.mark.parametrize("text", ["The THE the", "TÜRKÇESİ.", "  two  spaces\n", "", "Don't stop!"])
+def test_a_cased_vocabulary_encodes_whole_texts(text):
+    coder = tokens.encoder(tokens.vocabulary_path("byte_bpe_50k.json"))
+    assert not coder.by_pieces
+    want = [*coder.tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    assert np.frombuffer(coder.encode(text.encode(), 2), coder.kind).tolist() == want
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
