@@ -1,21 +1,25 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts, beside exact add-0.1 unigram scores.
 
 Counting: each task counts words and pairs of its texts and sends them, packed and pre-aggregated, to hash buckets; a bucket
-merges its counts and writes a table of its words and a filter segment. A count c is held as the level 1 + floor(log_b c):
-the filter has the n-gram at every level up to its own, and reading probes level 1, 2, ... until a probe fails (Talbot and
-Osborne 2007). A segment has `BITS` bits an entry, and no word or pair is left out at any size of corpus.
+merges its counts (64 bits) and writes a table of its words and a filter segment. A count c is held as the level
+1 + floor(log_b c): the filter has the n-gram at every level up to its own, and reading probes level 1, 2, ... until a probe
+fails (Talbot and Osborne 2007). A segment has `BITS` bits an entry, and no word or pair is left out at any size of corpus.
 
-Reading: while all segments together have at most `filter_bytes`, they are broadcast. Beyond that the texts are written in
-blocks, each block sends its distinct n-grams by bucket to the segments in a shuffle, and the levels go back to the block,
-where its texts are scored. Segments and levels are the same on both paths, and so are the scores.
+Reading: while all segments have at most `filter_bytes` and the exact counts at most `table_words` entries, both are broadcast;
+every Python worker holds a copy, so the bounds are kept low. Beyond them the texts are written in blocks, each block sends its
+distinct words and pairs by bucket in one shuffle (one row a block and bucket, so no word, the end token neither, makes a
+hot key), and levels and exact counts go back to the block, where its texts are scored. Segments, levels and counts are the
+same on both ways, and so are the scores.
 
-Scoring: P(w | u) = (1 - L) P1(w) + L c(u, w) / c(u) with counts from the filter, P1 smoothed by 0.1; the end token opens
-and closes every text. The base score uses exact counts: their table is broadcast while it has at most `table_words`
-entries, and joined by shuffle beyond that.
+Scoring: P(w | u) = (1 - L) P1(w) + L max(c(u, w) - D, 0) / c(u) with counts from the filter, P1 smoothed by 0.1, D an
+absolute discount: what the corpus has once is no evidence that it recurs, what it has twice is. The end token opens and
+closes every text. The base score uses the exact counts.
 
 Defined results: a null or empty text has the end token alone; with nothing to learn from, N and V are 0 and every token has
-probability 1; a null doc_id counts as the text '' in the held-out rule. Rows are matched by id and text in the shuffled
-join, so repeated rows get equal scores.
+probability 1; a null doc_id counts as the text '' in the held-out rule; a very long text is counted and scored whole, in
+blocks of its own; repeated rows are learned from as often as they occur and get equal scores; equal counts have equal
+levels, so ties are equal scores; an empty table gives no rows. Extra columns pass through whatever their names; those named
+like a result are replaced.
 """
 
 from __future__ import annotations
@@ -28,22 +32,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .shared import crc_bucket, partitions, written
 
 BASE = 1.6
 BITS, PROBES = 8, 4
-FILTER_BYTES = 64 << 20
-TABLE_WORDS = 1 << 22
-LAMBDA = 0.5
+FILTER_BYTES = 16 << 20
+TABLE_WORDS = 1 << 20
+LAMBDA, DISCOUNT = 0.5, 0.75
 SMOOTH = 0.1
 END = K.U64(0x632BE59BD9B4E019)
 #: The filter and the pairs use the upper 44 bits of a hash: at 5 * 10^9 n-grams 0.03 % meet another, far under the filter's own errors.
 _LOW = K.U64(20)
-_FLUSH = 4 << 20
+#: Entries that a task holds before it sends them.
+_FLUSH = 3 << 19
 #: Bytes of text in a block that asks the segments.
-_SENT = 2 << 20
+_SENT = 4 << 20
+_RESULT = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
+_TAKEN = (*_RESULT.fieldNames(), "train_tokens")
 
 
 def _sequence(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,6 +74,17 @@ def _upper(h: np.ndarray) -> np.ndarray:
     return h >> _LOW << _LOW
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs, after one byte that says how many."""
+    size = next(k for k in (1, 2, 4, 8) if not len(counts) or int(counts.max()) < 1 << 8 * k)
+    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+
+
+def _wide(load: pa.Buffer | bytes) -> np.ndarray:
+    raw = memoryview(load)
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
 def _packed(h: np.ndarray) -> bytes:
     """Sorted upper parts: the first and the steps in four bytes each, or as they are where a step is too large."""
     step = np.diff(h >> _LOW)
@@ -74,7 +93,7 @@ def _packed(h: np.ndarray) -> bytes:
     return b"\1" + h[:1].tobytes() + step.astype("<u4").tobytes()
 
 
-def _unpacked(load: pa.Buffer) -> np.ndarray:
+def _unpacked(load: pa.Buffer | bytes) -> np.ndarray:
     raw = memoryview(load)
     if raw[0] == 0:
         return np.frombuffer(raw, np.uint64, offset=1)
@@ -165,44 +184,82 @@ class LogFrequencyFilter:
 
 
 @dataclass
-class Looked:
-    """Levels that were read elsewhere, of sorted n-grams."""
+class Held:
+    """The whole model in memory: all segments, and the exact counts of sorted words."""
 
-    known: np.ndarray
-    level: np.ndarray
+    segments: LogFrequencyFilter
+    words: np.ndarray
+    counts: np.ndarray
 
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        return self.level[np.searchsorted(self.known, _upper(h))]
+    def exact(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.counts[at], 0)
+
+    def word_levels(self, words: np.ndarray) -> np.ndarray:
+        return self.segments.levels(words)
+
+    def pair_levels(self, pairs: np.ndarray) -> np.ndarray:
+        return self.segments.levels(pairs)
+
+
+@dataclass
+class Answered:
+    """What the buckets have answered to one block: levels and exact counts of its sorted words, levels of its sorted pairs."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    word_level: np.ndarray
+    pairs: np.ndarray
+    pair_level: np.ndarray
+
+    def exact(self, words: np.ndarray) -> np.ndarray:
+        return self.counts[np.searchsorted(self.words, words)]
+
+    def word_levels(self, words: np.ndarray) -> np.ndarray:
+        return self.word_level[np.searchsorted(self.words, words)]
+
+    def pair_levels(self, pairs: np.ndarray) -> np.ndarray:
+        return self.pair_level[np.searchsorted(self.pairs, pairs)]
 
 
 @dataclass
 class Model:
-    """`filter` is None where it is not broadcast."""
+    """Totals of the training tokens; `filter` (with the exact counts) is None where it is too large to broadcast."""
 
-    filter: LogFrequencyFilter | Looked | None
+    filter: Held | None
     tokens: int
     words: int
 
-    def log_probabilities(self, seq: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 P of each token after the token before it."""
+    def score_texts(self, w: K.Words, found: Held | Answered) -> list[np.ndarray]:
+        """n_tokens, n_known, base score and score of each text of a block."""
+        seq, before, first = _sequence(w)
+        heads = first[:-1]
+        n = np.diff(first)
         if not self.tokens:
-            return np.zeros(len(seq))
+            return [n, np.zeros(len(n), np.int64), np.zeros(len(n)), np.zeros(len(n))]
+        whole = self.tokens + SMOOTH * (self.words + 1)
         known = K.distinct(seq)
-        single = count_of(self.filter.levels(known))
-        here, there = np.searchsorted(known, seq), np.minimum(np.searchsorted(known, before), len(known) - 1)
         # the opening end token is among the tokens, as every text ends with it
-        pair = count_of(self.filter.levels(pair_hash(before, seq)))
-        p1 = (single[here] + SMOOTH) / (self.tokens + SMOOTH * (self.words + 1))
+        here, there = np.searchsorted(known, seq), np.searchsorted(known, before)
+        exact = found.exact(known)
+        base = np.log10((exact + SMOOTH) / whole)
+        single = count_of(found.word_levels(known))
+        pair = count_of(found.pair_levels(pair_hash(before, seq)))
+        p1 = ((single + SMOOTH) / whole)[here]
         history = single[there]
-        p2 = np.where(history > 0, np.minimum(1.0, pair / np.maximum(history, pair).clip(1.0)), 0.0)
+        p2 = np.where(history > 0, np.minimum(1.0, np.maximum(pair - DISCOUNT, 0.0) / np.maximum(history, pair).clip(1.0)), 0.0)
         lam = np.where(history > 0, LAMBDA, 0.0)
-        return np.log10((1 - lam) * p1 + lam * p2)
+        score = np.log10((1 - lam) * p1 + lam * p2)
+        return [n, np.add.reduceat((exact > 0).astype(np.int64)[here], heads), np.add.reduceat(base[here], heads), np.add.reduceat(score, heads)]
 
 
 def count_ngrams(train: DataFrame, text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """One row a bucket: bucket, words, tokens, hashes and counts of its words (packed), segment of the filter."""
-    n_buckets = buckets or max(64, 2 * partitions(train.sparkSession))
+    n_buckets = buckets or max(64, 4 * partitions(train.sparkSession))
 
+    @K.released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
         size = 0
@@ -210,40 +267,34 @@ def count_ngrams(train: DataFrame, text_col: str = "text", buckets: int | None =
         def packed() -> Iterator[pa.RecordBatch]:
             for kind in range(2):
                 h, c = _merged(held[kind])
+                held[kind].clear()
                 cut = np.searchsorted(_bucket(h, n_buckets), np.arange(n_buckets + 1, dtype=np.uint64))
                 full = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(full, pa.int32()),
-                        pa.array(np.full(len(full), kind), pa.int32()),
-                        pa.array([_packed(h[cut[b] : cut[b + 1]]) if kind else h[cut[b] : cut[b + 1]].tobytes() for b in full], pa.binary()),
-                        pa.array([c[cut[b] : cut[b + 1]].astype(np.uint32).tobytes() for b in full], pa.binary()),
-                    ],
-                    names=["bucket", "kind", "hashes", "counts"],
-                )
-                held[kind].clear()
+                hashes = [_packed(h[cut[b] : cut[b + 1]]) if kind else h[cut[b] : cut[b + 1]].tobytes() for b in full]
+                counts = [_narrow(c[cut[b] : cut[b + 1]]) for b in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), kind), pa.int32()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], names=["bucket", "kind", "hashes", "counts"])
 
         for batch in batches:
             raw, offs = K.text_buffers(batch.column(0))
-            for lo, hi in K.blocks(offs, 4 << 20):
+            for lo, hi in K.blocks(offs, 2 << 20):
                 seq, before, _ = _sequence(K.Words(raw, offs[lo : hi + 1], K.NOT_SPACE))
                 for kind, h in enumerate((seq, pair_hash(before, seq))):
                     held[kind].append(K.distinct(h, counts=True))
                     size += len(held[kind][-1][0])
-            if size > _FLUSH:
-                yield from packed()
-                size = 0
+                if size > _FLUSH:
+                    yield from packed()
+                    size = 0
         if size:
             yield from packed()
 
     def merge(table: pa.Table) -> pa.Table:
         parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
         for kind, h, c in zip(table.column("kind").to_pylist(), table.column("hashes"), table.column("counts"), strict=True):
-            parts[kind].append((_unpacked(h.as_buffer()) if kind else np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.uint32).astype(np.int64)))
+            parts[kind].append((_unpacked(h.as_buffer()) if kind else np.frombuffer(h.as_buffer(), np.uint64), _wide(c.as_buffer())))
         word, count = _merged(parts[0])
         pair, times = _merged(parts[1])
         segment = build_segment(np.concatenate((word, pair)), np.concatenate((count, times)))
-        row = (table.column("bucket")[0].as_py(), len(word), int(count.sum()), word.tobytes(), count.astype("<u8").tobytes(), segment)
+        row = (table.column("bucket")[0].as_py(), len(word), int(count.sum()), word.tobytes(), _narrow(count), segment)
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         return pa.table([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["bucket", "words", "tokens", "hashes", "counts", "segment"])
 
@@ -251,44 +302,48 @@ def count_ngrams(train: DataFrame, text_col: str = "text", buckets: int | None =
     return written(sent.groupBy("bucket").applyInArrow(merge, "bucket int, words long, tokens long, hashes binary, counts binary, segment binary"), "ngrams").withColumn("buckets", F.lit(n_buckets))
 
 
-def load_model(ngrams: DataFrame, filter_bytes: int = FILTER_BYTES) -> Model:
-    """The totals, and the filter where its segments have at most filter_bytes."""
+def load_model(ngrams: DataFrame, filter_bytes: int = FILTER_BYTES, table_words: int = TABLE_WORDS) -> Model:
+    """The totals, and the filter with the exact counts where they have at most filter_bytes and table_words entries."""
     total = ngrams.agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words"), F.sum(F.length("segment")).alias("size")).first()
+    empty = np.zeros(0, np.int64)
     if total.tokens is None:
-        return Model(LogFrequencyFilter(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)), 0, 0)
-    if total.size > filter_bytes:
+        return Model(Held(LogFrequencyFilter(np.zeros(0, np.uint8), empty, empty), np.zeros(0, np.uint64), empty), 0, 0)
+    if total.size > filter_bytes or total.words > table_words:
         return Model(None, total.tokens, total.words)
-    rows = ngrams.select("bucket", "segment", "buckets").collect()  # filter_bytes at most
-    n = rows[0].buckets
-    size = np.zeros(n, np.int64)
+    rows = sorted(ngrams.select("bucket", "segment", "buckets", "hashes", "counts").collect(), key=lambda r: r.bucket)  # bounded just now
+    size = np.zeros(rows[0].buckets, np.int64)
     for r in rows:
         size[r.bucket] = len(r.segment)
-    start = np.cumsum(size) - size
-    data = np.zeros(int(size.sum()), np.uint8)
-    for r in rows:
-        data[start[r.bucket] : start[r.bucket] + size[r.bucket]] = np.frombuffer(r.segment, np.uint8)
-    return Model(LogFrequencyFilter(data, start, size * 8), total.tokens, total.words)
+    data = np.frombuffer(b"".join(r.segment for r in rows), np.uint8)
+    # buckets are ranges of hashes, so their words are in order
+    words, counts = np.concatenate([np.frombuffer(r.hashes, np.uint64) for r in rows]), np.concatenate([_wide(r.counts) for r in rows])
+    return Model(Held(LogFrequencyFilter(data, np.cumsum(size) - size, size * 8), words, counts), total.tokens, total.words)
 
 
-def _ngrams_of(column: pa.Array) -> np.ndarray:
-    """The sorted distinct words and pairs of a block of texts."""
+def _ngrams_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct words, and pairs, of a block of texts."""
     raw, offs = K.text_buffers(column)
-    parts = []
+    words, pairs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for lo, hi in K.blocks(offs):
         seq, before, _ = _sequence(K.Words(raw, offs[lo : hi + 1], K.NOT_SPACE))
-        parts += [K.distinct(_upper(seq)), K.distinct(pair_hash(before, seq))]
-    return K.distinct(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+        words.append(K.distinct(seq))
+        pairs.append(K.distinct(pair_hash(before, seq)))
+    return K.distinct(np.concatenate(words)), K.distinct(np.concatenate(pairs))
+
+
+_ASK = "block string, kind int, bucket int, load binary, words binary, counts binary"
+_ASK_KINDS = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_ASK_KINDS)], names=["block", "kind", "bucket", "load", "words", "counts"])
 
 
 def looked_up(read: DataFrame, ngrams: DataFrame, text_col: str) -> DataFrame:
-    """(block, kind, bucket, load): the texts of `read` in blocks (kind 1, an Arrow stream) after the levels of their sorted distinct n-grams, bucket by bucket (kind 0), in partitions sorted so."""
+    """The texts of `read` in blocks (kind 1; load: an Arrow stream) after the buckets' answers to their words and pairs (kind 0; load: levels of words and pairs, counts: of words), in partitions sorted so."""
     n_buckets = ngrams.select("buckets").first().buckets
-    ddl = "block string, kind int, bucket int, load binary"
-    kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary())
-
-    def made(rows: list[tuple[str, int, int, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["block", "kind", "bucket", "load"])
 
+    @K.released
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
@@ -299,7 +354,7 @@ def looked_up(read: DataFrame, ngrams: DataFrame, text_col: str) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(whole)
-            return made([(uuid.uuid4().hex, 1, -1, sink.getvalue().to_pybytes())])
+            return _rows([(uuid.uuid4().hex, 1, -1, sink.getvalue().to_pybytes(), None, None)])
 
         for batch in batches:
             _, offs = K.text_buffers(batch.column(text_col))
@@ -312,145 +367,89 @@ def looked_up(read: DataFrame, ngrams: DataFrame, text_col: str) -> DataFrame:
         if held:
             yield packed()
 
+    @K.released
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, load in zip(batch.column("block"), batch.column("load"), strict=True):
-                h = _ngrams_of(pa.ipc.open_stream(load.as_buffer()).read_all().column(text_col))
-                cut = np.searchsorted(_bucket(h, n_buckets), np.arange(n_buckets + 1, dtype=np.uint64))
-                yield made([(block.as_py(), 1, int(b), _packed(h[cut[b] : cut[b + 1]])) for b in np.flatnonzero(np.diff(cut))])
+                words, pairs = _ngrams_of(pa.ipc.open_stream(load.as_buffer()).read_all().column(text_col))
+                edges = np.arange(n_buckets + 1, dtype=np.uint64)
+                w, p = np.searchsorted(_bucket(words, n_buckets), edges), np.searchsorted(_bucket(pairs, n_buckets), edges)
+                some = np.flatnonzero(np.diff(w) + np.diff(p))
+                yield _rows([(block.as_py(), 1, int(b), _packed(pairs[p[b] : p[b + 1]]), words[w[b] : w[b + 1]].tobytes(), None) for b in some])
 
+    @K.released
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, segment = -1, b""
+        none = np.zeros(0, np.uint64)
+        nothing = Held(LogFrequencyFilter(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)), none, np.zeros(0, np.int64))
+        at, own = -1, nothing
         for batch in batches:
-            rows: list[tuple[str, int, int, bytes]] = []
-            for block, kind, bucket, load in zip(*(batch.column(c) for c in ("block", "kind", "bucket", "load")), strict=True):
+            rows: list[tuple] = []
+            for block, kind, bucket, load, words, counts in zip(*(batch.column(c) for c in ("block", "kind", "bucket", "load", "words", "counts")), strict=True):
                 b = bucket.as_py()
                 if not kind.as_py():
-                    at, segment = b, load.as_py()
+                    segment = load.as_py()
+                    one = LogFrequencyFilter(np.frombuffer(segment, np.uint8), np.zeros(1, np.int64), np.array([len(segment) * 8]))
+                    at, own = b, Held(one, np.frombuffer(words.as_py(), np.uint64), _wide(counts.as_py()))
                     continue
-                h = _unpacked(load.as_buffer())
-                level = np.zeros(len(h), np.uint8)
-                if at == b and segment:
-                    bits = len(segment) * 8
-                    one = LogFrequencyFilter(np.frombuffer(segment, np.uint8), np.zeros(1, np.int64), np.array([bits]))
-                    level = one.levels(h).astype(np.uint8)
-                rows.append((block.as_py(), 0, b, level.tobytes()))
-            yield made(rows)
-
-    blocks = written(read.mapInArrow(pack, ddl), "texts")
-    asked = blocks.mapInArrow(ask, ddl)
-    segments = ngrams.select(F.lit("").alias("block"), F.lit(0).alias("kind"), "bucket", F.col("segment").alias("load"))
-    answers = segments.unionByName(asked).repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, ddl)
-    # a task scores about sixteen blocks
-    return answers.unionByName(blocks).repartition(max(n_buckets, blocks.count() // 16), "block").sortWithinPartitions("block", "kind", "bucket")
-
-
-def exact_table(ngrams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted word hashes and counts; callers check its size first."""
-    rows = ngrams.select("bucket", "hashes", "counts").toLocalIterator()
-    parts = [(r.bucket, np.frombuffer(r.hashes, np.uint64), np.frombuffer(r.counts, "<u8")) for r in rows]
-    parts.sort(key=lambda p: p[0])
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    return np.concatenate([p[1] for p in parts]), np.minimum(np.concatenate([p[2] for p in parts]), 0xFFFFFFFF).astype(np.uint32)
+                found = own if at == b else nothing
+                asked, pairs = np.frombuffer(words.as_buffer(), np.uint64), _unpacked(load.as_buffer())
+                level = np.concatenate((found.word_levels(asked), found.pair_levels(pairs))).astype(np.uint8)
+                rows.append((block.as_py(), 0, b, level.tobytes(), None, _narrow(found.exact(asked))))
+            yield _rows(rows)
 
-
-_RESULT = "n_tokens long, n_known long, base_score double, score double"
+    blocks = written(read.mapInArrow(pack, _ASK), "texts")
+    asked = blocks.select("block", "load").mapInArrow(ask, _ASK)
+    segments = ngrams.select(F.lit("").alias("block"), F.lit(0).alias("kind"), "bucket", F.col("segment").alias("load"), F.col("hashes").alias("words"), "counts")
+    answers = segments.unionByName(asked).repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(answer, _ASK)
+    # a task scores about eight blocks
+    return answers.unionByName(blocks).repartition(max(partitions(read.sparkSession), blocks.count() // 8), "block").sortWithinPartitions("block", "kind", "bucket")
 
 
 def score_texts(documents: DataFrame, train: DataFrame, text_col: str = "text", keep: list[str] | None = None, filter_bytes: int = FILTER_BYTES, table_words: int = TABLE_WORDS) -> DataFrame:
     """Rows of `documents` (columns in `keep`, or all) with n_tokens, n_known, train_tokens, base_score and score; learned from `train`."""
     spark = documents.sparkSession
     ngrams = count_ngrams(train, text_col)
-    model = load_model(ngrams, filter_bytes)
-    n, v = model.tokens, model.words
-    bound = v <= table_words
-    sent = spark.sparkContext.broadcast((model, exact_table(ngrams) if bound else None))
-    taken = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    columns = [c for c in documents.columns if c not in taken and (keep is None or c in keep)]
-    whole = n + SMOOTH * (v + 1)
+    model = load_model(ngrams, filter_bytes, table_words)
+    n = model.tokens
+    sent = spark.sparkContext.broadcast(model)
+    columns = [c for c in documents.columns if c not in _TAKEN and (keep is None or c in keep)]
+    read = documents.select(*columns, *([] if text_col in columns else [text_col]))
+    schema = T.StructType([*(documents.schema[c] for c in columns), *_RESULT.fields])
 
+    def scored_batch(batch: pa.RecordBatch, found: Held | Answered) -> pa.RecordBatch:
+        raw, offs = K.text_buffers(batch.column(text_col))
+        parts = [sent.value.score_texts(K.Words(raw, offs[lo : hi + 1], K.NOT_SPACE), found) for lo, hi in K.blocks(offs)]
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        made = [pa.array(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0), kind) for i, kind in enumerate(kinds)]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], names=[*columns, *_RESULT.fieldNames()])
+
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, exact = sent.value
         for batch in batches:
-            yield scored_batch(batch, own, exact)
+            yield scored_batch(batch, sent.value.filter)
 
+    @K.released
     def run_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, exact = sent.value
         levels: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         for batch in batches:
-            for kind, load in zip(batch.column("kind"), batch.column("load"), strict=True):
+            for kind, load, count in zip(batch.column("kind"), batch.column("load"), batch.column("counts"), strict=True):
                 if not kind.as_py():
-                    levels.append(np.frombuffer(load.as_buffer(), np.uint8))
+                    levels.append(np.frombuffer(load.as_py(), np.uint8))
+                    counts.append(_wide(count.as_py()))
                     continue
-                for texts in pa.ipc.open_stream(load.as_buffer()).read_all().combine_chunks().to_batches():
-                    known = _ngrams_of(texts.column(text_col))
-                    yield scored_batch(texts, Model(Looked(known, np.concatenate(levels).astype(np.int64)), own.tokens, own.words), exact)
-                levels.clear()
-
-    def scored_rows(read: DataFrame, ddl: str) -> DataFrame:
-        if model.filter is not None:
-            return read.mapInArrow(run, ddl)
-        return looked_up(read, ngrams, text_col).mapInArrow(run_blocks, ddl)
-
-    def scored_batch(batch: pa.RecordBatch, own: Model, exact: tuple[np.ndarray, np.ndarray] | None) -> pa.RecordBatch:
-        raw, offs = K.text_buffers(batch.column(text_col))
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for lo, hi in K.blocks(offs):
-            w = K.Words(raw, offs[lo : hi + 1], K.NOT_SPACE)
-            seq, before, first = _sequence(w)
-            heads = first[:-1]
-            out[0].append(np.diff(first))
-            if exact is not None and len(exact[0]):
-                u = K.distinct(seq)
-                at = np.minimum(np.searchsorted(exact[0], u), len(exact[0]) - 1)
-                c = np.where(exact[0][at] == u, exact[1][at], 0).astype(np.float64)[np.searchsorted(u, seq)]
-                out[1].append(np.add.reduceat((c > 0).astype(np.int64), heads))
-                out[2].append(np.add.reduceat(np.log10((c + SMOOTH) / whole), heads))
-            else:
-                out[1].append(np.zeros(hi - lo, np.int64))
-                out[2].append(np.zeros(hi - lo) if n == 0 else np.diff(first) * np.log10(SMOOTH / whole))
-            out[3].append(np.add.reduceat(own.log_probabilities(seq, before), heads))
-        made = [pa.array(np.concatenate(x) if x else np.zeros(0), t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], names=[*columns, "n_tokens", "n_known", "base_score", "score"])
-
-    read = documents.select(*columns, *([] if text_col in columns else [text_col]))
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields if f.name in columns] + [_RESULT])
-    if bound:
-        return scored_rows(read, ddl).withColumn("train_tokens", F.lit(n).cast("long"))
-
-    # the table has no bound: distinct words of each text meet the counts in a shuffled join
-    key = F.concat_ws(":", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), F.length(text_col).cast("string"))
-    keyed = documents.withColumn("_key", key)
-    columns = [*columns, "_key"]
-    read = keyed.select(*columns, *([] if text_col in columns else [text_col]))
-    scored = written(scored_rows(read, ddl.replace(_RESULT, f"_key string, {_RESULT}")), "scored")
-
-    def explode_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offs = K.text_buffers(batch.column("text"))
-            for lo, hi in K.blocks(offs):
-                seq, _, first = _sequence(K.Words(raw, offs[lo : hi + 1], K.NOT_SPACE))
-                row = np.repeat(np.arange(hi - lo), np.diff(first))
-                order = np.lexsort((seq, row))
-                seq, row = seq[order], row[order]
-                head = np.flatnonzero(np.append(True, (seq[1:] != seq[:-1]) | (row[1:] != row[:-1])))
-                tf = np.diff(np.append(head, len(seq)))
-                keys = batch.column("_key").slice(lo, hi - lo).take(pa.array(row[head]))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(K.as_long(seq[head])), pa.array(tf, pa.int64())], names=["_key", "word", "tf"])
-
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h, c in zip(batch.column("hashes"), batch.column("counts"), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h.as_buffer(), np.int64)), pa.array(np.frombuffer(c.as_buffer(), np.int64))], names=["word", "c"])
-
-    texts = keyed.select("_key", F.col(text_col).alias("text")).groupBy("_key").agg(F.min("text").alias("text"))
-    words = texts.mapInArrow(explode_texts, "_key string, word long, tf long")
-    counts = ngrams.select("hashes", "counts").mapInArrow(unpack, "word long, c long")
-    met = words.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    sums = met.groupBy("_key").agg(F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("_known"), F.sum(F.col("tf") * F.log10((F.col("c") + SMOOTH) / F.lit(whole))).alias("_base"))
-    out = scored.drop("n_known", "base_score").join(sums, "_key").withColumnsRenamed({"_known": "n_known", "_base": "base_score"})
-    return out.drop("_key").withColumn("train_tokens", F.lit(n).cast("long"))
+                texts = pa.ipc.open_stream(load.as_buffer()).read_all().combine_chunks()
+                words, pairs = _ngrams_of(texts.column(text_col))
+                cut = [len(c) for c in counts]  # a bucket answers for its words, then for its pairs
+                word_level = np.concatenate([x[:k] for x, k in zip(levels, cut, strict=True)])
+                pair_level = np.concatenate([x[k:] for x, k in zip(levels, cut, strict=True)])
+                found = Answered(words, np.concatenate(counts), word_level, pairs, pair_level)
+                levels, counts = [], []
+                for part in texts.to_batches():
+                    yield scored_batch(part, found)
+
+    made = read.mapInArrow(run, schema) if model.filter is not None else looked_up(read, ngrams, text_col).mapInArrow(run_blocks, schema)
+    return made.withColumn("train_tokens", F.lit(n).cast("long"))
 
 
 def split(documents: DataFrame, modulus: int = 10, held_out: int = 0, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:

@@ -183,6 +183,45 @@ def test_language_model_keeps_every_pair_beyond_the_broadcast(spark, docs, empty
     assert lm.score_texts(empty, train, filter_bytes=1).count() == 0
 
 
+def test_language_model_scores_against_brute_force(monkeypatch):
+    """The model written out with plain dictionaries; the filter is made so wide that it has no false positives here."""
+    train_rows = [(i, t) for i, t, *_ in rows() if t != "x" * 300000][:12] + [(50 + i, "the the the of the and of, the") for i in range(3)]
+    toks = [[w.translate(LOW) for w in words(t)] + ["\0"] for _, t in train_rows]
+    single = Counter(w for t in toks for w in t)
+    double = Counter(p for t in toks for p in zip(["\0", *t[:-1]], t, strict=True))
+
+    def held(c):
+        level = 1 + math.floor(math.log(c) / math.log(lm.BASE) + 1e-9) if c else 0
+        own = [k for k in range(1, 2 * c + 2) if 1 + math.floor(math.log(k) / math.log(lm.BASE) + 1e-9) == level]
+        return (own[0] + own[-1]) / 2 if c else 0.0
+
+    n, v = sum(single.values()), len(single)
+
+    def score(t):
+        out, before = 0.0, "\0"
+        for w in [*[x.translate(LOW) for x in words(t)], "\0"]:
+            p = (held(single[w]) + lm.SMOOTH) / (n + lm.SMOOTH * (v + 1))
+            h, pair = held(single[before]), held(double[before, w])
+            if h:
+                p = (1 - lm.LAMBDA) * p + lm.LAMBDA * min(1.0, max(0.0, pair - lm.DISCOUNT) / max(h, pair, 1.0))
+            out, before = out + math.log10(p), w
+        return out
+
+    asked = [(1, "the of the and"), (2, None), (3, body(1)), (4, body(444)), (5, "of, the the the the"), (6, body(1)[:200])]
+    monkeypatch.setattr(lm, "BITS", 4096)
+    import pyarrow as pa
+
+    from rillwave.llm import kernels as K
+
+    block = lambda texts: K.Words(*K.text_buffers(pa.array(texts)), K.NOT_SPACE)
+    seq, before, _ = lm._sequence(block([t for _, t in train_rows]))
+    (word, count), (pair, times) = K.distinct(seq, counts=True), K.distinct(lm.pair_hash(before, seq), counts=True)
+    data = np.frombuffer(lm.build_segment(np.concatenate((word, pair)), np.concatenate((count, times))), np.uint8)
+    model = lm.Model(lm.Held(lm.LogFrequencyFilter(data, np.zeros(1, np.int64), np.array([8 * len(data)])), word, count), n, v)
+    got = model.score_texts(block([t for _, t in asked]), model.filter)[3]
+    assert got.tolist() == pytest.approx([score(t) for _, t in asked], abs=1e-9)
+
+
 def test_decontamination_against_brute_force(spark, docs, empty):
     text = rows()[4][1]
     passage = " ".join(text.split()[20:45])
