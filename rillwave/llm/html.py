@@ -6,16 +6,23 @@ totals LCb and Cb its density is
     C/T * log base ln(C/nLC * LC + LCb/Cb * C + e) of (C/LC * T/LT)        (nLC: characters outside links, empty counts as 1)
 
 and its density sum is the sum of its children's densities. The node with the greatest density sum is the content; the
-least density on its path to the body is the threshold, and the part outside the content whose density reaches the
-threshold is content too. Elements that never hold article text (scripts, menus, forms, notices, comments and the like, by
-name, or by a whole token of class, id or role or its leading piece) are taken out first and carry no characters; one that
-only class, id or role call so stays if it holds an article or main, or most of the body's characters.
+least density on its path to the body is the threshold, and every other part of the body whose density reaches the threshold
+adds its own node of the greatest density sum, in page order. Where the densest node stands in an <article> or <main>, the
+rest of that element is content as well.
+
+Two kinds of elements carry no characters and are never content. Elements that by their name are no article text: scripts,
+menus, headers, footers, asides, forms and the like. And elements that a word of class, id or role calls an advert, a
+notice, comments, a sidebar or the like (`NOISE_WORDS`; as a whole token or its leading piece), if their form agrees, as a word
+alone takes nothing out: a container that holds no article or main, and at most `MOST_SHARE` of the body's characters where the page has none, or a
+line of text (paragraph, heading, item, cell, span) half of whose characters are links.
 
 The text of the content: character references decoded, white space in a block made one space, blocks trimmed and joined by
-one newline in page order; <br> is white space.
+one newline in page order; <br> is white space. Other control characters, NUL too, stay.
 
 Defined results: null, empty or textless html gives the empty text; unclosed, stray and misnested tags are repaired as browsers
-do for p, li, table cells and the like; a cut-off tag at the end is no text; depth is not limited by the Python stack.
+do for p, li, table cells and the like; a cut-off tag at the end is no text; neither depth nor length is limited; of nodes
+with equal density sums the first in page order is taken; repeated rows give equal results; an empty table gives no rows;
+extra columns pass through, and those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +35,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import kernels as K
+
 # Fixed lists of HTML's own element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
@@ -57,8 +66,11 @@ NOISE_WORDS = frozenset(
 TOPICS = frozenset("legal social search alert notice".split())
 #: Elements that are the article however their class is called.
 HOLDERS = frozenset("html body article main".split())
+#: Elements that hold a line of text rather than a part of the page.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figcaption caption summary legend span a b i em strong u s small mark q cite code time label font sub sup abbr address".split())
+MOST_SHARE = 0.75
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)(?:>|\Z)", re.S)
-_MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 
 
@@ -85,15 +97,7 @@ def _is_noise(name: str, attributes: str) -> tuple[bool, bool]:
         return True, False
     if not attributes or name in HOLDERS:
         return False, False
-    doubt = False
-    for key, a, b, c in _MARK.findall(attributes):
-        value = (a or b or c).lower()
-        if key.lower() == "aria-hidden":
-            if value == "true":
-                return True, False
-        elif key.lower() != "hidden" and any(_noise_token(t) for t in value.split()):
-            doubt = True
-    return bool(re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes, re.I)), doubt
+    return False, any(_noise_token(t) for _, a, b, c in _MARK.findall(attributes) for t in (a or b or c).lower().split())
 
 
 def parse(page: str) -> Node:
@@ -161,19 +165,30 @@ def _walk(root: Node) -> list[Node]:
 
 
 def _settle(root: Node) -> None:
-    """Elements that class, id or role call noise are taken out unless they hold an article or main, or most of the body's characters."""
+    """Elements that class, id or role call noise are taken out where their form agrees."""
     order = _walk(root)
     if not any(n.doubt for n in order):
         return
     chars: dict[int, int] = {}
+    linked: dict[int, int] = {}
     holds: set[int] = set()
     for node in reversed(order):
-        chars[id(node)] = sum(len(_SPACE.sub(" ", x).strip()) if isinstance(x, str) else chars.get(id(x), 0) for x in node.items)
+        own, parts = sum(_length(x) for x in node.items if isinstance(x, str)), [id(x) for x in node.items if isinstance(x, Node) and id(x) in chars]
+        chars[id(node)] = own + sum(chars[k] for k in parts)
+        linked[id(node)] = chars[id(node)] if node.name == "a" else sum(linked[k] for k in parts)
         if node.parent is not None and (node.name in ("article", "main") or id(node) in holds):
             holds.add(id(node.parent))
     body = next((n for n in order if n.name == "body"), root)
+    room = chars[id(body)] * (1.0 if holds else MOST_SHARE)
     for node in order:
-        node.noise = node.noise or node.doubt and id(node) not in holds and chars[id(node)] * 2 <= chars[id(body)]
+        if node.doubt and node.name in LINES:
+            node.noise = linked[id(node)] * 2 >= chars[id(node)]
+        elif node.doubt:
+            node.noise = id(node) not in holds and chars[id(node)] <= room
+
+
+def _length(text: str) -> int:
+    return len(_SPACE.sub(" ", text).strip())
 
 
 def densities(root: Node) -> list[Node]:
@@ -183,7 +198,7 @@ def densities(root: Node) -> list[Node]:
     for node in reversed(order):
         for x in node.items:
             if isinstance(x, str):
-                node.C += len(_SPACE.sub(" ", x).strip())
+                node.C += _length(x)
             elif not x.noise:
                 node.C += x.C
                 node.T += x.T + 1
@@ -208,7 +223,7 @@ def _blocks(node: Node) -> Iterator[str]:
     stack: list[tuple[Node | str, bool]] = [(node, False)]
 
     def ended() -> str:
-        text = _SPACE.sub(" ", entities.unescape("".join(current)).replace("\x00", "")).strip()
+        text = _SPACE.sub(" ", entities.unescape("".join(current))).strip()
         current.clear()
         return text
 
@@ -245,13 +260,13 @@ def main_text(page: str | None) -> str:
     best = max(full, key=lambda n: n.total)
     if not best.total:
         best = next((n for n in full if n.name == "body"), full[0])
-    # a page that names its article has said what holds it
-    named = [n for n in full if n.name in ("article", "main")]
-    holder = next((n for n in named if _within(best, n)), None)
-    if holder is None and len(named) == 1 and _within(named[0], best):
-        holder = named[0]
-    chosen = holder or best
-    threshold, up = chosen.density, chosen
+    # the densest node says which article is meant; that article is content as a whole
+    chosen, up = best, best
+    while up is not None:
+        if up.name in ("article", "main"):
+            chosen = up
+        up = up.parent
+    threshold, up = best.density, best
     while up is not None and up.name != "body":
         threshold = min(threshold, up.density)
         up = up.parent
@@ -277,20 +292,13 @@ def main_text(page: str | None) -> str:
     return "\n".join(b for n in picked for b in _blocks(n))
 
 
-def _within(node: Node | None, holder: Node) -> bool:
-    while node is not None:
-        if node is holder:
-            return True
-        node = node.parent
-    return False
-
-
 def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Rows of `pages` (columns in `keep`, or all but the html) with text and n_chars (code points)."""
     columns = [c for c in pages.columns if c not in ("text", "n_chars", html_col) and (keep is None or c in keep)]
     fields = [f for f in pages.schema.fields if f.name in columns]
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["text string, n_chars long"])
 
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x.as_py()) for x in batch.column(html_col)]

@@ -41,7 +41,7 @@ BASE = 1.6
 BITS, PROBES = 8, 4
 FILTER_BYTES = 16 << 20
 TABLE_WORDS = 1 << 20
-LAMBDA, DISCOUNT = 0.5, 0.75
+LAMBDA, DISCOUNT = 0.5, 0.9
 SMOOTH = 0.1
 END = K.U64(0x632BE59BD9B4E019)
 #: The filter and the pairs use the upper 44 bits of a hash: at 5 * 10^9 n-grams 0.03 % meet another, far under the filter's own errors.

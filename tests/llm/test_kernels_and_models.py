@@ -276,3 +276,74 @@ def test_html_class_words_do_not_take_out_the_page(name):
     assert html.main_text(f'<body><div class="{name}">{inner}</div>{noise}</body>').split("\n") == text
     assert html.main_text(f'<body><div class="{name}"><article>{inner}</article></div>{noise}</body>').split("\n") == text
     assert html.main_text(f'<body><ul><li><a href=x>one link</a><li><a href=y>other link</a></ul><div class="legal-news">{inner}</div><div class="other">{inner * 3}</div>{noise}</body>').split("\n") == text * 4
+
+
+_PROSE = "It was a long sentence of ordinary prose, with a clause or two and a number of words that no menu would ever hold."
+
+
+@pytest.mark.parametrize("mark", ["class=legal", "id=search", "class='alert-note'", "class=comment", "id=header-1", "class='social share'", "hidden", "aria-hidden=true"])
+def test_no_paragraph_leaves_for_a_word_of_its_class(mark):
+    page = f"<body><nav><a href=x>menu</a></nav><div><p>{_PROSE} 1</p><p {mark}>{_PROSE} 2</p><p>{_PROSE} 3</p></div><div class=ad>Buy it now, and buy it here.</div><footer>f</footer></body>"
+    assert html.main_text(page) == "\n".join(f"{_PROSE} {i}" for i in (1, 2, 3))
+
+
+def test_nul_and_wrappers_stay():
+    assert html.main_text("<p>a\x00b") == "a\x00b"
+    page = f"<body><div class='header-wrap'><div class=content>{f'<p>{_PROSE}</p>' * 4}</div></div><div class=comments><p>Nice!</p></div></body>"
+    assert html.main_text(page) == "\n".join([_PROSE] * 4)
+    page = f"<body><div class=ad>{_PROSE * 9}</div><article><p>One.</p></article></body>"
+    assert html.main_text(page) == "One."
+
+
+def test_densities_and_choice_against_a_plain_definition():
+    """Random well-formed pages: the formula written out by recursion over nested lists, and the choice by its definition."""
+    import math
+    import random
+
+    rng = random.Random(3)
+
+    def made(depth):
+        name = rng.choice(["div", "section", "p", "ul", "b", "a"] if depth else ["div"])
+        if name in ("p", "b", "a") or depth > 4:
+            return [name if name in ("p", "b", "a") else "p", "w" * rng.randint(1, 90)]
+        return [name, *(made(depth + 1) for _ in range(rng.randint(1, 4)))]
+
+    def render(x):
+        return x if isinstance(x, str) else f"<{x[0]}>{''.join(map(render, x[1:]))}</{x[0]}>"
+
+    def count(x):
+        """C, T, LC, LT"""
+        if isinstance(x, str):
+            return len(x), 0, 0, 0
+        parts = [count(y) for y in x[1:]]
+        c, t, lc, lt = (sum(p[i] for p in parts) for i in range(4))
+        t += sum(not isinstance(y, str) for y in x[1:])
+        lt += sum(not isinstance(y, str) and y[0] == "a" for y in x[1:])
+        return c, t, c if x[0] == "a" else lc, lt
+
+    for _ in range(200):
+        body = ["body", *(made(1) for _ in range(3))]
+        cb, _, lcb, _ = count(body)
+
+        def density(x):
+            c, t, lc, lt = (max(1, v) for v in count(x))
+            outside = max(1, count(x)[0] - count(x)[2])
+            return c / t * math.log(max(1.0, c / lc * t / lt)) / math.log(math.log(c / outside * lc + lcb / max(1, cb) * c + math.e))
+
+        flat = []
+
+        def walk(x, flat=flat, density=density):
+            flat.append((x[0], density(x), sum(density(y) for y in x[1:] if not isinstance(y, str))))
+            for y in x[1:]:
+                if not isinstance(y, str):
+                    walk(y)
+
+        walk(body)
+        order = html.densities(html.parse(render(body)))[1:]
+        assert [n.name for n in order] == [n for n, _, _ in flat]
+        assert [n.density for n in order] == pytest.approx([d for _, d, _ in flat])
+        assert [n.total for n in order] == pytest.approx([t for _, _, t in flat])
+        # the maximum-sum subtree is part of the text as a whole
+        best = max(range(len(flat)), key=lambda i: flat[i][2])
+        text = html.main_text(render(body))
+        assert "\n".join(html._blocks(order[best])) in text
