@@ -5,12 +5,16 @@ block, a length class, and its end (question, sentence, other); given the state
 emission counts come from labelled rows by two aggregations; without labels the priors let markers decide.
 
 Viterbi decoding is a product of max-plus matrices, which is associative, so a transcript of any length is cut into blocks
-of lines, numbered in the total order of all rows, whatever their turns: each block gives the matrix of best scores from entry to exit state, one small row a block is chained into entry
-and exit states, and each block is then decoded alone between them. No task holds a whole conversation's lines.
-
-Defined results: rows are keyed by conversation, turn and text, so equal rows get equal results and ties in turn are ordered
-by a hash of the text; a null conversation is one conversation, a null turn comes first; a null or empty text is one empty
-line; roles outside `ROLES` are not learned from; equal scores take the state listed first.
+of lines, numbered in the total order of all rows, whatever their turns: each block gives the matrix of best scores from
+entry to exit state, the matrices are chained into entry and exit states, and each block is then decoded alone between
+them. Where a conversation has more than `CHAIN` blocks, so many matrices are first folded into one, level by level, and the
+states are handed down again: no task holds more than `LINES` lines or `CHAIN` matrices of a conversation.
+
+Defined results: rows are keyed by conversation, turn and text, so repeated rows get equal results, and ties in turn are
+ordered by a hash of the text; a null conversation is one conversation, a null turn comes first; a null or empty text is one
+empty line; a very long text is as many lines as it has, in as many blocks; roles outside `ROLES` are not learned from, and
+without labels the priors decide; equal scores take the state listed first; an empty table gives no rows. Extra columns pass
+through whatever their names; those named like a result (segment, said, rendered) are replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from .shared import crc_bucket, partitions, written
 ROLES = ("system", "user", "assistant")
 STATES = [(r, b) for r in range(len(ROLES)) for b in (0, 1)]  # (role, 1 if inside)
 LINES = 256
+#: Matrices that one task chains.
+CHAIN = 4096
 #: Fixed words that mark a speaker at the start of a line.
 MARKERS = (r"system|sys", r"user|human|customer|client|question|me|q", r"assistant|ai|bot|agent|answer|support|model|a")
 _MARKER = r"(?i)^\s*(?:[#>*\[(<|_-]*\s*)(" + "|".join(MARKERS) + r")\s*(?:[\])>|*_]*)\s*:+[*_]*\s*"
@@ -59,15 +65,16 @@ def _lines(turns: DataFrame, *keep: str) -> DataFrame:
 
 
 def _keyed(turns: DataFrame, conv_col: str, turn_col: str, text_col: str, role_col: str | None) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    role = F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col(role_col)).cast("int") - 1 if role_col else F.lit(None).cast("int")
-    key = F.coalesce(F.concat(F.lit("c"), F.col(conv_col).cast("string")), F.lit("n"))
-    return turns.withColumns({"_ckey": key, "_turn": F.coalesce(F.col(turn_col).cast("long"), F.lit(-1)), "_thash": F.xxhash64(text), "_text": text, "_role": role})
+    """(ckey, turn, thash, text, role, row): the keys of each row, and the row as one struct, so that no name of its columns can meet ours."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    role = F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col(f"`{role_col}`")).cast("int") - 1 if role_col else F.lit(None).cast("int")
+    key = F.coalesce(F.concat(F.lit("c"), F.col(f"`{conv_col}`").cast("string")), F.lit("n"))
+    row = F.struct(*[F.col(f"`{c}`") for c in turns.columns])
+    return turns.select(key.alias("ckey"), F.coalesce(F.col(f"`{turn_col}`").cast("long"), F.lit(-1)).alias("turn"), F.xxhash64(text).alias("thash"), text.alias("text"), role.alias("role"), row.alias("row"))
 
 
 def _narrow(keyed: DataFrame) -> DataFrame:
-    picked = keyed.select(F.col("_ckey").alias("ckey"), F.col("_turn").alias("turn"), F.col("_thash").alias("thash"), F.col("_text").alias("text"), F.col("_role").alias("role"))
-    return picked.groupBy("ckey", "turn", "thash").agg(F.min("text").alias("text"), F.min("role").alias("role"))
+    return keyed.groupBy("ckey", "turn", "thash").agg(F.min("text").alias("text"), F.min("role").alias("role"))
 
 
 class Model:
@@ -184,27 +191,65 @@ def best_path(model: Model, show: np.ndarray, entry: int, leave: int) -> list[in
     return path[::-1]
 
 
-def chain(start: np.ndarray, matrices: np.ndarray) -> list[tuple[int, int]]:
-    """(entry, exit) state of each block; matrices[0] is taken from the start distribution."""
+def chain(start: np.ndarray, matrices: np.ndarray, entry: int = -1, leave: int | None = None) -> list[tuple[int, int]]:
+    """(entry, exit) state of each block, between the states before the first and at the end of the last; `start` has the scores of the first block's exits, entry -1 means the start distribution."""
     alpha = [start]
     for m in matrices[1:]:
         alpha.append((alpha[-1][:, None] + m).max(0))
-    leave = int(alpha[-1].argmax())
+    leave = int(alpha[-1].argmax()) if leave is None else leave
     out = []
     for k in range(len(matrices) - 1, 0, -1):
-        entry = int((alpha[k - 1] + matrices[k][:, leave]).argmax())
-        out.append((entry, leave))
-        leave = entry
-    out.append((-1, leave))
+        before = int((alpha[k - 1] + matrices[k][:, leave]).argmax())
+        out.append((before, leave))
+        leave = before
+    out.append((entry, leave))
     return out[::-1]
 
 
+def _matrices(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks' matrices in order, and the first block's exits from the start."""
+    k = len(STATES)
+    return np.stack([np.frombuffer(x.as_buffer(), float).reshape(k, k) for x in table.column("inner")]), np.frombuffer(table.column("first")[0].as_buffer(), float)
+
+
+def block_ends(blocks: DataFrame, most: int | None = None) -> DataFrame:
+    """(ckey, part, entry, leave) of each block. blocks: (ckey, part, inner, first), the parts of a conversation following each other."""
+    most = most or CHAIN
+    ends = "ckey string, part long, entry int, leave int"
+
+    def chained(table: pa.Table) -> pa.Table:
+        table = table.sort_by("part")
+        inner, first = _matrices(table)
+        if "entry" in table.column_names:
+            entry, leave = table.column("entry")[0].as_py(), table.column("leave")[0].as_py()
+            found = chain(first if entry < 0 else inner[0][entry], inner, entry, leave)
+        else:
+            found = chain(first, inner)
+        return pa.table([table.column("ckey"), table.column("part"), pa.array([a for a, _ in found], pa.int32()), pa.array([b for _, b in found], pa.int32())], names=["ckey", "part", "entry", "leave"])
+
+    def folded(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(tables)).sort_by("part")
+        inner, opened = _matrices(table)
+        whole = inner[0]
+        for m in inner[1:]:
+            whole = (whole[:, :, None] + m[None]).max(1)
+            opened = (opened[:, None] + m).max(0)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.int64()), pa.array([whole.tobytes()], pa.binary()), pa.array([opened.tobytes()], pa.binary())], names=["ckey", "part", "inner", "first"])
+
+    longest = blocks.groupBy("ckey").count().agg(F.max("count")).first()[0]
+    if longest is None or longest <= most:
+        return blocks.groupBy("ckey").applyInArrow(chained, ends)
+    dealt = blocks.withColumn("outer", F.floor(F.col("part") / most).cast("long"))
+    above = written(dealt.groupBy("ckey", "outer").applyInArrow(folded, "ckey string, part long, inner binary, first binary"), "folded")
+    states = written(block_ends(above, most).withColumnRenamed("part", "outer"), "outer")
+    return dealt.join(states, ["ckey", "outer"]).groupBy("ckey", "outer").applyInArrow(chained, ends)
+
+
 def recover_roles(narrow: DataFrame, model: Model, size: int = LINES) -> DataFrame:
     """(ckey, turn, thash, segment, said, from_line, n_lines): runs of one role in each row, by Viterbi over the conversation."""
     spark = narrow.sparkSession
     sent = spark.sparkContext.broadcast(model)
     n = partitions(spark)
-    k = len(STATES)
     numbered = with_global_sums(narrow.withColumn("_n", F.size(F.split("text", "\n", -1))), [F.col("ckey"), F.col("turn"), F.col("thash")], {"_to": F.col("_n")})
     place = F.col("_to") - F.col("_n") + F.col("line")
     cut = F.floor((F.col("_to") - F.col("_n")) / size) != F.floor((F.col("_to") - 1) / size)
@@ -231,12 +276,6 @@ def recover_roles(narrow: DataFrame, model: Model, size: int = LINES) -> DataFra
                 yield batch()
         yield batch()
 
-    def chained(table: pa.Table) -> pa.Table:
-        table = table.sort_by("part")
-        inner = np.stack([np.frombuffer(x.as_buffer(), float).reshape(k, k) for x in table.column("inner")])
-        ends = chain(np.frombuffer(table.column("first")[0].as_buffer(), float), inner)
-        return pa.table([table.column("ckey"), table.column("part"), pa.array([a for a, _ in ends], pa.int32()), pa.array([b for _, b in ends], pa.int32())], names=["ckey", "part", "entry", "leave"])
-
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         rows: list[tuple] = []
@@ -268,8 +307,8 @@ def recover_roles(narrow: DataFrame, model: Model, size: int = LINES) -> DataFra
     # one row of a few hundred bytes for each `size` lines
     several = blocks.groupBy("ckey").agg(F.count("*").alias("n"))
     ends = blocks.join(several, "ckey")
-    alone = ends.where("n = 1").mapInArrow(_single(k), "ckey string, part long, entry int, leave int")
-    linked = ends.where("n > 1").drop("n").groupBy("ckey").applyInArrow(chained, "ckey string, part long, entry int, leave int")
+    alone = ends.where("n = 1").mapInArrow(_single, "ckey string, part long, entry int, leave int")
+    linked = block_ends(ends.where("n > 1").drop("n"))
     ready = dealt.join(written(alone.unionByName(linked), "ends"), ["ckey", "part"])
     ready = ready.repartition(n, "ckey", "part").sortWithinPartitions("ckey", "part", "turn", "thash", "line")
     found = written(ready.mapInArrow(decode, "ckey string, turn long, thash long, segment int, said int, from_line int, n_lines int, cut boolean"), "found")
@@ -281,15 +320,11 @@ def recover_roles(narrow: DataFrame, model: Model, size: int = LINES) -> DataFra
     return found.where("not cut").drop("cut").unionByName(met)
 
 
-def _single(k: int):  # noqa: ANN202
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exit states of conversations of one block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            leave = [int(np.frombuffer(x.as_buffer(), float).argmax()) for x in batch.column("first")]
-            yield pa.RecordBatch.from_arrays([batch.column("ckey"), batch.column("part"), pa.array([-1] * len(leave), pa.int32()), pa.array(leave, pa.int32())], names=["ckey", "part", "entry", "leave"])
-
-    return run
+    for batch in batches:
+        leave = [int(np.frombuffer(x.as_buffer(), float).argmax()) for x in batch.column("first")]
+        yield pa.RecordBatch.from_arrays([batch.column("ckey"), batch.column("part"), pa.array([-1] * len(leave), pa.int32()), pa.array(leave, pa.int32())], names=["ckey", "part", "entry", "leave"])
 
 
 def render(role: Column, text: Column) -> Column:
@@ -301,13 +336,13 @@ def render(role: Column, text: Column) -> Column:
 def parse_transcripts(turns: DataFrame, model: Model, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", block_turns: int = LINES) -> DataFrame:
     """All columns of `turns` with segment, said (the recovered role) and rendered; a row that holds several speakers is several rows."""
     keyed = _keyed(turns, conv_col, turn_col, text_col, None)
-    found = recover_roles(_narrow(keyed), model, block_turns)
-    keys = {"ckey": "_ckey", "turn": "_turn", "thash": "_thash", "segment": "_segment", "said": "_said", "from_line": "_from_line", "n_lines": "_n_lines"}
-    joined = keyed.join(found.withColumnsRenamed(keys), ["_ckey", "_turn", "_thash"])
-    role = F.element_at(F.array(*[F.lit(r) for r in ROLES]), F.col("_said") + 1)
-    part = F.array_join(F.slice(F.split("_text", "\n", -1), F.col("_from_line") + 1, F.col("_n_lines")), "\n")
-    made = {"segment": F.col("_segment"), "said": role, "rendered": render(role, part)}
-    return joined.withColumns(made).select(*[c for c in turns.columns if c not in made], *made)
+    # written, so that a row repeated very often can be split in the join
+    found = written(recover_roles(_narrow(keyed), model, block_turns), "roles")
+    joined = keyed.drop("role").join(found, ["ckey", "turn", "thash"])
+    role = F.element_at(F.array(*[F.lit(r) for r in ROLES]), F.col("said") + 1)
+    part = F.array_join(F.slice(F.split("text", "\n", -1), F.col("from_line") + 1, F.col("n_lines")), "\n")
+    made = {"segment": F.col("segment"), "said": role, "rendered": render(role, part)}
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in turns.columns if c not in made], *[v.alias(k) for k, v in made.items()])
 
 
 def training_rows(turns: DataFrame, conv_col: str = "conv_id", modulus: int = 5, held_out: int = 0) -> DataFrame:

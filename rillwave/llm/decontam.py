@@ -11,7 +11,9 @@ and the blocks' results are merged by key, so no item is dropped at any size. To
 entry for each distinct window, whatever the number of items that hold it.
 
 Defined results: a null or empty text has no words; a null or empty item has no window; equal items all count; items with a
-null item_id are left out; extra columns pass through, and those named like a result are replaced.
+null item_id are left out; a very long text is one row of a block of its own and scanned whole; repeated rows get equal
+results; of equally rare tokens of a window the first is its prefix; an empty table gives no rows, and an empty benchmark no
+hits; extra columns pass through whatever their names, and those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -53,6 +55,7 @@ def _tokens(h: np.ndarray) -> np.ndarray:
 def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """Distinct windows: words (joined by a space), hashes (8 bytes a word), items (sorted ids as text)."""
 
+    @K.released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = K.text_buffers(batch.column("_text"))
@@ -93,6 +96,7 @@ def token_counts(documents: DataFrame, text_col: str, keys: np.ndarray) -> np.nd
     """How often each of the sorted two-word tokens occurs in all documents."""
     sent = documents.sparkSession.sparkContext.broadcast(keys)
 
+    @K.released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         bits, total = _bitmap(own), np.zeros(len(own), np.int64)
@@ -193,6 +197,7 @@ def _scan(documents: DataFrame, text_col: str, columns: list[str], index: Index,
     extra = T.StructType.fromDDL("_n bigint, _from array<bigint>, _to array<bigint>, _items array<string>") if spans else RESULT
     read = documents.select(*columns, *([] if text_col in columns else [text_col]))
 
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         bits = [_bitmap(k) for k in own.keys]
@@ -231,11 +236,15 @@ def _scan(documents: DataFrame, text_col: str, columns: list[str], index: Index,
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", keep: list[str] | None = None, window: int = WINDOW, index_bytes: int = INDEX_BYTES, result_prefix: str = "") -> DataFrame:
     """The rows of `documents` (all columns, or those in `keep`) with n_words, n_hit, n_items, items_sha256 and contaminated."""
-    if result_prefix:
-        found = decontaminate(documents.withColumnsRenamed({c: f"{c}__own" for c in documents.columns if c in RESULT.fieldNames()}), benchmark, text_col, None, window, index_bytes)
-        found = found.withColumnsRenamed({c: result_prefix + c for c in RESULT.fieldNames()})
-        return found.withColumnsRenamed({f"{c}__own": c for c in documents.columns if c in RESULT.fieldNames()})
-    columns = [c for c in documents.columns if c not in RESULT.fieldNames() and (keep is None or c in keep)]
+    given = documents.columns
+    columns = [f"c{i}" for i, c in enumerate(given) if c not in [result_prefix + r for r in RESULT.fieldNames()] and (keep is None or c in keep)]
+    # columns go by number inside, so that no name of theirs can meet ours
+    found = _found(documents.toDF(*[f"c{i}" for i in range(len(given))]), f"c{given.index(text_col)}", columns, benchmark, window, index_bytes)
+    return found.select(*[F.col(c).alias(given[int(c[1:])]) for c in columns], *[F.col(r).alias(result_prefix + r) for r in RESULT.fieldNames()])
+
+
+def _found(documents: DataFrame, text_col: str, columns: list[str], benchmark: DataFrame, window: int, index_bytes: int) -> DataFrame:
+    """The given columns of `documents` with the results."""
     wins = written(windows(benchmark, size=window), "windows")
     room = wins.agg(F.coalesce(F.sum(F.octet_length("words") + 3 * F.octet_length("hashes") + 32 * F.size("items") + 100), F.lit(0)).alias("b")).first().b
     n_blocks = max(1, -(-int(room) // index_bytes))
@@ -252,12 +261,12 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "t
         return _scan(documents, text_col, columns, index_of(0), spans=False)
 
     digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    keyed = documents.select(text_col, digest.alias("_key"))
+    keyed = documents.select(text_col, digest.alias("key"))
     found = None
     for block in range(n_blocks):
-        hits = written(_scan(keyed, text_col, ["_key"], index_of(block), spans=True).dropDuplicates(["_key"]), "hits")
+        hits = written(_scan(keyed, text_col, ["key"], index_of(block), spans=True).dropDuplicates(["key"]), "hits")
         found = hits if found is None else found.unionByName(hits)
-    merged = found.groupBy("_key").agg(
+    merged = found.groupBy("key").agg(
         F.max("_n").alias("_n"),
         F.array_sort(F.flatten(F.collect_list(F.arrays_zip("_from", "_to")))).alias("_spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"),
@@ -265,11 +274,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "t
     # spans come sorted by their start: each adds what lies beyond the furthest end so far
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
     covered = F.aggregate("_spans", start, lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), x["_to"] - F.greatest(s["end"], x["_from"]))).alias("n"), F.greatest(s["end"], x["_to"]).alias("end")))["n"]
-    merged = merged.select("_key", covered.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"))
+    merged = merged.select("key", covered.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"))
     empty = Index([np.zeros(0, np.uint64)] * 2, [np.zeros(1, np.int64)] * 2, [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int64)] * 2, np.zeros((0, window), np.uint64), np.zeros(0, np.int64), [], [])
-    counted = _scan(documents.withColumn("_key", digest), text_col, [*columns, "_key"], empty, spans=False)
+    counted = _scan(documents.withColumn("key", digest), text_col, [*columns, "key"], empty, spans=False)
     return (
         counted.drop("n_hit", "n_items", "items_sha256", "contaminated")
-        .join(merged, "_key", "left")
+        .join(merged, "key", "left")
         .select(*columns, "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
     )

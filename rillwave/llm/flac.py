@@ -394,6 +394,7 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row a document: its id, n_bytes (unpadded), media (the stream)."""
     kind = documents.schema[id_col].dataType.simpleString()
 
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = K.text_buffers(batch.column(1))
@@ -421,6 +422,7 @@ def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
     """The PCM of every frame with its place: id, block, first_sample, n_samples, pcm (signed samples, one byte each up to 8 bits, else two)."""
     kind = media.schema[id_col].dataType.simpleString()
 
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, data in _slices(batch.column(1)):
@@ -445,6 +447,7 @@ def read_back(media: DataFrame, id_col: str = "doc_id", media_col: str = "media"
     """One row a stream: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, from the decoded bytes."""
     kind = media.schema[id_col].dataType.simpleString()
 
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, data in _slices(batch.column(2)):

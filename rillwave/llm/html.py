@@ -34,8 +34,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from . import kernels as K
+from .shared import numbered
 
 # Fixed lists of HTML's own element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -295,13 +297,12 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """Rows of `pages` (columns in `keep`, or all but the html) with text and n_chars (code points)."""
     columns = [c for c in pages.columns if c not in ("text", "n_chars", html_col) and (keep is None or c in keep)]
-    fields = [f for f in pages.schema.fields if f.name in columns]
-    ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["text string, n_chars long"])
+    schema = T.StructType([*(pages.schema[c] for c in columns), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x.as_py()) for x in batch.column(html_col)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*columns, "text", "n_chars"])
+            texts = [main_text(x.as_py()) for x in batch.column(len(columns))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*columns, "text", "n_chars"])
 
-    return pages.select(*columns, html_col).mapInArrow(run, ddl)
+    return numbered(pages, [*columns, html_col]).mapInArrow(run, schema)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .shared import crc_bucket, partitions, written
+from .shared import crc_bucket, numbered, partitions, written
 
 BASE = 1.6
 BITS, PROBES = 8, 4
@@ -50,8 +50,7 @@ _LOW = K.U64(20)
 _FLUSH = 3 << 19
 #: Bytes of text in a block that asks the segments.
 _SENT = 4 << 20
-_RESULT = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-_TAKEN = (*_RESULT.fieldNames(), "train_tokens")
+_RESULT = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("train_tokens", T.LongType())])
 
 
 def _sequence(w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -410,18 +409,19 @@ def score_texts(documents: DataFrame, train: DataFrame, text_col: str = "text",
     spark = documents.sparkSession
     ngrams = count_ngrams(train, text_col)
     model = load_model(ngrams, filter_bytes, table_words)
-    n = model.tokens
     sent = spark.sparkContext.broadcast(model)
-    columns = [c for c in documents.columns if c not in _TAKEN and (keep is None or c in keep)]
-    read = documents.select(*columns, *([] if text_col in columns else [text_col]))
+    columns = [c for c in documents.columns if c not in _RESULT.fieldNames() and (keep is None or c in keep)]
+    names = [*columns, *([] if text_col in columns else [text_col])]
+    read, text = numbered(documents, names), f"c{names.index(text_col)}"
     schema = T.StructType([*(documents.schema[c] for c in columns), *_RESULT.fields])
 
     def scored_batch(batch: pa.RecordBatch, found: Held | Answered) -> pa.RecordBatch:
-        raw, offs = K.text_buffers(batch.column(text_col))
+        raw, offs = K.text_buffers(batch.column(text))
         parts = [sent.value.score_texts(K.Words(raw, offs[lo : hi + 1], K.NOT_SPACE), found) for lo, hi in K.blocks(offs)]
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
         made = [pa.array(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0), kind) for i, kind in enumerate(kinds)]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *made], names=[*columns, *_RESULT.fieldNames()])
+        made.append(pa.array(np.full(batch.num_rows, sent.value.tokens, np.int64)))
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *made], names=[*columns, *_RESULT.fieldNames()])
 
     @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,7 +439,7 @@ def score_texts(documents: DataFrame, train: DataFrame, text_col: str = "text",
                     counts.append(_wide(count.as_py()))
                     continue
                 texts = pa.ipc.open_stream(load.as_buffer()).read_all().combine_chunks()
-                words, pairs = _ngrams_of(texts.column(text_col))
+                words, pairs = _ngrams_of(texts.column(text))
                 cut = [len(c) for c in counts]  # a bucket answers for its words, then for its pairs
                 word_level = np.concatenate([x[:k] for x, k in zip(levels, cut, strict=True)])
                 pair_level = np.concatenate([x[k:] for x, k in zip(levels, cut, strict=True)])
@@ -448,8 +448,7 @@ def score_texts(documents: DataFrame, train: DataFrame, text_col: str = "text",
                 for part in texts.to_batches():
                     yield scored_batch(part, found)
 
-    made = read.mapInArrow(run, schema) if model.filter is not None else looked_up(read, ngrams, text_col).mapInArrow(run_blocks, schema)
-    return made.withColumn("train_tokens", F.lit(n).cast("long"))
+    return read.mapInArrow(run, schema) if model.filter is not None else looked_up(read, ngrams, text).mapInArrow(run_blocks, schema)
 
 
 def split(documents: DataFrame, modulus: int = 10, held_out: int = 0, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:

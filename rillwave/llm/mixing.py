@@ -11,8 +11,10 @@ the words nearer to their target (so a few inclusion probabilities a source diff
 Source totals, ranks and targets are tables: nothing here grows on the driver but the number of rounds.
 
 Defined results: size of a null or empty text is 0; a null source is one source, ranked last; documents of a source without
-words are wanted 0 times; repeated rows (same id, source and text) are one unit and get the same number of copies; draws
-depend on the seed and the row alone, so reruns agree. Extra columns pass through; those named like a result are replaced.
+words are wanted 0 times; a very long text is one document, moves first and never counts in part; repeated rows (same id,
+source and text) are one unit and get the same number of copies; draws depend on the seed and the row alone, and ties in size
+and draw go by the unit's hash, so reruns agree; an empty table gives no rows. Extra columns pass through, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -133,7 +135,6 @@ def _settle(chosen: np.ndarray, pi: np.ndarray, size: np.ndarray, flips: int = 4
 
 
 
-
 def cube_sample(units: DataFrame, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """units: (source, size, uid, pi); adds chosen (0 or 1). Blocks are dealt by a hash of uid within each source."""
     spark = units.sparkSession
@@ -162,17 +163,17 @@ def cube_sample(units: DataFrame, seed: int = 7, block_rows: int = BLOCK_ROWS) -
     return done
 
 
-def _units(documents: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """documents with _source, _size and _uid (a hash of id, source and text)."""
-    text, source = F.col(text_col), F.col(source_col).cast("string")
-    return documents.withColumns({"_source": source, "_size": word_count(text), "_uid": F.xxhash64(F.col(id_col), source, text)})
+def _unit(id_col: str, text_col: str, source_col: str) -> Column:
+    """A unit of the sample: a hash of id, source and text."""
+    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{source_col}`").cast("string"), F.col(f"`{text_col}`"))
 
 
 def copies(
     documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, seed: int = 7
 ) -> DataFrame:
     """One row for each row of `documents`: its id, uid, size, source_size, target, copies; the text is read but not shuffled."""
-    rows = written(_units(documents, id_col, text_col, source_col).select(F.col(id_col), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_uid").alias("uid")), "sizes")
+    picked = [F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), _unit(id_col, text_col, source_col).alias("uid")]
+    rows = written(documents.select(*picked), "sizes")
     units = rows.groupBy("source", "uid").agg(F.max("size").alias("one"), F.count("*").alias("rows")).withColumn("size", F.col("one") * F.col("rows"))
     targets = source_targets(units, weights, most)
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -181,11 +182,14 @@ def copies(
     units = units.withColumn("whole", F.floor(F.col("wanted") + 1e-9)).withColumn("pi", F.greatest(F.lit(0.0), F.col("wanted") - F.col("whole")))
     units = written(units.withColumn("pi", F.when(F.col("pi") < 1e-9, 0.0).otherwise(F.col("pi"))), "units")
     extra = cube_sample(units.select("source", "size", "uid", "pi"), seed)
-    decided = units.join(extra.select("uid", "chosen"), "uid").select("uid", "source_size", "target", (F.col("whole") + F.col("chosen")).alias("copies"))
-    return rows.join(decided, "uid").select(id_col, "uid", "size", "source_size", "target", "copies")
+    # written, so that a unit of very many repeated rows can be split in the join
+    decided = written(units.join(extra.select("uid", "chosen"), "uid").select("uid", "source_size", "target", (F.col("whole") + F.col("chosen")).alias("copies")), "decided")
+    return rows.join(decided, "uid").select(F.col("id").alias(id_col), "uid", "size", "source_size", "target", "copies")
 
 
 def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
     """The mixed corpus: every row of `documents` as often as the mix takes it, with the columns of `documents`."""
-    taken = copies(documents, id_col, text_col, source_col, **options).where("copies > 0").select(F.col("uid").alias("_uid"), F.col("copies").alias("_copies")).dropDuplicates(["_uid"])
-    return _units(documents, id_col, text_col, source_col).join(taken, "_uid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*documents.columns)
+    taken = written(copies(documents, id_col, text_col, source_col, **options).where("copies > 0").select("uid", "copies").distinct(), "taken")
+    # the row travels as one struct, so no name of its columns can meet ours
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), _unit(id_col, text_col, source_col).alias("uid"))
+    return rows.join(taken, "uid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -7,13 +7,19 @@ Indicators of a text (all hashed into `dims` columns):
 * forms, and repetitions of the word before, once more for each share of the text's words that they reach.
 
 Each column is scaled by its class log-count ratio, each row to unit length. Fitting uses a bounded sample of the labelled
-rows (`max_rows`, the lowest hashes of doc_id); scoring covers every whole text. Defined results: a null or empty text has
-the indicator "empty" alone and so gets a score like any other; rows with a null label are not learned from; several labels
-of one doc_id count as their rounded mean; with labels of one class only, or none, every score is that class's (0.5: none).
+rows (`max_rows`, the lowest hashes of doc_id); scoring covers every whole text. Passes over the sample end when no variable
+moved by more than `TOLERANCE`, or after `PASSES` with a warning.
+
+Defined results: a null or empty text has the indicator "empty" alone and so gets a score like any other; a very long text
+is one row, scored whole; rows with a null label or id are not learned from; several labels of one doc_id count as their
+rounded mean, and rows that repeat a labelled doc_id are learned from each; ties in the sample's order go by id and label,
+equal texts have equal scores; with labels of one class only, or none, every score is that class's (0.5: none); an empty
+table gives no rows; extra columns pass through whatever their names, and one named like the score is replaced.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,11 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .shared import crc_bucket
+from .shared import crc_bucket, numbered
 
 DIMS = 1 << 18
 MAX_ROWS = 6000
 SHARES = (0.02, 0.1, 0.3)
+PASSES, TOLERANCE = 60, 1e-3
 
 _klass = np.zeros(256, np.uint64)
 for _b in range(256):
@@ -107,13 +114,14 @@ def log_count_ratios(cols: list[np.ndarray], y: np.ndarray, dims: int, smooth: f
     return np.log((up / up.sum()) / (down / down.sum()))
 
 
-def dual_coordinate_descent(cols: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float = 1.0, passes: int = 12, seed: int = 11) -> tuple[np.ndarray, float]:
-    """L1-loss linear SVM: one dual variable at a time goes to its optimum within [0, C]; C is balanced between the classes."""
+def dual_coordinate_descent(cols: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float = 1.0, passes: int = PASSES, seed: int = 11) -> tuple[np.ndarray, float]:
+    """L1-loss linear SVM: one dual variable at a time goes to its optimum within [0, C]; C is balanced between the classes. A warning tells where the passes end before the tolerance is met."""
     w, bias = np.zeros(len(ratio)), 0.0
     alpha = np.zeros(len(y))
     top = np.where(y > 0, cost * len(y) / (2 * max(1, (y > 0).sum())), cost * len(y) / (2 * max(1, (y < 0).sum())))
     values = [ratio[c] / max(1e-9, np.sqrt((ratio[c] ** 2).sum())) for c in cols]
     rng = np.random.default_rng(seed)
+    moved = 0.0
     for _ in range(passes):
         moved = 0.0
         for i in rng.permutation(len(y)):
@@ -125,8 +133,11 @@ def dual_coordinate_descent(cols: list[np.ndarray], y: np.ndarray, ratio: np.nda
                 bias += step
                 alpha[i] = new
                 moved = max(moved, abs(step))
-        if moved < 1e-3:
+        if moved < TOLERANCE:
             break
+    else:
+        if len(y):
+            warnings.warn(f"after {passes} passes a variable still moved by {moved:.2g}", stacklevel=2)
     return w, bias
 
 
@@ -143,6 +154,7 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     )
     chosen = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_y", "_text")
 
+    @K.released
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offs = K.text_buffers(batch.column("_text"))
@@ -168,13 +180,15 @@ def score(documents: DataFrame, model: QualityModel, text_col: str = "text", sco
     sent = documents.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in documents.schema.fields if f.name != score_col and (keep is None or f.name in keep)]
     columns = [f.name for f in fields]
-    read = documents.select(*columns, *([] if text_col in columns else [text_col]))
+    names = [*columns, *([] if text_col in columns else [text_col])]
+    read, text = numbered(documents, names), names.index(text_col)
 
+    @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offs = K.text_buffers(batch.column(text_col))
+            raw, offs = K.text_buffers(batch.column(text))
             parts = [sent.value.scores(raw, offs[lo : hi + 1]) for lo, hi in K.blocks(offs)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], names=[*columns, score_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], names=[*columns, score_col])
 
     return read.mapInArrow(run, T.StructType([*fields, T.StructField(score_col, T.DoubleType())]))
 

@@ -367,3 +367,64 @@ def test_chat_blocks_are_cut_by_lines_where_turns_repeat(spark):
     assert cut == once
     assert max(sizes) <= 7
     assert sum(r[6] for r in cut) == sum(t.count("\n") + 1 for _, _, t in talk)
+
+
+NAMES = ["_size", "_uid", "_copies", "_copy", "_source", "_segment", "_said", "_text", "_role", "_ckey", "_turn", "_thash", "_key", "_score", "_n", "_hit", "key", "uid", "row", "id", "word", "node", "class_id", "c0", "c1", "block", "kind", "load", "copies", "label", "n_hit", "_contaminated", "_n_hit", "held_out", "a.b"]
+
+
+def _odd(spark, extra):
+    made = [(i, body(i % 4, 30), "en", f"s{i % 3}", 3) for i in range(24)] + [(None, None, None, None, None)]
+    df = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    return df.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in extra])
+
+
+def test_no_column_of_the_table_meets_one_of_ours(spark):
+    docs = _odd(spark, NAMES)
+    same = lambda frame, id_col="doc_id": all(r[c] == (None if r[id_col] is None else f"{c}{r[id_col]}") for r in frame.collect() for c in NAMES if c in frame.columns)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and same(mixed)
+    kept = dedup.keep_one(docs)
+    assert kept.columns == docs.columns and same(kept) and kept.count() == 5
+    bench = spark.createDataFrame([(1, body(1, 30)), (2, body(77, 30))], "item_id long, text string")
+    for room in (1 << 26, 500):
+        for prefix in ("", "x"):
+            found = decontam.decontaminate(docs, bench, index_bytes=room, result_prefix=prefix)
+            taken = {prefix + r for r in decontam.RESULT.fieldNames()}
+            assert found.columns[: len(docs.columns) - len(taken & set(docs.columns))] == [c for c in docs.columns if c not in taken]
+            assert same(found.drop(*taken)) and found.where(f"{prefix}contaminated").count() == 6
+    marked, train = lm.split(docs)
+    for bound in (1 << 20, 1):
+        assert same(lm.score_texts(marked, train, filter_bytes=bound).drop("held_out"))
+    model = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int"))
+    scored = quality.score(docs, model, score_col="q")
+    assert scored.columns == [*docs.columns, "q"] and same(scored)
+    talks = docs.withColumnsRenamed({"doc_id": "conv_id", "n_chars": "turn"})
+    parsed = chat.parse_transcripts(talks, chat.fit(talks.withColumn("role", F.lit("user"))))
+    assert parsed.columns == [*talks.columns, "segment", "said", "rendered"] and same(parsed, "conv_id")
+    for op in (lambda d: secrets.find_secrets(d), lambda d: flac.encode(d), lambda d: tokens.token_table(d), lambda d: html.extract(d, "text")):
+        assert op(docs).count() == 25
+
+
+def test_pipeline_stages_keep_columns_that_clash(spark):
+    import corpus_pipeline
+
+    docs = _odd(spark, [c for c in NAMES if c != "a.b"])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, SF)
+        assert made.columns == docs.columns
+        assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in made.collect() for c in ("_score", "_contaminated", "_uid", "key"))
+
+
+def test_chat_folds_long_chains(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    k = len(chat.STATES)
+    matrices = rng.normal(size=(41, k, k))
+    opened = rng.normal(size=k)
+    want = chat.chain(opened, matrices)
+    rows_ = [(c, 7 + i, m.tobytes(), (opened if i == 0 else np.zeros(k)).tobytes()) for c in ("a", "b") for i, m in enumerate(matrices[: 41 if c == "a" else 3])]
+    blocks = spark.createDataFrame(rows_, "ckey string, part long, inner binary, first binary")
+    for most in (100, 5, 2):
+        got = {(r.ckey, r.part): (r.entry, r.leave) for r in chat.block_ends(blocks, most).collect()}
+        assert len(got) == 44
+        path = [got["a", 7 + i] for i in range(41)]
+        assert path == want
