@@ -11,8 +11,10 @@ The interval join deals candidates to buckets of `scope` code points and looks i
 as many candidates at most as fit into it, so no text makes more than a fixed number of meetings a candidate; and it is a
 semi join, which stops at the first partner.
 
-Defined results: null is an empty text; a text without hits has counts 0 and empty strings; rows are matched by id and a
-hash of the text, so rows that share an id keep their own spans; extra columns do not matter.
+Defined results: null is an empty text; a text without hits has counts 0 and empty strings; a very long text is scanned
+whole, its places are summed up in pieces of `PIECE` hits; rows are matched by id and a hash of the text, so rows that share
+an id keep their own spans and repeated rows get equal ones; spans that begin together go by kind as listed; an empty table
+gives no rows; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from .shared import written
 
 SCOPE = 256
+PIECE = 512
 
 # Fixed patterns of the strong kinds, in the order that breaks ties.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,7 +34,9 @@ HEX = r"[0-9a-f]{32,}"
 # Patterns of the weak kinds.
 IDENTIFIER = r"""(?i:client_?id|access_?key_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
 SHORT = r"""(?i:password|passwd|secret|pwd|passphrase)["']?\x20*[:=]\x20*["']?[!-~]{4,}"""
-KEYLIKE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,80}[0-9])(?=[A-Za-z0-9+/_-]{0,80}[A-Z])(?=[A-Za-z0-9+/_-]{0,80}[a-z])[A-Za-z0-9+/_-]{24,}"
+KEYLIKE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}"
+#: What a whole run must hold somewhere to look like a key.
+KEY_CLASSES = ("[0-9]", "[A-Z]", "[a-z]")
 ENDPOINT = r"(?:https?|ftp|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!$&()*+,;=%-]+"
 
 #: kind, pattern, the part that it plays (identifier, secret, endpoint), strong or weak
@@ -52,25 +57,30 @@ _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
 def _places(text: Column, kind: int, pattern: str) -> Column:
-    """The (start, kind, end) of every leftmost non-overlapping hit."""
+    """The (start, kind, end) of every leftmost non-overlapping hit that its kind takes."""
     whole = F.lit(r"\G(?s:(.*?))(" + pattern + ")")
     gaps, hits = F.regexp_extract_all(text, whole, F.lit(1)), F.regexp_extract_all(text, whole, F.lit(2))
-    lengths = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(hits, F.length).alias("hit"))
-    if kind == 0:
-        values = F.transform(F.regexp_extract_all(text, whole, F.lit(4)), F.length)
-        lengths = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(hits, F.length).alias("hit"), values.alias("value"))
+    taken = F.transform(hits, lambda x: F.lit(True))
+    if KINDS[kind][0] == "assign":
+        taken = F.transform(F.regexp_extract_all(text, whole, F.lit(4)), lambda x: F.length(x) >= 8)
+    elif KINDS[kind][0] == "keylike":
+        taken = F.transform(hits, lambda x: x.rlike(KEY_CLASSES[0]) & x.rlike(KEY_CLASSES[1]) & x.rlike(KEY_CLASSES[2]))
+    found = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(hits, F.length).alias("hit"), taken.alias("taken"))
+
+    # running sums in two levels: spans are gathered within pieces, and pieces begin where those before them end
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.size(found) / PIECE).cast("int")), lambda c: F.slice(found, c * PIECE + 1, PIECE))
+    long = F.lit(0).cast("long")
+    lengths = F.transform(pieces, lambda p: F.aggregate(p, long, lambda n, x: n + x["gap"] + x["hit"]))
+    bases = F.aggregate(lengths, F.array(long), lambda b, n: F.concat(b, F.array(F.element_at(b, -1) + n)))
 
     def add(state: Column, x: Column) -> Column:
         start = state["at"] + x["gap"]
         end = start + x["hit"]
-        span = F.array(F.struct(start.cast("long").alias("start"), F.lit(kind).alias("kind"), end.cast("long").alias("end")))
-        if kind == 0:
-            span = F.when(x["value"] >= 8, span).otherwise(F.array().cast(_SPAN))
-        return F.struct(end.cast("long").alias("at"), F.concat(state["spans"], span).alias("spans"))
+        span = F.when(x["taken"], F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))).otherwise(F.array().cast(_SPAN))
+        return F.struct(end.alias("at"), F.concat(state["spans"], span).alias("spans"))
 
-    none = F.array().cast(_SPAN)
-    found = F.aggregate(lengths, F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans")), add)["spans"]
-    return found
+    spans = F.transform(pieces, lambda p, i: F.aggregate(p, F.struct(F.element_at(bases, i + 1).alias("at"), F.array().cast(_SPAN).alias("spans")), add)["spans"])
+    return F.flatten(spans)
 
 
 def _joined(spans: Column) -> Column:
