@@ -1,13 +1,17 @@
 """FLAC media columns: 8-bit mono streams in binary columns, coded and decoded many frames at a time.
 
 A stream has STREAMINFO (with the MD5 of its samples), a seek table with one point a frame, and fixed-size frames (the last
-may be shorter). Frames hold constant, verbatim or fixed-predictor subframes with Rice-coded residuals; the decoder also
-reads linear predictors of any order, all partition orders, both Rice forms and escaped partitions. All frames of a block of
-rows are decoded together: the place of every stop bit is chased one sample at a time over all frames at once. CRC-8 of each
-header, CRC-16 of each frame and the MD5 of the whole are verified; a difference is an error that names the row.
+may be shorter). Frames hold constant, verbatim, fixed-predictor or linear-predictor subframes, whichever is shortest, with
+Rice-coded residuals; linear predictors of order `ORDER` come from the frame's autocorrelation by the Levinson-Durbin
+recursion, in `PRECISION` bits. The decoder also reads predictors of any order, all partition orders, both Rice forms and
+escaped partitions. All frames of a block of rows are decoded together: the place of every stop bit is chased one sample at
+a time over all frames at once. CRC-8 of each header, CRC-16 of each frame and the MD5 of the whole are verified; a
+difference is an error. Decoded streams are PCM blocks, one a frame, each with the offset of its first sample.
 
 Defined results: a null or empty text is 192 spaces; a payload is padded with spaces to a positive multiple of 192; equal
-texts give equal streams. In the decoder, null media give no blocks.
+texts and so repeated rows give equal streams; a very long text is one stream of as many frames as it needs, and frames
+beyond the largest seek table are found one after the other; of equally short subframes the simpler one is taken; null media
+give no blocks; an empty table gives no rows; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,11 +26,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import kernels as K
 
 UNIT = 192
 BLOCK = 1152
+ORDER, PRECISION = 4, 10
 RATE = 8000
 #: Fixed codes of frame headers: block sizes.
 SIZE_CODES = {1: 192, **{c: 576 << (c - 2) for c in range(2, 6)}, **{c: 256 << (c - 8) for c in range(8, 16)}}
@@ -94,6 +100,43 @@ def frame_header(number: int, size: int) -> bytes:
     return _headers[key]
 
 
+def _predictors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised linear predictors (frames, ORDER) and their shifts, by Levinson-Durbin over all frames at once."""
+    n_frames, n = x.shape
+    y = x * np.hanning(n + 2)[1:-1].astype(np.float32)
+    r = np.stack([np.einsum("ij,ij->i", y[:, : n - k], y[:, k:], dtype=np.float64) for k in range(ORDER + 1)])
+    error = r[0] * (1 + 1e-9) + 1e-9
+    a = np.zeros((ORDER, n_frames))
+    for i in range(ORDER):
+        k = (r[i + 1] - (a[:i] * r[i:0:-1]).sum(0)) / error
+        a[:i], a[i] = a[:i] - k * a[:i][::-1], k
+        error = np.maximum(error * (1 - k * k), 1e-9)
+    top = 1 << (PRECISION - 1)
+    shift = np.clip(PRECISION - 1 - np.ceil(np.log2(np.maximum(np.abs(a).max(0), 1e-9))), 0, 15).astype(np.int64)
+    return np.clip(np.round(a * 2.0**shift), -top, top - 1).astype(np.int64).T, shift
+
+
+def _predicted(x: np.ndarray, factor: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Residuals (frames, size - ORDER) of linear predictors."""
+    n = x.shape[1]
+    total = np.zeros((len(x), n - ORDER), np.int32)
+    for i in range(ORDER):
+        total += factor[:, i : i + 1].astype(np.int32) * x[:, ORDER - 1 - i : n - 1 - i]
+    return x[:, ORDER:] - (total >> shift[:, None].astype(np.int32))
+
+
+def _rice(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unsigned residuals, the Rice parameter of each frame, and the bits of all its codes."""
+    u = (r << 1) ^ (r >> 31)
+    k = np.clip(np.ceil(np.log2(np.maximum(u.mean(1) * np.log(2), 1))), 0, 14).astype(np.int64)
+    return u, k, (u >> k[:, None]).sum(1) + r.shape[1] * (1 + k)
+
+
+def _head(fields: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """Bits (frames, width) of numbers of so many bits each."""
+    return np.concatenate([(np.asarray(v)[:, None] >> np.arange(n - 1, -1, -1) & 1).astype(np.uint8) for v, n in fields], 1)
+
+
 def _bodies(x: np.ndarray) -> list[bytes]:
     """Subframes of frames of one size: x is (frames, size) of int32 samples in 8 bits."""
     n_frames, n = x.shape
@@ -101,39 +144,39 @@ def _bodies(x: np.ndarray) -> list[bytes]:
     flat = x.min(1) == x.max(1)
     for f in np.flatnonzero(flat):
         out[f] = bytes([0x00, int(x[f, 0]) & 0xFF])
-    diffs = [x, np.diff(x, axis=1), np.diff(x, 2, axis=1)]
-    cost = np.stack([np.abs(d[:, 2 - o :]).sum(1) for o, d in enumerate(diffs)])
+    factor, shift = _predictors(x)
+    forms = [_rice(np.diff(x, o, axis=1) if o else x) for o in range(3)] + [_rice(_predicted(x, factor, shift))]
+    extra = [8 * o for o in range(3)] + [8 * ORDER + 9 + ORDER * PRECISION]
+    cost = np.stack([bits + more for (_, _, bits), more in zip(forms, extra, strict=True)])
     best = cost.argmin(0)
-    for order in range(3):
-        rows = np.flatnonzero((best == order) & ~flat)
+    for form, (u, k, codes) in enumerate(forms):
+        rows = np.flatnonzero((best == form) & ~flat)
         if not len(rows):
             continue
-        r = diffs[order][rows]
-        u = (r << 1) ^ (r >> 31)
-        k = np.clip(np.ceil(np.log2(np.maximum(u.mean(1) * np.log(2), 1))), 0, 14).astype(np.int64)
-        q = u >> k[:, None]
-        length = q + 1 + k[:, None]
-        head = 8 + 8 * order + 10
-        end = np.cumsum(length, 1) + head
-        bits = end[:, -1]
+        order = form if form < 3 else ORDER
+        u, k, codes = u[rows], k[rows], codes[rows]
+        fields = [(np.full(len(rows), (8 + order if form < 3 else 32 + order - 1) << 1), 8), *((x[rows, i] & 0xFF, 8) for i in range(order))]
+        if form == 3:
+            fields += [(np.full(len(rows), PRECISION - 1), 4), (shift[rows], 5), *((factor[rows, i] & ((1 << PRECISION) - 1), PRECISION) for i in range(ORDER))]
+        # coding method and partition order are 0; the parameter follows
+        top = _head([*fields, (np.zeros(len(rows), np.int64), 6), (k, 4)])
+        head = top.shape[1]
+        bits = codes + head
         raw = bits >= 8 + 8 * n
         width = int(-(-bits.max() // 8)) + 3
-        at = (end - 1 - k[:, None]) + (np.arange(len(rows)) * width * 8)[:, None]
+        length = (u >> k[:, None]) + 1 + k[:, None]
+        at = np.cumsum(length, 1) + head - 1 - k[:, None] + (np.arange(len(rows)) * width * 8)[:, None]
         value = (1 << k[:, None]) | (u & ((1 << k[:, None]) - 1))
         # a stop bit and its k low bits lie within three bytes
         value = value << (23 - k[:, None] - (at & 7))
         place = (at >> 3).ravel()
         size = len(rows) * width
         body = np.zeros(size, np.int64)
-        for shift, step in ((16, 0), (8, 1), (0, 2)):
-            body += np.bincount(place + step, ((value >> shift) & 0xFF).ravel(), size).astype(np.int64)
+        for by, step in ((16, 0), (8, 1), (0, 2)):
+            body += np.bincount(place + step, ((value >> by) & 0xFF).ravel(), size).astype(np.int64)
         body = body.astype(np.uint8).reshape(len(rows), width)
-        body[:, 0] = 0x10 | order << 1
-        for w in range(order):
-            body[:, 1 + w] = x[rows, w] & 0xFF
-        # 2 bits of coding method and 4 of partition order are 0; the parameter follows
-        body[:, 1 + order] |= (k >> 2).astype(np.uint8)
-        body[:, 2 + order] |= ((k & 3) << 6).astype(np.uint8)
+        packed = np.packbits(top, axis=1)
+        body[:, : packed.shape[1]] |= packed
         used = -(-bits // 8)
         for i, f in enumerate(rows):
             out[f] = bytes([0x02]) + (x[f] & 0xFF).astype(np.uint8).tobytes() if raw[i] else body[i, : used[i]].tobytes()
@@ -178,6 +221,7 @@ class Stream:
     bits: int
     points: list[tuple[int, int, int]]
     audio: int
+    longest: int
 
 
 def open_stream(data: bytes) -> Stream:
@@ -185,19 +229,19 @@ def open_stream(data: bytes) -> Stream:
     if data[:4] != b"fLaC":
         raise ValueError("not a FLAC stream")
     at, last = 4, False
-    samples, md5, bits, points = 0, b"", 8, []
+    samples, md5, bits, points, longest = 0, b"", 8, [], 0
     while not last:
         last, kind, size = data[at] >= 0x80, data[at] & 0x7F, int.from_bytes(data[at + 1 : at + 4], "big")
         body = data[at + 4 : at + 4 + size]
         if kind == 0:
-            packed = int.from_bytes(body[10:18], "big")
+            packed, longest = int.from_bytes(body[10:18], "big"), int.from_bytes(body[7:10], "big")
             if packed >> 41 & 7:
                 raise ValueError("more than one channel")
             samples, bits, md5 = packed & (1 << 36) - 1, (packed >> 36 & 31) + 1, body[18:34]
         elif kind == 3:
             points = [p for p in struct.iter_unpack(">QQH", body) if p[0] != (1 << 64) - 1]
         at += 4 + size
-    return Stream(samples, md5, bits, points, at)
+    return Stream(samples, md5, bits, points, at, longest)
 
 
 def _read_header(data: bytes, at: int) -> tuple[int, int]:
@@ -334,9 +378,16 @@ def _decode_group(parts: list[bytes], head: list[int], size: int, depth: int) ->
                 for _ in range(order):
                     x = np.cumsum(x, 1)
             else:
-                x = np.concatenate((warm[g], res), 1)
+                # sample by sample over all frames at once
+                along = np.ascontiguousarray(np.concatenate((warm[g], res), 1).T)
+                by, down = np.ascontiguousarray(factor[g].T), shift[g]
                 for i in range(order, size):
-                    x[:, i] += (factor[g] * x[:, i - order : i][:, ::-1]).sum(1) >> shift[g]
+                    total = by[0] * along[i - 1]
+                    for j in range(1, order):
+                        total += by[j] * along[i - 1 - j]
+                    total >>= down
+                    along[i] += total
+                x = along.T
             out[own] = x
     return out, -(-(end - bits.start) // 8)
 
@@ -359,7 +410,8 @@ def decode_streams(streams: list[bytes]) -> list[tuple[np.ndarray, list[tuple[in
             a, first = o.audio, 0
             while first < o.samples:
                 size, head = _read_header(data, a)
-                x, used = _decode_group([data[a:]], [head], size, o.bits)
+                # no more than a frame's bytes: the longest one's, or what no sane encoder exceeds
+                x, used = _decode_group([data[a : a + (o.longest or 64 + 2 * size * o.bits)]], [head], size, o.bits)
                 b = a + int(used[0]) + 2
                 if crc16_all([data[a : b - 2]])[0] != int.from_bytes(data[b - 2 : b], "big"):
                     raise ValueError(f"CRC-16 of the frame at byte {a} differs")
@@ -418,45 +470,65 @@ def _slices(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, list[
         yield lo, held
 
 
-def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """The PCM of every frame with its place: id, block, first_sample, n_samples, pcm (signed samples, one byte each up to 8 bits, else two)."""
+_BLOCKS = pa.list_(pa.struct([("first_sample", pa.int64()), ("n_samples", pa.int32()), ("pcm", pa.binary())]))
+_BLOCKS_DDL = "array<struct<first_sample:bigint,n_samples:int,pcm:binary>>"
+
+
+def decode(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """One row a stream: its id, n_bytes (if there), media_bytes, media_sha256, and blocks: the PCM of every frame at its first sample (signed, one byte a sample up to 8 bits, else two)."""
     kind = media.schema[id_col].dataType.simpleString()
+    has_bytes = "n_bytes" in media.columns
 
     @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, data in _slices(batch.column(1)):
+            for lo, data in _slices(batch.column(2)):
                 full = [i for i, d in enumerate(data) if d]
-                rows: list[tuple[int, int, int, int, bytes]] = []
+                blocks: list[list[dict]] = [[] for _ in data]
                 for i, (x, frames) in zip(full, decode_streams([data[i] for i in full]), strict=True):
                     width = np.int8 if open_stream(data[i]).bits <= 8 else np.dtype("<i2")
-                    rows += [(lo + i, b, first, n, x[first : first + n].astype(width).tobytes()) for b, (first, n) in enumerate(frames)]
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True))], names=["id", "block", "first_sample", "n_samples", "pcm"])
+                    pcm = x.astype(width)
+                    blocks[i] = [{"first_sample": first, "n_samples": n, "pcm": pcm[first : first + n].tobytes()} for first, n in frames]
+                made = [pa.array([len(d) for d in data], pa.int64()), pa.array([hashlib.sha256(d).hexdigest() for d in data], pa.string()), pa.array(blocks, _BLOCKS)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(data)), batch.column(1).slice(lo, len(data)), *made], names=["id", "n_bytes", "media_bytes", "media_sha256", "blocks"])
 
-    return media.select(id_col, media_col).mapInArrow(run, f"id {kind}, block int, first_sample long, n_samples int, pcm binary").withColumnRenamed("id", id_col)
+    read = media.select(F.col(f"`{id_col}`").alias("id"), (F.col("n_bytes") if has_bytes else F.lit(None)).cast("long").alias("n_bytes"), F.col(f"`{media_col}`").alias("media"))
+    made = read.mapInArrow(run, f"id {kind}, n_bytes long, media_bytes long, media_sha256 string, blocks {_BLOCKS_DDL}")
+    return made.withColumnRenamed("id", id_col)
 
 
-def _feature(x: np.ndarray, frames: list[tuple[int, int]]) -> str:
+def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """One row a frame, with its place: id, block, first_sample, n_samples, pcm."""
+    made = decode(media, id_col, media_col).select(id_col, F.posexplode("blocks").alias("block", "b"))
+    return made.select(id_col, "block", "b.first_sample", "b.n_samples", "b.pcm")
+
+
+def _feature(x: np.ndarray, n_blocks: int, last: int) -> str:
     wide = x.astype(np.int64)
     crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-    return f"blocks={len(frames)},sum={int(wide.sum())},energy={int((wide * wide).sum())},peak={int(np.abs(wide).max(initial=0))},crossings={crossings},last={frames[-1][0] if frames else 0}"
+    return f"blocks={n_blocks},sum={int(wide.sum())},energy={int((wide * wide).sum())},peak={int(np.abs(wide).max(initial=0))},crossings={crossings},last={last}"
 
 
 def read_back(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row a stream: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, from the decoded bytes."""
+    """One row a stream: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, from the PCM blocks of the decoded stream (8-bit samples)."""
     kind = media.schema[id_col].dataType.simpleString()
 
     @K.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, data in _slices(batch.column(2)):
-                cols: list[list] = [[] for _ in range(6)]
-                for stream, (x, frames) in zip(data, decode_streams(data), strict=True):
-                    body = (x + 128).astype(np.uint8).tobytes()
-                    for c, v in zip(cols, (len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-16:]), len(stream), hashlib.sha256(stream).hexdigest(), _feature(x, frames)), strict=True):
-                        c.append(v)
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(data)), batch.column(1).slice(lo, len(data)), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return media.select(id_col, "n_bytes", media_col).mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
+            cols: list[list] = [[] for _ in range(4)]
+            lists = batch.column("blocks")
+            flat, cut = lists.flatten(), np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+            raw, offs = K.text_buffers(flat.field("pcm"))
+            firsts = flat.field("first_sample").to_numpy()
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                x = raw[offs[a] : offs[b]].view(np.int8)
+                body = (raw[offs[a] : offs[b]] ^ 0x80).tobytes()
+                for c, v in zip(cols, (len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-16:]), _feature(x, int(b - a), int(firsts[b - 1]) if b > a else 0)), strict=True):
+                    c.append(v)
+            made = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), *made[:3], batch.column("media_bytes"), batch.column("media_sha256"), made[3]], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+    # the blocks stand in the order of their samples, as the decoder sorts a stream's frames
+    made = decode(media, id_col, media_col).withColumnRenamed(id_col, "id").mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return made.withColumnRenamed("id", id_col)

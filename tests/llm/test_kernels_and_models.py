@@ -347,3 +347,29 @@ def test_densities_and_choice_against_a_plain_definition():
         best = max(range(len(flat)), key=lambda i: flat[i][2])
         text = html.main_text(render(body))
         assert "\n".join(html._blocks(order[best])) in text
+
+
+def test_flac_takes_linear_predictors_where_they_win():
+    rng = np.random.default_rng(12)
+    tone = (60 * np.sin(np.arange(5760) * 0.31) + 30 * np.sin(np.arange(5760) * 0.11) + rng.normal(0, 1, 5760)).round().clip(-128, 127)
+    data = [(tone + 128).astype(np.uint8).tobytes(), flac.payload(b"some text of words and spaces, as it comes. " * 60), rng.bytes(1152)]
+    streams = flac.encode_payloads(data)
+    for d, (x, _) in zip(data, flac.decode_streams(streams), strict=True):
+        assert (x + 128).astype(np.uint8).tobytes() == d
+    kinds = []
+    for stream in streams:
+        o = flac.open_stream(stream)
+        for _, at, size in o.points:
+            _, head = flac._read_header(stream, o.audio + at)
+            kinds.append(stream[o.audio + at + head] >> 1)
+    assert kinds[:5] == [32 + flac.ORDER - 1] * 5 and kinds[-1] == 1  # predictors for the tone, verbatim for noise
+    assert len(streams[0]) < 0.6 * len(data[0])
+
+
+def test_flac_streams_without_their_seek_table():
+    data = flac.payload("é text of many frames ".encode() * 900)
+    (stream,) = flac.encode_payloads([data])
+    o = flac.open_stream(stream)
+    bare = stream[:4] + b"\x80" + stream[5:42] + stream[o.audio :]
+    ((x, frames),) = flac.decode_streams([bare])
+    assert (x + 128).astype(np.uint8).tobytes() == data and len(frames) == len(o.points)
