@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; one is set only where there is none (tests)."""
+    """A new path in the folder that spark.checkpoint.dir names; one is set only where there is none and all tasks run on this machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isDefined():
             root = have.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="spark-rillwave-")
             spark.sparkContext.setCheckpointDir(root)

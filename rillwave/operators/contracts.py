@@ -116,10 +116,15 @@ def iri(*parts: Column | str) -> Column:
     return F.regexp_replace(F.concat_ws("_", *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]), r"[^A-Za-z0-9_.-]", "_")
 
 
-def triples(rows: DataFrame, subject: Column, facts: list[tuple[str, Column, str]]) -> DataFrame:
-    """(s, p, o, kind) of each row's facts (property, object, kind); a NULL object gives no triple."""
-    made = [F.struct(subject.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("kind")) for p, o, kind in facts]
-    return rows.select(F.inline(F.array(*made))).where("o is not null")
+def facts(rows: DataFrame, made: list[tuple[Column, str, Column, str]]) -> DataFrame:
+    """(s, p, o, kind) of each row's facts (subject, property, object, kind) in one pass; a NULL subject or object gives no triple."""
+    structs = [F.struct(s.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("kind")) for s, p, o, kind in made]
+    return rows.select(F.inline(F.array(*structs))).where("s is not null and o is not null")
+
+
+def triples(rows: DataFrame, subject: Column, made: list[tuple[str, Column, str]]) -> DataFrame:
+    """As `facts`, all of one subject: (property, object, kind)."""
+    return facts(rows, [(subject, *f) for f in made])
 
 
 def ntriples(graph: DataFrame, base: str = "urn:x:") -> DataFrame:
@@ -148,8 +153,10 @@ def violations(graph: DataFrame, shapes: tuple = SHAPES) -> DataFrame:
     rules = F.broadcast(spark.createDataFrame(list(shapes), names))  # a fixed list
     types = graph.where(F.col("p") == TYPE).select(F.col("s").alias("focus"), F.col("o").alias("class")).distinct()
     own = graph.where(F.col("p") != TYPE).select(F.col("s").alias("focus"), F.col("p").alias("path"), "o", "kind")
-    # repeated triples are one: dealt by node and property, they fall together where they are summed
-    values = own.repartition("focus", "path").distinct().join(rules, "path")
+    # properties without a rule go before anything is shuffled; repeated triples are one: dealt by node and property, they
+    # fall together where they are summed
+    ruled = own.where(F.col("path").isin(*sorted({r[1] for r in shapes})))
+    values = ruled.repartition("focus", "path").distinct().join(rules, "path")
     number = F.expr("try_cast(o as double)")
     numeric = F.col("low").isNotNull() | F.col("high").isNotNull()
     outside = numeric & (number.isNull() | F.coalesce(number < F.col("low"), F.lit(False)) | F.coalesce(number > F.col("high"), F.lit(False)))
@@ -176,6 +183,27 @@ def pair_violations(graph: DataFrame, first: str = "hasOnset", second: str = "ha
     return pick(first, "first").join(pick(second, "second"), "focus").where("first >= second")
 
 
+def gate_reasons(rows: DataFrame, graphs: DataFrame, bad: DataFrame, key: str) -> DataFrame:
+    """(key, reason) of everything that stops a run: rows without a graph, and graphs of rows that do not conform."""
+    needed = rows.select(key).distinct()
+    missing = needed.join(graphs.select(key), key, "left_anti").withColumn("reason", F.lit("no graph"))
+    failing = needed.join(bad.select(key), key, "left_semi").withColumn("reason", F.lit("does not conform"))
+    return missing.unionByName(failing)
+
+
+def gate_all(rows: DataFrame, graphs: DataFrame, bad: DataFrame, key: str) -> DataFrame:
+    """All rows if every one has a conforming graph, none if anything is missing or fails: nothing downstream runs on a part."""
+    stopped = gate_reasons(rows, graphs, bad, key).limit(1).select(F.lit(True).alias("stopped"))
+    return rows.join(F.broadcast(stopped), F.lit(True), "left_anti")
+
+
+def coverage(expected: DataFrame, available: DataFrame, key: str) -> DataFrame:
+    """One row: expected, available, missing entities, and severity: WARN unless all are there, FAIL if none is."""
+    both = expected.select(key).distinct().join(available.select(key).distinct().withColumn("here", F.lit(1)), key, "left")
+    sums = both.agg(F.count("*").alias("expected"), F.count("here").alias("available"))
+    return sums.withColumn("missing", F.col("expected") - F.col("available")).withColumn("severity", F.when(F.col("available") == 0, "FAIL").when(F.col("missing") > 0, "WARN").otherwise("PASS"))
+
+
 def gate(rows: DataFrame, graphs: DataFrame, bad: DataFrame, key: str) -> DataFrame:
-    """Rows whose graph exists and conforms; nothing else goes on."""
+    """Rows whose graph exists and conforms; for a whole run that must stop on one failure see `gate_all`."""
     return rows.join(graphs.select(key).distinct().join(bad.select(key).distinct(), key, "left_anti"), key, "left_semi")

@@ -2,10 +2,14 @@
 
 Stage one tells alarms (label > 0) from the rest, stage two ictal from pre-ictal among the alarms. Features are standardised
 by training rows only (population deviation; under 1e-8 counts as 1).
+
+A boosted tree is a chain of short jobs, so one fit leaves most of a cluster idle: fits are handed to `PARALLEL` driver
+threads and met where they are used, and a nested cross-validation has all of its fits under way together.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -16,6 +20,9 @@ from pyspark.sql import functions as F
 
 from . import metrics as M
 
+PARALLEL = 8
+_pool = ThreadPoolExecutor(PARALLEL, thread_name_prefix="booster")
+
 
 @dataclass
 class Trees:
@@ -34,17 +41,19 @@ class Hierarchy:
     columns: list[str]
     centre: list[float]
     spread: list[float]
-    alarm: GBTClassificationModel | None
-    ictal: GBTClassificationModel | None
+    alarm: Future[GBTClassificationModel | None]
+    ictal: Future[GBTClassificationModel | None]
 
     def _vectors(self, df: DataFrame) -> DataFrame:
-        z = {f"_z{i}": (F.col(c) - m) / s for i, (c, m, s) in enumerate(zip(self.columns, self.centre, self.spread, strict=True))}
-        return VectorAssembler(inputCols=list(z), outputCol="_features").transform(df.withColumns(z)).drop(*z)
+        made = standardised(df, self.columns, self.centre, self.spread, [f"_z{i}" for i in range(len(self.columns))])
+        names = [f"_z{i}" for i in range(len(self.columns))]
+        return VectorAssembler(inputCols=names, outputCol="_features").transform(made).drop(*names)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """df with p_alarm and p_ictal (given an alarm) for every row; a stage that had one class only answers 0.5."""
         out = self._vectors(df)
-        for model, name in ((self.alarm, "p_alarm"), (self.ictal, "p_ictal")):
+        for fit, name in ((self.alarm, "p_alarm"), (self.ictal, "p_ictal")):
+            model = fit.result()
             if model is None:
                 out = out.withColumn(name, F.lit(0.5))
             else:
@@ -52,16 +61,29 @@ class Hierarchy:
         return out.drop("_features")
 
 
-def fit_hierarchy(train: DataFrame, columns: list[str], label: str, trees: Trees | None = None) -> Hierarchy:
-    trees = trees or Trees()
+def standardiser(train: DataFrame, columns: list[str]) -> tuple[list[float], list[float]]:
+    """Mean and population deviation of each column; a deviation under 1e-8 counts as 1, a column without values has mean 0."""
     # two numbers a column
     s = train.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
     centre = [s[f"m{i}"] or 0.0 for i in range(len(columns))]
-    spread = [s[f"s{i}"] if (s[f"s{i}"] or 0.0) >= 1e-8 else 1.0 for i in range(len(columns))]
-    model = Hierarchy(columns, centre, spread, None, None)
+    return centre, [s[f"s{i}"] if (s[f"s{i}"] or 0.0) >= 1e-8 else 1.0 for i in range(len(columns))]
+
+
+def standardised(df: DataFrame, columns: list[str], centre: list[float], spread: list[float], out: list[str] | None = None) -> DataFrame:
+    """df with each column less its centre, by its spread, under the names in `out` (or its own)."""
+    return df.withColumns({o: (F.col(c) - m) / s for o, c, m, s in zip(out or columns, columns, centre, spread, strict=True)})
+
+
+def fit_hierarchy(train: DataFrame, columns: list[str], label: str, trees: Trees | None = None) -> Hierarchy:
+    """Both stages, under way when this returns."""
+    trees = trees or Trees()
+    centre, spread = standardiser(train, columns)
+    model = Hierarchy(columns, centre, spread, Future(), Future())
     rows = model._vectors(train).select("_features", F.col(label).alias("_label"))
+    # long chains of trees need their lineage cut, where there is a folder for it
+    cut = 10 if train.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else -1
     booster = GBTClassifier(
-        featuresCol="_features", labelCol="_y", maxIter=trees.count, maxDepth=trees.depth, stepSize=trees.rate, subsamplingRate=trees.sample, minInstancesPerNode=trees.least, featureSubsetStrategy=str(trees.sample), checkpointInterval=-1, seed=trees.seed
+        featuresCol="_features", labelCol="_y", maxIter=trees.count, maxDepth=trees.depth, stepSize=trees.rate, subsamplingRate=trees.sample, minInstancesPerNode=trees.least, featureSubsetStrategy=str(trees.sample), checkpointInterval=cut, seed=trees.seed
     )
 
     def stage(part: DataFrame, hit: int) -> GBTClassificationModel | None:
@@ -69,8 +91,8 @@ def fit_hierarchy(train: DataFrame, columns: list[str], label: str, trees: Trees
         kinds = y.agg(F.countDistinct("_y").alias("k")).first().k
         return booster.fit(y) if kinds == 2 else None
 
-    model.alarm = stage(rows, 1)
-    model.ictal = stage(rows.where("_label > 0"), 2)
+    model.alarm = _pool.submit(stage, rows, 1)
+    model.ictal = _pool.submit(stage, rows.where("_label > 0"), 2)
     return model
 
 
@@ -86,23 +108,31 @@ def _threshold(scored: DataFrame, truth: str, score: str, policy: str) -> float:
     return best.threshold if best and best.threshold is not None else 0.5
 
 
-def nested_cv(features: DataFrame, columns: list[str], label: str, patient: str, fold: str, folds: list[int], trees: Trees | None = None) -> DataFrame:
+def nested_cv(features: DataFrame, columns: list[str], label: str, patient: str, fold: str, folds: list, trees: Trees | None = None, inner: DataFrame | None = None) -> DataFrame:
     """Predictions of every held-out row: (…, outer_fold, t1, t2, p_alarm, p_ictal, pred, q0, q1, q2).
 
-    For each outer fold: fit on the inner training side, choose both thresholds on the inner validation side (the next fold),
-    fit again on the whole outer training side with its own standardiser, score the untouched fold.
+    For each outer fold: fit on the inner training side, choose both thresholds on the inner validation side, fit again on
+    the whole outer training side with its own standardiser, score the untouched fold. `inner` names the validation
+    patients of each outer fold (outer_fold, patient; ids of any type); without it they are those of the next fold.
     """
-    out = None
+    if inner is None and len(folds) < 3:
+        raise ValueError("two folds leave no inner validation side: give the inner patients")
+    sides = []
     for i, held in enumerate(folds):
-        inner_val = folds[(i + 1) % len(folds)]
         outer_train = features.where(F.col(fold) != held)
-        val = outer_train.where(F.col(fold) == inner_val) if len(folds) > 2 else outer_train.where(F.col(patient) % 2 == 0)
-        inner = outer_train.where(F.col(fold) != inner_val) if len(folds) > 2 else outer_train.where(F.col(patient) % 2 == 1)
-        scored = fit_hierarchy(inner, columns, label, trees).predict(val)
+        if inner is None:
+            beside = folds[(i + 1) % len(folds)]
+            val, rest = outer_train.where(F.col(fold) == beside), outer_train.where(F.col(fold) != beside)
+        else:
+            chosen = inner.where(F.col("outer_fold") == held).select(patient).distinct()
+            val, rest = outer_train.join(chosen, patient, "left_semi"), outer_train.join(chosen, patient, "left_anti")
+        sides.append((held, val, fit_hierarchy(rest, columns, label, trees), fit_hierarchy(outer_train, columns, label, trees)))
+    out = None
+    for held, val, first, final in sides:
+        scored = first.predict(val)
         t1 = _threshold(scored, label, "p_alarm", "stage1")
         alarms = scored.where(F.col(label) > 0).withColumn("_ictal", (F.col(label) == 2).cast("int"))
         t2 = _threshold(alarms, "_ictal", "p_ictal", "stage2") if not alarms.isEmpty() else 0.5
-        final = route(fit_hierarchy(outer_train, columns, label, trees).predict(features.where(F.col(fold) == held)), t1, t2)
-        part = final.withColumns({"outer_fold": F.lit(held), "t1": F.lit(t1), "t2": F.lit(t2)})
+        part = route(final.predict(features.where(F.col(fold) == held)), t1, t2).withColumns({"outer_fold": F.lit(held), "t1": F.lit(t1), "t2": F.lit(t2)})
         out = part if out is None else out.unionByName(part)
     return out

@@ -191,19 +191,18 @@ def alarm_decision(spark: SparkSession, d: str) -> DataFrame:
 def smoothing(spark: SparkSession, d: str) -> DataFrame:
     """Centred moving average of five by patient and time, edge values repeated, rows renormalised.
 
-    Frames must not cross a recording, so a recording is one window partition; they are dealt over tasks by patient.
+    Frames must not cross a recording: windows are by patient and hold five rows at a time; a patient's first and last rows
+    come from a grouped sum, not from a frame over the whole recording.
     """
-    p = predictions(spark, d)
-    order = Window.partitionBy("patient").orderBy("at", "l_orderkey", "l_linenumber", "p0", "p1", "p2", "truth")
-    whole = Window.partitionBy("patient").orderBy("at", "l_orderkey", "l_linenumber", "p0", "p1", "p2", "truth").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     half = 2
-    made = {}
-    place, size = F.row_number().over(order), F.count("*").over(Window.partitionBy("patient"))
-    before, after = F.greatest(F.lit(0), half + 1 - place), F.greatest(F.lit(0), place + half - size)
-    for c in ("p0", "p1", "p2"):
-        around = F.sum(c).over(order.rowsBetween(-half, half))
-        made[f"m{c}"] = (around + before * F.first(c).over(whole) + after * F.last(c).over(whole)) / (2 * half + 1)
-    s = p.withColumns(made)
+    keys = ["at", "l_orderkey", "l_linenumber", "p0", "p1", "p2", "truth"]
+    p = predictions(spark, d)
+    scores = F.struct("p0", "p1", "p2")
+    ends = p.groupBy("patient").agg(F.count("*").alias("size"), F.min_by(scores, F.struct(*keys)).alias("first"), F.max_by(scores, F.struct(*keys)).alias("last"))
+    order = Window.partitionBy("patient").orderBy(*keys)
+    near = p.withColumns({"place": F.row_number().over(order), **{f"s{c}": F.sum(c).over(order.rowsBetween(-half, half)) for c in ("p0", "p1", "p2")}}).join(ends, "patient")
+    before, after = F.greatest(F.lit(0), half + 1 - F.col("place")), F.greatest(F.lit(0), F.col("place") + half - F.col("size"))
+    s = near.withColumns({f"m{c}": (F.col(f"s{c}") + before * F.col(f"first.{c}") + after * F.col(f"last.{c}")) / (2 * half + 1) for c in ("p0", "p1", "p2")})
     total = F.col("mp0") + F.col("mp1") + F.col("mp2")
     return s.select("patient", "l_orderkey", "l_linenumber", *[r6(F.col(f"m{c}") / total).alias(f"{c}_smooth") for c in ("p0", "p1", "p2")])
 

@@ -26,3 +26,48 @@ def test_queries_use_the_full_trees_and_five_folds(spark, monkeypatch):
     assert [len(p) for _, p in seen] == [3, 4] * 5
     modelling.gbt_hierarchy(spark, SF)
     assert {(t.count, t.depth, t.rate, t.least) for t, _ in seen} == {(300, 4, 0.05, 5)}
+
+
+def test_nested_folds_with_given_inner_patients(spark):
+    """Five folds of 40 patients with string ids, eight of 32 as inner validation: 32/8 and 24/8, no overlap, each held out once."""
+    from pyspark.sql import functions as F
+
+    rows = [(f"p{i:02d}", i // 8, k, (i + k) % 3, float((i + k) % 3) + 0.1 * k, float(i)) for i in range(40) for k in range(6)]
+    t = spark.createDataFrame(rows, "patient string, fold int, k int, label int, a double, b double").coalesce(1).cache()
+    given = spark.createDataFrame([(f, f"p{i:02d}") for f in range(5) for i in [j for j in range(40) if j // 8 != f][f % 4 :: 4]], "outer_fold int, patient string")
+    seen = []
+    fit = B.fit_hierarchy
+
+    def spy(train, columns, label, trees=None):
+        model = fit(train, columns, label, trees)
+        seen.append(({r.patient for r in train.select("patient").distinct().collect()}, model, train.agg(F.avg("a"), F.stddev_pop("b")).first()))
+        return model
+
+    B.fit_hierarchy = spy
+    try:
+        out = B.nested_cv(t, ["a", "b"], "label", "patient", "fold", list(range(5)), B.Trees(2, 2, 0.3, 1.0, 1), given).collect()
+    finally:
+        B.fit_hierarchy = fit
+    assert sorted((r.patient, r.k) for r in out) == sorted((r[0], r[2]) for r in rows)
+    for f in range(5):
+        held, (inner, small, stats), (outer, whole, _) = {f"p{i:02d}" for i in range(40) if i // 8 == f}, *seen[2 * f : 2 * f + 2]
+        val = {r.patient for r in given.where(F.col("outer_fold") == f).collect()}
+        assert (len(outer), len(held), len(inner), len(val)) == (32, 8, 24, 8)
+        assert not outer & held and not inner & val and inner | val == outer
+        # the standardiser is that of its own training rows
+        assert abs(small.centre[0] - stats[0]) < 1e-9 and abs(small.spread[1] - stats[1]) < 1e-9 and whole.centre != small.centre
+        # thresholds are those that the inner validation rows ask for
+        mine = [r for r in out if r.outer_fold == f]
+        assert {r.patient for r in mine} == held and len({(r.t1, r.t2) for r in mine}) == 1
+        scored = small.predict(t.where(F.col("patient").isin(*val)))
+        assert mine[0].t1 == B._threshold(scored, "label", "p_alarm", "stage1")
+
+
+def test_a_stage_of_one_class_and_two_folds(spark):
+    import pytest
+
+    t = spark.createDataFrame([(i, i % 2, 0, float(i)) for i in range(12)], "patient long, fold int, label int, a double")
+    model = B.fit_hierarchy(t, ["a"], "label", B.Trees(1, 1))
+    assert {(r.p_alarm, r.p_ictal) for r in model.predict(t).collect()} == {(0.5, 0.5)}
+    with pytest.raises(ValueError, match="inner"):
+        B.nested_cv(t, ["a"], "label", "patient", "fold", [0, 1])
