@@ -198,3 +198,11 @@ def density(data: np.ndarray, rate: float, segment: int = 256) -> tuple[np.ndarr
     power = np.mean(parts, 0) / (rate * (window**2).sum())
     power[:, 1 : (n + 1) // 2] *= 2
     return power, rate / n
+
+
+def assemble_vectors(df: DataFrame, keys: list[str], channel: str, columns: list[str], channels: int) -> DataFrame:
+    """(keys, names, vector) of every window with all its channels: channel after channel, names <channel>__<feature>."""
+    own = F.struct(F.col(channel).alias("channel"), F.array(*columns).alias("values"))
+    whole = df.groupBy(*keys).agg(F.sort_array(F.collect_list(own)).alias("parts")).where(F.size("parts") == channels)
+    names = F.flatten(F.transform("parts", lambda p: F.array(*[F.concat(p["channel"].cast("string"), F.lit(f"__{c}")) for c in columns])))
+    return whole.select(*keys, names.alias("names"), F.flatten(F.transform("parts", lambda p: p["values"])).alias("vector"))

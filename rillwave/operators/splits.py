@@ -174,3 +174,18 @@ def cohort_table(rows: DataFrame, side: str, patient: str, label: str) -> DataFr
     """(side, patients, n_windows, pct_0, pct_1, pct_2, members)."""
     pct = [(100.0 * F.sum(F.when(F.col(label) == c, 1).otherwise(0)) / F.count("*")).alias(f"pct_{c}") for c in range(3)]
     return rows.groupBy(side).agg(F.countDistinct(patient).alias("patients"), F.count("*").alias("n_windows"), *pct, F.array_join(F.transform(F.sort_array(F.collect_set(patient)), lambda v: v.cast("string")), ";").alias("members"))
+
+
+def nested_leakage(held: DataFrame, inner: DataFrame, patient: str, fold: str, role: str = "role") -> DataFrame:
+    """(fold, rule, violations): patients on both inner sides, inner patients that the fold holds out, patients of the outer training side on neither.
+
+    held: (patient, fold), one row a patient of the cohort and fold that holds it out; inner: (fold, role, patient).
+    """
+    cohort, folds = held.select(patient).distinct(), held.select(fold).distinct()  # as many folds as there are splits
+    sides = inner.groupBy(fold, patient).agg(F.countDistinct(role).alias("_sides"))
+    out = held.select(fold, patient).distinct().withColumn("_held", F.lit(True))
+    all_ = cohort.crossJoin(F.broadcast(folds)).join(sides, [fold, patient], "left").join(out, [fold, patient], "left")
+    sides_, held_ = F.coalesce("_sides", F.lit(0)), F.coalesce("_held", F.lit(False))
+    rules = {"on both inner sides": sides_ > 1, "inner but held out": (sides_ > 0) & held_, "outer train on no inner side": (sides_ == 0) & ~held_}
+    sums = all_.groupBy(fold).agg(*[F.count(F.when(c, 1)).alias(n) for n, c in rules.items()])
+    return sums.select(fold, F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in rules])))

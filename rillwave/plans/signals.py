@@ -204,6 +204,9 @@ _MOMENT = lambda source: f"SELECT vec_id, list_aggregate(x,'skewness') AS skewne
 _FEATURES = f"""{_PSD}, fb AS (SELECT vec_id, {_BANDS} FROM psd GROUP BY vec_id), fe AS ({_ENT}), fh AS ({_hjorth_sql('z')}), fl AS ({_LINE('z')}), fm AS ({_MOMENT('z')}),
  ft AS (SELECT vec_id, delta, theta, alpha, beta, gamma, spectral_entropy, mobility AS hjorth_mobility, complexity AS hjorth_complexity, line_length, skewness, kurtosis FROM fb JOIN fe USING (vec_id) JOIN fh USING (vec_id) JOIN fl USING (vec_id) JOIN fm USING (vec_id))"""
 
+#: The features of every vector, for other queries' SQL.
+FEATURES_SQL = _FEATURES
+
 _MODES = {
     "a": "(v-m)/(s1+1e-6)", "b": "(v-m)/greatest(s1,1e-6)", "c": "(v-m)/CASE WHEN s0<1e-8 THEN 1 ELSE s0 END", "d": "CASE WHEN s0<1e-12 THEN 0 ELSE (v-m)/s0 END", "e": "(v-m)/(s0+1e-6)",
 }

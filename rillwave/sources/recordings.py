@@ -52,14 +52,17 @@ def read_intervals(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, path: str, pattern: str, first: int | None = None) -> DataFrame:
-    """(subject, recordings, bytes, has_summary) of a folder of subjects; contents are not read.
+    """(subject, recordings, bytes, has_summary, annotation, warning) of a folder of subjects; contents are not read.
 
-    `pattern` has the subject as group 1 and the file name as group 2; with `first`, only the first subjects in order.
+    `pattern` has the subject as group 1 and the file name as group 2. The annotation file of a subject is its (first)
+    summary; a subject without one stays, with a warning. Subjects without recordings go. With `first`, only the first
+    subjects in order.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     named = files.select(F.regexp_extract("path", pattern, 1).alias("subject"), F.regexp_extract("path", pattern, 2).alias("name"), "length").where("subject <> ''")
     summary = F.col("name").rlike(r"(?i)summary")
-    out = named.groupBy("subject").agg(F.sum(F.when(summary, 0).otherwise(1)).alias("recordings"), F.sum("length").alias("bytes"), F.max(summary).alias("has_summary")).where("recordings > 0")
+    sums = named.groupBy("subject").agg(F.sum(F.when(summary, 0).otherwise(1)).alias("recordings"), F.sum("length").alias("bytes"), F.max(summary).alias("has_summary"), F.min(F.when(summary, F.col("name"))).alias("annotation"))
+    out = sums.where("recordings > 0").withColumn("warning", F.when(~F.col("has_summary"), "no annotation file"))
     return out.orderBy("subject").limit(first) if first else out
 
 
@@ -80,6 +83,24 @@ def read_windows(df: DataFrame) -> DataFrame:
     return df.select(*rest, pick("epochs", "X").alias("signal"), label.alias("label"), pick("sfreq", "sampling_rate", default=F.lit(128.0)).cast("double").alias("rate"), F.coalesce(label.between(0, 2), F.lit(False)).alias("valid"))
 
 
+def window_problems(windows: DataFrame, declared: DataFrame, key: str) -> DataFrame:
+    """(key, n_windows, problem) of every declared set, from a table as `read_windows` gives it: no windows, as many signals as labels or not, labels outside 0 to 2; NULL if nothing is wrong."""
+    sums = windows.groupBy(key).agg(F.count("*").alias("n"), F.count("signal").alias("signals"), F.count("label").alias("labels"), F.count(F.when(F.col("label").isNotNull() & ~F.col("valid"), 1)).alias("strange"))
+    both = declared.select(key).distinct().join(sums, key, "left").withColumn("n_windows", F.coalesce("n", F.lit(0)))
+    problem = F.when(F.col("n_windows") == 0, "no windows").when(F.col("signals") != F.col("labels"), "counts differ").when(F.col("strange") > 0, "labels out of range")
+    return both.select(key, "n_windows", problem.alias("problem"))
+
+
+def accepted_windows(windows: DataFrame, declared: DataFrame, key: str, strict: bool = True) -> DataFrame:
+    """The windows of sets without a problem; if strict, any problem is an error instead."""
+    found = window_problems(windows, declared, key)
+    if strict:
+        bad = found.where("problem is not null").orderBy(key).limit(5).collect()
+        if bad:
+            raise ValueError("; ".join(f"{r[key]}: {r.problem}" for r in bad))
+    return windows.join(found.where("problem is null"), key, "left_semi")
+
+
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
     """(split_name, side, patient) of JSON split files; val is an alias of validation. A missing side or a patient listed twice is an error."""
     raw = spark.read.option("multiLine", True).json(path)
