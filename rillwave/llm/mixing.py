@@ -192,4 +192,5 @@ def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     taken = written(copies(documents, id_col, text_col, source_col, **options).where("copies > 0").select("uid", "copies").distinct(), "taken")
     # the row travels as one struct, so no name of its columns can meet ours
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), _unit(id_col, text_col, source_col).alias("uid"))
-    return rows.join(taken, "uid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    # a merge join at every size: the numbers of copies outgrow any broadcast, and rows of one unit can be split
+    return rows.join(taken.hint("merge"), "uid").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
