@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rillwave.functions.ordering import with_global_number
 from rillwave.operators import metrics as M
 
 from .tables import pred_sql, predictions, r6
@@ -191,18 +192,19 @@ def alarm_decision(spark: SparkSession, d: str) -> DataFrame:
 def smoothing(spark: SparkSession, d: str) -> DataFrame:
     """Centred moving average of five by patient and time, edge values repeated, rows renormalised.
 
-    Frames must not cross a recording: windows are by patient and hold five rows at a time; a patient's first and last rows
-    come from a grouped sum, not from a frame over the whole recording.
+    Frames must not cross a recording, and no task holds one: rows are numbered over ranges, cut into chunks, and the two rows
+    on either side of a cut go to both chunks. A frame that is short is at an end of its recording, so it holds the edge value.
     """
-    half = 2
+    half, chunk = 2, 1 << 14
     keys = ["at", "l_orderkey", "l_linenumber", "p0", "p1", "p2", "truth"]
-    p = predictions(spark, d)
-    scores = F.struct("p0", "p1", "p2")
-    ends = p.groupBy("patient").agg(F.count("*").alias("size"), F.min_by(scores, F.struct(*keys)).alias("first"), F.max_by(scores, F.struct(*keys)).alias("last"))
-    order = Window.partitionBy("patient").orderBy(*keys)
-    near = p.withColumns({"place": F.row_number().over(order), **{f"s{c}": F.sum(c).over(order.rowsBetween(-half, half)) for c in ("p0", "p1", "p2")}}).join(ends, "patient")
-    before, after = F.greatest(F.lit(0), half + 1 - F.col("place")), F.greatest(F.lit(0), F.col("place") + half - F.col("size"))
-    s = near.withColumns({f"m{c}": (F.col(f"s{c}") + before * F.col(f"first.{c}") + after * F.col(f"last.{c}")) / (2 * half + 1) for c in ("p0", "p1", "p2")})
+    rows = with_global_number(predictions(spark, d), [F.col(c) for c in ("patient", *keys)], "place")
+    part = lambda step: F.floor((F.col("place") + step) / chunk)
+    dealt = rows.withColumns({"own": part(0), "chunk": F.explode(F.array_distinct(F.array(part(-half), part(0), part(half))))})
+    order = Window.partitionBy("patient", "chunk").orderBy("place")
+    frame = order.rowsBetween(-half, half)
+    before, after = half - F.count("*").over(order.rowsBetween(-half, -1)), half - F.count("*").over(order.rowsBetween(1, half))
+    mean = lambda c: (F.sum(c).over(frame) + before * F.first(c).over(frame) + after * F.last(c).over(frame)) / (2 * half + 1)
+    s = dealt.withColumns({f"m{c}": mean(c) for c in ("p0", "p1", "p2")}).where("own = chunk")
     total = F.col("mp0") + F.col("mp1") + F.col("mp2")
     return s.select("patient", "l_orderkey", "l_linenumber", *[r6(F.col(f"m{c}") / total).alias(f"{c}_smooth") for c in ("p0", "p1", "p2")])
 
