@@ -255,8 +255,11 @@ class Model:
 
 
 def count_ngrams(train: DataFrame, text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """One row a bucket: bucket, words, tokens, hashes and counts of its words (packed), segment of the filter."""
-    n_buckets = buckets or max(64, 4 * partitions(train.sparkSession))
+    """One row a bucket: bucket, words, tokens, hashes and counts of its words (packed), segment of the filter.
+
+    There are at least as many buckets as half the partitions of the input, so the work of a bucket doesn't grow with the corpus.
+    """
+    n_buckets = buckets or max(64, 4 * partitions(train.sparkSession), train.rdd.getNumPartitions() // 2)
 
     @K.released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
