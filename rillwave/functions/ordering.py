@@ -56,3 +56,32 @@ def with_global_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]
 def with_global_number(df: DataFrame, order: list[Column], out: str = "row_no", partitions: int | None = None) -> DataFrame:
     """Adds the 0-based place of each row in the order."""
     return with_global_sums(df, order, {out: F.lit(1)}, partitions).withColumn(out, F.col(out) - 1)
+
+
+def with_group_sums(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column], partitions: int | None = None) -> DataFrame:
+    """Adds running sums (long) within each group, up to and with each row in the order, which must be total for unique results.
+
+    Rows are dealt to ranges of (group, order), so a group with most of the rows lies in many ranges. Each range sums its
+    piece of a group by itself; what earlier ranges hold of the same group is carried over. A range begins in the middle of
+    one group at most, so there are fewer carried rows than ranges. A null in the group is a value of its own.
+    """
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(f"`{c}`") for c in group]
+    values = {f"_value_{k}": F.coalesce(v.cast("long"), F.lit(0)) for k, v in sums.items()}
+    ranged = materialise(df.withColumns(values).repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()), "groups")
+    pieces = ranged.groupBy("_part", *keys).agg(*[F.sum(f"_value_{k}").alias(f"_base_{k}") for k in sums])
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = {k: f"_base_{k}" for k in sums}
+    carried = pieces.select(F.col("_part").alias("_in"), *[k.alias(f"_key_{i}") for i, k in enumerate(keys)], *[F.sum(b).over(before).alias(b) for b in bases.values()]).where(F.col(next(iter(bases.values()))).isNotNull())
+    within = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = F.col("_part") == F.col("_in")
+    for i, k in enumerate(keys):
+        same = same & k.eqNullSafe(F.col(f"_key_{i}"))
+    out = ranged.withColumns({k: F.sum(f"_value_{k}").over(within) for k in sums}).join(F.broadcast(carried), same, "left")
+    out = out.withColumns({k: F.col(k) + F.coalesce(F.col(b), F.lit(0)) for k, b in bases.items()})
+    return out.drop("_part", "_in", *values, *bases.values(), *[f"_key_{i}" for i in range(len(keys))])
+
+
+def with_group_number(df: DataFrame, group: list[str], order: list[Column], out: str = "row_no", partitions: int | None = None) -> DataFrame:
+    """Adds the 0-based place of each row within its group; no task holds a group."""
+    return with_group_sums(df, group, order, {out: F.lit(1)}, partitions).withColumn(out, F.col(out) - 1)
