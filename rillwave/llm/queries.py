@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, dedup, flac, html, lm, mixing, quality, secrets, tokens
+from . import chat, decontam, dedup, flac, html, lm, mixing, prefix_trie, quality, secrets, tokens
 from .shared import crc_bucket, table
 
 
@@ -62,6 +62,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("conv_id", "turn", "segment", (crc_bucket("conv_id", 5) == 0).alias("held_out"), "said", "rendered")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cube_mixing": op1_cube_mixing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -73,10 +77,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_flac_media": op9_flac_media,
     "op10_chat_formatting": op10_chat_formatting,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
 
+#: crc32 of the decimal c: eight shifts for each digit.
+_CRC = "xor(list_reduce([4294967295::BIGINT] || flatten([[256 + unicode(a), -1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[] FOR a IN string_split(c::VARCHAR, '')]), lambda acc, y: CASE WHEN y >= 0 THEN xor(acc, y - 256) ELSE xor(acc >> 1, 3988292384 * (acc & 1)) END), 4294967295)"
+
 ORACLES: dict[str, str] = {
     "op6_benchmark_decontamination": f"""WITH it AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
       win AS (SELECT DISTINCT item, w[s:least(s+9,len(w))] AS k FROM (SELECT item, w, unnest(range(1, greatest(2, len(w)-8))) AS s FROM it WHERE len(w)>0)),
@@ -87,4 +95,19 @@ ORACLES: dict[str, str] = {
       its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS h FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
       SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit,0)::BIGINT AS n_hit, coalesce(n_items,0)::BIGINT AS n_items, coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit,0)>0 AS contaminated
       FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op12_prefix_trie": f"""WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(r)||':'||r||x)) AS a, r, x
+        FROM (SELECT conv_id, turn, coalesce(role,'') AS r, coalesce(text,'') AS x FROM conversations)),
+      o AS (SELECT c, c - c % 5 AS f, {_CRC} % 9 AS h, count(*) AS own FROM t GROUP BY c),
+      k AS (SELECT o.c, o.f, o.h, least(o.h, coalesce(b.own, 0)) AS taken FROM o LEFT JOIN o b ON b.c = o.f),
+      r AS (SELECT k.c, t.a AS p, r, x FROM k JOIN t ON t.c = k.f AND t.a <= k.h
+        UNION ALL SELECT k.c, k.taken + t.a - k.h, r, x FROM k JOIN t ON t.c = k.c AND t.a > k.h),
+      l AS (SELECT k.c, list(md5(strlen(r)||':'||r||x) ORDER BY p) FILTER (p IS NOT NULL) AS s, list(strlen(x) ORDER BY p) FILTER (p IS NOT NULL) AS z FROM k LEFT JOIN r ON r.c = k.c GROUP BY k.c),
+      m AS (SELECT c, coalesce(s, []) AS s, coalesce(z, []) AS z, coalesce(len(s), 0) AS n FROM l),
+      e AS (SELECT c, n, d, array_to_string(s[1:d], '') AS u, array_to_string(s[1:d-1], '') AS v, CASE WHEN d > 0 THEN z[d] ELSE 0 END AS b FROM (SELECT *, unnest(range(0, n + 1)) AS d FROM m)),
+      g AS (SELECT d, u, any_value(v) AS v, min(c) AS conv, count(*) AS n_convs, any_value(b) AS b, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '') AS ends FROM e GROUP BY d, u),
+      w AS (SELECT d, v, count(*) AS n FROM g WHERE d > 0 GROUP BY d, v),
+      q AS (SELECT g.*, coalesce(w.n, 0) AS n_children FROM g LEFT JOIN w ON w.d = g.d + 1 AND w.v = g.u),
+      y AS (SELECT above, u, sum(leaf) AS n_leaves, sum(saved) AS saved FROM (SELECT unnest(range(0, d + 1)) AS above, u AS full_u, (n_children = 0)::INT AS leaf, (n_convs - 1) * b AS saved, u[1:32*above] AS u FROM q) GROUP BY above, u)
+      SELECT q.conv AS conv_id, q.d AS depth, p.conv AS parent_conv_id, q.n_convs, q.n_children, y.n_leaves::BIGINT AS n_leaves, y.saved::BIGINT AS saved_tokens, sha256(q.ends) AS ends_sha256
+      FROM q JOIN y ON y.above = q.d AND y.u = q.u LEFT JOIN g p ON p.d = q.d - 1 AND p.u = q.v""",
 }
