@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, dedup, flac, html, lm, mixing, prefix_trie, quality, secrets, tokens
+from . import chat, decontam, dedup, divergence, flac, html, lm, mixing, prefix_trie, quality, secrets, tokens
 from .shared import crc_bucket, table
 
 
@@ -62,6 +62,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("conv_id", "turn", "segment", (crc_bucket("conv_id", 5) == 0).alias("held_out"), "said", "rendered")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_flac_media": op9_flac_media,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_source_divergence": op11_source_divergence,
     "op12_prefix_trie": op12_prefix_trie,
 }
 
@@ -95,6 +100,19 @@ ORACLES: dict[str, str] = {
       its AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS h FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
       SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit,0)::BIGINT AS n_hit, coalesce(n_items,0)::BIGINT AS n_items, coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit,0)>0 AS contaminated
       FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op11_source_divergence": """WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang,'') AS lang, coalesce(source,'') AS source, coalesce(text,'') AS text FROM documents),
+      t AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text,'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM d),
+      k AS (SELECT lang, term, count(*) AS ln FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+      lv AS (SELECT lang, sum(ln) AS n, count(*) AS v FROM k GROUP BY lang),
+      c AS (SELECT t.lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY t.lang, source, term),
+      g AS (SELECT g.lang, g.source, coalesce(s.n, 0) AS n, coalesce(lv.v, 0) AS v FROM (SELECT DISTINCT lang, source FROM d) g
+        LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY lang, source) s USING (lang, source) LEFT JOIN lv USING (lang)),
+      p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.n + 5 * g.v) AS p, 1 + (1000000000::HUGEINT * (k.ln + 5)) // (lv.n + 5 * lv.v) AS q
+        FROM g JOIN k ON k.lang = g.lang JOIN lv ON lv.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+      s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+      x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE c > 0 AND p > q)
+      SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM x) WHERE part = 'pair' OR rank <= 50""",
     "op12_prefix_trie": f"""WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(r)||':'||r||x)) AS a, r, x
         FROM (SELECT conv_id, turn, coalesce(role,'') AS r, coalesce(text,'') AS x FROM conversations)),
       o AS (SELECT c, c - c % 5 AS f, {_CRC} % 9 AS h, count(*) AS own FROM t GROUP BY c),
