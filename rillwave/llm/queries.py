@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, dedup, divergence, flac, html, lm, mixing, prefix_trie, quality, secrets, tokens
+from . import chat, decontam, dedup, divergence, flac, html, language, lm, mixing, prefix_trie, quality, secrets, tokens
 from .shared import crc_bucket, table
 
 
@@ -70,6 +70,13 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(language.training_rows(docs))
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (crc_bucket("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_cube_mixing": op1_cube_mixing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -83,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": op10_chat_formatting,
     "op11_source_divergence": op11_source_divergence,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_language_id": op13_language_id,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
