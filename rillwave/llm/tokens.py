@@ -45,6 +45,8 @@ from .shared import partitions, shared_path
 END_ID = 2
 #: Slots of a task's memory of pieces; it is emptied when two thirds are taken.
 MEMORY_BITS = 20
+#: Bytes of texts in a shard, about.
+SHARD_BYTES = 256 << 20
 BATCH_TEXTS = 256
 BATCH_PIECES = 20_000
 NO_ID = -(1 << 63)
@@ -228,6 +230,9 @@ def pieces(w: K.Words, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     composition nor lower-casing makes one of these letters anything but a letter, so the tokenizer parts them too. After
     any other letter (U+0130 becomes two code points, the second of them a mark) a word stays whole.
     """
+    if not len(w):
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(len(w.first), np.int64)
     cut = w.stops.copy()
     live = np.flatnonzero(~whole)
     for _ in range(_MOST_TAIL):
@@ -236,8 +241,8 @@ def pieces(w: K.Words, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
         if not len(live):
             break
         cut[live] -= 1
-    last = w.raw[np.maximum(cut - 1, 0)] if len(w) else w.raw
-    before = w.raw[np.maximum(cut - 2, 0)] if len(w) else w.raw
+    last = w.raw[np.maximum(cut - 1, 0)]
+    before = w.raw[np.maximum(cut - 2, 0)]
     letter = (cut > w.starts) & _ALPHA[last] | (cut > w.starts + 1) & (before == 0xC3) & _LATIN[last]
     two = letter & (cut < w.stops)
     at = np.arange(len(w)) + np.cumsum(two) - two
@@ -281,7 +286,7 @@ def write_tokens(documents: DataFrame, folder: str, id_col: str = "doc_id", text
     """Write the corpus to `folder`; its index, one row a shard: shard, name, offsets, documents, ids, base, width (bytes an id)."""
     spark = documents.sparkSession
     path = vocabulary or vocabulary_path()
-    n = shards or partitions(spark)
+    n = shards or max(partitions(spark), -(-(documents.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // SHARD_BYTES))
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
     ranged = rows.repartitionByRange(n, F.col("id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie").select("id", "text")
 
