@@ -11,9 +11,11 @@ distinct words and pairs by bucket in one shuffle (one row a block and bucket, s
 hot key), and levels and exact counts go back to the block, where its texts are scored. Segments, levels and counts are the
 same on both ways, and so are the scores.
 
-Scoring: P(w | u) = (1 - L) P1(w) + L max(c(u, w) - D, 0) / c(u) with counts from the filter, P1 smoothed by 0.1, D an
-absolute discount: what the corpus has once is no evidence that it recurs, what it has twice is. The end token opens and
-closes every text. The base score uses the exact counts.
+Scoring: P(w | u) = (1 - L) P1(w) + L c(u, w) / c(u), for u that training has, with c(u, w) and the counts in P1 from the
+filter, P1 smoothed by 0.1 over the sum of such counts, and the exact c(u). All that follows a u adds up to c(u), so nothing is lost: but for the rounding
+of levels and the filter's false positives the probabilities of all words and one unknown add up to 1. The end token opens and
+closes every text. The base score uses the exact counts. Segments are cut by the bytes of the training texts, so scores depend
+on the texts alone, not on partitions or settings.
 
 Defined results: a null or empty text has the end token alone; with nothing to learn from, N and V are 0 and every token has
 probability 1; a null doc_id counts as the text '' in the held-out rule; a very long text is counted and scored whole, in
@@ -41,7 +43,9 @@ BASE = 1.6
 BITS, PROBES = 8, 4
 FILTER_BYTES = 16 << 20
 TABLE_WORDS = 1 << 20
-LAMBDA, DISCOUNT = 0.5, 0.9
+LAMBDA = 0.3
+#: Bytes of training texts for one bucket.
+BUCKET_BYTES = 16 << 20
 SMOOTH = 0.1
 END = K.U64(0x632BE59BD9B4E019)
 #: The filter and the pairs use the upper 44 bits of a hash: at 5 * 10^9 n-grams 0.03 % meet another, far under the filter's own errors.
@@ -230,6 +234,8 @@ class Model:
     filter: Held | None
     tokens: int
     words: int
+    #: The sum of the words' counts as their levels have them.
+    mass: float
 
     def score_texts(self, w: K.Words, found: Held | Answered) -> list[np.ndarray]:
         """n_tokens, n_known, base score and score of each text of a block."""
@@ -246,9 +252,9 @@ class Model:
         base = np.log10((exact + SMOOTH) / whole)
         single = count_of(found.word_levels(known))
         pair = count_of(found.pair_levels(pair_hash(before, seq)))
-        p1 = ((single + SMOOTH) / whole)[here]
-        history = single[there]
-        p2 = np.where(history > 0, np.minimum(1.0, np.maximum(pair - DISCOUNT, 0.0) / np.maximum(history, pair).clip(1.0)), 0.0)
+        p1 = ((single + SMOOTH) / (self.mass + SMOOTH * (self.words + 1)))[here]
+        history = exact[there]
+        p2 = np.minimum(1.0, pair / np.maximum(history, 1))
         lam = np.where(history > 0, LAMBDA, 0.0)
         score = np.log10((1 - lam) * p1 + lam * p2)
         return [n, np.add.reduceat((exact > 0).astype(np.int64)[here], heads), np.add.reduceat(base[here], heads), np.add.reduceat(score, heads)]
@@ -257,10 +263,10 @@ class Model:
 def count_ngrams(train: DataFrame, text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """One row a bucket: bucket, words, tokens, hashes and counts of its words (packed), segment of the filter.
 
-    There are at least as many buckets as half the partitions of the input, so the work of a bucket doesn't grow with the corpus.
-    Another number of buckets marks other bits, so it moves scores a little (1 in 10,000 at 1,000 texts), never exact counts.
+    Buckets are as many as the bytes of the texts ask for, so the work of one doesn't grow with the corpus. Another number of
+    buckets would mark other bits and so move scores (false positives), never exact counts.
     """
-    n_buckets = buckets or max(64, 4 * partitions(train.sparkSession), train.rdd.getNumPartitions() // 2)
+    n_buckets = buckets or max(64, -(-(train.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // BUCKET_BYTES))
 
     @K.released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,22 +303,23 @@ def count_ngrams(train: DataFrame, text_col: str = "text", buckets: int | None =
         word, count = _merged(parts[0])
         pair, times = _merged(parts[1])
         segment = build_segment(np.concatenate((word, pair)), np.concatenate((count, times)))
-        row = (table.column("bucket")[0].as_py(), len(word), int(count.sum()), word.tobytes(), _narrow(count), segment)
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["bucket", "words", "tokens", "hashes", "counts", "segment"])
+        mass = float(count_of(levels_of(count)).sum()) if len(count) else 0.0
+        row = (table.column("bucket")[0].as_py(), len(word), int(count.sum()), mass, word.tobytes(), _narrow(count), segment)
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["bucket", "words", "tokens", "mass", "hashes", "counts", "segment"])
 
     sent = train.select(text_col).mapInArrow(count, "bucket int, kind int, hashes binary, counts binary")
-    return written(sent.groupBy("bucket").applyInArrow(merge, "bucket int, words long, tokens long, hashes binary, counts binary, segment binary"), "ngrams").withColumn("buckets", F.lit(n_buckets))
+    return written(sent.groupBy("bucket").applyInArrow(merge, "bucket int, words long, tokens long, mass double, hashes binary, counts binary, segment binary"), "ngrams").withColumn("buckets", F.lit(n_buckets))
 
 
 def load_model(ngrams: DataFrame, filter_bytes: int = FILTER_BYTES, table_words: int = TABLE_WORDS) -> Model:
     """The totals, and the filter with the exact counts where they have at most filter_bytes and table_words entries."""
-    total = ngrams.agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words"), F.sum(F.length("segment")).alias("size")).first()
+    total = ngrams.agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words"), F.sum("mass").alias("mass"), F.sum(F.length("segment")).alias("size")).first()
     empty = np.zeros(0, np.int64)
     if total.tokens is None:
-        return Model(Held(LogFrequencyFilter(np.zeros(0, np.uint8), empty, empty), np.zeros(0, np.uint64), empty), 0, 0)
+        return Model(Held(LogFrequencyFilter(np.zeros(0, np.uint8), empty, empty), np.zeros(0, np.uint64), empty), 0, 0, 0.0)
     if total.size > filter_bytes or total.words > table_words:
-        return Model(None, total.tokens, total.words)
+        return Model(None, total.tokens, total.words, total.mass)
     rows = sorted(ngrams.select("bucket", "segment", "buckets", "hashes", "counts").collect(), key=lambda r: r.bucket)  # bounded just now
     size = np.zeros(rows[0].buckets, np.int64)
     for r in rows:
@@ -320,7 +327,7 @@ def load_model(ngrams: DataFrame, filter_bytes: int = FILTER_BYTES, table_words:
     data = np.frombuffer(b"".join(r.segment for r in rows), np.uint8)
     # buckets are ranges of hashes, so their words are in order
     words, counts = np.concatenate([np.frombuffer(r.hashes, np.uint64) for r in rows]), np.concatenate([_wide(r.counts) for r in rows])
-    return Model(Held(LogFrequencyFilter(data, np.cumsum(size) - size, size * 8), words, counts), total.tokens, total.words)
+    return Model(Held(LogFrequencyFilter(data, np.cumsum(size) - size, size * 8), words, counts), total.tokens, total.words, total.mass)
 
 
 def _ngrams_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
