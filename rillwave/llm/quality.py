@@ -142,7 +142,10 @@ def dual_coordinate_descent(cols: list[np.ndarray], y: np.ndarray, ratio: np.nda
 
 
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, dims: int = DIMS) -> QualityModel:
-    """Learn from at most `max_rows` labelled rows; callers leave held-out rows out of `labels`."""
+    """Learn from at most `max_rows` labelled rows; callers leave held-out rows out of `labels`.
+
+    Of the rows that share an id one is learned from, that of the text with the least hash.
+    """
     # the join below sends at most max_rows pairs of an id and a label
     sample = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -152,7 +155,10 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         .groupBy("_id")
         .agg(F.round(F.avg("_y")).cast("int").alias("_y"))
     )
-    chosen = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_y", "_text")
+    chosen = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
+    # one row an id, so no more rows than ids are collected, however often an id occurs
+    order = F.struct(F.xxhash64("_text"), F.coalesce("_text", F.lit("")))
+    chosen = chosen.groupBy("_id", "_y").agg(F.min_by("_text", order).alias("_text"))
 
     @K.released
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
