@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillwave.functions.ordering import with_global_sums
+from rillwave.functions.arrays import let
+from rillwave.functions.ordering import with_global_sums, with_group_number
 
 from .shared import crc_bucket, partitions, written
 
@@ -129,16 +130,18 @@ def fit(labelled: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         for r in lines.groupBy(state.alias("s"), F.col(k).alias("v")).count().collect():  # states times values
             if 0 <= r.v < m:
                 show[k][r.s, r.v] += r["count"]
-    rows = narrow.select("ckey", "turn", "role", F.size(F.split("text", "\n", -1)).alias("n"))
-    ahead = rows.select("ckey", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"))
-    met = rows.join(ahead, ["ckey", "turn"], "left").groupBy("role", "next").agg(F.count("*").alias("rows"), F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("long"), F.sum(F.greatest(F.lit(0), F.col("n") - 2)).alias("stays"))
+    rows = narrow.select("ckey", "turn", "thash", "role", F.size(F.split("text", "\n", -1)).alias("n"))
+    # each row meets the one that follows it in the total order, however often a turn's number occurs
+    rows = written(with_group_number(rows, ["ckey"], [F.col("turn"), F.col("thash")], "at"), "turns")
+    ahead = rows.select("ckey", (F.col("at") - 1).alias("at"), F.col("role").alias("next"))
+    met = rows.join(ahead, ["ckey", "at"], "left").groupBy("role", "next").agg(F.count("*").alias("rows"), F.sum(F.when(F.col("n") > 1, 1).otherwise(0)).alias("long"), F.sum(F.greatest(F.lit(0), F.col("n") - 2)).alias("stays"))
     for r in met.collect():  # roles times roles
         move[2 * r.role, 2 * r.role + 1] += r.long
         move[2 * r.role + 1, 2 * r.role + 1] += r.stays
         if r.next is not None:
             move[2 * r.role + 1, 2 * r.next] += r.long
             move[2 * r.role, 2 * r.next] += r.rows - r.long
-    heads = rows.groupBy("ckey").agg(F.min_by("role", "turn").alias("role")).groupBy("role").count()
+    heads = rows.where("at = 0").groupBy("role").count()
     for r in heads.collect():
         start[2 * r.role] += r["count"]
     return Model(start, move, show)
@@ -338,11 +341,21 @@ def parse_transcripts(turns: DataFrame, model: Model, conv_col: str = "conv_id",
     keyed = _keyed(turns, conv_col, turn_col, text_col, None)
     # written, so that a row repeated very often can be split in the join
     found = written(recover_roles(_narrow(keyed), model, block_turns), "roles")
-    joined = keyed.drop("role").join(found, ["ckey", "turn", "thash"])
-    role = F.element_at(F.array(*[F.lit(r) for r in ROLES]), F.col("said") + 1)
-    part = F.array_join(F.slice(F.split("text", "\n", -1), F.col("from_line") + 1, F.col("n_lines")), "\n")
-    made = {"segment": F.col("segment"), "said": role, "rendered": render(role, part)}
-    return joined.select(*[F.col("row").getField(c).alias(c) for c in turns.columns if c not in made], *[v.alias(k) for k, v in made.items()])
+    # a row's segments come as one array, so its text is carried and cut into lines once
+    held = found.groupBy("ckey", "turn", "thash").agg(F.collect_list(F.struct("segment", "said", "from_line", "n_lines")).alias("found"))
+    joined = keyed.drop("role").join(held, ["ckey", "turn", "thash"])
+    name = F.array(*[F.lit(r) for r in ROLES])
+
+    def shown(lines: Column) -> Column:
+        def one(s: Column) -> Column:
+            role = F.element_at(name, s["said"] + 1)
+            return F.struct(s["segment"].alias("segment"), role.alias("said"), render(role, F.array_join(F.slice(lines, s["from_line"] + 1, s["n_lines"]), "\n")).alias("rendered"))
+
+        return F.transform("found", one)
+
+    made = ("segment", "said", "rendered")
+    each = joined.select("row", F.explode(let(F.split("text", "\n", -1), shown)).alias("made"))
+    return each.select(*[F.col("row").getField(c).alias(c) for c in turns.columns if c not in made], *[F.col("made").getField(c).alias(c) for c in made])
 
 
 def training_rows(turns: DataFrame, conv_col: str = "conv_id", modulus: int = 5, held_out: int = 0) -> DataFrame:
