@@ -19,7 +19,7 @@ gives no rows; extra columns, whatever their names, are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -120,9 +120,13 @@ def find_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = written(rows, "spans")
 
     hit = rows.where(F.size("weak") > 0).dropDuplicates(["key"])
-    # a weak span that overlaps a strong one is that strong one
-    overlaps = F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    spans = hit.select("key", F.explode(F.concat("base", overlaps)).alias("s")).select("key", "s.start", "s.kind", "s.end")
+    # a weak span that overlaps a strong one is that strong one: the strong spans that begin before its end reach beyond its
+    # start. They are met in one running maximum a text, weak spans standing at their ends
+    strong_kind = F.element_at(F.array(*[F.lit(k[3]) for k in KINDS]), F.col("kind") + 1)
+    every = hit.select("key", F.explode(F.concat("base", "weak")).alias("s")).select("key", "s.start", "s.kind", "s.end").withColumn("strong", strong_kind)
+    before = Window.partitionBy("key").orderBy(F.when(F.col("strong"), F.col("start")).otherwise(F.col("end")), "strong").rowsBetween(Window.unboundedPreceding, 0)
+    reach = F.max(F.when(F.col("strong"), F.col("end"))).over(before)
+    spans = every.withColumn("reach", reach).where(F.col("strong") | (F.coalesce("reach", F.lit(-1)) <= F.col("start"))).select("key", "start", "kind", "end")
     linked = _linked(written(spans, "candidates"), scope).groupBy("key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("linked"))
     # only rows with candidates meet the links: the many others have no key and would all go to one task
     some = F.size("weak") > 0

@@ -196,14 +196,15 @@ def test_language_model_scores_against_brute_force(monkeypatch):
         return (own[0] + own[-1]) / 2 if c else 0.0
 
     n, v = sum(single.values()), len(single)
+    mass = sum(map(held, single.values()))
 
     def score(t):
         out, before = 0.0, "\0"
         for w in [*[x.translate(LOW) for x in words(t)], "\0"]:
-            p = (held(single[w]) + lm.SMOOTH) / (n + lm.SMOOTH * (v + 1))
-            h, pair = held(single[before]), held(double[before, w])
+            p = (held(single[w]) + lm.SMOOTH) / (mass + lm.SMOOTH * (v + 1))
+            h, pair = single[before], held(double[before, w])
             if h:
-                p = (1 - lm.LAMBDA) * p + lm.LAMBDA * min(1.0, max(0.0, pair - lm.DISCOUNT) / max(h, pair, 1.0))
+                p = (1 - lm.LAMBDA) * p + lm.LAMBDA * min(1.0, pair / h)
             out, before = out + math.log10(p), w
         return out
 
@@ -217,9 +218,69 @@ def test_language_model_scores_against_brute_force(monkeypatch):
     seq, before, _ = lm._sequence(block([t for _, t in train_rows]))
     (word, count), (pair, times) = K.distinct(seq, counts=True), K.distinct(lm.pair_hash(before, seq), counts=True)
     data = np.frombuffer(lm.build_segment(np.concatenate((word, pair)), np.concatenate((count, times))), np.uint8)
-    model = lm.Model(lm.Held(lm.LogFrequencyFilter(data, np.zeros(1, np.int64), np.array([8 * len(data)])), word, count), n, v)
+    model = lm.Model(lm.Held(lm.LogFrequencyFilter(data, np.zeros(1, np.int64), np.array([8 * len(data)])), word, count), n, v, mass)
     got = model.score_texts(block([t for _, t in asked]), model.filter)[3]
     assert got.tolist() == pytest.approx([score(t) for _, t in asked], abs=1e-9)
+    # after each history the probabilities of all words and one unknown add up to 1, but for the rounding of levels
+    every = sorted(single) + ["unknown"]
+    sums = []
+    for h in ("the", "of", "and", "\0", "unknown"):
+        p1 = {w: (held(single[w]) + lm.SMOOTH) / (mass + lm.SMOOTH * (v + 1)) for w in every}
+        sums.append(sum((1 - lm.LAMBDA) * p1[w] + lm.LAMBDA * held(double[h, w]) / single[h] if single[h] else p1[w] for w in every))
+    assert sums == pytest.approx([1.0] * 5, abs=0.06)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs, train = lm.split(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    got = []
+    for n in ("8", "200"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(sorted((r.doc_id, r.score) for r in lm.score_texts(docs.repartition(int(n)), train.repartition(int(n) // 4), keep=["doc_id"]).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1]
+
+
+def test_blank_texts_have_the_end_id_alone(spark):
+    for texts in (["\n\n"], ["\n\n", "a b", " " * 3000000, ""]):
+        got = tokens.token_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)).collect()
+        assert {r.doc_id: r.n_tokens for r in got} == {i: 3 if t == "a b" else 1 for i, t in enumerate(texts)}
+
+
+def test_quality_learns_from_one_row_of_an_id(spark):
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).unionByName(spark.createDataFrame([(2, "bad spam")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    taken = []
+    real = quality.dual_coordinate_descent
+    quality.dual_coordinate_descent = lambda cols, *a, **b: (taken.append(len(cols)), real(cols, *a, **b))[1]
+    try:
+        quality.fit(docs, labels)
+    finally:
+        quality.dual_coordinate_descent = real
+    assert taken == [2]
+
+
+def test_chat_counts_true_successors(spark):
+    roles = ["user", "assistant", "user", "assistant"]
+    rows = [(7, t % 4, roles[t % 4], f"line {t}") for t in range(4000)]
+    model = chat.fit(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    # 3,999 moves and no more: within turns 0 and 2 users follow users, three times assistants and users meet
+    move = np.exp(model.move)
+    user, assistant = 2, 4
+    assert move[user, user] > 0.85 * 0.9 and move[assistant, assistant] > 0.85 * 0.9
+    model = chat.fit(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    many = chat.parse_transcripts(spark.createDataFrame([(1, 0, "\n".join(f"user: a\nassistant: b {i}" for i in range(200)))], "conv_id long, turn long, text string"), model).collect()
+    assert len(many) == 400 and {r.said for r in many} == {"user", "assistant"}
+
+
+def test_many_hits_in_one_text(spark):
+    import time
+
+    text = " ".join(f'password = "abcdefgh{i}" user_name=usr{i} AKIA{i:016d}' for i in range(5400))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    (row,) = secrets.digest(secrets.find_secrets(df)).collect()
+    assert row.n_assign == row.n_access == 5400 and row.spans.count("ident") == 5400 and "short" not in row.spans
+    assert time.perf_counter() - began < 30
 
 
 def test_decontamination_against_brute_force(spark, docs, empty):
