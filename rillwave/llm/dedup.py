@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import written
+from .shared import unused, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -384,8 +384,14 @@ def _across(left: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
-    """The rows of `documents` without the near copies: the row with the least id of each class stays, once."""
+    """The rows of `documents` without the near copies: the row with the least id of each class stays, once.
+
+    Of rows with one id but unlike texts that with the least hash of its text stays (equal hashes: the least text), if none of
+    them belongs to the class of a lesser id.
+    """
     classes = near_duplicate_classes(documents, id_col, text_col, **options)
     lost = classes.where(~F.col("is_kept") & F.col(id_col).isNotNull()).select(id_col).distinct()
     rest = documents.join(lost, id_col, "left_anti")
-    return rest.where(F.col(id_col).isNull()).unionByName(rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    key, order, row = unused(rest, "key"), F.struct(F.xxhash64(text_col), F.coalesce(text_col, F.lit(""))), F.struct(*[F.col(f"`{c}`") for c in rest.columns])
+    first = rest.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(key)).agg(F.min_by(row, order).alias("row"))
+    return rest.where(F.col(id_col).isNull()).unionByName(first.select(*[F.col("row").getField(c).alias(c) for c in rest.columns]))
