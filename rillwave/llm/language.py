@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from .shared import crc_bucket
 
 TEXTS = 256
+#: Parts of the hashes in which a sample is drawn first.
+PARTS = 64
 #: Characters of one automaton, and of all together.
 EACH, CHARS = 1 << 14, 1 << 19
 SYMBOLS, OWN = 64, 48
@@ -183,8 +185,10 @@ def phrases(own: Automata, symbol_of: np.ndarray, texts: list[str], steps: int =
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", texts: int = TEXTS, each: int = EACH, chars: int = CHARS) -> Automata:
     """Automata of the languages of labelled rows. Windows of at most `texts` distinct texts a language, the least by hash, are collected."""
     rows = labelled.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = rows.select("lang", "h").distinct().withColumn("n", order).where(F.col("n") <= texts).drop("n")
+    # the least of each part of the hashes first, so a language's last choice is among `PARTS` times `texts` rows
+    part = F.pmod("h", F.lit(PARTS))
+    least = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy("lang", *by).orderBy("h"))).where(F.col("n") <= texts).drop("n")
+    chosen = least(least(rows.select("lang", "h").distinct(), part))
     window = max(1, 4 * each // texts)
     begin = F.pmod("h", F.greatest(F.lit(1), F.length("text") - window + 1)).cast("int") + 1
     windows = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", F.substring("text", begin, F.lit(window)).alias("part")).groupBy("lang", "h").agg(F.min("part").alias("part"))
