@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillwave.functions.arrays import let
+
 from .shared import written
 
 SCOPE = 256
@@ -68,10 +70,14 @@ def _places(text: Column, kind: int, pattern: str) -> Column:
     found = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(hits, F.length).alias("hit"), taken.alias("taken"))
 
     # running sums in two levels: spans are gathered within pieces, and pieces begin where those before them end
-    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.size(found) / PIECE).cast("int")), lambda c: F.slice(found, c * PIECE + 1, PIECE))
     long = F.lit(0).cast("long")
-    lengths = F.transform(pieces, lambda p: F.aggregate(p, long, lambda n, x: n + x["gap"] + x["hit"]))
-    bases = F.aggregate(lengths, F.array(long), lambda b, n: F.concat(b, F.array(F.element_at(b, -1) + n)))
+
+    def cut(hits: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(hits) / PIECE).cast("int")), lambda c: F.slice(hits, c * PIECE + 1, PIECE))
+
+    def bases(pieces: Column) -> Column:
+        lengths = F.transform(pieces, lambda p: F.aggregate(p, long, lambda n, x: n + x["gap"] + x["hit"]))
+        return F.aggregate(lengths, F.array(long), lambda b, n: F.concat(b, F.array(F.element_at(b, -1) + n)))
 
     def add(state: Column, x: Column) -> Column:
         start = state["at"] + x["gap"]
@@ -79,8 +85,11 @@ def _places(text: Column, kind: int, pattern: str) -> Column:
         span = F.when(x["taken"], F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))).otherwise(F.array().cast(_SPAN))
         return F.struct(end.alias("at"), F.concat(state["spans"], span).alias("spans"))
 
-    spans = F.transform(pieces, lambda p, i: F.aggregate(p, F.struct(F.element_at(bases, i + 1).alias("at"), F.array().cast(_SPAN).alias("spans")), add)["spans"])
-    return F.flatten(spans)
+    def placed(pieces: Column, begin: Column) -> Column:
+        return F.transform(pieces, lambda p, i: F.aggregate(p, F.struct(F.element_at(begin, i + 1).alias("at"), F.array().cast(_SPAN).alias("spans")), add)["spans"])
+
+    # each step is bound once: inside a lambda the hits would be searched for again, piece by piece
+    return F.flatten(let(found, lambda hits: let(cut(hits), lambda pieces: let(bases(pieces), lambda begin: placed(pieces, begin)))))
 
 
 def _joined(spans: Column) -> Column:
