@@ -38,6 +38,8 @@ VOCABULARY, PROBE = 1 << 20, 64
 BLOCK, TILE = 8192, 128
 #: Bytes of texts cut into terms at a time.
 SLICE = 1 << 22
+#: Cells of document vectors that a task adds up before it sends the sums.
+HELD = 1 << 22
 #: A term that no text can hold: without it a corpus of no frequent terms could not be fitted.
 _NONE = "\x00"
 _IS_TERM = np.array([b >= 0x80 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A for b in range(256)])
@@ -45,14 +47,13 @@ _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.u
 
 
 def _probed(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """One in `PROBE` terms, by a hash of their bytes."""
-    if not len(starts):
-        return np.zeros(0, bool)
-    at = np.arange(len(data), dtype=np.uint64) - np.repeat(starts, lengths).astype(np.uint64)
-    mixed = (data.astype(np.uint64) + np.uint64(1)) * (at * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03))
-    mixed ^= mixed >> np.uint64(29)
-    total = np.add.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), starts)
-    return ((total ^ (total >> np.uint64(32))) >> np.uint64(7)) % np.uint64(PROBE) == 0
+    """One in about `PROBE` terms, by their length and four of their bytes."""
+    last = starts + lengths - 1
+    mixed = lengths.astype(np.uint32)
+    for at in (starts, last, starts + lengths // 2, starts + lengths // 3):
+        mixed = (mixed ^ data[at]) * np.uint32(0x9E3779B1)
+        mixed ^= mixed >> np.uint32(15)
+    return mixed % np.uint32(PROBE) == 0
 
 
 def qualified_terms(langs: pa.StringArray, texts: pa.StringArray) -> tuple[pa.ListArray, pa.ListArray]:
@@ -96,14 +97,38 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("source"), terms, probe], names=["lang", "source", "terms", "probe"])
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the vectors of each (lang, source), `HELD` cells at a time."""
+    known: dict[tuple, int] = {}
+    held: list[pa.Table] = []
+    size = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        sums = pa.concat_tables(held).group_by(["group", "term"], use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+        names = [pa.array([k[i] for k in known], pa.string()) for i in (0, 1)]
+        held.clear()
+        yield from pa.table([*(n.take(sums.column("group").combine_chunks()) for n in names), sums.column("term"), sums.column("n_sum")], names=["lang", "source", "term", "n"]).to_batches()
+
+    for batch in batches:
+        code = [known.setdefault(k, len(known)) for k in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)]
+        group = np.repeat(np.array(code, np.int32), pc.list_value_length(batch.column("indices")).to_numpy(zero_copy_only=False))
+        held.append(pa.table({"group": group, "term": batch.column("indices").flatten(), "n": batch.column("values").flatten()}))
+        size += len(group)
+        if size > HELD:
+            yield from flush()
+            size = 0
+    if held:
+        yield from flush()
+
+
 def _counts(cut: DataFrame, rounds: int, k: int, min_df: int) -> tuple[DataFrame, DataFrame]:
     """(lang, source, term, n) of the kept terms of one round, and (term, name) of its vocabulary."""
     spark = cut.sparkSession
     own = cut if rounds == 1 else cut.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(rounds)) == k))
     never = spark.range(min_df).select(F.array(F.lit(_NONE)).alias("terms"))
     model = CountVectorizer(inputCol="terms", outputCol="counts", minDF=float(min_df), vocabSize=2**31 - 1).fit(own.select("terms").unionByName(never))
-    vectors = model.transform(own).select("lang", "source", F.unwrap_udt("counts").alias("v"))
-    cells = vectors.select("lang", "source", F.inline(F.arrays_zip(F.col("v.indices").alias("term"), F.col("v.values").alias("n"))))
+    vectors = model.transform(own).select("lang", "source", F.unwrap_udt("counts").alias("v")).select("lang", "source", "v.indices", "v.values")
+    cells = vectors.mapInArrow(_summed, "lang string, source string, term int, n double")
     base = k << 32
     summed = cells.groupBy("lang", "source", "term").agg(F.sum("n").cast("long").alias("n")).withColumn("term", F.col("term").cast("long") + base)
     words = model.vocabulary  # about VOCABULARY terms

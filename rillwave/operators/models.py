@@ -1,39 +1,23 @@
-"""A two-stage boosted-tree hierarchy on MLlib, and its nested patient-wise cross-validation.
+"""A two-stage boosted-tree hierarchy, and its nested patient-wise cross-validation.
 
-Stage one tells alarms (label > 0) from the rest, stage two ictal from pre-ictal among the alarms. Features are standardised
-by training rows only (population deviation; under 1e-8 counts as 1).
+Stage one tells alarms (label > 0) from the rest, stage two ictal from pre-ictal among the alarms. All stages of all parts of a
+cross-validation are boosted together, in shared passes over the rows (see `boosting`).
 
-A boosted tree is a chain of short jobs, so one fit leaves most of a cluster idle: fits are handed to `PARALLEL` driver
-threads and met where they are used, and a nested cross-validation has all of its fits under way together.
+Each part keeps the standardiser of its own training rows (population deviation; under 1e-8 counts as 1). A tree asks only
+whether a value reaches a cut point, which no standardiser changes, so the trees read the values as they are.
 """
 
 from __future__ import annotations
 
-from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics as M
-
-PARALLEL = 8
-_pool = ThreadPoolExecutor(PARALLEL, thread_name_prefix="booster")
-
+from rillwave.functions.ordering import materialise
 
-@dataclass
-class Trees:
-    """Sizes of the boosters; `least` is the number of rows a leaf needs."""
-
-    count: int = 300
-    depth: int = 4
-    rate: float = 0.05
-    sample: float = 0.8
-    least: int = 5
-    seed: int = 42
+from . import metrics as M
+from .boosting import Booster, Trees, fit_many, with_probabilities
 
 
 @dataclass
@@ -41,32 +25,27 @@ class Hierarchy:
     columns: list[str]
     centre: list[float]
     spread: list[float]
-    alarm: Future[GBTClassificationModel | None]
-    ictal: Future[GBTClassificationModel | None]
-
-    def _vectors(self, df: DataFrame) -> DataFrame:
-        made = standardised(df, self.columns, self.centre, self.spread, [f"_z{i}" for i in range(len(self.columns))])
-        names = [f"_z{i}" for i in range(len(self.columns))]
-        return VectorAssembler(inputCols=names, outputCol="_features").transform(made).drop(*names)
+    alarm: Booster
+    ictal: Booster
 
     def predict(self, df: DataFrame) -> DataFrame:
         """df with p_alarm and p_ictal (given an alarm) for every row; a stage that had one class only answers 0.5."""
-        out = self._vectors(df)
-        for fit, name in ((self.alarm, "p_alarm"), (self.ictal, "p_ictal")):
-            model = fit.result()
-            if model is None:
-                out = out.withColumn(name, F.lit(0.5))
-            else:
-                out = model.transform(out).withColumn(name, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
-        return out.drop("_features")
+        out = with_probabilities(df, self.columns, [self.alarm, self.ictal], "_p")
+        return out.withColumns({"p_alarm": F.col("_p")[0], "p_ictal": F.col("_p")[1]}).drop("_p")
 
 
 def standardiser(train: DataFrame, columns: list[str]) -> tuple[list[float], list[float]]:
     """Mean and population deviation of each column; a deviation under 1e-8 counts as 1, a column without values has mean 0."""
-    # two numbers a column
-    s = train.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
-    centre = [s[f"m{i}"] or 0.0 for i in range(len(columns))]
-    return centre, [s[f"s{i}"] if (s[f"s{i}"] or 0.0) >= 1e-8 else 1.0 for i in range(len(columns))]
+    return standardisers(train, columns, [F.lit(True)])[0]
+
+
+def standardisers(rows: DataFrame, columns: list[str], parts: list[Column]) -> list[tuple[list[float], list[float]]]:
+    """The standardiser of the rows of each part, in one pass."""
+    own = {(k, i): F.when(p, F.col(c)) for k, p in enumerate(parts) for i, c in enumerate(columns)}
+    # two numbers a part and column
+    s = rows.agg(*[F.avg(v).alias(f"m{k}_{i}") for (k, i), v in own.items()], *[F.stddev_pop(v).alias(f"s{k}_{i}") for (k, i), v in own.items()]).first()
+    each = range(len(columns))
+    return [([s[f"m{k}_{i}"] or 0.0 for i in each], [s[f"s{k}_{i}"] if (s[f"s{k}_{i}"] or 0.0) >= 1e-8 else 1.0 for i in each]) for k in range(len(parts))]
 
 
 def standardised(df: DataFrame, columns: list[str], centre: list[float], spread: list[float], out: list[str] | None = None) -> DataFrame:
@@ -74,26 +53,17 @@ def standardised(df: DataFrame, columns: list[str], centre: list[float], spread:
     return df.withColumns({o: (F.col(c) - m) / s for o, c, m, s in zip(out or columns, columns, centre, spread, strict=True)})
 
 
+def fit_hierarchies(rows: DataFrame, columns: list[str], label: str, parts: list[Column], trees: Trees | None = None) -> list[Hierarchy]:
+    """Both stages of each part, whose training rows are those that meet its condition."""
+    y = F.col(label)
+    stages = [stage for p in parts for stage in ((p & y.isNotNull(), y > 0), (p & (y > 0), y == 2))]
+    fitted = fit_many(rows, columns, stages, trees)
+    scales = standardisers(rows, columns, parts)
+    return [Hierarchy(columns, *scales[k], fitted[2 * k], fitted[2 * k + 1]) for k in range(len(parts))]
+
+
 def fit_hierarchy(train: DataFrame, columns: list[str], label: str, trees: Trees | None = None) -> Hierarchy:
-    """Both stages, under way when this returns."""
-    trees = trees or Trees()
-    centre, spread = standardiser(train, columns)
-    model = Hierarchy(columns, centre, spread, Future(), Future())
-    rows = model._vectors(train).select("_features", F.col(label).alias("_label"))
-    # long chains of trees need their lineage cut, where there is a folder for it
-    cut = 10 if train.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else -1
-    booster = GBTClassifier(
-        featuresCol="_features", labelCol="_y", maxIter=trees.count, maxDepth=trees.depth, stepSize=trees.rate, subsamplingRate=trees.sample, minInstancesPerNode=trees.least, featureSubsetStrategy=str(trees.sample), checkpointInterval=cut, seed=trees.seed
-    )
-
-    def stage(part: DataFrame, hit: int) -> GBTClassificationModel | None:
-        y = part.select("_features", (F.col("_label") >= hit).cast("double").alias("_y"))
-        kinds = y.agg(F.countDistinct("_y").alias("k")).first().k
-        return booster.fit(y) if kinds == 2 else None
-
-    model.alarm = _pool.submit(stage, rows, 1)
-    model.ictal = _pool.submit(stage, rows.where("_label > 0"), 2)
-    return model
+    return fit_hierarchies(train, columns, label, [F.lit(True)], trees)[0]
 
 
 def route(df: DataFrame, t1: float, t2: float) -> DataFrame:
@@ -117,22 +87,28 @@ def nested_cv(features: DataFrame, columns: list[str], label: str, patient: str,
     """
     if inner is None and len(folds) < 3:
         raise ValueError("two folds leave no inner validation side: give the inner patients")
-    sides = []
-    for i, held in enumerate(folds):
-        outer_train = features.where(F.col(fold) != held)
-        if inner is None:
-            beside = folds[(i + 1) % len(folds)]
-            val, rest = outer_train.where(F.col(fold) == beside), outer_train.where(F.col(fold) != beside)
-        else:
-            chosen = inner.where(F.col("outer_fold") == held).select(patient).distinct()
-            val, rest = outer_train.join(chosen, patient, "left_semi"), outer_train.join(chosen, patient, "left_anti")
-        sides.append((held, val, fit_hierarchy(rest, columns, label, trees), fit_hierarchy(outer_train, columns, label, trees)))
+    if inner is None:
+        beside = dict(zip(folds, [*folds[1:], folds[0]], strict=True))
+        marked, validates = features, {held: F.col(fold) == beside[held] for held in folds}
+    else:
+        given = inner.groupBy(F.col(patient).alias("_patient")).agg(F.collect_set("outer_fold").alias("_validates"))
+        marked = features.join(given, F.col(patient) == F.col("_patient"), "left").drop("_patient")
+        validates = {held: F.coalesce(F.array_contains("_validates", F.lit(held)), F.lit(False)) for held in folds}
+    marked = materialise(marked, "folds")
+    outer = {held: F.col(fold) != held for held in folds}
+    parts = [p for held in folds for p in (outer[held] & ~validates[held], outer[held])]
+    models = fit_hierarchies(marked, columns, label, parts, trees)
+    # of each fold: p_alarm and p_ictal by the inner model, then by the final one
+    scored = materialise(with_probabilities(marked, columns, [b for m in models for b in (m.alarm, m.ictal)], "_p"), "scored")
+    t1, t2 = {}, {}
+    for k, held in enumerate(folds):
+        val = scored.where(outer[held] & validates[held]).withColumns({"p_alarm": F.col("_p")[4 * k], "p_ictal": F.col("_p")[4 * k + 1]})
+        t1[held] = _threshold(val, label, "p_alarm", "stage1")
+        alarms = val.where(F.col(label) > 0).withColumn("_ictal", (F.col(label) == 2).cast("int"))
+        t2[held] = _threshold(alarms, "_ictal", "p_ictal", "stage2") if not alarms.isEmpty() else 0.5
     out = None
-    for held, val, first, final in sides:
-        scored = first.predict(val)
-        t1 = _threshold(scored, label, "p_alarm", "stage1")
-        alarms = scored.where(F.col(label) > 0).withColumn("_ictal", (F.col(label) == 2).cast("int"))
-        t2 = _threshold(alarms, "_ictal", "p_ictal", "stage2") if not alarms.isEmpty() else 0.5
-        part = route(final.predict(features.where(F.col(fold) == held)), t1, t2).withColumns({"outer_fold": F.lit(held), "t1": F.lit(t1), "t2": F.lit(t2)})
+    for k, held in enumerate(folds):
+        own = scored.where(F.col(fold) == held).withColumns({"p_alarm": F.col("_p")[4 * k + 2], "p_ictal": F.col("_p")[4 * k + 3]}).drop("_p", "_validates")
+        part = route(own, t1[held], t2[held]).withColumns({"outer_fold": F.lit(held), "t1": F.lit(t1[held]), "t2": F.lit(t2[held])})
         out = part if out is None else out.unionByName(part)
     return out

@@ -1,4 +1,4 @@
-"""Queries of the boosted hierarchy over embeddings as windows. MLlib's trees are not SQL, so they have no oracle."""
+"""Queries of the boosted hierarchy over embeddings as windows. Boosted trees are not SQL, so they have no oracle; a test holds them to a plain booster."""
 
 from __future__ import annotations
 
