@@ -33,6 +33,8 @@ from rillwave.functions.ordering import scratch_path
 BINS = 64
 BLOCK = 1 << 14
 KEEP = 10
+#: Rows of a task, at least.
+PART = 1 << 16
 #: Bytes of histograms that a reducer adds up.
 REDUCED = 64 << 20
 _ONE = 1 << 30
@@ -248,8 +250,9 @@ def fit_many(rows: DataFrame, columns: list[str], models: list[tuple[Column, Col
     loop.conf.set("spark.sql.adaptive.enabled", "false")
     blocks = _written(_blocks(narrow, n_f, n_m, cuts), loop)
     since: list[list[Tree]] = [[] for _ in models]
-    # a reducer adds up about `REDUCED` bytes
-    reducers = max(1, min(len(live), blocks.rdd.getNumPartitions() * len(live) * 2 ** (trees.depth - 1) * n_f * bins * 16 // REDUCED))
+    # a reducer adds up about `REDUCED` bytes; what one task has added up needs no exchange
+    tasks = blocks.rdd.getNumPartitions()
+    reducers = 0 if tasks == 1 else max(1, min(len(live), tasks * len(live) * 2 ** (trees.depth - 1) * n_f * bins * 16 // REDUCED))
 
     for number in range(trees.count):
         current: list[Tree | None] = [Tree.empty(trees.depth) if m in live else None for m in range(n_m)]
@@ -271,7 +274,9 @@ def fit_many(rows: DataFrame, columns: list[str], models: list[tuple[Column, Col
 def _written(blocks: DataFrame, session: SparkSession) -> DataFrame:
     path = scratch_path(blocks.sparkSession, "blocks")
     blocks.write.parquet(path)
-    return session.read.schema(_BLOCKS).parquet(path).persist()
+    read = session.read.schema(_BLOCKS).parquet(path)
+    rows = read.agg(F.sum(F.octet_length("uid"))).first()[0] // 8
+    return read.coalesce(max(1, rows // PART)).persist()
 
 
 def _kept(blocks: DataFrame, since: list[list[Tree]], depth: int, n_f: int, n_m: int) -> DataFrame:
@@ -304,7 +309,9 @@ def _level(blocks: DataFrame, since: list, current: list, allowed: list, trees:
         found = [(m, np.array(best_splits(v, allowed[m], trees)).tobytes()) for m, v in total.items()]
         yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in found], pa.int32()), pa.array([s for _, s in found], pa.binary())], names=["model", "splits"])
 
-    sums = blocks.mapInArrow(add, "model int, sums binary").repartition(reducers, "model")
+    sums = blocks.mapInArrow(add, "model int, sums binary")
+    if reducers:
+        sums = sums.repartition(reducers, "model")
     got = sums.mapInArrow(best, "model int, splits binary").collect()  # one row a model, one split a node
     return [(r.model, [(int(s[0]), int(s[1]), *map(float, s[2:])) for s in np.frombuffer(r.splits).reshape(-1, 6)]) for r in got]
 

@@ -55,7 +55,7 @@ def plain_booster(bins, y, uid, trees, model, n_bins):
     return np.array(margin), forest
 
 
-def test_trees_equal_a_plain_booster(spark):
+def test_trees_equal_a_plain_booster(spark, monkeypatch):
     draw = np.random.default_rng(5)
     x = np.round(draw.normal(size=(150, 4)), 2)
     label = np.where(x[:, 0] + 0.5 * x[:, 1] ** 2 + 0.3 * draw.normal(size=150) > 0.4, 1 + (x[:, 2] > 0), 0)
@@ -73,7 +73,9 @@ def test_trees_equal_a_plain_booster(spark):
         assert fitted[m].margins(bins[own]) == pytest.approx(want, abs=1e-9)
         assert ((want > 0) == hit[own]).mean() > 0.85
     # the same trees from other partitions, and probabilities as a column
-    again = T.fit_many(t.repartition(1), columns, ask, trees, bins=8)
+    monkeypatch.setattr(T, "PART", 40)
+    monkeypatch.setattr(T, "REDUCED", 1000)
+    again = T.fit_many(t.repartition(6), columns, ask, trees, bins=8)
     assert all((a.feature == b.feature).all() and (a.cut == b.cut).all() and (a.value == b.value).all() for f, g in zip(fitted, again, strict=True) for a, b in zip(f.trees, g.trees, strict=True))
     got = T.with_probabilities(t, columns, fitted, "p").orderBy("k").toPandas()
     assert np.stack(got.p) == pytest.approx(np.stack([1 / (1 + np.exp(-b.margins(bins))) for b in fitted], 1))
