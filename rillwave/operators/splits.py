@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillwave.functions.ordering import with_global_number
+from rillwave.functions.ordering import with_global_number, with_group_number
+
+#: Parts of a stratum that are capped by themselves first.
+PARTS = 64
 
 
 def draw(*parts: Column | str | int) -> Column:
@@ -123,16 +126,26 @@ def leakage(assigned: DataFrame, patient: str, fold: str, cohort: DataFrame) ->
 
 
 def capped(rows: DataFrame, strata: list[str], key: str, cap: int, seed: int = 42) -> DataFrame:
-    """At most `cap` rows of each stratum; input columns are kept."""
-    order = Window.partitionBy(*strata).orderBy(draw(seed, key), key)
-    return rows.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= cap).drop("_rn")
+    """At most `cap` rows of each stratum; input columns are kept.
+
+    The first `cap` of each of `PARTS` parts of a stratum are taken before those of the stratum, and each task keeps no more of a
+    part before the exchange, so a stratum with most of the rows is no single task's.
+    """
+    drawn = rows.withColumns({"_h": draw(seed, key), "_in": F.pmod(F.xxhash64(key), F.lit(PARTS))})
+    for by in ([*strata, "_in"], strata):
+        order = Window.partitionBy(*by).orderBy("_h", key)
+        drawn = drawn.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= cap)
+    return drawn.drop("_rn", "_h", "_in")
 
 
 def calibration_sample(rows: DataFrame, patient: str, label: str, key: str, m: int, seed: int = 42) -> DataFrame:
-    """m rows a patient: max(1, m // classes) of each class that is there, then the rest by the draw."""
+    """m rows a patient: max(1, m // classes) of each class that is there, then the rest by the draw.
+
+    No patient takes more than the first m of a class, so these alone are ranked: at most m rows a patient and class.
+    """
     stratum = Window.partitionBy(patient, label).orderBy(draw(seed, key), key)
     kinds = rows.groupBy(patient).agg(F.countDistinct(label).alias("_k"))
-    r = rows.join(kinds, patient).withColumn("_first", F.row_number().over(stratum) <= F.greatest(F.lit(1), F.floor(F.lit(m) / F.col("_k"))))
+    r = capped(rows, [patient, label], key, m, seed).join(kinds, patient).withColumn("_first", F.row_number().over(stratum) <= F.greatest(F.lit(1), F.floor(F.lit(m) / F.col("_k"))))
     fill = Window.partitionBy(patient).orderBy(F.col("_first").desc(), draw(seed, key), key)
     return r.withColumn("_rn", F.row_number().over(fill)).where(F.col("_rn") <= m).drop("_k", "_first", "_rn")
 
@@ -147,8 +160,8 @@ def even_sample(rows: DataFrame, patient: str, idx: str, k: int) -> DataFrame:
 
 def block_batches(rows: DataFrame, patient: str, key: str, size: int, epoch: int = 0, seed: int = 42, drop_last: bool = False) -> DataFrame:
     """rows with batch (within the patient) and patient_no (order of the patients): one patient a batch, new order each epoch."""
-    order = Window.partitionBy(patient).orderBy(draw(seed, epoch, patient, key), key)
-    out = rows.withColumn("batch", F.floor((F.row_number().over(order) - 1) / size).cast("long"))
+    drawn = with_group_number(rows.withColumn("_h", draw(seed, epoch, patient, key)), [patient], [F.col("_h"), F.col(key)], "_at")
+    out = drawn.withColumn("batch", F.floor(F.col("_at") / size).cast("long")).drop("_h", "_at")
     if drop_last:
         n = rows.groupBy(patient).agg((F.floor(F.count("*") / size)).alias("_whole"))
         out = out.join(n, patient).where(F.col("batch") < F.col("_whole")).drop("_whole")

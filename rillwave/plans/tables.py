@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillwave.functions.ordering import with_group_number
+
 ORIGIN = 1_704_067_200  # seconds at 2024-01-01 UTC
 
 
@@ -56,10 +58,9 @@ def seconds(ts: str = "ts") -> Column:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as recordings: (user_id, idx, t, value, event_id, event_type); idx by time within the recording."""
-    ev = table(spark, sf_dir, "events")
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return ev.select("user_id", (F.row_number().over(order) - 1).cast("long").alias("idx"), seconds().alias("t"), "value", "event_id", "event_type")
+    """events as recordings: (user_id, idx, t, value, event_id, event_type); idx by time within the recording, of any length."""
+    ev = table(spark, sf_dir, "events").select("user_id", "ts", seconds().alias("t"), "value", "event_id", "event_type")
+    return with_group_number(ev, ["user_id"], [F.col("ts"), F.col("event_id")], "idx").select("user_id", "idx", "t", "value", "event_id", "event_type")
 
 
 SAMPLES_SQL = f"""samples AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)-1 AS idx,

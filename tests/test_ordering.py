@@ -21,3 +21,15 @@ def test_group_numbers_of_one_group_and_of_none(spark):
     one = with_group_number(spark.range(500).withColumn("g", F.lit(None).cast("int")), ["g"], [F.col("id").desc()], "at", 5)
     assert sorted((r.at, 499 - r.id) for r in one.collect()) == [(i, i) for i in range(500)]
     assert with_group_number(one.where("false").drop("at"), ["g"], [F.col("id")]).count() == 0
+
+
+def test_a_hot_stratum_is_capped_in_parts(spark):
+    from rillwave.operators import splits as D
+
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % 50)).alias("p"), (F.col("id") % 4).alias("c"))
+    order = Window.partitionBy("p", "c").orderBy(D.draw(42, "id"), "id")
+    want = rows.withColumn("r", F.row_number().over(order)).where("r <= 7").drop("r")
+    got = D.capped(rows, ["p", "c"], "id", 7)
+    assert got.columns == rows.columns and got.exceptAll(want).isEmpty() and got.count() == want.count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 4  # before and after each of two exchanges
