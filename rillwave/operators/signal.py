@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from rillwave.functions.ordering import with_global_sums
 
 CHUNK = 1 << 14
+#: Kernels of more taps are applied by spectra of blocks of SPECTRUM samples (a power of two over the taps, if they are more).
+DIRECT, SPECTRUM = 64, 1 << 12
 
 
 def average_reference(samples: DataFrame, by: list[str], value: str = "value") -> DataFrame:
@@ -40,13 +42,31 @@ def notch_kernel(rate: float, stop: float, width: float, taps: int) -> np.ndarra
     return whole - sinc_kernel(rate, stop - width / 2, stop + width / 2, taps)
 
 
+def kernel_spectrum(kernel: np.ndarray) -> np.ndarray:
+    return np.fft.rfft(kernel, max(SPECTRUM, 1 << (4 * len(kernel)).bit_length()))
+
+
+def overlap_save(line: np.ndarray, spectrum: np.ndarray, taps: int) -> np.ndarray:
+    """The valid part of the convolution of a line with the kernel of the spectrum."""
+    size = 2 * (len(spectrum) - 1)
+    step, valid = size - taps + 1, len(line) - taps + 1
+    blocks = -(-valid // step)
+    padded = np.zeros((blocks - 1) * step + size)
+    padded[: len(line)] = line
+    # blocks overlap by taps - 1 samples; that many at the start of each transform back are wrapped and dropped
+    held = np.lib.stride_tricks.sliding_window_view(padded, size)[::step]
+    return np.fft.irfft(np.fft.rfft(held, axis=1) * spectrum, size, axis=1)[:, taps - 1 :].ravel()[:valid]
+
+
 def fir_filter(samples: DataFrame, kernel: np.ndarray, by: list[str], idx: str = "idx", value: str = "value", out: str = "filtered", chunk: int = CHUNK) -> DataFrame:
     """Convolve each recording with an odd-length kernel, zeros outside it.
 
     Recordings are cut into chunks of samples that carry copies of the half kernel on both sides, so no task holds a whole one.
+    A long kernel is applied by overlap-save: its spectrum is made once, and a block costs two transforms whatever the taps.
     """
     half = len(kernel) // 2
     weights = np.asarray(kernel, float)[::-1].copy()
+    spectrum = kernel_spectrum(weights[::-1]) if len(weights) > DIRECT else None
     own = F.floor(F.col(idx) / chunk)
     halo = F.array_distinct(F.array(own, F.floor((F.col(idx) - half) / chunk), F.floor((F.col(idx) + half) / chunk)))
     dealt = samples.withColumn("_chunk", F.explode(halo)).where("_chunk >= 0")
@@ -58,7 +78,7 @@ def fir_filter(samples: DataFrame, kernel: np.ndarray, by: list[str], idx: str =
         line = np.zeros(chunk + 2 * half)
         place = at - first + half
         line[place] = table.column(value).to_numpy(zero_copy_only=False)
-        result = np.convolve(line, weights[::-1], "valid")
+        result = np.convolve(line, weights[::-1], "valid") if spectrum is None else overlap_save(line, spectrum, len(weights))
         mine = (at >= first) & (at < first + chunk)
         kept = table.filter(pa.array(mine))
         return kept.append_column(out, pa.array(result[at[mine] - first]))
@@ -72,6 +92,52 @@ def decimate(samples: DataFrame, factor: int, idx: str = "idx") -> DataFrame:
     return samples.where(F.pmod(F.col(idx), F.lit(factor)) == 0).withColumn(idx, (F.col(idx) / factor).cast("long"))
 
 
+def resampling_kernel(up: int, down: int, rate: float, half: int, share: float = 0.9) -> np.ndarray:
+    """Low-pass at `up` times the rate with 2 * half + 1 taps that sum to `up`: what the lower of both rates can't hold is cut, from `share` of its half on."""
+    edge = share * min(rate, rate * up / down) / 2
+    return sinc_kernel(rate * up, None, edge, 2 * half + 1) * up
+
+
+def resample_rational(samples: DataFrame, up: int, down: int, kernel: np.ndarray, by: list[str], idx: str = "idx", value: str = "value", chunk: int = 1 << 12) -> DataFrame:
+    """(by, idx, value) at up / down times the rate: sample m lies at m * down / up of the old ones, up to the last of them.
+
+    The kernel is parted into `up` phases, and an output sample is one phase's product with the samples around it: neither the
+    zeros between upsampled values nor samples that are dropped later are computed. Output is made in chunks of samples, to
+    which the input is dealt with the halo it needs; zeros are taken outside a recording.
+    """
+    half = len(kernel) // 2
+    taps = -(-len(kernel) // up)
+    # phase r: the taps at distances r, r + up, ... from the kernel's start, for k counted upwards
+    padded = np.zeros(taps * up)
+    padded[: len(kernel)] = kernel
+    phases = padded.reshape(taps, up).T[:, ::-1].copy()
+    first_out, last_out = F.ceil((F.col(idx) * up - half) / down), F.floor((F.col(idx) * up + half) / down)
+    # a sample also goes where it is the one at or behind an output, which tells that the recording reaches so far
+    reach = F.sequence(F.floor(F.greatest(F.lit(0), F.least(first_out, F.ceil((F.col(idx) - 1) * up / down))) / chunk), F.floor(F.greatest(F.lit(0), last_out, F.floor(F.col(idx) * up / down)) / chunk))
+    dealt = samples.select(*by, F.col(idx).cast("long").alias(idx), F.col(value).cast("double").alias(value)).withColumn("_chunk", F.explode(reach))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema.fields if f.name != "_chunk")
+
+    def compute(table: pa.Table) -> pa.Table:
+        at, x = table.column(idx).to_numpy(), table.column(value).to_numpy(zero_copy_only=False)
+        m = np.arange(chunk) + table.column("_chunk")[0].as_py() * chunk
+        have = np.zeros(int(m[-1]) * down // up + 2 - (base := int(at.min())) if len(at) else 0, bool)
+        inside = at[(at - base >= 0) & (at - base < len(have))]
+        have[inside - base] = True
+        behind = -(-m * down // up) - base
+        m = m[(behind >= 0) & (behind < len(have)) & have[np.clip(behind, 0, len(have) - 1)]]
+        top = (m * down + half) // up  # the last input that the kernel reaches
+        phase = m * down + half - top * up
+        line = np.zeros(int(at.max()) - base + 2 * taps + 2)
+        line[at - base + taps] = x
+        place = top[:, None] - base + taps + np.arange(1 - taps, 1)
+        inside2 = (place >= 0) & (place < len(line))
+        got = (np.where(inside2, line[np.clip(place, 0, len(line) - 1)], 0.0) * phases[phase]).sum(1)
+        columns = {c: pa.array([table.column(c)[0].as_py()] * len(m), table.schema.field(c).type) for c in by}
+        return pa.table({**columns, idx: pa.array(m, pa.int64()), value: pa.array(got)})
+
+    return dealt.groupBy(*by, "_chunk").applyInArrow(compute, schema)
+
+
 def resample_linear(samples: DataFrame, ratio: float, by: list[str], idx: str = "idx", value: str = "value") -> DataFrame:
     """Samples at k / ratio by linear interpolation between neighbours; (by, idx, value)."""
     here = samples.select(*by, F.col(idx).alias("_i"), F.col(value).alias("_a"))

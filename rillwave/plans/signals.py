@@ -68,13 +68,19 @@ def resample_linear(spark: SparkSession, d: str) -> DataFrame:
 
 
 def band_filters(spark: SparkSession, d: str) -> DataFrame:
-    """Band pass 0.5 to 40 Hz, then a 50 Hz notch, at 256 Hz; long kernels, so the figures are held to numpy in tests."""
+    """Band pass 0.5 to 40 Hz, then a 50 Hz notch, at 256 Hz."""
     s = samples(spark, d).select("user_id", "idx", "value")
     for kernel in (S.sinc_kernel(256, 0.5, 40, 845), S.notch_kernel(256, 50, 2, 845)):
         s = S.fir_filter(s, kernel, ["user_id"]).select("user_id", "idx", F.col("filtered").alias("value"))
     return s.select("user_id", "idx", r6(F.col("value")).alias("value"))
 
 
+def resample_rational(spark: SparkSession, d: str) -> DataFrame:
+    """250 Hz to 128 Hz: 64 phases, every 125th of them."""
+    kernel = S.resampling_kernel(64, 125, 250, 2080)
+    return S.resample_rational(samples(spark, d).select("user_id", "idx", "value"), 64, 125, kernel, ["user_id"]).select("user_id", "idx", r6(F.col("value")).alias("value"))
+
+
 def preictal_interval(spark: SparkSession, d: str) -> DataFrame:
     return S.preictal_intervals(annotations(spark, d)).select("user_id", *[r6(F.col(c)).alias(c) for c in ("onset", "window_start", "window_end", "window_duration")])
 
@@ -164,7 +170,7 @@ def standardise(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        window_label_overlap, window_label_fraction, sliding_windows, short_filter, index_map, car_reference, fir_smooth, resample, resample_linear, band_filters, preictal_interval, class_counts,
+        window_label_overlap, window_label_fraction, sliding_windows, short_filter, index_map, car_reference, fir_smooth, resample, resample_rational, resample_linear, band_filters, preictal_interval, class_counts,
         fit_shape, zscore, nonfinite, welch_psd, band_power, spectral_entropy, hjorth, line_length, skew_kurt, feature_vector, feature_summary, standardise,
     )
 }
@@ -211,6 +217,14 @@ _MODES = {
     "a": "(v-m)/(s1+1e-6)", "b": "(v-m)/greatest(s1,1e-6)", "c": "(v-m)/CASE WHEN s0<1e-8 THEN 1 ELSE s0 END", "d": "CASE WHEN s0<1e-12 THEN 0 ELSE (v-m)/s0 END", "e": "(v-m)/(s0+1e-6)",
 }
 
+
+def _low_pass_sql(name: str, rate: float, edge: float, half: int) -> str:
+    """CTE (j, w): taps of a Hamming-windowed sinc low-pass that sum to 1, over n's j from -half to half."""
+    x = f"(2*{edge}::DOUBLE/{rate}*j*pi())"
+    raw = f"(CASE WHEN j=0 THEN 1.0::DOUBLE ELSE sin{x}/{x} END)*(0.54::DOUBLE+0.46::DOUBLE*cos(pi()*j/{half}))"
+    return f"{name} AS (SELECT j, {raw}/sum({raw}) OVER () AS w FROM n)"
+
+
 ORACLES = {
     "window_label_overlap": f"WITH {_LABELLED} SELECT user_id, t_start, label FROM lab",
     "window_label_fraction": f"""WITH {_grid_sql(3600, 1800)}, {annotations_sql()}, lab AS (SELECT g.user_id, t_start, coalesce(max(CASE WHEN onset IS NULL THEN 0 WHEN greatest(0,least(t_end,"offset")-greatest(t_start,onset))/(t_end-t_start)>=0.5 THEN 2 WHEN t_end>greatest(0,onset-9000) AND t_start<=onset THEN 1 ELSE 0 END),0)::INT AS label
@@ -223,6 +237,13 @@ ORACLES = {
     "car_reference": f"WITH {SAMPLES_SQL} SELECT event_id, round(value-avg(value) OVER (PARTITION BY user_id, floor(t/86400)),6) AS value FROM samples",
     "fir_smooth": f"WITH {SAMPLES_SQL}, {_FIR} SELECT event_id, round(filtered,6) AS filtered FROM fir",
     "resample": f"WITH {SAMPLES_SQL}, {_FIR} SELECT user_id, idx//4 AS idx, round(filtered,6) AS value FROM fir WHERE idx%4=0",
+    "band_filters": f"""WITH {SAMPLES_SQL}, n AS (SELECT unnest(range(-422, 423)) AS j), {_low_pass_sql('b', 256, 40, 422)}, {_low_pass_sql('a', 256, 0.5, 422)}, {_low_pass_sql('u', 256, 51, 422)}, {_low_pass_sql('v', 256, 49, 422)},
+      k AS (SELECT j, b.w - a.w AS w1, (CASE WHEN j=0 THEN 1 ELSE 0 END) - (u.w - v.w) AS w2 FROM b JOIN a USING (j) JOIN u USING (j) JOIN v USING (j)),
+      f AS (SELECT s.user_id, s.idx, sum(x.value*w1) AS value FROM samples s JOIN samples x ON x.user_id=s.user_id AND x.idx BETWEEN s.idx-422 AND s.idx+422 JOIN k ON k.j=x.idx-s.idx GROUP BY s.user_id, s.idx)
+      SELECT s.user_id, s.idx, round(sum(x.value*w2),6) AS value FROM f s JOIN f x ON x.user_id=s.user_id AND x.idx BETWEEN s.idx-422 AND s.idx+422 JOIN k ON k.j=x.idx-s.idx GROUP BY s.user_id, s.idx""",
+    "resample_rational": f"""WITH {SAMPLES_SQL}, n AS (SELECT unnest(range(-2080, 2081)) AS j), {_low_pass_sql('h', 16000, 57.6, 2080)}, t AS (SELECT user_id, max(idx) AS t FROM samples GROUP BY user_id),
+      m AS (SELECT user_id, unnest(range(0, t*64//125+1)) AS m FROM t)
+      SELECT m.user_id, m.m AS idx, round(sum(x.value*h.w)*64,6) AS value FROM m JOIN samples x ON x.user_id=m.user_id AND x.idx*64 BETWEEN m.m*125-2080 AND m.m*125+2080 JOIN h ON h.j=m.m*125-x.idx*64 GROUP BY m.user_id, m.m""",
     "resample_linear": f"""WITH {SAMPLES_SQL}, n AS (SELECT user_id, max(idx) AS t FROM samples GROUP BY user_id), k AS (SELECT user_id, k, k/1.5::DOUBLE AS pos FROM n, range(200000) g(k) WHERE k/1.5::DOUBLE<=t)
       SELECT k.user_id, k AS idx, round(a.value+(pos-a.idx)*(coalesce(b.value,a.value)-a.value),6) AS value FROM k JOIN samples a ON k.user_id=a.user_id AND a.idx=floor(pos) LEFT JOIN samples b ON k.user_id=b.user_id AND b.idx=a.idx+1""",
     "preictal_interval": f"WITH {annotations_sql()} SELECT user_id, round(onset,6) AS onset, round(greatest(0,onset-60),6) AS window_start, round(onset,6) AS window_end, 60.0::DOUBLE AS window_duration FROM ann",

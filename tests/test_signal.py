@@ -83,3 +83,45 @@ def test_index_map(spark):
     asked = spark.createDataFrame([(5,), (0,), (-1,), (12,), (-13,)], "i long")
     got = {r.i: (r.p, r.local) for r in S.locate(asked, offsets, "p", "i", 12, 2).collect()}
     assert got == {5: ("b", 0), 0: ("a", 0), -1: ("b", 6), 12: (None, None), -13: (None, None)}
+
+
+def test_overlap_save_equals_convolution():
+    draw = np.random.default_rng(2)
+    for taps, length in ((65, 70), (845, 845), (845, 20000), (5001, 9000)):
+        kernel, line = draw.normal(size=taps), draw.normal(size=length)
+        got = S.overlap_save(line, S.kernel_spectrum(kernel), taps)
+        assert np.allclose(got, np.convolve(line, kernel, "valid"), atol=1e-9)
+
+
+def test_long_kernel_over_chunks(spark):
+    x = np.random.default_rng(1).normal(size=900)
+    kernel = S.sinc_kernel(256, 0.5, 40, 101)
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)] + [(2, 0, 5.0)], "rec int, idx long, value double").repartition(3)
+    got = {(r.rec, r.idx): r.filtered for r in S.fir_filter(df, kernel, ["rec"], chunk=128).collect()}
+    want = np.convolve(x, kernel, "same")
+    assert max(abs(got[1, i] - want[i]) for i in range(900)) < 1e-9 and abs(got[2, 0] - 5 * kernel[50]) < 1e-12
+
+
+@pytest.mark.parametrize(("up", "down", "half", "chunk"), [(64, 125, 2080, 37), (3, 2, 20, 16), (2, 7, 30, 5), (1, 1, 0, 8)])
+def test_rational_resampling_equals_the_long_way(spark, up, down, half, chunk):
+    draw = np.random.default_rng(up)
+    kernel = S.resampling_kernel(up, down, 250, half) if half else np.ones(1)
+    rows, want = [], {}
+    for rec, n in enumerate((1, 2, 9, 400)):
+        x = draw.normal(size=n)
+        rows += [(rec, i, float(v)) for i, v in enumerate(x)]
+        raised = np.zeros((n - 1) * up + 1)
+        raised[::up] = x
+        for m, v in enumerate(np.convolve(raised, kernel)[half : half + len(raised)][::down]):
+            want[rec, m] = v
+    df = spark.createDataFrame(rows, "rec int, idx long, value double").repartition(3)
+    got = {(r.rec, r.idx): r.value for r in S.resample_rational(df, up, down, kernel, ["rec"], chunk=chunk).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
+def test_resampling_cuts_what_the_lower_rate_cannot_hold():
+    kernel = S.resampling_kernel(64, 125, 250, 2080)
+    assert abs(kernel.sum() - 64) < 1e-9
+    gain = lambda f: abs((kernel / 64 * np.exp(-2j * np.pi * f / 16000 * np.arange(len(kernel)))).sum())
+    assert gain(40) > 0.99 and max(gain(f) for f in np.arange(64.5, 124, 0.5)) < 0.01
