@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -58,28 +60,39 @@ def with_global_number(df: DataFrame, order: list[Column], out: str = "row_no",
     return with_global_sums(df, order, {out: F.lit(1)}, partitions).withColumn(out, F.col(out) - 1)
 
 
-def with_group_sums(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column], partitions: int | None = None) -> DataFrame:
-    """Adds running sums (long) within each group, up to and with each row in the order, which must be total for unique results.
+def _with_group_folds(df: DataFrame, group: list[str], order: list[Column], values: dict[str, Column], fold: Callable, joined: Callable[[Column, Column], Column], partitions: int | None) -> DataFrame:
+    """Running folds within each group, up to and with each row in the order.
 
-    Rows are dealt to ranges of (group, order), so a group with most of the rows lies in many ranges. Each range sums its
+    Rows are dealt to ranges of (group, order), so a group with most of the rows lies in many ranges. Each range folds its
     piece of a group by itself; what earlier ranges hold of the same group is carried over. A range begins in the middle of
     one group at most, so there are fewer carried rows than ranges. A null in the group is a value of its own.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(f"`{c}`") for c in group]
-    values = {f"_value_{k}": F.coalesce(v.cast("long"), F.lit(0)) for k, v in sums.items()}
-    ranged = materialise(df.withColumns(values).repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()), "groups")
-    pieces = ranged.groupBy("_part", *keys).agg(*[F.sum(f"_value_{k}").alias(f"_base_{k}") for k in sums])
+    own = {k: f"_value_{k}" for k in values}
+    dealt = df.withColumns({own[k]: v for k, v in values.items()}).repartitionByRange(n, *keys, *order)
+    ranged = materialise(dealt.withColumn("_part", F.spark_partition_id()), "groups")
+    bases = {k: f"_base_{k}" for k in values}
+    pieces = ranged.groupBy("_part", *keys).agg(*[fold(own[k]).alias(b) for k, b in bases.items()])
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = {k: f"_base_{k}" for k in sums}
-    carried = pieces.select(F.col("_part").alias("_in"), *[k.alias(f"_key_{i}") for i, k in enumerate(keys)], *[F.sum(b).over(before).alias(b) for b in bases.values()]).where(F.col(next(iter(bases.values()))).isNotNull())
+    names = [f"_key_{i}" for i in range(len(keys))]
+    carried = pieces.select(F.col("_part").alias("_in"), *[k.alias(c) for k, c in zip(keys, names, strict=True)], *[fold(b).over(before).alias(b) for b in bases.values()])
+    carried = carried.where(reduce(lambda a, b: a | b, [F.col(b).isNotNull() for b in bases.values()]))
+    same = reduce(lambda a, b: a & b, [k.eqNullSafe(F.col(c)) for k, c in zip(keys, names, strict=True)], F.col("_part") == F.col("_in"))
     within = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    same = F.col("_part") == F.col("_in")
-    for i, k in enumerate(keys):
-        same = same & k.eqNullSafe(F.col(f"_key_{i}"))
-    out = ranged.withColumns({k: F.sum(f"_value_{k}").over(within) for k in sums}).join(F.broadcast(carried), same, "left")
-    out = out.withColumns({k: F.col(k) + F.coalesce(F.col(b), F.lit(0)) for k, b in bases.items()})
-    return out.drop("_part", "_in", *values, *bases.values(), *[f"_key_{i}" for i in range(len(keys))])
+    out = ranged.withColumns({k: fold(own[k]).over(within) for k in values}).join(F.broadcast(carried), same, "left")
+    return out.withColumns({k: joined(F.col(k), F.col(b)) for k, b in bases.items()}).drop("_part", "_in", *own.values(), *bases.values(), *names)
+
+
+def with_group_sums(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, Column], partitions: int | None = None) -> DataFrame:
+    """Adds running sums (long) within each group, up to and with each row in the order, which must be total for unique results; no task holds a group."""
+    values = {k: F.coalesce(v.cast("long"), F.lit(0)) for k, v in sums.items()}
+    return _with_group_folds(df, group, order, values, F.sum, lambda own, base: own + F.coalesce(base, F.lit(0)), partitions)
+
+
+def with_group_max(df: DataFrame, group: list[str], order: list[Column], values: dict[str, Column], partitions: int | None = None) -> DataFrame:
+    """Adds running maxima within each group, up to and with each row in the order; nulls are skipped, no task holds a group."""
+    return _with_group_folds(df, group, order, values, F.max, F.greatest, partitions)
 
 
 def with_group_number(df: DataFrame, group: list[str], order: list[Column], out: str = "row_no", partitions: int | None = None) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillwave.functions.ordering import with_global_sums
+from rillwave.functions.ordering import with_global_sums, with_group_max
 
 CHUNK = 1 << 14
 #: Kernels of more taps are applied by spectra of blocks of SPECTRUM samples (a power of two over the taps, if they are more).
@@ -171,30 +172,68 @@ def window_grid(recordings: DataFrame, by: list[str], length: float, step: float
     return grid.select(*by, (F.col("_k") * float(step)).alias("t_start"), (F.col("_k") * float(step) + float(length)).alias("t_end"))
 
 
-def label_windows(windows: DataFrame, annotations: DataFrame, by: list[str], label: Column, reach: float, length: float, bucket: float) -> DataFrame:
-    """windows with the greatest label (0 if none) over the annotations that come within `reach` seconds after a window or overlap it.
+@dataclass(frozen=True)
+class Ask:
+    """What a window asks of the annotations of its recording, at a point of its own.
 
-    Each window has one bucket of its start, each annotation all buckets from which it can be seen, so the range join is an
-    equi-join whose work follows the number of meetings. `label` is an expression over t_start, t_end, onset and offset.
+    `reach`: the greatest offset of those that begin before the point (`at`: or at it); `next`: the least onset from the point
+    on. `where` leaves annotations out.
     """
-    w = windows.withColumn("_bucket", F.floor(F.col("t_start") / bucket))
-    span = F.sequence(F.floor((F.col("onset") - reach - length) / bucket), F.floor(F.col("offset") / bucket))
-    a = annotations.select(*by, "onset", "offset", F.explode(span).alias("_bucket"))
-    met = w.join(a, [*by, "_bucket"]).withColumn("_label", label).where("_label > 0").groupBy(*by, "t_start").agg(F.max("_label").alias("label"))
-    return windows.join(met, [*by, "t_start"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
+    kind: str
+    point: Column
+    at: bool = False
+    where: Column | None = None
 
-def overlap_label(pre_min: float = 30.0, pre_max: float = 120.0) -> Column:
-    """2 if the window overlaps the event, else 1 if the event begins pre_min to pre_max seconds after its end."""
-    gap = F.col("onset") - F.col("t_end")
-    return F.when((F.col("t_start") < F.col("offset")) & (F.col("t_end") > F.col("onset")), 2).when((gap >= pre_min) & (gap <= pre_max), 1).otherwise(0)
 
+@dataclass(frozen=True)
+class Label:
+    """A label as an expression over t_start, t_end and the answers to its asks."""
 
-def fraction_label(share: float = 0.5, horizon: float = 900.0) -> Column:
-    """2 if one event covers `share` of the window, else 1 if the window ends after onset - horizon and starts by the onset."""
-    covered = F.greatest(F.lit(0.0), F.least(F.col("t_end"), F.col("offset")) - F.greatest(F.col("t_start"), F.col("onset"))) / (F.col("t_end") - F.col("t_start"))
-    before = (F.col("t_end") > F.greatest(F.lit(0.0), F.col("onset") - horizon)) & (F.col("t_start") <= F.col("onset"))
-    return F.when(covered >= share, 2).when(before, 1).otherwise(0)
+    asks: dict[str, Ask]
+    label: Column
+
+
+def label_windows(windows: DataFrame, annotations: DataFrame, by: list[str], label: Label) -> DataFrame:
+    """windows with the greatest label (0 if none) that the annotations (onset, offset) of their recording give.
+
+    A sweep: points and annotations lie in one sorted range a question, and a running maximum answers each window, carried over
+    the borders of ranges. Every annotation is there once a question however long it is, and no task holds a recording.
+    """
+    keys = [F.col(c) for c in by]
+    points = windows.select(*by, "t_start", "t_end").distinct()
+    none = F.lit(None).cast("double")
+    rows = None
+    for name, ask in label.asks.items():
+        ahead = ask.kind == "next"
+        turned = (lambda c: -c) if ahead else (lambda c: c)
+        held = annotations.where(F.col("onset").isNotNull() & F.col("offset").isNotNull() & (F.lit(True) if ask.where is None else ask.where))
+        # in a tie the point stands before the annotations that begin at it, unless it asks for them too
+        a = held.select(*keys, F.lit(name).alias("_ask"), turned(F.col("onset").cast("double")).alias("_at"), F.lit(1).alias("_tie"), none.alias("t_start"), none.alias("t_end"), turned(F.col("onset") if ahead else F.col("offset")).cast("double").alias("_reach"))
+        p = points.select(*keys, F.lit(name).alias("_ask"), turned(ask.point.cast("double")).alias("_at"), F.lit(2 if ahead or ask.at else 0).alias("_tie"), F.col("t_start").cast("double").alias("t_start"), F.col("t_end").cast("double").alias("t_end"), none.alias("_reach"))
+        rows = a.unionByName(p) if rows is None else rows.unionByName(a).unionByName(p)
+    swept = with_group_max(rows, [*by, "_ask"], [F.col("_at"), F.col("_tie")], {"_found": F.col("_reach")}).where(F.col("_tie") != 1)
+    answers = [F.max(F.when(F.col("_ask") == n, -F.col("_found") if ask.kind == "next" else F.col("_found"))).alias(n) for n, ask in label.asks.items()]
+    met = swept.groupBy(*by, "t_start", "t_end").agg(*answers).select(*by, "t_start", "t_end", label.label.alias("label"))
+    return windows.join(met, [*by, "t_start", "t_end"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+
+
+def overlap_label(pre_min: float = 30.0, pre_max: float = 120.0) -> Label:
+    """2 if the window overlaps an event, else 1 if an event begins pre_min to pre_max seconds after its end."""
+    asks = {"_reached": Ask("reach", F.col("t_end")), "_onset": Ask("next", F.col("t_end") + pre_min)}
+    return Label(asks, F.when(F.col("_reached") > F.col("t_start"), 2).when(F.col("_onset") <= F.col("t_end") + pre_max, 1).otherwise(0))
+
+
+def fraction_label(length: float, share: float = 0.5, horizon: float = 900.0) -> Label:
+    """2 if one event covers `share` of a window of this length, else 1 if the window ends after an onset - horizon and starts by that onset.
+
+    An event covers so much of a window where it lasts so long itself, begins so long before the window's end and ends so long
+    after its start.
+    """
+    least = share * length
+    asks = {"_reached": Ask("reach", F.col("t_end") - least, True, F.col("offset") - F.col("onset") >= least), "_onset": Ask("next", F.col("t_start"))}
+    before = F.col("_onset").isNotNull() & (F.col("t_end") > F.greatest(F.lit(0.0), F.col("_onset") - horizon))
+    return Label(asks, F.when(F.col("_reached") >= F.col("t_start") + least, 2).when(before, 1).otherwise(0))
 
 
 def preictal_intervals(annotations: DataFrame, duration: float = 60.0) -> DataFrame:

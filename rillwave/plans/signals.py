@@ -23,12 +23,12 @@ def _grid(spark: SparkSession, d: str, length: float, step: float) -> DataFrame:
 
 
 def window_label_overlap(spark: SparkSession, d: str) -> DataFrame:
-    out = S.label_windows(_grid(spark, d, 14400, 7200), annotations(spark, d), ["user_id"], S.overlap_label(1800, 14400), 14400, 14400, 14400)
+    out = S.label_windows(_grid(spark, d, 14400, 7200), annotations(spark, d), ["user_id"], S.overlap_label(1800, 14400))
     return out.select("user_id", "t_start", "label")
 
 
 def window_label_fraction(spark: SparkSession, d: str) -> DataFrame:
-    out = S.label_windows(_grid(spark, d, 3600, 1800), annotations(spark, d), ["user_id"], S.fraction_label(0.5, 9000), 9000, 3600, 9000)
+    out = S.label_windows(_grid(spark, d, 3600, 1800), annotations(spark, d), ["user_id"], S.fraction_label(3600, 0.5, 9000))
     return out.groupBy("user_id", "label").agg(F.count("*").alias("windows"), F.min("t_start").alias("first_start"))
 
 
@@ -86,7 +86,7 @@ def preictal_interval(spark: SparkSession, d: str) -> DataFrame:
 
 
 def class_counts(spark: SparkSession, d: str) -> DataFrame:
-    out = S.label_windows(_grid(spark, d, 14400, 7200), annotations(spark, d), ["user_id"], S.overlap_label(1800, 14400), 14400, 14400, 14400)
+    out = S.label_windows(_grid(spark, d, 14400, 7200), annotations(spark, d), ["user_id"], S.overlap_label(1800, 14400))
     return out.groupBy("user_id").agg(F.count("*").alias("n_windows"), *[F.sum(F.when(F.col("label") == c, 1).otherwise(0)).alias(f"n_{c}") for c in range(3)])
 
 

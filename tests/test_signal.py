@@ -25,18 +25,27 @@ def test_window_starts_and_end_policies(spark):
 def test_labels_by_overlap(spark, t, label):
     w = spark.createDataFrame([("r", float(t), float(t + 4))], "rec string, t_start double, t_end double")
     a = spark.createDataFrame([("r", 100.0, 130.0)], "rec string, onset double, offset double")
-    assert S.label_windows(w, a, ["rec"], S.overlap_label(), 120, 4, 60).first().label == label
+    assert S.label_windows(w, a, ["rec"], S.overlap_label()).first().label == label
 
 
 def test_range_join_equals_plain_join(spark):
     rng = np.random.default_rng(1)
     w = spark.createDataFrame([("r", float(t), float(t + 4)) for t in range(0, 2000, 2)], "rec string, t_start double, t_end double")
-    on = rng.uniform(0, 2000, 12)
-    a = spark.createDataFrame([("r", float(o), float(o + rng.uniform(1, 90))) for o in on], "rec string, onset double, offset double")
-    for label, reach in ((S.overlap_label(), 120), (S.fraction_label(), 900)):
-        got = {(r.t_start, r.label) for r in S.label_windows(w, a, ["rec"], label, reach, 4, 50).collect()}
-        plain = w.join(a, "rec").withColumn("l", label).groupBy("t_start").agg(F.max("l").alias("l"))
-        assert got == {(r.t_start, r.l) for r in plain.collect()}
+    # events at random, on the windows' borders, of no length, of a day, and one within another
+    on = [*rng.uniform(0, 2000, 12).tolist(), 100.0, 104.0, 600.0, 700.0, 701.0]
+    off = [*(o + rng.uniform(1, 90) for o in on[:12]), 102.0, 104.0, 602.0, 86400.0, 703.0]
+    whole = spark.createDataFrame([("r", float(o), float(e)) for o, e in zip(on, off, strict=True)], "rec string, onset double, offset double")
+    ends = F.col("t_end"), F.col("t_start")
+    gap, onset = F.col("onset") - F.col("t_end"), F.col("onset")
+    overlap = F.when((ends[1] < F.col("offset")) & (ends[0] > onset), 2).when((gap >= 30) & (gap <= 120), 1).otherwise(0)
+    covered = F.greatest(F.lit(0.0), F.least(ends[0], F.col("offset")) - F.greatest(ends[1], onset)) / 4
+    fraction = F.when(covered >= 0.5, 2).when((ends[0] > F.greatest(F.lit(0.0), onset - 900)) & (ends[1] <= onset), 1).otherwise(0)
+    for label, expression in ((S.overlap_label(), overlap), (S.fraction_label(4), fraction)):
+        for a in (whole.where("offset < 80000"), whole):
+            got = {(r.t_start, r.label) for r in S.label_windows(w, a, ["rec"], label).collect()}
+            plain = w.join(a, "rec").withColumn("l", expression).groupBy("t_start").agg(F.max("l").alias("l"))
+            assert got == {(r.t_start, r.l) for r in plain.collect()}
+    assert {r.label for r in S.label_windows(w, whole.where("false"), ["rec"], S.overlap_label()).collect()} == {0}
 
 
 def test_filters_meet_their_bands():
