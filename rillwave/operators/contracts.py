@@ -127,12 +127,6 @@ def triples(rows: DataFrame, subject: Column, made: list[tuple[str, Column, str]
     return facts(rows, [(subject, *f) for f in made])
 
 
-def ntriples(graph: DataFrame, base: str = "urn:x:") -> DataFrame:
-    """One text line a triple."""
-    o = F.when(F.col("kind") == "iri", F.concat(F.lit(f"<{base}"), "o", F.lit(">"))).otherwise(F.concat(F.lit('"'), F.regexp_replace("o", r'(["\\])', r"\\$1"), F.lit('"^^<xsd:'), "kind", F.lit(">")))
-    return graph.select(F.concat(F.lit(f"<{base}"), "s", F.lit(f"> <{base}"), "p", F.lit("> "), o, F.lit(" .")).alias("value"))
-
-
 def infer_types(graph: DataFrame, axioms: tuple[tuple[str, str, str], ...] = AXIOMS) -> DataFrame:
     """The graph with the types that domains and ranges give to subjects and objects; each type triple once."""
     known = F.broadcast(graph.sparkSession.createDataFrame(axioms, "p string, domain string, range string"))  # a fixed list

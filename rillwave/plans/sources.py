@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillwave.functions.ordering import scratch_path
+from rillwave.functions.ordering import materialise, scratch_path, with_global_number
 from rillwave.sources import recordings as S
 
 from .tables import ORIGIN, pred_sql, predictions, r6, seconds, table, windows
@@ -83,8 +83,19 @@ def resume_sink(spark: SparkSession, d: str) -> DataFrame:
     w = windows(spark, d).select("patient", "vec_id", "label")
     path = scratch_path(spark, "features")
     S.resume_features(w.where("patient < 8"), path, "patient")
-    done = spark.read.parquet(path).select(F.col("patient").cast("long").alias("patient"))
-    return S.resume_features(w, path, "patient", done).select("patient", "expected", "saved", "ok")
+    return S.resume_features(w, path, "patient").select("patient", "expected", "saved", "ok")
+
+
+def resume_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Four runs over one folder: patients under 8; a run that stops with half of patients 8 to 11 written; all patients; and patients under 4 again with other labels."""
+    w = windows(spark, d).select("patient", "vec_id", "label")
+    path = scratch_path(spark, "features")
+    S.resume_features(w.where("patient < 8"), path, "patient")
+    S.stage_features(w.where("patient between 8 and 11 and vec_id % 40 < 20"), path, "patient", "stopped")
+    second = S.resume_features(w, path, "patient").select("patient", F.col("how").alias("second"))
+    third = S.resume_features(w.where("patient < 4").withColumn("label", F.col("label") + 10), path, "patient", overwrite=True).select("patient", F.col("how").alias("third"))
+    now = S.read_features(spark, path, "patient").groupBy("patient").agg(F.count("*").alias("n"), F.sum("label").alias("labels"))
+    return now.join(second, "patient", "left").join(third, "patient", "left")
 
 
 def manifest(spark: SparkSession, d: str) -> DataFrame:
@@ -97,12 +108,25 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
     return S.manifest(spark, path, r"(part=\d+)/", expected).select("name", "bytes", "md5", "status")
 
 
+def manifest_files(spark: SparkSession, d: str) -> DataFrame:
+    """Both checksums of files of 500 events each, so there are as many as the rows ask for; every fifth is expected otherwise, one is expected that is not there."""
+    ev = with_global_number(table(spark, d, "events").select("event_id", "event_type"), [F.col("event_id")], "no").withColumn("part", F.floor(F.col("no") / 500))
+    ev = materialise(ev, "events")
+    line = F.concat_ws(",", "event_id", "event_type")
+    text = ev.groupBy("part").agg(F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", line.alias("v")))), lambda x: x["v"]), "\n"), F.lit("\n")).alias("t"))
+    expected = text.select(F.concat(F.lit("part="), "part").alias("name"), F.md5(F.concat("t", F.when(F.col("part") % 5 == 0, "x").otherwise(""))).alias("md5"))
+    expected = expected.unionByName(spark.createDataFrame([("part=none", "")], "name string, md5 string"))
+    path = scratch_path(spark, "manifest")
+    ev.repartition("part").sortWithinPartitions("part", "no").select("part", line.alias("value")).write.partitionBy("part").text(path)
+    return S.manifest(spark, path, r"(part=\d+)/", expected).select("name", "bytes", "md5", "sha256", "status")
+
+
 def report_sink(spark: SparkSession, d: str) -> DataFrame:
     p = predictions(spark, d).groupBy("patient").agg(F.count("*").alias("n_windows"), *[F.sum(F.when(F.col("truth") == c, 1).otherwise(0)).alias(f"n_{c}") for c in range(3)], r6(F.avg("p1")).alias("mean_p1"))
     return S.write_report(p, scratch_path(spark, "report"))
 
 
-QUERIES = {f.__name__: f for f in (summary_scan, interval_csv, catalogue, alias_read, split_read, resolve_split, window_sink, resume_sink, manifest, report_sink)}
+QUERIES = {f.__name__: f for f in (summary_scan, interval_csv, catalogue, alias_read, split_read, resolve_split, window_sink, resume_sink, resume_repair, manifest, manifest_files, report_sink)}
 
 _T = f"floor(epoch_us(ts)/1e6-{ORIGIN})"
 _WIN = "win AS (SELECT vec_id, vec_id%20 AS patient, (label%3)::INT AS label, embedding[1]::DOUBLE AS first FROM embeddings)"
@@ -118,5 +142,9 @@ ORACLES = {
     "window_sink": f"WITH {_WIN} SELECT patient, count(*) AS n_windows, count(*) FILTER (label=0) AS n_0, count(*) FILTER (label=1) AS n_1, count(*) FILTER (label=2) AS n_2 FROM win GROUP BY patient",
     "resume_sink": f"WITH {_WIN} SELECT patient, count(*) AS expected, count(*) AS saved, TRUE AS ok FROM win GROUP BY patient",
     "manifest": "WITH t AS (SELECT user_id%16 AS part, string_agg(event_id::VARCHAR, chr(10) ORDER BY event_id)||chr(10) AS t FROM events GROUP BY 1) SELECT 'part='||part AS name, length(t) AS bytes, md5(t) AS md5, CASE WHEN part%5=0 THEN 'changed' ELSE 'ok' END AS status FROM t",
+    "resume_repair": f"""WITH {_WIN} SELECT patient, count(*) AS n, sum(label + CASE WHEN patient < 4 THEN 10 ELSE 0 END)::BIGINT AS labels, CASE WHEN patient < 8 THEN 'kept' ELSE 'written' END AS second, CASE WHEN patient < 4 THEN 'replaced' END AS third FROM win GROUP BY patient""",
+    "manifest_files": """WITH e AS (SELECT event_id, event_type, (row_number() OVER (ORDER BY event_id)-1)//500 AS part FROM events),
+      t AS (SELECT part, string_agg(event_id||','||event_type, chr(10) ORDER BY event_id)||chr(10) AS t FROM e GROUP BY part)
+      SELECT 'part='||part AS name, strlen(t) AS bytes, md5(t) AS md5, sha256(t) AS sha256, CASE WHEN part%5=0 THEN 'changed' ELSE 'ok' END AS status FROM t UNION ALL SELECT 'part=none', NULL, NULL, NULL, 'missing'""",
     "report_sink": f"WITH {pred_sql()} SELECT patient, count(*) AS n_windows, count(*) FILTER (truth=0) AS n_0, count(*) FILTER (truth=1) AS n_1, count(*) FILTER (truth=2) AS n_2, round(avg(p1),6) AS mean_p1 FROM pred GROUP BY patient",
 }

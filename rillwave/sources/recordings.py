@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rillwave.functions.ordering import materialise
+
 # Labels of an interval that count as a seizure.
 SEIZURE_LABELS = ("seiz", "gnsz", "fnsz", "cpsz", "spsz", "tcsz", "tnsz", "absz", "atsz", "mysz")
 
@@ -128,23 +136,105 @@ def write_windows(windows: DataFrame, path: str, patient: str, label: str) -> Da
     return back.groupBy(patient).agg(F.count("*").alias("n_windows"), *[F.sum(F.when(F.col(label) == c, 1).otherwise(0)).alias(f"n_{c}") for c in range(3)])
 
 
-def resume_features(features: DataFrame, path: str, patient: str, done: DataFrame | None = None, overwrite: bool = False) -> DataFrame:
-    """Append the patients that are not written yet (or, with overwrite, replace the given ones); returns (patient, expected, saved, ok)."""
+def _sums(rows: DataFrame, patient: str) -> DataFrame:
+    """(patient, rows, checksum) by all columns, whatever the order of rows."""
+    columns = [F.col(f"`{c}`") for c in sorted(rows.columns)]
+    return rows.groupBy(patient).agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).alias("checksum"))
+
+
+_COMMIT = "attempt string, number long, rows long, checksum decimal(30,0)"
+
+
+def committed(spark: SparkSession, path: str, patient: str) -> DataFrame | None:
+    """(patient, attempt, number, rows, checksum): the last attempt that was committed for each patient; None before the first."""
+    if not _exists(spark, f"{path}/commits"):
+        return None
+    log = spark.read.parquet(f"{path}/commits")
+    return log.groupBy(patient).agg(F.max_by(F.struct("attempt", "number", "rows", "checksum"), F.col("number")).alias("c")).select(patient, "c.*")
+
+
+def read_features(spark: SparkSession, path: str, patient: str) -> DataFrame:
+    """The rows of committed attempts; what a run that stopped has left is not seen."""
+    log = committed(spark, path, patient).select(F.col(patient).alias("_patient"), F.col("attempt").alias("_attempt"))
+    data = spark.read.parquet(f"{path}/data")
+    return data.join(log, F.col(patient).eqNullSafe(F.col("_patient")) & (F.col("attempt") == F.col("_attempt")), "left_semi").drop("attempt")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def stage_features(features: DataFrame, path: str, patient: str, attempt: str) -> None:
+    """Write rows into the folder of one attempt; nobody reads them before they are committed."""
+    features.write.parquet(f"{path}/data/attempt={attempt}")
+
+
+def resume_features(features: DataFrame, path: str, patient: str, overwrite: bool = False) -> DataFrame:
+    """Write the patients of `features` that are not there whole; (patient, expected, saved, ok, how), how being kept, written, repaired or replaced.
+
+    A run writes its rows into a folder of its own, reads them back, and then appends one commit a patient (attempt, rows,
+    checksum) to the commit table. A patient is done if what its last committed attempt holds on disk has the rows and the
+    checksum of its commit and of `features`; all others are written again, whether there is nothing, a part without a commit
+    or damage behind a commit. With `overwrite` all given patients are written again and supersede what was there.
+    """
     spark = features.sparkSession
-    new = features if overwrite or done is None else features.join(done.select(patient).distinct(), patient, "left_anti")
-    if overwrite:
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(patient).parquet(path)
-    else:
-        new.write.mode("append").partitionBy(patient).parquet(path)
-    saved = spark.read.parquet(path).groupBy(patient).agg(F.count("*").alias("saved"))
-    expected = features.groupBy(patient).agg(F.count("*").alias("expected"))
-    return expected.join(saved, patient, "left").withColumn("ok", F.coalesce(F.col("expected") == F.col("saved"), F.lit(False)))
+    want = materialise(_sums(features, patient), "expected")
+    log = committed(spark, path, patient)
+    number = 0
+    state = want.select(patient, "rows", "checksum").withColumns({"_known": F.lit(False), "_whole": F.lit(False)})
+    if log is not None:
+        number = log.agg(F.max("number")).first()[0] + 1
+        there = _sums(read_features(spark, path, patient), patient).select(F.col(patient).alias("_p"), F.col("rows").alias("_rows"), F.col("checksum").alias("_sum"))
+        noted = log.select(F.col(patient).alias("_q"), F.col("rows").alias("_crows"), F.col("checksum").alias("_csum"))
+        met = want.join(there, F.col(patient).eqNullSafe(F.col("_p")), "left").join(noted, F.col(patient).eqNullSafe(F.col("_q")), "left")
+        same = (F.col("_rows") == F.col("rows")) & (F.col("_sum") == F.col("checksum")) & (F.col("_crows") == F.col("rows")) & (F.col("_csum") == F.col("checksum"))
+        state = met.select(patient, "rows", "checksum", F.col("_crows").isNotNull().alias("_known"), F.coalesce(same, F.lit(False)).alias("_whole"))
+    state = materialise(state, "state")
+    attempt = uuid.uuid4().hex
+    due = state if overwrite else state.where(~F.col("_whole"))
+    todo = features.join(due.select(F.col(patient).alias("_p")), F.col(patient).eqNullSafe(F.col("_p")), "left_semi")
+    stage_features(todo, path, patient, attempt)
+    back = _sums(spark.read.schema(features.schema).parquet(f"{path}/data/attempt={attempt}"), patient).select(F.col(patient).alias("_p"), F.col("rows").alias("_rows"), F.col("checksum").alias("_sum"))
+    right = due.join(back, F.col(patient).eqNullSafe(F.col("_p")) & (F.col("rows") == F.col("_rows")) & (F.col("checksum") == F.col("_sum")), "left_semi")
+    commits = right.select(patient, F.lit(attempt).alias("attempt"), F.lit(number).cast("long").alias("number"), "rows", F.col("checksum").cast("decimal(30,0)").alias("checksum"))
+    commits.write.mode("append").parquet(f"{path}/commits")
+    saved = read_features(spark, path, patient).groupBy(F.col(patient).alias("_p")).agg(F.count("*").alias("saved"))
+    how = F.when(F.lit(overwrite), F.when(F.col("_known"), "replaced").otherwise("written")).when(F.col("_whole"), "kept").when(F.col("_known"), "repaired").otherwise("written")
+    met = state.withColumn("how", how).join(saved, F.col(patient).eqNullSafe(F.col("_p")), "left")
+    return met.select(patient, F.col("rows").alias("expected"), "saved", F.coalesce(F.col("rows") == F.col("saved"), F.lit(False)).alias("ok"), "how")
+
+
+#: Bytes that a task reads of a file at a time.
+PIECE = 1 << 20
+
+
+def file_digests(files: DataFrame) -> DataFrame:
+    """(path, length, md5, sha256) of listed files (path, length): each is read in pieces by one task, so its size doesn't matter."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: list[tuple[str, str]] = []
+            for path in batch.column("path").to_pylist():
+                fs, name = pafs.FileSystem.from_uri(path)
+                md5, sha = hashlib.md5(), hashlib.sha256()
+                with fs.open_input_stream(name) as f:
+                    while piece := f.read(PIECE):
+                        md5.update(piece)
+                        sha.update(piece)
+                sums.append((md5.hexdigest(), sha.hexdigest()))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array([a for a, _ in sums], pa.string()), pa.array([b for _, b in sums], pa.string())], names=["path", "length", "md5", "sha256"])
+
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("path", "length").repartition(n, "path").mapInArrow(digest, "path string, length long, md5 string, sha256 string")
 
 
 def manifest(spark: SparkSession, path: str, pattern: str, expected: DataFrame | None = None) -> DataFrame:
     """(name, bytes, md5, sha256, status) of files; against `expected` (name, md5): ok, changed, missing or unexpected."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    got = files.select(F.regexp_extract("path", pattern, 1).alias("name"), F.col("length").alias("bytes"), F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256")).where("name <> ''")
+    # the listing alone: no content is read here
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    named = file_digests(files).withColumn("name", F.regexp_extract("path", pattern, 1)).where("name <> ''")
+    got = named.select("name", F.col("length").alias("bytes"), "md5", "sha256")
     if expected is None:
         return got.withColumn("status", F.lit("ok"))
     both = got.join(expected.select("name", F.col("md5").alias("_md5")), "name", "full")
