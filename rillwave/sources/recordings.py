@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -216,7 +217,8 @@ def file_digests(files: DataFrame) -> DataFrame:
         for batch in batches:
             sums: list[tuple[str, str]] = []
             for path in batch.column("path").to_pylist():
-                fs, name = pafs.FileSystem.from_uri(path)
+                scheme, rest = path.split(":", 1)  # listed paths are not encoded
+                fs, name = pafs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@=')}")
                 md5, sha = hashlib.md5(), hashlib.sha256()
                 with fs.open_input_stream(name) as f:
                     while piece := f.read(PIECE):
