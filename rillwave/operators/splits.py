@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillwave.functions.ordering import with_global_number, with_group_number
+from rillwave.functions.ordering import materialise, with_global_number, with_group_number
+
+#: Patients that a search of splits deals at most.
+MOST_PATIENTS = 1 << 20
+#: Raw scores this near the least are scored again, exactly.
+_NEAR = 1e-6
+_COUNTS = ("n", "n0", "n1", "n2")
 
 #: Parts of a stratum that are capped by themselves first.
 PARTS = 64
@@ -48,8 +59,54 @@ def _trials(matrix: DataFrame, patient: str, trials: DataFrame, seed: int) -> Da
     return grid.withColumn("rn", F.row_number().over(order))
 
 
-def _numbers(df: DataFrame, trials: int) -> DataFrame:
-    return df.sparkSession.range(trials).withColumnRenamed("id", "trial")
+class Cohort:
+    """The patients of a search as arrays: one row a patient, in order of patient. At most `MOST_PATIENTS`, as every task holds them."""
+
+    def __init__(self, matrix: DataFrame, patient: str, *more: str):
+        rows = matrix.select(F.col(patient), F.col(patient).cast("string").alias("_text"), *_COUNTS, *more).orderBy(patient).limit(MOST_PATIENTS + 1).collect()
+        if len(rows) > MOST_PATIENTS:
+            raise ValueError(f"a search deals at most {MOST_PATIENTS} patients")
+        self.texts = [r["_text"].encode() for r in rows]
+        self.counts = np.array([[r[c] for c in _COUNTS] for r in rows], float).reshape(-1, len(_COUNTS))
+        self.more = [[r[c] for r in rows] for c in more]
+
+    def orders(self, trials: range, *head: object, own: np.ndarray | None = None) -> np.ndarray:
+        """Each trial's order of the patients (or of those in `own`), as `draw` gives it: trials by patients."""
+        texts = self.texts if own is None else [self.texts[i] for i in own]
+        start = "|".join(map(str, head)).encode()
+        digests = b"".join(hashlib.md5(b"%b|%d|%b" % (start, t, x)).digest() for t in trials for x in texts)
+        high, low = np.frombuffer(digests, ">u8").reshape(len(trials), len(texts), 2).transpose(2, 0, 1)
+        return np.lexsort((low, high), axis=-1)
+
+
+def _shortlist(matrix: DataFrame, trials: int, patients: int, scored: Callable[[range], dict], schema: str) -> DataFrame:
+    """Candidates whose raw score is the least one or within 10^-6 of it. A task scores blocks of trials as arrays, so trials x patients are never rows.
+
+    scored: for a block of trials, raw scores by outer fold (infinite where a trial is not feasible).
+    """
+    block = max(1, min(4096, (1 << 21) // max(1, patients)))
+    blocks = -(-trials // block)
+    spark = matrix.sparkSession
+    starts = spark.range(0, blocks, 1, min(blocks, 8 * spark.sparkContext.defaultParallelism))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.column("id").to_pylist():
+                numbers = range(b * block, min(trials, (b + 1) * block))
+                for outer, raw in scored(numbers).items():
+                    best = raw.min(initial=np.inf)
+                    near = np.flatnonzero(raw <= best + _NEAR) if best < np.inf else np.zeros(0, int)
+                    yield pa.RecordBatch.from_arrays([pa.array([outer] * len(near), pa.string()), pa.array(near + numbers.start, pa.int64()), pa.array(raw[near])], names=["outer", "trial", "raw"])
+
+    found = materialise(starts.mapInArrow(search, "outer string, trial long, raw double"), "candidates")
+    least = found.groupBy(F.col("outer").alias("_o")).agg(F.min("raw").alias("_least"))
+    return found.join(F.broadcast(least), F.col("outer").eqNullSafe(F.col("_o"))).where(F.col("raw") <= F.col("_least") + _NEAR).select(*schema.split(","))
+
+
+def _cuts(sorted_counts: np.ndarray, ends: list[int]) -> np.ndarray:
+    """Sums of the counts between the ends: trials, sides, counts."""
+    total = np.concatenate((np.zeros_like(sorted_counts[:, :1]), np.cumsum(sorted_counts, 1)), 1)
+    return np.diff(total[:, [0, *ends]], axis=1)
 
 
 def balanced_split(matrix: DataFrame, patient: str, trials: int = 10_000, seed: int = 42, train: float = 0.7, val: float = 0.15) -> DataFrame:
@@ -61,7 +118,17 @@ def balanced_split(matrix: DataFrame, patient: str, trials: int = 10_000, seed:
     all_ = matrix.agg(F.count("*").alias("p"), *[F.sum(c).alias(c) for c in ("n", "n0", "n1", "n2")]).first()
     a, b, c = split_sizes(all_.p, train, val)
     deal = lambda chosen: _trials(matrix, patient, chosen, seed).withColumn("side", F.when(F.col("rn") <= a, "train").when(F.col("rn") <= a + b, "validation").otherwise("test"))
-    sides = deal(_numbers(matrix, trials)).groupBy("trial", "side").agg(*[F.sum(k).alias(k) for k in ("n", "n0", "n1", "n2")])
+    cohort, whole = Cohort(matrix, patient), np.array([float(all_[k]) for k in _COUNTS])
+    aims = np.array([a, b, c]) / all_.p
+
+    def scored(numbers: range) -> dict:
+        s = _cuts(cohort.counts[cohort.orders(numbers, seed)], [a, a + b, all_.p])
+        n = s[..., :1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            raw = 1.5 * (n[..., 0] / whole[0] - aims) ** 2 + ((s[..., 1:] / n - whole[1:] / whole[0]) ** 2 + 100.0 * (s[..., 1:] == 0) + 0.02 * np.maximum(0, 10 - s[..., 1:])).sum(-1)
+        return {None: np.where(np.isnan(raw).any(1), np.inf, raw.sum(1))}
+
+    sides = deal(_shortlist(matrix, trials, all_.p, scored, "trial")).groupBy("trial", "side").agg(*[F.sum(k).alias(k) for k in ("n", "n0", "n1", "n2")])
     target = F.when(F.col("side") == "train", a / all_.p).when(F.col("side") == "validation", b / all_.p).otherwise(c / all_.p)
     term = 1.5 * F.pow(F.col("n") / all_.n - target, 2)
     for k in ("n0", "n1", "n2"):
@@ -79,7 +146,17 @@ def kfold_search(matrix: DataFrame, patient: str, folds: int = 5, trials: int =
     all_ = matrix.agg(F.count("*").alias("p"), *[F.sum(c).alias(c) for c in ("n", "n0", "n1", "n2")]).first()
     deal = lambda chosen: _trials(matrix, patient, chosen, seed).withColumn("fold", F.floor((F.col("rn") - 1) * folds / all_.p).cast("int"))
     has = [F.sum(F.when(F.col(f"n{c}") > 0, 1).otherwise(0)).alias(f"with{c}") for c in (1, 2)]
-    each = deal(_numbers(matrix, trials)).groupBy("trial", "fold").agg(*[F.sum(k).alias(k) for k in ("n", "n0", "n1", "n2")], *has)
+    cohort, fair = Cohort(matrix, patient), np.array([float(all_[k] or 0) for k in _COUNTS]) / folds
+    ends = [-(-(f + 1) * all_.p // folds) for f in range(folds)]
+
+    def scored(numbers: range) -> dict:
+        both = np.concatenate((cohort.counts, cohort.counts[:, 2:] > 0), 1)
+        s = _cuts(both[cohort.orders(numbers, seed)], ends)
+        error = sum(w * ((s[..., i] - fair[i]) / fair[i]) ** 2 if fair[i] else 0.0 for i, w in ((1, 0.25), (2, 1.0), (3, 1.0)))
+        raw = np.mean(error, 1) + 0.05 * (s[..., 4].var(1) + s[..., 5].var(1)) + 0.05 * np.log1p(((s[..., 0] - fair[0]) / fair[0]) ** 2).mean(1)
+        return {None: np.where((s[..., 2:4].min((1, 2)) > 0) & (all_.p >= folds), raw, np.inf)}
+
+    each = deal(_shortlist(matrix, trials, all_.p, scored, "trial")).groupBy("trial", "fold").agg(*[F.sum(k).alias(k) for k in ("n", "n0", "n1", "n2")], *has)
     error = F.lit(0.0)
     for k, w in (("n0", 0.25), ("n1", 1.0), ("n2", 1.0)):
         fair = all_[k] / folds
@@ -99,7 +176,26 @@ def inner_search(matrix: DataFrame, patient: str, outer: str, trials: int = 100_
     folds = matrix.select(F.col(outer).alias("_out")).distinct()
     train = folds.crossJoin(matrix).where(F.col("_out") != F.col(outer)).drop(outer).withColumnRenamed("_out", outer)
     sizes = train.groupBy(outer).agg(F.count("*").alias("p"), *[F.sum(k).alias(f"all_{k}") for k in ("n", "n0", "n1", "n2")]).withColumn("k", F.greatest(F.lit(4), F.floor(F.col("p") / 4)).cast("int"))
-    grid = train.crossJoin(F.broadcast(matrix.sparkSession.range(trials).withColumnRenamed("id", "trial")))
+    cohort = Cohort(matrix.withColumn("_outer", F.col(outer).cast("string")), patient, "_outer")
+    side_of = np.array(cohort.more[0], object)
+
+    def scored(numbers: range) -> dict:
+        out = {}
+        for fold in sorted({f for f in side_of if f is not None}):
+            own = np.flatnonzero([f is not None and f != fold for f in side_of])
+            counts, k = cohort.counts[own], max(4, len(own) // 4)
+            order = cohort.orders(numbers, seed, fold, own=own)[:, :k]
+            whole, s = counts.sum(0), counts[order].sum(1)
+            share_ = s[:, 0] / whole[0]
+            enough = ((counts[:, 2:] > 0)[order].sum(1) >= least_minority).all(1)
+            ok = (share_ >= share[0]) & (share_ <= share[1]) & enough & ((s[:, 1:] > 0) & (s[:, 1:] < whole[1:])).all(1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                raw = 0.15 * ((share_ - 0.25) / 0.25) ** 2 + 0.01 * abs(8 - k) + ((s[:, 1:] / (whole[1:] * share_[:, None]) - 1) ** 2 * [0.25, 1.0, 1.0]).sum(1)
+            out[fold] = np.where(ok, raw, np.inf)
+        return out
+
+    chosen = _shortlist(matrix, trials, 5 * len(cohort.texts), scored, "outer,trial")
+    grid = train.withColumn("_text", F.col(outer).cast("string")).join(F.broadcast(chosen.withColumnRenamed("outer", "_text")), "_text").drop("_text")
     order = Window.partitionBy(outer, "trial").orderBy(draw(seed, outer, "trial", patient), patient)
     val = grid.withColumn("rn", F.row_number().over(order)).join(F.broadcast(sizes), outer).where("rn <= k")
     has = [F.sum(F.when(F.col(f"n{c}") > 0, 1).otherwise(0)).alias(f"with{c}") for c in (1, 2)]

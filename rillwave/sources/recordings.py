@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -211,30 +211,31 @@ PIECE = 1 << 20
 
 
 def file_digests(files: DataFrame) -> DataFrame:
-    """(path, length, md5, sha256) of listed files (path, length): each is read in pieces by one task, so its size doesn't matter."""
+    """(path, length, md5, sha256) of listed files (uri): each is read in pieces by one task, so its size doesn't matter."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: list[tuple[str, str]] = []
-            for path in batch.column("path").to_pylist():
-                scheme, rest = path.split(":", 1)  # listed paths are not encoded
-                fs, name = pafs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@=')}")
-                md5, sha = hashlib.md5(), hashlib.sha256()
+            found: list[tuple[str, int, str, str]] = []
+            for uri in batch.column("uri").to_pylist():
+                fs, name = pafs.FileSystem.from_uri(uri)
+                md5, sha, length = hashlib.md5(), hashlib.sha256(), 0
                 with fs.open_input_stream(name) as f:
                     while piece := f.read(PIECE):
                         md5.update(piece)
                         sha.update(piece)
-                sums.append((md5.hexdigest(), sha.hexdigest()))
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array([a for a, _ in sums], pa.string()), pa.array([b for _, b in sums], pa.string())], names=["path", "length", "md5", "sha256"])
+                        length += len(piece)
+                found.append((unquote(uri), length, md5.hexdigest(), sha.hexdigest()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], names=["path", "length", "md5", "sha256"])
 
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.select("path", "length").repartition(n, "path").mapInArrow(digest, "path string, length long, md5 string, sha256 string")
+    return files.select("uri").repartition(n, "uri").mapInArrow(digest, "path string, length long, md5 string, sha256 string")
 
 
 def manifest(spark: SparkSession, path: str, pattern: str, expected: DataFrame | None = None) -> DataFrame:
     """(name, bytes, md5, sha256, status) of files; against `expected` (name, md5): ok, changed, missing or unexpected."""
-    # the listing alone: no content is read here
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    # the listing alone, empty files included: no content is read here
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).inputFiles()
+    files = spark.createDataFrame(pa.table({"uri": pa.array(listed, pa.string())}))
     named = file_digests(files).withColumn("name", F.regexp_extract("path", pattern, 1)).where("name <> ''")
     got = named.select("name", F.col("length").alias("bytes"), "md5", "sha256")
     if expected is None:

@@ -18,7 +18,18 @@ def test_a_skewed_cohort_has_a_feasible_deal_beyond_64_candidates(spark):
     # each of the twelve patients with class 1 and 2 must fall into a fold of its own: 4096 of 2704156 deals do
     rare = [(i, 10 + (i < 12) * 2, 10, int(i < 12), int(i < 12)) for i in range(24)]
     matrix = spark.createDataFrame(rare, "patient long, n long, n0 long, n1 long, n2 long")
-    few, many = (D.kfold_search(matrix, "patient", 12, t).collect() for t in (64, 10_000))
+    few, many = (D.kfold_search(matrix, "patient", 12, t).collect() for t in (64, 10_000))  # arrays in several blocks
     assert not few
     assert len(many) == 24
     assert all(len([r for r in many if r.fold == f and r.patient < 12]) == 1 for f in range(12))
+
+
+def test_orders_are_those_of_the_draw(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    matrix = spark.createDataFrame([(f"p{i}", i, 1, 1, i - 2) for i in range(9)], "patient string, n long, n0 long, n1 long, n2 long")
+    got = D.Cohort(matrix, "patient").orders(range(3, 6), 42, "x")
+    grid = matrix.crossJoin(spark.range(3, 6).withColumnRenamed("id", "trial")).withColumn("rn", F.row_number().over(Window.partitionBy("trial").orderBy(D.draw(42, F.lit("x"), "trial", "patient"), "patient")))
+    want = {(r.trial, r.rn): r.patient for r in grid.collect()}
+    assert {(t + 3, k + 1): f"p{i}" for t, row in enumerate(got) for k, i in enumerate(row)} == want

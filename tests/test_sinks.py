@@ -31,7 +31,7 @@ def test_a_damaged_commit_is_repaired(spark, tmp_path):
 def test_digests_of_many_pieces(spark, tmp_path, monkeypatch):
     for name, data in (("a.bin", b""), ("b.bin", os.urandom(3_500_000)), ("c d.bin", b"x" * (1 << 20))):
         (tmp_path / name).write_bytes(data)
-    got = {r.name: r for r in S.manifest(spark, str(tmp_path), r"([a-z]).*\.bin$").collect()}
+    got = {r.name: r for r in S.manifest(spark, str(tmp_path), r"/([a-z])[^/]*\.bin$").collect()}
     for f in tmp_path.iterdir():
         row = next(r for r in got.values() if r.bytes == f.stat().st_size)
         assert (row.md5, row.sha256) == (hashlib.md5(f.read_bytes()).hexdigest(), hashlib.sha256(f.read_bytes()).hexdigest())
