@@ -5,6 +5,8 @@ Undefined values are NULL. Every function takes `by`, the columns to report sepa
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -239,6 +241,87 @@ def missing_metrics(long: DataFrame, required: list[str], keys: list[str]) -> Da
     return long.select(*keys).distinct().crossJoin(F.broadcast(wanted)).join(long.select(*keys, "metric").distinct(), [*keys, "metric"], "left_anti")
 
 
+# The names that a report needs.
+PRIMARY_KEYS = (
+    "loss", "accuracy", "balanced_accuracy", "precision", "recall_sensitivity", "specificity", "f1", "auc",
+    "per_class_precision", "per_class_recall", "per_class_specificity", "per_class_f1", "per_class_support", "confusion_matrix",
+)
+ALARM_KEYS = (
+    "decision_threshold", "alarm_accuracy", "alarm_balanced_accuracy", "alarm_precision", "alarm_recall_sensitivity", "alarm_specificity", "alarm_f1", "alarm_auc", "alarm_youden_j",
+    "alarm_prediction_rate", "alarm_true_rate", "alarm_confusion_matrix", "tp", "tn", "fp", "fn", "evaluated_duration_seconds", "evaluated_duration_hours", "false_alarms_per_hour",
+)
+#: Length of the per-class arrays, and sides of the square matrices.
+ARRAYS = {k: len(CLASSES) for k in PRIMARY_KEYS if k.startswith("per_class_")}
+MATRICES = {"confusion_matrix": len(CLASSES), "alarm_confusion_matrix": 2}
+
+
+def reporting_metrics(df: DataFrame, truth: str, pred: str, scores: list[str], alarm: str, threshold: float, by: list[str], step_seconds: float = 2.0, observed: bool = False) -> DataFrame:
+    """(by, all PRIMARY_KEYS and ALARM_KEYS, majority_class) in nested form; with `observed`, arrays and the matrix hold only the classes that an entity has or was said to have."""
+    truth_, pred_ = F.col(truth), F.col(pred)
+    cells = F.array(*[F.count(F.when((truth_ == t) & (pred_ == p), 1)) for t in CLASSES for p in CLASSES])
+    count = lambda c: F.count(F.when(c, 1))
+    hit, alarmed = truth_ > 0, F.col(alarm) >= threshold
+    own = F.element_at(F.array(*scores), truth_ + 1)
+    sums = df.groupBy(*by).agg(
+        F.count("*").alias("n"), cells.alias("_cells"), F.avg(-F.log(F.greatest(own, F.lit(1e-15)))).alias("loss"),
+        count(hit & alarmed).alias("tp"), count(~hit & ~alarmed).alias("tn"), count(~hit & alarmed).alias("fp"), count(hit & ~alarmed).alias("fn"),
+    )
+    k = len(CLASSES)
+    cell = lambda t, p: F.col("_cells")[t * k + p]
+    add = lambda xs: reduce(lambda a, b: a + b, xs)
+    has, said = [add([cell(c, p) for p in CLASSES]) for c in CLASSES], [add([cell(t, c) for t in CLASSES]) for c in CLASSES]
+    each = {
+        "per_class_precision": [ratio(cell(c, c), said[c], 0) for c in CLASSES],
+        "per_class_recall": [ratio(cell(c, c), has[c], 0) for c in CLASSES],
+        "per_class_specificity": [ratio(F.col("n") - has[c] - said[c] + cell(c, c), F.col("n") - has[c]) for c in CLASSES],
+        "per_class_f1": [ratio(2 * cell(c, c), has[c] + said[c], 0) for c in CLASSES],
+        "per_class_support": has,
+    }
+    seen = F.filter(F.array(*map(F.lit, CLASSES)), lambda c: F.element_at(F.array(*[has[i] + said[i] for i in CLASSES]), c + 1) > 0) if observed else F.array(*map(F.lit, CLASSES))
+
+    def over_seen(values: list[Column]) -> Column:
+        return F.transform("_seen", lambda c: F.element_at(F.array(*values), c + 1))
+
+    there = F.nullif(add([(h > 0).cast("int") for h in has]), F.lit(0))
+    shown = sums.withColumn("_seen", seen).withColumns({m: over_seen(v) for m, v in each.items()})
+    mean = lambda c: F.aggregate(F.filter(c, lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(F.filter(c, lambda x: x.isNotNull())), F.lit(0))
+    r = rates(F.col("tp"), F.col("tn"), F.col("fp"), F.col("fn"), step_seconds)
+    shown = shown.withColumns({
+        "confusion_matrix": F.transform("_seen", lambda t: F.transform("_seen", lambda p: F.element_at("_cells", t * k + p + 1))),
+        "accuracy": ratio(add([cell(c, c) for c in CLASSES]), F.col("n")), "precision": mean("per_class_precision"), "recall_sensitivity": mean("per_class_recall"), "balanced_accuracy": add([F.coalesce(ratio(cell(c, c), has[c]), F.lit(0.0)) for c in CLASSES]) / there,
+        "specificity": mean("per_class_specificity"), "f1": mean("per_class_f1"), "majority_class": F.array_position(F.array(*has), F.array_max(F.array(*has))) - 1,
+        "decision_threshold": F.lit(threshold), "alarm_confusion_matrix": F.array(F.array("tn", "fp"), F.array("fn", "tp")),
+        **{f"alarm_{m}": r[m] for m in ("accuracy", "balanced_accuracy", "precision", "specificity", "f1", "youden_j", "true_rate")},
+        "alarm_recall_sensitivity": r["sensitivity"], "alarm_prediction_rate": r["alarm_rate"],
+        "evaluated_duration_seconds": F.col("n") * step_seconds, "evaluated_duration_hours": r["hours"], "false_alarms_per_hour": r["false_alarms_per_hour"],
+    })
+    ranked = class_rankings(df, truth, scores, by).groupBy(*by).agg(F.when(F.count("auc") == k, F.avg("auc")).alias("auc"))
+    alarms = ranking_metrics(df, alarm, hit, by).select(*by, F.col("auc").alias("alarm_auc"))
+    return shown.join(ranked, by, "left").join(alarms, by, "left").select(*by, *PRIMARY_KEYS, *ALARM_KEYS, "majority_class")
+
+
+def contract_violations(df: DataFrame, keys: list[str], majority: bool = False) -> DataFrame:
+    """(keys, metric, rule, got) of each entity's metrics: required ones that are absent or null, per-class arrays of another length, matrices of another shape."""
+    found = []
+
+    def say(metric: str, rule: str, when: Column, got: Column) -> None:
+        found.append(F.when(when, F.struct(F.lit(metric).alias("metric"), F.lit(rule).alias("rule"), got.alias("got"))))
+
+    none = F.lit(None).cast("string")
+    for m in (*PRIMARY_KEYS, *ALARM_KEYS, *(["majority_class"] if majority else [])):
+        if m not in df.columns:
+            say(m, "missing", F.lit(True), none)
+            continue
+        say(m, "missing", F.col(m).isNull(), none)
+        if m in ARRAYS:
+            say(m, "length", F.size(m) != ARRAYS[m], F.size(m).cast("string"))
+        if m in MATRICES:
+            n = F.lit(MATRICES[m])
+            widths = F.array_join(F.transform(m, lambda row: F.size(row).cast("string")), "+")
+            say(m, "shape", (F.size(m) != n) | F.exists(m, lambda row: F.coalesce(F.size(row), F.lit(-1)) != n), F.concat(F.size(m).cast("string"), F.lit(" rows of "), widths))
+    return df.select(*keys, F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
+
+
 def timing_summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """(by, n, mean, median, min, max, sd); the median is exact, from counts by ranges of values, so no task holds a group's values."""
     by, v = by or [], F.col(value)

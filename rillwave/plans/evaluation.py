@@ -154,10 +154,17 @@ def metric_long(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metric_contract(spark: SparkSession, d: str) -> DataFrame:
-    each = M.metric_rows(M.overall_metrics(predictions(spark, d).where("truth > 0 or patient % 2 = 0"), "truth", "pred", ["patient"]).join(M.alarm_metrics(predictions(spark, d).where("truth > 0 or patient % 2 = 0"), "truth", _score(), 0.5, ["patient"]).select("patient", "specificity"), "patient"), ["patient"], ["accuracy", "macro_f1", "specificity"])
+    each = M.metric_rows(M.overall_metrics(predictions(spark, d), "truth", "pred", ["patient"]).join(M.alarm_metrics(predictions(spark, d), "truth", _score(), 0.5, ["patient"]).select("patient", "specificity"), "patient"), ["patient"], ["accuracy", "macro_f1", "specificity"])
     return M.missing_metrics(each, ["accuracy", "macro_f1", "specificity", "macro_auc"], ["patient"])
 
 
+def metric_contract_nested(spark: SparkSession, d: str) -> DataFrame:
+    """Every order's report: arrays and matrix over the classes it has, so many orders lack rows, and rankings where one class is all."""
+    p = predictions(spark, d).withColumn("alarm_score", _score())
+    made = M.reporting_metrics(p, "truth", "pred", ["p0", "p1", "p2"], "alarm_score", 0.5, ["l_orderkey"], observed=True)
+    return M.contract_violations(made, ["l_orderkey"], majority=True)
+
+
 def timing_summary(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(M.timing_summary(predictions(spark, d).withColumn("ms", F.col("p0") * 10), "ms", ["truth"]), "mean", "median", "min", "max", "sd")
 
@@ -233,7 +240,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         prob_check, confusion, class_metrics, specificity, overall, auc_binary, average_precision, auc_macro, alarm_metrics, threshold_sweep, threshold_pick, patient_metrics, fold_summary, pooled, model_compare, parity,
-        majority_baseline, baseline_delta, metric_long, metric_contract, timing_summary, patient_calibration, softmax_argmax, alarm_decision, smoothing, prediction_rows, best_run, routing,
+        majority_baseline, baseline_delta, metric_long, metric_contract, metric_contract_nested, timing_summary, patient_calibration, softmax_argmax, alarm_decision, smoothing, prediction_rows, best_run, routing,
     )
 }
 
@@ -323,7 +330,13 @@ ORACLES = {
     "majority_baseline": f"{_MAJ}, o AS ({_overall_sql('t', 'majority', 'majority')}) SELECT majority, n, {_R(*_M3)} FROM o",
     "baseline_delta": f"{_MAJ}, o AS ({_overall_sql('t', '', 'majority')}), q AS ({_overall_sql('t')}) " + " UNION ALL ".join(f"SELECT '{m}' AS metric, round(q.{m},6) AS model, round(o.{m},6) AS baseline, round(q.{m}-round(o.{m},6),6) AS difference FROM o, q" for m in _M3),
     "metric_long": f"WITH {P}, k AS ({_CLASS('patient,')}) SELECT patient, class, 'class metrics_' || m AS metric, round(v,6) AS value FROM (" + " UNION ALL ".join(f"SELECT patient, class, '{m}' AS m, {m} AS v FROM k" for m in ("precision", "recall", "f1", "specificity")) + ") WHERE v IS NOT NULL",
-    "metric_contract": f"WITH {P} SELECT patient, 'macro_auc' AS metric FROM pred WHERE truth>0 OR patient%2=0 GROUP BY patient UNION ALL SELECT patient, 'specificity' FROM pred WHERE truth>0 OR patient%2=0 GROUP BY patient HAVING count(*) FILTER (truth=0)=0",
+    "metric_contract": f"WITH {P} SELECT patient, 'macro_auc' AS metric FROM pred GROUP BY patient UNION ALL SELECT patient, 'specificity' FROM pred GROUP BY patient HAVING count(*) FILTER (truth=0)=0",
+    "metric_contract_nested": f"""WITH {P}, c AS (SELECT l_orderkey, count(*) AS n, {', '.join(f'count(*) FILTER (truth={c}) AS s{c}, (count(*) FILTER (truth={c} OR pred={c})>0)::INT AS k{c}' for c in range(3))} FROM pred GROUP BY l_orderkey), e AS (SELECT *, k0+k1+k2 AS k FROM c)
+      SELECT l_orderkey, m AS metric, 'length' AS rule, k::VARCHAR AS got FROM e, (VALUES ('per_class_precision'),('per_class_recall'),('per_class_specificity'),('per_class_f1'),('per_class_support')) v(m) WHERE k<>3
+      UNION ALL SELECT l_orderkey, 'confusion_matrix', 'shape', k||' rows of '||array_to_string(list_transform(range(k), lambda x: k::VARCHAR), '+') FROM e WHERE k<>3
+      UNION ALL SELECT l_orderkey, 'specificity', 'missing', NULL FROM e WHERE k=1
+      UNION ALL SELECT l_orderkey, 'auc', 'missing', NULL FROM e WHERE s0 IN (0,n) OR s1 IN (0,n) OR s2 IN (0,n)
+      UNION ALL SELECT l_orderkey, m, 'missing', NULL FROM e, (VALUES ('alarm_auc'),('alarm_balanced_accuracy'),('alarm_youden_j'),('alarm_recall_sensitivity'),('alarm_specificity')) v(m) WHERE (s0=n AND m<>'alarm_specificity') OR (s0=0 AND m<>'alarm_recall_sensitivity')""",
     "timing_summary": f"WITH {P} SELECT truth, count(*) AS n, round(avg(p0*10),6) AS mean, round(quantile_cont(p0*10,0.5),6) AS median, round(min(p0*10),6) AS min, round(max(p0*10),6) AS max, round(stddev_pop(p0*10),6) AS sd FROM pred GROUP BY truth",
     "patient_calibration": f"""WITH {P}, s AS ({_sweep_sql(9, 0.1, 0.1, 'patient', 'WHERE l_orderkey%2=0')}), best AS (SELECT patient, threshold FROM (SELECT *, row_number() OVER (PARTITION BY patient ORDER BY f1 DESC, specificity DESC, alarm_rate, threshold DESC) AS rn FROM s) WHERE rn=1),
       c AS (SELECT patient, threshold, count(*) FILTER (truth>0 AND p1+p2>=threshold) AS tp, count(*) FILTER (truth=0 AND p1+p2>=threshold) AS fp, count(*) FILTER (truth>0 AND p1+p2<threshold) AS fn, count(*) FILTER (truth=0 AND p1+p2<threshold) AS tn FROM pred JOIN best USING (patient) WHERE l_orderkey%2<>0 GROUP BY patient, threshold)

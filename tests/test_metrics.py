@@ -74,3 +74,21 @@ def test_empty_and_null_rows(spark):
     assert M.overall_metrics(empty, "truth", "pred").first().accuracy is None
     probs = spark.createDataFrame([(0.2, 0.3, None), (0.5, 0.25, 0.25), (float("nan"), 0.1, 0.1), (0.0, 0.0, 0.0), (-0.1, 0.6, 0.5)], "a double, b double, c double")
     assert [r.ok for r in M.check_probabilities(probs, ["a", "b", "c"]).collect()] == [False, True, False, False, False]
+
+
+def test_reporting_contract(spark):
+    from rillwave.operators import metrics as M
+
+    rows = [("a", t, p, 0.2 + 0.1 * t, 0.3, 0.5 - 0.1 * t) for t in range(3) for p in range(3)] + [("b", 0, 0, 0.8, 0.1, 0.1), ("b", 1, 0, 0.6, 0.2, 0.2)]
+    df = spark.createDataFrame(rows, "e string, t int, p int, p0 double, p1 double, p2 double").selectExpr("*", "p1 + p2 AS s")
+    full = M.reporting_metrics(df, "t", "p", ["p0", "p1", "p2"], "s", 0.5, ["e"])
+    assert set(M.PRIMARY_KEYS + M.ALARM_KEYS) | {"e", "majority_class"} == set(full.columns) and len(M.PRIMARY_KEYS + M.ALARM_KEYS) == 33
+    got = {r.e: r for r in full.collect()}
+    assert got["a"].confusion_matrix == [[1, 1, 1]] * 3 and got["a"].per_class_support == [3, 3, 3] and abs(got["a"].accuracy - 1 / 3) < 1e-12
+    assert got["b"].balanced_accuracy == 0.5 and got["b"].majority_class == 0 and got["b"].alarm_confusion_matrix == [[1, 0], [1, 0]]
+    found = lambda d: {(r.e, r.metric, r.rule, r.got) for r in M.contract_violations(d, ["e"], True).collect()}
+    assert found(full) == {("b", "auc", "missing", None)}
+    seen = M.reporting_metrics(df, "t", "p", ["p0", "p1", "p2"], "s", 0.5, ["e"], observed=True)
+    assert found(seen) == {("b", "auc", "missing", None), ("b", "confusion_matrix", "shape", "2 rows of 2+2"), *(("b", m, "length", "2") for m in M.ARRAYS)}
+    bad = seen.where("e = 'a'").selectExpr("* except (loss, alarm_confusion_matrix, majority_class)", "array(array(1L, 2L), array(1L)) AS alarm_confusion_matrix")
+    assert found(bad) == {("a", "loss", "missing", None), ("a", "majority_class", "missing", None), ("a", "alarm_confusion_matrix", "shape", "2 rows of 2+1")}
