@@ -99,26 +99,35 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of the vectors of each (lang, source), `HELD` cells at a time."""
-    known: dict[tuple, int] = {}
-    held: list[pa.Table] = []
+    held: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        sums = pa.concat_tables(held).group_by(["group", "term"], use_threads=False).aggregate([("n", "sum")]).combine_chunks()
-        names = [pa.array([k[i] for k in known], pa.string()) for i in (0, 1)]
+        for (lang, source), parts in held.items():
+            term, n = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            if len(term) * 8 < (top := int(term.max(initial=-1)) + 1):
+                own, place = np.unique(term, return_inverse=True)
+                sums = np.bincount(place, n, len(own))
+            else:
+                sums = np.bincount(term, n, top)
+                own = np.flatnonzero(sums)
+                sums = sums[own]
+            names = [pa.DictionaryArray.from_arrays(np.zeros(len(own), np.int32), pa.array([k], pa.string())).dictionary_decode() for k in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(own, pa.int32()), pa.array(sums.astype(float))], names=["lang", "source", "term", "n"])
         held.clear()
-        yield from pa.table([*(n.take(sums.column("group").combine_chunks()) for n in names), sums.column("term"), sums.column("n_sum")], names=["lang", "source", "term", "n"]).to_batches()
 
     for batch in batches:
-        code = [known.setdefault(k, len(known)) for k in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)]
-        group = np.repeat(np.array(code, np.int32), pc.list_value_length(batch.column("indices")).to_numpy(zero_copy_only=False))
-        held.append(pa.table({"group": group, "term": batch.column("indices").flatten(), "n": batch.column("values").flatten()}))
-        size += len(group)
+        terms, values = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("indices", "values"))
+        ends = np.cumsum(pc.list_value_length(batch.column("indices")).to_numpy(zero_copy_only=False))
+        begin = 0
+        for key, end in zip(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True), ends.tolist(), strict=True):
+            held.setdefault(key, []).append((terms[begin:end], values[begin:end]))
+            begin = end
+        size += len(terms)
         if size > HELD:
             yield from flush()
             size = 0
-    if held:
-        yield from flush()
+    yield from flush()
 
 
 def _counts(cut: DataFrame, rounds: int, k: int, min_df: int) -> tuple[DataFrame, DataFrame]:
