@@ -309,10 +309,12 @@ def _level(blocks: DataFrame, since: list, current: list, allowed: list, trees:
         found = [(m, np.array(best_splits(v, allowed[m], trees)).tobytes()) for m, v in total.items()]
         yield pa.RecordBatch.from_arrays([pa.array([m for m, _ in found], pa.int32()), pa.array([s for _, s in found], pa.binary())], names=["model", "splits"])
 
-    sums = blocks.mapInArrow(add, "model int, sums binary")
+    answer = "model int, splits binary"
     if reducers:
-        sums = sums.repartition(reducers, "model")
-    got = sums.mapInArrow(best, "model int, splits binary").collect()  # one row a model, one split a node
+        found = blocks.mapInArrow(add, "model int, sums binary").repartition(reducers, "model").mapInArrow(best, answer)
+    else:
+        found = blocks.mapInArrow(lambda batches: best(add(batches)), answer)
+    got = found.collect()  # one row a model, one split a node
     return [(r.model, [(int(s[0]), int(s[1]), *map(float, s[2:])) for s in np.frombuffer(r.splits).reshape(-1, 6)]) for r in got]
 
 
