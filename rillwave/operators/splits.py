@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillwave.functions.digests import Endings
 from rillwave.functions.ordering import materialise, with_global_number, with_group_number
 
 #: Patients that a search of splits deals at most.
 MOST_PATIENTS = 1 << 20
-#: Raw scores this near the least are scored again, exactly.
-_NEAR = 1e-6
+#: Digits of a score, and what arrays and columns may differ by: raw scores that near a border of digits are scored again.
+DIGITS, _SLACK = 9, 1e-12
 _COUNTS = ("n", "n0", "n1", "n2")
 
 #: Parts of a stratum that are capped by themselves first.
@@ -69,19 +70,64 @@ class Cohort:
         self.texts = [r["_text"].encode() for r in rows]
         self.counts = np.array([[r[c] for c in _COUNTS] for r in rows], float).reshape(-1, len(_COUNTS))
         self.more = [[r[c] for r in rows] for c in more]
+        self.endings = Endings(self.texts)
 
-    def orders(self, trials: range, *head: object, own: np.ndarray | None = None) -> np.ndarray:
-        """Each trial's order of the patients (or of those in `own`), as `draw` gives it: trials by patients."""
-        texts = self.texts if own is None else [self.texts[i] for i in own]
+    def part(self, own: np.ndarray) -> Cohort:
+        """The patients at these places."""
+        out = object.__new__(Cohort)
+        out.texts, out.counts, out.more = [self.texts[i] for i in own], self.counts[own], [[m[i] for i in own] for m in self.more]
+        out.endings = Endings(out.texts)
+        return out
+
+    def orders(self, trials: range, *head: object) -> np.ndarray:
+        """Each trial's order of the patients, as `draw` gives it: trials by patients."""
         start = "|".join(map(str, head)).encode()
-        digests = b"".join(hashlib.md5(b"%b|%d|%b" % (start, t, x)).digest() for t in trials for x in texts)
-        high, low = np.frombuffer(digests, ">u8").reshape(len(trials), len(texts), 2).transpose(2, 0, 1)
+        digests = b"".join(hashlib.md5(b"%b|%d|%b" % (start, t, x)).digest() for t in trials for x in self.texts)
+        high, low = np.frombuffer(digests, ">u8").reshape(len(trials), len(self.texts), 2).transpose(2, 0, 1)
         return np.lexsort((low, high), axis=-1)
 
+    def first(self, values: np.ndarray, ends: list[int], trials: range, *head: object) -> np.ndarray:
+        """Sums of whole values (patients by kinds) over the first patients of each trial's order, up to each end: trials, ends, kinds.
+
+        No order is made: a sum needs only the draw at its end. Where draws tie there in their first half, the order tells.
+        """
+        n = len(self.texts)
+        keys = self.endings.keys([b"%b|%d|" % ("|".join(map(str, head)).encode(), t) for t in trials])
+        inner = sorted({e for e in ends if 0 < e < n})
+        borders = np.partition(keys, inner, axis=1)[:, inner] if inner else keys[:, :0]
+        counted = np.concatenate((values, np.ones((n, 1))), 1)
+        out = np.zeros((len(trials), len(ends), counted.shape[1]))
+        for i, end in enumerate(ends):
+            if end >= n:
+                out[:, i] = counted.sum(0)
+            elif end > 0:
+                out[:, i] = (keys < borders[:, inner.index(end), None]).astype(float) @ counted
+        for t in np.flatnonzero((out[..., -1] != np.clip(ends, 0, n)).any(1)):
+            order = self.orders(range(trials[t], trials[t] + 1), *head)[0]
+            out[t] = [counted[order[:end]].sum(0) for end in ends]
+        return out[..., :-1]
+
+
+def _leading(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the candidates that may have the least score, and the least and greatest rounded score of each.
+
+    Of those whose rounded score is certain only the first can win; the others are kept, equal raw scores once.
+    """
+    found = np.flatnonzero(raw < np.inf)
+    slack = _SLACK * np.maximum(1.0, raw[found])
+    low, high = np.full(len(raw), np.inf), np.full(len(raw), np.inf)
+    low[found], high[found] = np.round(raw[found] - slack, DIGITS), np.round(raw[found] + slack, DIGITS)
+    near = found[low[found] <= high.min(initial=np.inf)]
+    sure = low[near] == high[near]
+    unsure = near[~sure]
+    kept = np.sort(np.concatenate((near[sure][:1], unsure[np.unique(raw[unsure], return_index=True)[1]])))
+    return kept, low[kept], high[kept]
+
 
 def _shortlist(matrix: DataFrame, trials: int, patients: int, scored: Callable[[range], dict], schema: str) -> DataFrame:
-    """Candidates whose raw score is the least one or within 10^-6 of it. A task scores blocks of trials as arrays, so trials x patients are never rows.
+    """Candidates that may have the least score by outer fold: one whose score is certain, and those too near a border of digits to tell.
 
+    A task scores blocks of trials as arrays, so trials x patients are never rows, and a block gives the few that may win.
     scored: for a block of trials, raw scores by outer fold (infinite where a trial is not feasible).
     """
     block = max(1, min(4096, (1 << 21) // max(1, patients)))
@@ -94,19 +140,14 @@ def _shortlist(matrix: DataFrame, trials: int, patients: int, scored: Callable[[
             for b in batch.column("id").to_pylist():
                 numbers = range(b * block, min(trials, (b + 1) * block))
                 for outer, raw in scored(numbers).items():
-                    best = raw.min(initial=np.inf)
-                    near = np.flatnonzero(raw <= best + _NEAR) if best < np.inf else np.zeros(0, int)
-                    yield pa.RecordBatch.from_arrays([pa.array([outer] * len(near), pa.string()), pa.array(near + numbers.start, pa.int64()), pa.array(raw[near])], names=["outer", "trial", "raw"])
-
-    found = materialise(starts.mapInArrow(search, "outer string, trial long, raw double"), "candidates")
-    least = found.groupBy(F.col("outer").alias("_o")).agg(F.min("raw").alias("_least"))
-    return found.join(F.broadcast(least), F.col("outer").eqNullSafe(F.col("_o"))).where(F.col("raw") <= F.col("_least") + _NEAR).select(*schema.split(","))
-
+                    at, low, high = _leading(raw)
+                    yield pa.RecordBatch.from_arrays([pa.array([outer] * len(at), pa.string()), pa.array(at + numbers.start, pa.int64()), pa.array(low), pa.array(high)], names=["outer", "trial", "low", "high"])
 
-def _cuts(sorted_counts: np.ndarray, ends: list[int]) -> np.ndarray:
-    """Sums of the counts between the ends: trials, sides, counts."""
-    total = np.concatenate((np.zeros_like(sorted_counts[:, :1]), np.cumsum(sorted_counts, 1)), 1)
-    return np.diff(total[:, [0, *ends]], axis=1)
+    found = materialise(starts.mapInArrow(search, "outer string, trial long, low double, high double"), "candidates")
+    least = found.groupBy(F.col("outer").alias("_o")).agg(F.min("high").alias("_least"))
+    near = found.join(F.broadcast(least), F.col("outer").eqNullSafe(F.col("_o"))).where(F.col("low") <= F.col("_least"))
+    unsure = F.when(F.col("low") < F.col("high"), F.col("trial"))
+    return near.groupBy("outer", unsure.alias("_unsure")).agg(F.min("trial").alias("trial")).select(*schema.split(","))
 
 
 def balanced_split(matrix: DataFrame, patient: str, trials: int = 10_000, seed: int = 42, train: float = 0.7, val: float = 0.15) -> DataFrame:
@@ -115,6 +156,7 @@ def balanced_split(matrix: DataFrame, patient: str, trials: int = 10_000, seed:
     Score: over the sides, squared drift of the class shares, 1.5 (window share - target)^2, 100 a missing class, and 0.02 for
     each count a class falls short of 10; the lowest wins, the first on ties.
     """
+    matrix = materialise(matrix, "cohort")
     all_ = matrix.agg(F.count("*").alias("p"), *[F.sum(c).alias(c) for c in ("n", "n0", "n1", "n2")]).first()
     a, b, c = split_sizes(all_.p, train, val)
     deal = lambda chosen: _trials(matrix, patient, chosen, seed).withColumn("side", F.when(F.col("rn") <= a, "train").when(F.col("rn") <= a + b, "validation").otherwise("test"))
@@ -122,7 +164,7 @@ def balanced_split(matrix: DataFrame, patient: str, trials: int = 10_000, seed:
     aims = np.array([a, b, c]) / all_.p
 
     def scored(numbers: range) -> dict:
-        s = _cuts(cohort.counts[cohort.orders(numbers, seed)], [a, a + b, all_.p])
+        s = np.diff(cohort.first(cohort.counts, [0, a, a + b, all_.p], numbers, seed), axis=1)
         n = s[..., :1]
         with np.errstate(divide="ignore", invalid="ignore"):
             raw = 1.5 * (n[..., 0] / whole[0] - aims) ** 2 + ((s[..., 1:] / n - whole[1:] / whole[0]) ** 2 + 100.0 * (s[..., 1:] == 0) + 0.02 * np.maximum(0, 10 - s[..., 1:])).sum(-1)
@@ -143,15 +185,16 @@ def kfold_search(matrix: DataFrame, patient: str, folds: int = 5, trials: int =
     Score: mean over folds of the weighted squared relative errors of the class counts (0.25, 1, 1), 0.05 of the variances of
     the patients with class 1 and 2, and 0.05 of the mean log1p of the squared relative window error.
     """
+    matrix = materialise(matrix, "cohort")
     all_ = matrix.agg(F.count("*").alias("p"), *[F.sum(c).alias(c) for c in ("n", "n0", "n1", "n2")]).first()
     deal = lambda chosen: _trials(matrix, patient, chosen, seed).withColumn("fold", F.floor((F.col("rn") - 1) * folds / all_.p).cast("int"))
     has = [F.sum(F.when(F.col(f"n{c}") > 0, 1).otherwise(0)).alias(f"with{c}") for c in (1, 2)]
     cohort, fair = Cohort(matrix, patient), np.array([float(all_[k] or 0) for k in _COUNTS]) / folds
-    ends = [-(-(f + 1) * all_.p // folds) for f in range(folds)]
+    ends = [-(-f * all_.p // folds) for f in range(folds + 1)]
+    both = np.concatenate((cohort.counts, cohort.counts[:, 2:] > 0), 1)
 
     def scored(numbers: range) -> dict:
-        both = np.concatenate((cohort.counts, cohort.counts[:, 2:] > 0), 1)
-        s = _cuts(both[cohort.orders(numbers, seed)], ends)
+        s = np.diff(cohort.first(both, ends, numbers, seed), axis=1)
         error = sum(w * ((s[..., i] - fair[i]) / fair[i]) ** 2 if fair[i] else 0.0 for i, w in ((1, 0.25), (2, 1.0), (3, 1.0)))
         raw = np.mean(error, 1) + 0.05 * (s[..., 4].var(1) + s[..., 5].var(1)) + 0.05 * np.log1p(((s[..., 0] - fair[0]) / fair[0]) ** 2).mean(1)
         return {None: np.where((s[..., 2:4].min((1, 2)) > 0) & (all_.p >= folds), raw, np.inf)}
@@ -173,23 +216,23 @@ def inner_search(matrix: DataFrame, patient: str, outer: str, trials: int = 100_
 
     Feasible: all classes on both sides, `least_minority` patients with class 1 and with class 2, window share in bounds.
     """
+    matrix = materialise(matrix, "cohort")
     folds = matrix.select(F.col(outer).alias("_out")).distinct()
     train = folds.crossJoin(matrix).where(F.col("_out") != F.col(outer)).drop(outer).withColumnRenamed("_out", outer)
     sizes = train.groupBy(outer).agg(F.count("*").alias("p"), *[F.sum(k).alias(f"all_{k}") for k in ("n", "n0", "n1", "n2")]).withColumn("k", F.greatest(F.lit(4), F.floor(F.col("p") / 4)).cast("int"))
     cohort = Cohort(matrix.withColumn("_outer", F.col(outer).cast("string")), patient, "_outer")
-    side_of = np.array(cohort.more[0], object)
+    side_of = cohort.more[0]
+    own = {fold: cohort.part(np.array([i for i, f in enumerate(side_of) if f is not None and f != fold], int)) for fold in sorted({f for f in side_of if f is not None})}
 
     def scored(numbers: range) -> dict:
         out = {}
-        for fold in sorted({f for f in side_of if f is not None}):
-            own = np.flatnonzero([f is not None and f != fold for f in side_of])
-            counts, k = cohort.counts[own], max(4, len(own) // 4)
-            order = cohort.orders(numbers, seed, fold, own=own)[:, :k]
-            whole, s = counts.sum(0), counts[order].sum(1)
-            share_ = s[:, 0] / whole[0]
-            enough = ((counts[:, 2:] > 0)[order].sum(1) >= least_minority).all(1)
-            ok = (share_ >= share[0]) & (share_ <= share[1]) & enough & ((s[:, 1:] > 0) & (s[:, 1:] < whole[1:])).all(1)
+        for fold, part in own.items():
+            k, whole = max(4, len(part.texts) // 4), part.counts.sum(0)
+            s = part.first(np.concatenate((part.counts, part.counts[:, 2:] > 0), 1), [k], numbers, seed, fold)[:, 0]
+            s, having = s[:, :4], s[:, 4:]
             with np.errstate(divide="ignore", invalid="ignore"):
+                share_ = s[:, 0] / whole[0]
+                ok = (share_ >= share[0]) & (share_ <= share[1]) & (having >= least_minority).all(1) & ((s[:, 1:] > 0) & (s[:, 1:] < whole[1:])).all(1)
                 raw = 0.15 * ((share_ - 0.25) / 0.25) ** 2 + 0.01 * abs(8 - k) + ((s[:, 1:] / (whole[1:] * share_[:, None]) - 1) ** 2 * [0.25, 1.0, 1.0]).sum(1)
             out[fold] = np.where(ok, raw, np.inf)
         return out
