@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 
 BASE = "urn:rillwave:"
 XSD = "http://www.w3.org/2001/XMLSchema#"
+_CONTROL = r"\x00-\x1F\x7F"
 # The short escapes of a literal.
 ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f"))
-_IRI = r"<((?:[^\x00-\x20<>\"{}|^`\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*)>"
+# what a class takes is taken as a run, and nothing of a group is given back: long terms need no step a character
+_IRI = r"<((?:[^\x00-\x20<>\"{}|^`\\]++|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*+)>"
 _BLANK = r"(_:[A-Za-z0-9_](?:[A-Za-z0-9_.-]*[A-Za-z0-9_-])?)"
-_STRING = r"\"((?:[^\x0A\x0D\"\\]|\\[tbnrf\"'\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*+)\""
+_STRING = r"(\")((?:[^\x0A\x0D\"\\]++|\\[tbnrf\"'\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*+)\""
+#: Groups: subject (name, blank), property, object (name, blank, quote, text, datatype, language).
 LINE = rf"^[ \t]*(?:{_IRI}|{_BLANK})[ \t]*{_IRI}[ \t]*(?:{_IRI}|{_BLANK}|{_STRING}(?:\^\^{_IRI}|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?)[ \t]*\.[ \t]*(?:#.*)?$"
+_GROUPS = 9
 
 
 def _by_code(text: Column, unsafe: str) -> Column:
@@ -30,11 +34,15 @@ def _by_code(text: Column, unsafe: str) -> Column:
     return F.when(text.rlike(f"[{unsafe}]"), F.array_join(coded, "")).otherwise(text)
 
 
-def escaped(text: Column) -> Column:
-    """A literal's text between its quotes."""
+def _short_escaped(text: Column) -> Column:
     for plain, code in ESCAPES:
         text = F.replace(text, F.lit(plain), F.lit(code))
-    return _by_code(text, r"\x00-\x1F\x7F")
+    return text
+
+
+def escaped(text: Column) -> Column:
+    """A literal's text between its quotes."""
+    return _by_code(_short_escaped(text), _CONTROL)
 
 
 def _iri(name: Column, base: str) -> Column:
@@ -49,31 +57,44 @@ def unescaped(text: Column) -> Column:
         point = F.decode(F.unhex(F.lpad(F.substring(p, 3, 8), 8, "0")), "UTF-32")
         return F.when(p.rlike(r"^\\[uU]"), point).when(p.startswith("\\"), F.try_element_at(short, p)).otherwise(p)
 
-    return F.when(text.contains("\\"), F.array_join(F.transform(parts, one), "")).otherwise(text)
+    def plain(part: Column) -> Column:
+        for x, code in (*ESCAPES[1:], ("'", "\\'")):
+            part = F.replace(part, F.lit(code), F.lit(x))
+        return part
+
+    # without code points, what lies between escaped backslashes is replaced as a whole
+    whole = F.array_join(F.transform(F.split(text, r"\\\\", -1), plain), "\\")
+    by_code = text.contains("\\u") | text.contains("\\U")
+    return F.when(~text.contains("\\"), text).when(by_code, F.array_join(F.transform(parts, one), "")).otherwise(whole)
 
 
 def write_ntriples(graph: DataFrame, path: str, base: str = BASE) -> None:
     """graph: (s, p, o, kind); kind `iri` is a name, `lang:xx` a text in a language, any other a datatype."""
-    literal = F.concat(F.lit('"'), escaped(F.col("o")), F.lit('"'))
-    typed = F.when(F.col("kind").startswith("lang:"), F.concat(literal, F.lit("@"), F.substr("kind", F.lit(6)))).when(F.col("kind") == "string", literal).otherwise(F.concat(literal, F.lit(f"^^<{XSD}"), F.col("kind"), F.lit(">")))
-    o = F.when(F.col("kind") == "iri", _iri(F.col("o"), base)).otherwise(typed)
-    line = F.concat_ws(" ", _iri(F.col("s"), base), _iri(F.col("p"), base), o, F.lit("."))
-    graph.where("s is not null and p is not null and o is not null and kind is not null").select(line.alias("value")).write.text(path)
+    rows = graph.where("s is not null and p is not null and o is not null and kind is not null")
+    # each step is a column of its own, as the next one reads it more than once
+    rows = rows.select("s", "p", "kind", F.when(F.col("kind") == "iri", F.col("o")).otherwise(_short_escaped(F.col("o"))).alias("o"))
+    rows = rows.select("s", "p", "kind", F.when(F.col("kind") == "iri", _iri(F.col("o"), base)).otherwise(F.concat(F.lit('"'), _by_code(F.col("o"), _CONTROL), F.lit('"'))).alias("o"))
+    mark = F.when(F.col("kind").isin("iri", "string"), "").when(F.col("kind").startswith("lang:"), F.concat(F.lit("@"), F.substr("kind", F.lit(6)))).otherwise(F.concat(F.lit(f"^^<{XSD}"), F.col("kind"), F.lit(">")))
+    line = F.concat_ws(" ", _iri(F.col("s"), base), _iri(F.col("p"), base), F.concat("o", mark), F.lit("."))
+    rows.select(line.alias("value")).write.text(path)
 
 
 def read_ntriples(spark: SparkSession, path: str, base: str = BASE) -> DataFrame:
     """(s, p, o, kind, error, line) of each line that is neither blank nor a comment."""
     lines = spark.read.text(path).where(~F.col("value").rlike(r"^[ \t]*(#.*)?$"))
-    group = lambda i: F.regexp_extract("value", LINE, i)
+    # the grammar goes over a line once: its groups, one a line, and what it leaves; a line of text has no line end
+    groups = F.regexp_replace("value", LINE, "".join(f"${i + 1}\n" for i in range(_GROUPS)))
+    lines = lines.select("value", F.split(groups, "\n", -1).alias("_g"))
+    group = lambda i: F.col("_g")[i - 1]
 
     def name(iri: Column, blank: Column | None = None) -> Column:
         whole = unescaped(iri)
         short = F.when(whole.startswith(base), F.substr(whole, F.lit(len(base) + 1))).otherwise(whole)
         return short if blank is None else F.when(blank != "", blank).otherwise(short)
 
-    body = F.regexp_extract("value", rf"^[ \t]*(?:{_IRI}|{_BLANK})[ \t]*{_IRI}[ \t]*(.)", 4)
-    kind = F.when(body != '"', "iri").when(group(8) != "", F.concat(F.lit("lang:"), group(8))).when(group(7) != "", F.replace(unescaped(group(7)), F.lit(XSD), F.lit(""))).otherwise("string")
-    o = F.when(body == '"', unescaped(group(6))).otherwise(name(group(4), group(5)))
-    good = F.col("value").rlike(LINE)
+    literal = group(6) != ""
+    kind = F.when(~literal, "iri").when(group(9) != "", F.concat(F.lit("lang:"), group(9))).when(group(8) != "", F.replace(unescaped(group(8)), F.lit(XSD), F.lit(""))).otherwise("string")
+    o = F.when(literal, unescaped(group(7))).otherwise(name(group(4), group(5)))
+    good = F.size("_g") > 1
     made = {"s": name(group(1), group(2)), "p": name(group(3)), "o": o, "kind": kind}
     return lines.select(*[F.when(good, v).alias(k) for k, v in made.items()], (~good).alias("error"), F.when(~good, F.col("value")).alias("line"))

@@ -31,3 +31,18 @@ def test_lines_by_the_grammar(spark, tmp_path):
     rows = N.read_ntriples(spark, str(tmp_path / "g.nt")).collect()
     assert sorted((r.s, r.p, r.o, r.kind) for r in rows if not r.error) == sorted(good.values())
     assert sorted(r.line for r in rows if r.error) == sorted(bad) and all(r.s is None for r in rows if r.error)
+
+
+def test_a_line_is_read_in_one_pass(spark, tmp_path):
+    (tmp_path / "g.nt").write_text('<s> <p> "o" .\n')
+    plan = N.read_ntriples(spark, str(tmp_path / "g.nt"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\^\^<(") == 1
+
+
+def test_long_terms_and_odd_escapes(spark, tmp_path):
+    long = "n" * 200_000
+    rows = [(long, "p", "x" * 300_000 + '"\\' * 50_000, "string"), ("s", "p", "\\\\\\n\\\\u0041\\", "string"), ("s", "p", "\\'\t\\\\\n'", "string"), ("s", "p", "\x01\\\\n", "string"), ("s", "p", "", "string"), ("s", "p", "", "iri")]
+    N.write_ntriples(spark.createDataFrame(rows, "s string, p string, o string, kind string"), str(tmp_path / "g"))
+    assert sorted((r.s, r.p, r.o, r.kind) for r in N.read_ntriples(spark, str(tmp_path / "g")).collect()) == sorted(rows)
+    (tmp_path / "g.nt").write_text('<s> <p> "o" .\u0085\n', encoding="utf-8")  # read as before: a last line end is no part of the line
+    assert [(r.o, r.kind, r.error) for r in N.read_ntriples(spark, str(tmp_path / "g.nt")).collect()] == [("o", "string", False)]
