@@ -218,6 +218,44 @@ def label_windows(windows: DataFrame, annotations: DataFrame, by: list[str], lab
     return windows.join(met, [*by, "t_start", "t_end"], "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
+def label_grid(recordings: DataFrame, annotations: DataFrame, by: list[str], length: float, step: float, duration: Column, label: Label) -> DataFrame:
+    """(by, t_start, t_end, label): the windows of `window_grid` over recordings (one row each) with the labels of `label_windows`.
+
+    Only annotations are shuffled. On a regular grid each one tells from which window on (or up to which) it answers, so
+    the answers change at few windows of a recording; between, they hold for a run of windows that is made where it is used.
+    A recording has one row a window at most where answers change, however many annotations it has.
+    """
+    held = recordings.where(F.floor((duration - length) / step) >= 0).select(*by, F.floor((duration - length) / step).alias("_last"))
+    noted = annotations.where(F.col("onset").isNotNull() & F.col("offset").isNotNull()).select(*by, F.col("onset").cast("double").alias("onset"), F.col("offset").cast("double").alias("offset"))
+    noted = noted.join(held, by).withColumns({"t_start": F.lit(0.0), "t_end": F.lit(float(length))})
+    names, asks = list(label.asks), label.asks
+    none = {n: F.lit(None).cast("double") for n in names}
+    cells = held.select(*by, F.lit(0).cast("long").alias("_k"), "_last", *[v.alias(n) for n, v in none.items()])
+    for name, ask in asks.items():
+        # about the window whose point meets the onset: the points themselves decide, as rounding may be off by one
+        about = F.floor(F.greatest(F.lit(-2.0), F.least(F.col("_last") + 2.0, (F.col("onset") - ask.point) / step)))
+        near = lambda a, b, at=about: F.array_distinct(F.transform(F.sequence(at + a, at + b), lambda k: F.greatest(F.lit(0).cast("long"), F.least(F.col("_last"), k))))
+        tried = (noted if ask.where is None else noted.where(ask.where)).withColumn("_k", F.explode(near(-1, 2)))
+        tried = tried.withColumns({"t_start": F.col("_k") * float(step), "t_end": F.col("_k") * float(step) + float(length)})
+        if ask.kind == "next":
+            meets = tried.where(ask.point <= F.col("onset"))
+            # behind the last window that an onset answers, another may answer: a row there begins a new run
+            found = meets.select(*by, F.col("_last"), F.explode(F.array(F.struct(F.col("_k"), F.col("onset").alias("_v")), F.struct((F.col("_k") + 1).alias("_k"), F.lit(None).cast("double").alias("_v")))).alias("_c"))
+            found = found.select(*by, "_last", F.col("_c._k").alias("_k"), F.col("_c._v").alias("_v")).where("_k <= _last")
+        else:
+            meets = tried.where(ask.point >= F.col("onset") if ask.at else ask.point > F.col("onset"))
+            found = meets.select(*by, "_last", "_k", F.col("offset").alias("_v"))
+        cells = cells.unionByName(found.select(*by, "_k", "_last", *[(F.col("_v") if n == name else v).alias(n) for n, v in none.items()]))
+    fold = {n: F.min if asks[n].kind == "next" else F.max for n in names}
+    cells = cells.groupBy(*by, "_k").agg(F.max("_last").alias("_last"), *[fold[n](n).alias(n) for n in names])
+    ahead, back = Window.partitionBy(*by).orderBy("_k"), Window.partitionBy(*by).orderBy(F.col("_k").desc())
+    own = lambda n: (back if asks[n].kind == "next" else ahead).rowsBetween(Window.unboundedPreceding, 0)
+    runs = cells.select(*by, "_k", F.coalesce(F.lead("_k").over(ahead) - 1, "_last").alias("_to"), *[fold[n](n).over(own(n)).alias(n) for n in names])
+    out = runs.withColumn("_k", F.explode(F.sequence("_k", "_to")))
+    out = out.withColumns({"t_start": F.col("_k") * float(step), "t_end": F.col("_k") * float(step) + float(length)})
+    return out.select(*by, "t_start", "t_end", F.coalesce(label.label, F.lit(0)).alias("label"))
+
+
 def overlap_label(pre_min: float = 30.0, pre_max: float = 120.0) -> Label:
     """2 if the window overlaps an event, else 1 if an event begins pre_min to pre_max seconds after its end."""
     asks = {"_reached": Ask("reach", F.col("t_end")), "_onset": Ask("next", F.col("t_end") + pre_min)}

@@ -18,17 +18,16 @@ RATE = 128.0
 KERNEL = np.array([1, 2, 3, 2, 1]) / 9
 
 
-def _grid(spark: SparkSession, d: str, length: float, step: float) -> DataFrame:
-    return S.window_grid(table(spark, d, "events").select("user_id").distinct(), ["user_id"], length, step, F.lit(DAYS))
+def _labelled(spark: SparkSession, d: str, length: float, step: float, label: S.Label) -> DataFrame:
+    return S.label_grid(table(spark, d, "events").select("user_id").distinct(), annotations(spark, d), ["user_id"], length, step, F.lit(DAYS), label)
 
 
 def window_label_overlap(spark: SparkSession, d: str) -> DataFrame:
-    out = S.label_windows(_grid(spark, d, 14400, 7200), annotations(spark, d), ["user_id"], S.overlap_label(1800, 14400))
-    return out.select("user_id", "t_start", "label")
+    return _labelled(spark, d, 14400, 7200, S.overlap_label(1800, 14400)).select("user_id", "t_start", "label")
 
 
 def window_label_fraction(spark: SparkSession, d: str) -> DataFrame:
-    out = S.label_windows(_grid(spark, d, 3600, 1800), annotations(spark, d), ["user_id"], S.fraction_label(3600, 0.5, 9000))
+    out = _labelled(spark, d, 3600, 1800, S.fraction_label(3600, 0.5, 9000))
     return out.groupBy("user_id", "label").agg(F.count("*").alias("windows"), F.min("t_start").alias("first_start"))
 
 
@@ -86,7 +85,7 @@ def preictal_interval(spark: SparkSession, d: str) -> DataFrame:
 
 
 def class_counts(spark: SparkSession, d: str) -> DataFrame:
-    out = S.label_windows(_grid(spark, d, 14400, 7200), annotations(spark, d), ["user_id"], S.overlap_label(1800, 14400))
+    out = _labelled(spark, d, 14400, 7200, S.overlap_label(1800, 14400))
     return out.groupBy("user_id").agg(F.count("*").alias("n_windows"), *[F.sum(F.when(F.col("label") == c, 1).otherwise(0)).alias(f"n_{c}") for c in range(3)])
 
 

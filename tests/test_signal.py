@@ -48,6 +48,25 @@ def test_range_join_equals_plain_join(spark):
     assert {r.label for r in S.label_windows(w, whole.where("false"), ["rec"], S.overlap_label()).collect()} == {0}
 
 
+def test_grid_labels_equal_window_labels_and_shuffle_no_windows(spark):
+    rng = np.random.default_rng(2)
+    recordings = spark.createDataFrame([("r", 2000.0), ("s", 900.0), ("t", 3.0), ("u", 50.0), (None, 80.0)], "rec string, long double")
+    # in and out of the recordings, on the windows' borders, of no length, within another, in a recording without windows
+    on = [*rng.uniform(-50, 2100, 40).round(1).tolist(), -1e9, 100.0, 104.0, 600.0, 700.0, 701.0, 1e9, 1996.0, 2000.0]
+    rows = [(r, float(o), float(o + e)) for r in ("r", "s", "t", None) for o, e in zip(on, [*rng.uniform(0, 60, 40).tolist(), 1e9 + 30, 2.0, 0.0, 2.0, 900.0, 2.0, 5.0, 9.0, 2.0], strict=True)]
+    noted = spark.createDataFrame([*rows, ("r", None, 5.0)], "rec string, onset double, offset double")
+    windows = S.window_grid(recordings, ["rec"], 4, 0.7, F.col("long"))
+    for label in (S.overlap_label(), S.overlap_label(3.3, 21.0), S.fraction_label(4), S.fraction_label(4, 0.35, 9.1)):
+        for a in (noted, noted.where("onset % 3 < 1"), noted.where("false")):
+            got = S.label_grid(recordings, a, ["rec"], 4, 0.7, F.col("long"), label)
+            want = S.label_windows(windows, a, ["rec"], label)
+            read = lambda df: sorted(((r.rec or "", r.t_start, r.t_end, r.label) for r in df.select("rec", "t_start", "t_end", "label").collect()))
+            assert read(got) == read(want)
+    # windows are made above the last exchange
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("explode(sequence") < plan.index("Window")
+
+
 def test_filters_meet_their_bands():
     rate, f = 256, np.fft.rfftfreq(8192, 1 / 256)
     band = np.abs(np.fft.rfft(S.sinc_kernel(rate, 0.5, 40, 845), 8192))
