@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from rillwave.operators import contracts as Q
 from rillwave.operators import splits as D
@@ -71,3 +72,22 @@ def test_round_robin_alternates(spark):
     rows = spark.createDataFrame([(p, i) for p, n in (("a", 10), ("b", 9), ("c", 7)) for i in range(n)], "p string, k long")
     out = D.round_robin(rows, "p", "k", 2, turns=1).orderBy("position").collect()
     assert len({r.p for r in out[:3]}) == 3 and len(out) == 5 + 5 + 4
+
+
+def test_names_are_made_once_and_types_in_one_pass(spark):
+    rows = spark.range(5).select(F.col("id").alias("k"))
+    name = Q.iri(F.lit("session"), "k")
+    g = Q.facts(rows, [(name, "sessionID", F.col("k"), "string"), (name, "hasChannel", Q.iri(F.lit("c"), "k"), "iri"), (name, Q.TYPE, F.lit("RecordingSession"), "iri")])
+    typed = Q.infer_types(g, partitions=3).where(F.col("p") == Q.TYPE)
+    assert sorted((r.s, r.o) for r in typed.collect()) == sorted([(f"session_{i}", "RecordingSession") for i in range(5)] + [(f"c_{i}", "EEGChannel") for i in range(5)])
+    plan = typed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1
+
+
+def test_violations_shuffle_by_the_partitions_given(spark):
+    rows = [("a", "type", "Patient", "iri"), ("a", "type", "Patient", "iri"), ("a", "hasSession", "x", "iri"), ("a", "hasSession", "x", "iri"), ("b", "hasSession", "y", "iri"), ("a", "subjectID", "", "string"), ("c", "type", "Patient", "iri")]
+    g = spark.createDataFrame(rows, "s string, p string, o string, kind string")
+    found = Q.violations(g, partitions=7)
+    want = {("a", "hasSession", "object class", 1), ("a", "subjectID", "length", 1), ("c", "hasSession", "min count", 0), ("c", "subjectID", "min count", 0)}
+    assert {(r.focus, r.path, r.rule, r.n) for r in found.collect()} == want
+    assert "RepartitionByExpression [focus" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and ", 7" in plan
