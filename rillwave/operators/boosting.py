@@ -4,9 +4,10 @@ A level of a tree needs sums of gradients and Hessians by (model, node, feature,
 every model together, so twenty models of 300 trees and depth 4 are 1,200 short jobs, not 20 chains of them.
 
 Rows are binned once: a value's bin is the number of cut points (quantiles of all rows, no labels) that it reaches. They lie in
-blocks of `BLOCK` rows, one row a block, as flat arrays. A task adds up its blocks' histograms, dense and of a size that the
-parameters fix, and sends one row a model; reducers add those up and answer with the best split of each node. The driver
-gets at most one row a node. Margins are written with the blocks every `KEEP` trees; between, a pass adds the trees since.
+blocks of at most `BLOCK` rows, one row a block, as flat arrays by feature and by model, dealt evenly to the cores. A task adds up its
+blocks' histograms, dense and of a size that the parameters fix, and sends one row a model; reducers add those up and answer with the
+best split of each node. The driver gets at most one row a node. Margins are written with the blocks every `KEEP` trees; between, a
+pass adds the trees since. Rows go down many trees at once by comparing whole columns of bins, node by node.
 
 Gradients and Hessians are whole numbers of 2^-30 and are summed as such, so trees do not depend on partitions.
 
@@ -33,10 +34,13 @@ from rillwave.functions.ordering import scratch_path
 BINS = 64
 BLOCK = 1 << 14
 KEEP = 10
-#: Rows of a task, at least.
-PART = 1 << 16
+#: Rows of a task, at least; there are no more tasks than cores until each has `FULL` rows.
+PART = 1 << 14
+FULL = 1 << 20
+#: Trees that a block's rows go down together.
+AT_ONCE = 64
 #: Bytes of histograms that a reducer adds up.
-REDUCED = 64 << 20
+REDUCED = 8 << 20
 _ONE = 1 << 30
 _OUT = 2
 
@@ -67,18 +71,29 @@ class Tree:
         n = 2 ** (depth + 1) - 1
         return Tree(np.full(n, -1, np.int32), np.zeros(n, np.int32), np.zeros(n))
 
-    def leaves(self, bins: np.ndarray, depth: int) -> np.ndarray:
-        """The node that each row reaches within `depth` steps. bins: rows by features."""
-        at = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins))
+    def stops(self, depth: int) -> np.ndarray:
+        """The node in which the rows of each place on the level `depth` are: one of that level, or a leaf above."""
+        node = np.zeros(1, np.int64)
         for _ in range(depth):
-            f = self.feature[at]
-            on = f >= 0
-            if not on.any():
-                break
-            right = bins[rows, np.maximum(f, 0)] >= self.cut[at]
-            at = np.where(on, 2 * at + 1 + right, at)
-        return at
+            on = self.feature[node] >= 0
+            node = np.stack([np.where(on, 2 * node + 1, node), np.where(on, 2 * node + 2, node)], 1).ravel()
+        return node
+
+
+def places(grown: list[Tree], bins: np.ndarray, depth: int) -> np.ndarray:
+    """Where each tree has each row on the level `depth`, from the left (trees by rows); rows of a leaf above go left. bins: features by rows."""
+    at = np.zeros((len(grown), bins.shape[1]), np.uint8 if depth <= 8 else np.int64)
+    feature, cut = np.stack([t.feature for t in grown]), np.stack([t.cut for t in grown])
+    last = np.where(feature < 0, 255, cut - 1).astype(np.uint8)  # of the left side
+    for level in range(depth):
+        first = 2**level - 1
+        right = np.zeros(at.shape, bool)
+        for i in range(2**level):
+            if (feature[:, first + i] >= 0).any():
+                over = bins[np.maximum(feature[:, first + i], 0)] > last[:, first + i, None]
+                right |= over & (at == i) if level else over
+        at = 2 * at + right
+    return at
 
 
 @dataclass
@@ -90,9 +105,11 @@ class Booster:
     trees: list[Tree] = field(default_factory=list)
 
     def margins(self, bins: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(bins))
-        for t in self.trees:
-            out += t.value[t.leaves(bins, self.depth)]
+        out, by_feature = np.zeros(len(bins)), np.ascontiguousarray(bins.T)
+        for a in range(0, len(self.trees), AT_ONCE):
+            own = self.trees[a : a + AT_ONCE]
+            for t, at in zip(own, places(own, by_feature, self.depth), strict=True):
+                out += t.value[t.stops(self.depth)][at]
         return out
 
     def probabilities(self, values: np.ndarray) -> np.ndarray:
@@ -147,20 +164,21 @@ def slopes(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def best_splits(sums: np.ndarray, allowed: np.ndarray, trees: Trees) -> list[tuple[int, int, float, float, float, float]]:
     """(feature, cut, left G, left H, G, H) of each node, feature -1 where none gains. sums: nodes, features, bins, (G, H)."""
+    total = sums[:, allowed.argmax()].sum(1) / _ONE
+    g, h = total[:, 0, None, None], total[:, 1, None, None]
+    left = np.cumsum(sums, 2)[:, :, :-1] / _ONE
+    gl, hl = left[..., 0], left[..., 1]
+    gr, hr = g - gl, h - hl
+    gain = gl**2 / (hl + trees.l2) + gr**2 / (hr + trees.l2) - g**2 / (h + trees.l2)
+    gain[(hl < trees.least) | (hr < trees.least) | ~allowed[:, None]] = -np.inf
     out = []
-    for node in sums.astype(float) / _ONE:
-        g, h = node[0, :, 0].sum(), node[0, :, 1].sum()
-        left = np.cumsum(node, 1)[:, :-1]
-        gl, hl = left[..., 0], left[..., 1]
-        gr, hr = g - gl, h - hl
-        gain = gl**2 / (hl + trees.l2) + gr**2 / (hr + trees.l2) - g**2 / (h + trees.l2)
-        gain[(hl < trees.least) | (hr < trees.least) | ~allowed[:, None]] = -np.inf
-        f, b = divmod(int(gain.argmax()), gain.shape[1])
+    for i, best in enumerate(gain.reshape(len(sums), -1).argmax(1).tolist()):
+        f, b = divmod(best, gain.shape[2])
         # sums of whole numbers are exact, what is divided is not: a gain must be more than rounding
-        if gain[f, b] > 1e-9:
-            out.append((f, b + 1, float(gl[f, b]), float(hl[f, b]), float(g), float(h)))
+        if gain[i, f, b] > 1e-9:
+            out.append((f, b + 1, float(gl[i, f, b]), float(hl[i, f, b]), *total[i].tolist()))
         else:
-            out.append((-1, 0, 0.0, 0.0, float(g), float(h)))
+            out.append((-1, 0, 0.0, 0.0, *total[i].tolist()))
     return out
 
 
@@ -179,23 +197,19 @@ def grow(tree: Tree, level: int, splits: list[tuple], trees: Trees) -> None:
             tree.value[2 * k + 1], tree.value[2 * k + 2] = value(gl, hl), value(g - gl, h - hl)
 
 
-def histograms(bins: np.ndarray, y: np.ndarray, uid: np.ndarray, margin: np.ndarray, current: list[Tree | None], trees: Trees, number: int, level: int, n_bins: int) -> dict[int, np.ndarray]:
-    """Sums of one block by model: nodes of the level, features, bins, (G, H)."""
+def histograms(bins: np.ndarray, y: np.ndarray, uid: np.ndarray, margin: np.ndarray, current: list[Tree | None], allowed: list[np.ndarray], trees: Trees, number: int, level: int, n_bins: int) -> dict[int, np.ndarray]:
+    """Sums of one block by model: nodes of the level, features (0 of those that are not allowed), bins, (G, H). All but uid: features or models by rows."""
     out = {}
-    n_features, first, width = bins.shape[1], 2**level - 1, 2**level
-    for m, tree in enumerate(current):
-        if tree is None:
-            continue
-        rows = np.flatnonzero((y[:, m] != _OUT) & drawn_rows(uid, trees, m, number))
-        at = tree.leaves(bins[rows], level) - first
-        rows, at = rows[at >= 0], at[at >= 0]
-        g, h = slopes(margin[rows, m], y[rows, m])
-        sums = np.empty((width, n_features, n_bins, 2), np.int64)
-        for f in range(n_features):
-            key = at * n_bins + bins[rows, f]
-            for k, v in enumerate((g, h)):
-                sums[:, f, :, k] = np.bincount(key, v, width * n_bins).astype(np.int64).reshape(width, n_bins)
-        out[m] = sums
+    n_features, width = len(bins), 2**level
+    own = [m for m, tree in enumerate(current) if tree is not None]
+    cell = bins + np.arange(n_features)[:, None] * n_bins
+    for m, at in zip(own, places([current[m] for m in own], bins, level), strict=True):
+        on = current[m].stops(level) >= width - 1
+        rows = np.flatnonzero((y[m] != _OUT) & drawn_rows(uid, trees, m, number) & on[at])
+        features = np.flatnonzero(allowed[m])
+        key = (cell[features].take(rows, 1) + at[rows].astype(np.int64) * (n_features * n_bins)).ravel()
+        parts = [np.bincount(key, np.tile(v, len(features)), width * n_features * n_bins) for v in slopes(margin[m, rows], y[m, rows])]
+        out[m] = np.stack(parts, 1).astype(np.int64).reshape(width, n_features, n_bins, 2)
     return out
 
 
@@ -211,7 +225,7 @@ def _blocks(rows: DataFrame, n_features: int, n_models: int, cuts: np.ndarray) -
                 x = part.column("x").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, n_features)
                 y = part.column("y").flatten().to_numpy(zero_copy_only=False).astype(np.uint8).reshape(n, n_models)
                 uid = part.column("uid").to_numpy().astype(np.int64)
-                cols = (binned(x, cuts), y, uid, np.zeros((n, n_models)))
+                cols = (np.ascontiguousarray(binned(x, cuts).T), np.ascontiguousarray(y.T), uid, np.zeros((n_models, n)))
                 yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], names=["bins", "y", "uid", "margin"])
 
     return rows.mapInArrow(pack, _BLOCKS)
@@ -220,14 +234,17 @@ def _blocks(rows: DataFrame, n_features: int, n_models: int, cuts: np.ndarray) -
 def _arrays(batch: pa.RecordBatch, n_features: int, n_models: int) -> Iterator[tuple[np.ndarray, ...]]:
     for i in range(batch.num_rows):
         read = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), kind)  # noqa: B023, E731
-        yield read("bins", np.uint8).reshape(-1, n_features), read("y", np.uint8).reshape(-1, n_models), read("uid", np.int64), read("margin", float).reshape(-1, n_models)
+        yield read("bins", np.uint8).reshape(n_features, -1), read("y", np.uint8).reshape(n_models, -1), read("uid", np.int64), read("margin", float).reshape(n_models, -1)
 
 
-def _with_trees(bins: np.ndarray, margin: np.ndarray, since: list[list[Tree]], depth: int) -> np.ndarray:
+def _with_trees(bins: np.ndarray, margin: np.ndarray, since: list[list[tuple[Tree, np.ndarray]]], depth: int) -> np.ndarray:
+    """Margins with the trees since, each given with its values by place."""
     out = margin.copy()
-    for m, own in enumerate(since):
-        for t in own:
-            out[:, m] += t.value[t.leaves(bins, depth)]
+    flat = [(m, t, values) for m, own in enumerate(since) for t, values in own]
+    for a in range(0, len(flat), AT_ONCE):
+        some = flat[a : a + AT_ONCE]
+        for (m, _, values), at in zip(some, places([t for _, t, _ in some], bins, depth), strict=True):
+            out[m] += values[at]
     return out
 
 
@@ -240,7 +257,7 @@ def fit_many(rows: DataFrame, columns: list[str], models: list[tuple[Column, Col
     told = [F.when(F.coalesce(w, F.lit(False)), F.when(F.coalesce(hit, F.lit(False)), 1).otherwise(0)).otherwise(_OUT).cast("byte") for w, hit in models]
     x = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(math.nan)) for c in columns])
     narrow = rows.select(x.alias("x"), F.array(*told).alias("y"), F.xxhash64(*columns).alias("uid"))
-    counted = rows.agg(*[F.min(F.when(t != _OUT, t)).alias(f"a{i}") for i, t in enumerate(told)], *[F.max(F.when(t != _OUT, t)).alias(f"b{i}") for i, t in enumerate(told)]).first()  # two numbers a model
+    counted = rows.agg(F.count("*").alias("n"), *[F.min(F.when(t != _OUT, t)).alias(f"a{i}") for i, t in enumerate(told)], *[F.max(F.when(t != _OUT, t)).alias(f"b{i}") for i, t in enumerate(told)]).first()  # two numbers a model, and one
     live = [m for m in range(n_m) if counted[f"a{m}"] == 0 and counted[f"b{m}"] == 1]
     out = [Booster(cuts, trees.depth) for _ in models]
     if not live:
@@ -248,10 +265,10 @@ def fit_many(rows: DataFrame, columns: list[str], models: list[tuple[Column, Col
     # the passes are short and all alike: a session of their own leaves out the adaptive planning between their two stages
     loop = spark.newSession()
     loop.conf.set("spark.sql.adaptive.enabled", "false")
-    blocks = _written(_blocks(narrow, n_f, n_m, cuts), loop)
-    since: list[list[Tree]] = [[] for _ in models]
+    tasks = max(1, min(counted.n // PART, spark.sparkContext.defaultParallelism), counted.n // FULL)
+    blocks = _written(_blocks(narrow.repartition(tasks), n_f, n_m, cuts), loop, tasks)
+    since: list[list[tuple[Tree, np.ndarray]]] = [[] for _ in models]
     # a reducer adds up about `REDUCED` bytes; what one task has added up needs no exchange
-    tasks = blocks.rdd.getNumPartitions()
     reducers = 0 if tasks == 1 else max(1, min(len(live), tasks * len(live) * 2 ** (trees.depth - 1) * n_f * bins * 16 // REDUCED))
 
     for number in range(trees.count):
@@ -261,25 +278,25 @@ def fit_many(rows: DataFrame, columns: list[str], models: list[tuple[Column, Col
             for m, splits in _level(blocks, since, current, allowed, trees, number, level, n_f, n_m, bins, reducers):
                 grow(current[m], level, splits, trees)
         for m in live:
-            since[m].append(current[m])
+            since[m].append((current[m], current[m].value[current[m].stops(trees.depth)]))
             out[m].trees.append(current[m])
         if (number + 1) % KEEP == 0 and number + 1 < trees.count:
-            kept = _written(_kept(blocks, since, trees.depth, n_f, n_m), loop)
+            kept = _written(_kept(blocks, since, trees.depth, n_f, n_m), loop, tasks)
             blocks.unpersist()
             blocks, since = kept, [[] for _ in models]
     blocks.unpersist()
     return out
 
 
-def _written(blocks: DataFrame, session: SparkSession) -> DataFrame:
+def _written(blocks: DataFrame, session: SparkSession, tasks: int) -> DataFrame:
     path = scratch_path(blocks.sparkSession, "blocks")
     blocks.write.parquet(path)
     read = session.read.schema(_BLOCKS).parquet(path)
-    rows = read.agg(F.sum(F.octet_length("uid"))).first()[0] // 8
-    return read.coalesce(max(1, rows // PART)).persist()
+    # files make up partitions by their bytes, so blocks are dealt anew
+    return (read.repartition(tasks) if tasks > 1 else read.coalesce(1)).persist()
 
 
-def _kept(blocks: DataFrame, since: list[list[Tree]], depth: int, n_f: int, n_m: int) -> DataFrame:
+def _kept(blocks: DataFrame, since: list, depth: int, n_f: int, n_m: int) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             new = [_with_trees(b, m, since, depth).tobytes() for b, _, _, m in _arrays(batch, n_f, n_m)]
@@ -296,7 +313,7 @@ def _level(blocks: DataFrame, since: list, current: list, allowed: list, trees:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, y, uid, margin in _arrays(batch, n_f, n_m):
-                for m, sums in histograms(b, y, uid, _with_trees(b, margin, since, trees.depth), current, trees, number, level, bins).items():
+                for m, sums in histograms(b, y, uid, _with_trees(b, margin, since, trees.depth), current, allowed, trees, number, level, bins).items():
                     total[m] = total[m] + sums if m in total else sums
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["model", "sums"])
 

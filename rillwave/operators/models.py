@@ -72,10 +72,14 @@ def route(df: DataFrame, t1: float, t2: float) -> DataFrame:
     return df.withColumns({"pred": said, "q0": 1 - F.col("p_alarm"), "q1": F.col("p_alarm") * (1 - F.col("p_ictal")), "q2": F.col("p_alarm") * F.col("p_ictal")})
 
 
+def _thresholds(scored: DataFrame, truth: str, score: str, policy: str, by: str) -> dict:
+    """The threshold that the policy picks for each value of `by`, in one sweep."""
+    sweep = M.threshold_sweep(scored, truth, F.col(score), 0.01, 0.01, 99, [by])
+    return {r[by]: r.threshold for r in M.pick_threshold(sweep, policy, by=[by]).collect() if r.threshold is not None}  # one row a fold
+
+
 def _threshold(scored: DataFrame, truth: str, score: str, policy: str) -> float:
-    sweep = M.threshold_sweep(scored, truth, F.col(score), 0.01, 0.01, 99)
-    best = M.pick_threshold(sweep, policy).first()
-    return best.threshold if best and best.threshold is not None else 0.5
+    return _thresholds(scored.withColumn("_all", F.lit(0)), truth, score, policy, "_all").get(0, 0.5)
 
 
 def nested_cv(features: DataFrame, columns: list[str], label: str, patient: str, fold: str, folds: list, trees: Trees | None = None, inner: DataFrame | None = None) -> DataFrame:
@@ -100,12 +104,12 @@ def nested_cv(features: DataFrame, columns: list[str], label: str, patient: str,
     models = fit_hierarchies(marked, columns, label, parts, trees)
     # of each fold: p_alarm and p_ictal by the inner model, then by the final one
     scored = materialise(with_probabilities(marked, columns, [b for m in models for b in (m.alarm, m.ictal)], "_p"), "scored")
-    t1, t2 = {}, {}
-    for k, held in enumerate(folds):
-        val = scored.where(outer[held] & validates[held]).withColumns({"p_alarm": F.col("_p")[4 * k], "p_ictal": F.col("_p")[4 * k + 1]})
-        t1[held] = _threshold(val, label, "p_alarm", "stage1")
-        alarms = val.where(F.col(label) > 0).withColumn("_ictal", (F.col(label) == 2).cast("int"))
-        t2[held] = _threshold(alarms, "_ictal", "p_ictal", "stage2") if not alarms.isEmpty() else 0.5
+    # the inner validation rows of every fold, with its inner model's answers; a row may serve several folds
+    inner = [F.when(outer[held] & validates[held], F.struct(F.lit(k).alias("_part"), F.col("_p")[4 * k].alias("p_alarm"), F.col("_p")[4 * k + 1].alias("p_ictal"))) for k, held in enumerate(folds)]
+    val = scored.select(F.col(label), (F.col(label) == 2).cast("int").alias("_ictal"), F.inline(F.filter(F.array(*inner), lambda x: x.isNotNull())))
+    t1 = _thresholds(val, label, "p_alarm", "stage1", "_part")
+    t2 = _thresholds(val.where(F.col(label) > 0), "_ictal", "p_ictal", "stage2", "_part")
+    t1, t2 = ({held: t.get(k, 0.5) for k, held in enumerate(folds)} for t in (t1, t2))
     out = None
     for k, held in enumerate(folds):
         own = scored.where(F.col(fold) == held).withColumns({"p_alarm": F.col("_p")[4 * k + 2], "p_ictal": F.col("_p")[4 * k + 3]}).drop("_p", "_validates")

@@ -138,3 +138,44 @@ def test_a_stage_of_one_class_and_two_folds(spark):
     assert {(r.p_alarm, r.p_ictal) for r in model.predict(t).collect()} == {(0.5, 0.5)}
     with pytest.raises(ValueError, match="inner"):
         B.nested_cv(t, ["a"], "label", "patient", "fold", [0, 1])
+
+
+def test_rows_go_down_many_trees_at_once():
+    """Places on each level against a walk of every row, for trees whose leaves lie on any level."""
+    draw = np.random.default_rng(2)
+    bins = draw.integers(0, 64, (5, 300)).astype(np.uint8)
+    grown = []
+    for share in (0.0, 0.4, 0.8, 1.0):
+        t = T.Tree.empty(4)
+        for k in range(15):
+            if draw.random() < share and (k == 0 or t.feature[(k - 1) // 2] >= 0):
+                t.feature[k], t.cut[k] = draw.integers(5), draw.integers(1, 64)
+        grown.append(t)
+    for depth in range(5):
+        for t, at in zip(grown, T.places(grown, bins, depth), strict=True):
+            for row, node in zip(bins.T, t.stops(depth)[at], strict=True):
+                k = 0
+                for _ in range(depth):
+                    k = k if t.feature[k] < 0 else 2 * k + 1 + int(row[t.feature[k]] >= t.cut[k])
+                assert k == node
+
+
+def test_passes_use_every_core_and_thresholds_one_sweep(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def level(blocks, *rest):
+        raise Seen(blocks.rdd.getNumPartitions(), sorted(blocks.selectExpr("spark_partition_id() AS p", "octet_length(uid) DIV 8 AS n").groupBy("p").sum("n").toPandas()["sum(n)"]))
+
+    rows = spark.range(1 << 16).selectExpr("id", "id % 7 AS a", "id % 1000 AS b", "id % 2 AS label")
+    with monkeypatch.context() as m, pytest.raises(Seen) as found:
+        m.setattr(T, "_level", level)
+        T.fit_many(rows, ["a", "b"], [(F.lit(True), F.col("label") > 0)])
+    tasks, dealt = found.value.args
+    assert tasks == 4 and sum(dealt) == 1 << 16 and len(dealt) > 1
+    sweeps = []
+    sweep = B.M.threshold_sweep
+    monkeypatch.setattr(B.M, "threshold_sweep", lambda *a, **k: (sweeps.append(a), sweep(*a, **k))[1])
+    t = spark.createDataFrame([(i % 10, i % 5, i % 3, float(i % 3) + 0.1 * (i % 7)) for i in range(120)], "patient long, fold int, label int, a double")
+    assert B.nested_cv(t, ["a"], "label", "patient", "fold", list(range(5)), B.Trees(1, 2, 0.3, 1.0, 1)).count() == 120
+    assert len(sweeps) == 2
