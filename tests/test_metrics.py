@@ -92,3 +92,32 @@ def test_reporting_contract(spark):
     assert found(seen) == {("b", "auc", "missing", None), ("b", "confusion_matrix", "shape", "2 rows of 2+2"), *(("b", m, "length", "2") for m in M.ARRAYS)}
     bad = seen.where("e = 'a'").selectExpr("* except (loss, alarm_confusion_matrix, majority_class)", "array(array(1L, 2L), array(1L)) AS alarm_confusion_matrix")
     assert found(bad) == {("a", "loss", "missing", None), ("a", "majority_class", "missing", None), ("a", "alarm_confusion_matrix", "shape", "2 rows of 2+1")}
+
+
+def test_reports_of_small_and_large_groups(spark, monkeypatch):
+    """Groups that a task may hold are ranked without an order over all rows; larger ones, by ranges, give the same; a null group is one too."""
+    import numpy as np
+
+    draw = np.random.default_rng(7)
+    rows = [(None if e == 3 else f"g{e}", None if i == 5 else int(draw.integers(3)), int(draw.integers(3)), *(float(v) / 4 for v in draw.integers(0, 5, 3))) for e, n in enumerate((2, 9, 30, 12)) for i in range(n)]
+    df = spark.createDataFrame(rows, "e string, t int, p int, p0 double, p1 double, p2 double").selectExpr("*", "p1 + p2 AS s")
+    report = lambda: {r.e: r.asDict() for r in M.reporting_metrics(df, "t", "p", ["p0", "p1", "p2"], "s", 0.5, ["e"], observed=True).collect()}
+    with monkeypatch.context() as m:
+        m.setattr(M, "with_global_sums", lambda *a: pytest.fail("no order over all rows is needed"))
+        small = report()
+    assert set(small) == {"g0", "g1", "g2", None}
+    for e, got in small.items():
+        own = [(r[1], *r[3:]) for r in rows if r[0] == e and r[1] is not None]
+
+        def auc(score, hit):
+            a, b = [score(r) for r in own if hit(r[0])], [score(r) for r in own if not hit(r[0])]
+            return np.mean([(x > y) + 0.5 * (x == y) for x in a for y in b]) if a and b else None
+
+        each = [auc(lambda r, c=c: r[1 + c], lambda t, c=c: t == c) for c in range(3)]
+        assert got["auc"] == (None if None in each else pytest.approx(np.mean(each)))
+        want = auc(lambda r: r[2] + r[3], lambda t: t > 0)
+        assert got["alarm_auc"] == (None if want is None else pytest.approx(want))
+    monkeypatch.setattr(M, "RANKED", 10)
+    for e, got in report().items():
+        for k, v in got.items():
+            assert v == (pytest.approx(small[e][k]) if isinstance(v, float) else small[e][k]), (e, k)
