@@ -91,3 +91,13 @@ def test_violations_shuffle_by_the_partitions_given(spark):
     want = {("a", "hasSession", "object class", 1), ("a", "subjectID", "length", 1), ("c", "hasSession", "min count", 0), ("c", "subjectID", "min count", 0)}
     assert {(r.focus, r.path, r.rule, r.n) for r in found.collect()} == want
     assert "RepartitionByExpression [focus" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and ", 7" in plan
+
+
+def test_shapes_are_checked_on_all_rows(spark):
+    from rillwave.plans.registry import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    labels = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.countDistinct("l_returnflag").alias("n")).where("n > 1").count()
+    found = {(r["class"], r.path, r.rule): r.nodes for r in QUERIES["shape_violations"](spark, d).collect()}
+    assert found["EEGChannel", "channelLabel", "max count"] == labels > 0
+    assert ("RecordingSession", "hasSamplingRate", "min count") not in found
