@@ -101,3 +101,13 @@ def test_shapes_are_checked_on_all_rows(spark):
     found = {(r["class"], r.path, r.rule): r.nodes for r in QUERIES["shape_violations"](spark, d).collect()}
     assert found["EEGChannel", "channelLabel", "max count"] == labels > 0
     assert ("RecordingSession", "hasSamplingRate", "min count") not in found
+
+
+def test_types_reach_every_row_and_seizures(spark):
+    from rillwave.plans.registry import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    read = lambda name: spark.read.parquet(f"{d}/{name}.parquet")
+    n = {r["class"]: r["count"] for r in QUERIES["type_inference"](spark, d).groupBy("class").count().collect()}
+    assert n["SeizureEvent"] == n["PreIctalWindow"] == read("events").where("event_type = 'error'").count() > 0
+    assert n["SamplingRate"] == read("orders").count()
