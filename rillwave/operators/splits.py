@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rillwave.functions.digests import Endings
@@ -17,6 +18,8 @@ from rillwave.functions.ordering import materialise, with_global_number, with_gr
 MOST_PATIENTS = 1 << 20
 #: Digits of a score, and what arrays and columns may differ by: raw scores that near a border of digits are scored again.
 DIGITS, _SLACK = 9, 1e-12
+#: Draws of the first round of a search that may end early; each further round has twice as many. Keys that are looked at together.
+FIRST_ROUND, _KEYS = 1 << 30, 1 << 20
 _COUNTS = ("n", "n0", "n1", "n2")
 
 #: Parts of a stratum that are capped by themselves first.
@@ -70,13 +73,13 @@ class Cohort:
         self.texts = [r["_text"].encode() for r in rows]
         self.counts = np.array([[r[c] for c in _COUNTS] for r in rows], float).reshape(-1, len(_COUNTS))
         self.more = [[r[c] for r in rows] for c in more]
-        self.endings = Endings(self.texts)
+        self.endings = Endings(self.texts, 4)
 
     def part(self, own: np.ndarray) -> Cohort:
         """The patients at these places."""
         out = object.__new__(Cohort)
         out.texts, out.counts, out.more = [self.texts[i] for i in own], self.counts[own], [[m[i] for i in own] for m in self.more]
-        out.endings = Endings(out.texts)
+        out.endings = Endings(out.texts, 4)
         return out
 
     def orders(self, trials: range, *head: object) -> np.ndarray:
@@ -89,34 +92,44 @@ class Cohort:
     def first(self, values: np.ndarray, ends: list[int], trials: range, *head: object) -> np.ndarray:
         """Sums of whole values (patients by kinds) over the first patients of each trial's order, up to each end: trials, ends, kinds.
 
-        No order is made: a sum needs only the draw at its end. Where draws tie there in their first half, the order tells.
+        No order is made: a sum needs only the draw at its end. Where draws tie there in their first bytes, the order tells.
         """
         n = len(self.texts)
-        keys = self.endings.keys([b"%b|%d|" % ("|".join(map(str, head)).encode(), t) for t in trials])
         inner = sorted({e for e in ends if 0 < e < n})
-        borders = np.partition(keys, inner, axis=1)[:, inner] if inner else keys[:, :0]
         counted = np.concatenate((values, np.ones((n, 1))), 1)
         out = np.zeros((len(trials), len(ends), counted.shape[1]))
-        for i, end in enumerate(ends):
-            if end >= n:
-                out[:, i] = counted.sum(0)
-            elif end > 0:
-                out[:, i] = (keys < borders[:, inner.index(end), None]).astype(float) @ counted
+        out[:, [i for i, end in enumerate(ends) if end >= n]] = counted.sum(0)
+        start = "|".join(map(str, head)).encode()
+        for at in range(0, len(trials) if inner else 0, step := max(1, _KEYS // max(1, n))):
+            keys = self.endings.keys([b"%b|%d|" % (start, t) for t in trials[at : at + step]])
+            borders = np.partition(keys, inner, axis=1)[:, inner]
+            for i, end in enumerate(ends):
+                if end in inner:
+                    out[at : at + step, i] = (keys < borders[:, inner.index(end), None]).astype(float) @ counted
         for t in np.flatnonzero((out[..., -1] != np.clip(ends, 0, n)).any(1)):
             order = self.orders(range(trials[t], trials[t] + 1), *head)[0]
             out[t] = [counted[order[:end]].sum(0) for end in ends]
         return out[..., :-1]
 
 
-def _leading(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _relative(raw: np.ndarray) -> np.ndarray:
+    return _SLACK * np.maximum(1.0, raw)
+
+
+def _roundings(raw: np.ndarray) -> np.ndarray:
+    """What engines may differ by in a score that is a short sum of a number that all trials share and of squares."""
+    return 32 * np.spacing(np.maximum(1.0, raw))
+
+
+def _leading(raw: np.ndarray, slack: Callable[[np.ndarray], np.ndarray] = _relative) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the candidates that may have the least score, and the least and greatest rounded score of each.
 
     Of those whose rounded score is certain only the first can win; the others are kept, equal raw scores once.
     """
     found = np.flatnonzero(raw < np.inf)
-    slack = _SLACK * np.maximum(1.0, raw[found])
+    off = slack(raw[found])
     low, high = np.full(len(raw), np.inf), np.full(len(raw), np.inf)
-    low[found], high[found] = np.round(raw[found] - slack, DIGITS), np.round(raw[found] + slack, DIGITS)
+    low[found], high[found] = np.round(raw[found] - off, DIGITS), np.round(raw[found] + off, DIGITS)
     near = found[low[found] <= high.min(initial=np.inf)]
     sure = low[near] == high[near]
     unsure = near[~sure]
@@ -124,30 +137,46 @@ def _leading(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kept, low[kept], high[kept]
 
 
-def _shortlist(matrix: DataFrame, trials: int, patients: int, scored: Callable[[range], dict], schema: str) -> DataFrame:
+def _shortlist(matrix: DataFrame, trials: int, patients: int, scored: Callable[[range, list], dict], schema: str, bounds: dict | None = None, slack: Callable[[np.ndarray], np.ndarray] = _relative) -> DataFrame:
     """Candidates that may have the least score by outer fold: one whose score is certain, and those too near a border of digits to tell.
 
     A task scores blocks of trials as arrays, so trials x patients are never rows, and a block gives the few that may win.
-    scored: for a block of trials, raw scores by outer fold (infinite where a trial is not feasible).
+    scored: for a block of trials and the outer folds asked for, raw scores by outer fold (infinite where a trial is not feasible).
+    bounds: by outer fold, the rounded score that no trial is below. The first trial wins a tie, so once one is known to have this
+    score no later trial can win, and the fold is decided; folds without such a trial go through all trials. The rounds this
+    takes are a search's first, double, fourfold … so many trials.
     """
-    block = max(1, min(4096, (1 << 21) // max(1, patients)))
-    blocks = -(-trials // block)
-    spark = matrix.sparkSession
-    starts = spark.range(0, blocks, 1, min(blocks, 8 * spark.sparkContext.defaultParallelism))
+    spark, left, start, rounds = matrix.sparkSession, [None] if bounds is None else list(bounds), 0, []
+    size = trials if bounds is None else max(1, FIRST_ROUND // max(1, patients))
+    while start < trials and (left or not rounds):
+        rounds.append(_round(spark, range(start, min(trials, start + size)), scored, left, slack))
+        if bounds:
+            reached = {r["outer"]: r["high"] for r in rounds[-1].groupBy("outer").agg(F.min("high").alias("high")).collect()}  # a row a fold
+            left = [o for o in left if reached.get(o, np.inf) > bounds[o]]
+        start, size = start + size, 2 * size
+    found = reduce(DataFrame.unionByName, rounds)
+    least = found.groupBy(F.col("outer").alias("_o")).agg(F.min("high").alias("_least"))
+    near = found.join(F.broadcast(least), F.col("outer").eqNullSafe(F.col("_o"))).where(F.col("low") <= F.col("_least"))
+    unsure = F.when(F.col("low") < F.col("high"), F.col("trial"))
+    return near.groupBy("outer", unsure.alias("_unsure")).agg(F.min("trial").alias("trial")).select(*schema.split(","))
+
+
+def _round(spark: SparkSession, trials: range, scored: Callable[[range, list], dict], outers: list, slack: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(outer, trial, low, high): of each block of these trials those that may win, for these outer folds."""
+    tasks = 8 * spark.sparkContext.defaultParallelism
+    block = min(4096, -(-len(trials) // tasks))
+    blocks = -(-len(trials) // block)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in batch.column("id").to_pylist():
-                numbers = range(b * block, min(trials, (b + 1) * block))
-                for outer, raw in scored(numbers).items():
-                    at, low, high = _leading(raw)
+                numbers = trials[b * block : (b + 1) * block]
+                for outer, raw in scored(numbers, outers).items():
+                    at, low, high = _leading(raw, slack)
                     yield pa.RecordBatch.from_arrays([pa.array([outer] * len(at), pa.string()), pa.array(at + numbers.start, pa.int64()), pa.array(low), pa.array(high)], names=["outer", "trial", "low", "high"])
 
-    found = materialise(starts.mapInArrow(search, "outer string, trial long, low double, high double"), "candidates")
-    least = found.groupBy(F.col("outer").alias("_o")).agg(F.min("high").alias("_least"))
-    near = found.join(F.broadcast(least), F.col("outer").eqNullSafe(F.col("_o"))).where(F.col("low") <= F.col("_least"))
-    unsure = F.when(F.col("low") < F.col("high"), F.col("trial"))
-    return near.groupBy("outer", unsure.alias("_unsure")).agg(F.min("trial").alias("trial")).select(*schema.split(","))
+    starts = spark.range(0, blocks, 1, min(blocks, tasks))
+    return materialise(starts.mapInArrow(search, "outer string, trial long, low double, high double"), "candidates")
 
 
 def balanced_split(matrix: DataFrame, patient: str, trials: int = 10_000, seed: int = 42, train: float = 0.7, val: float = 0.15) -> DataFrame:
@@ -163,7 +192,7 @@ def balanced_split(matrix: DataFrame, patient: str, trials: int = 10_000, seed:
     cohort, whole = Cohort(matrix, patient), np.array([float(all_[k]) for k in _COUNTS])
     aims = np.array([a, b, c]) / all_.p
 
-    def scored(numbers: range) -> dict:
+    def scored(numbers: range, _outers: list) -> dict:
         s = np.diff(cohort.first(cohort.counts, [0, a, a + b, all_.p], numbers, seed), axis=1)
         n = s[..., :1]
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -193,7 +222,7 @@ def kfold_search(matrix: DataFrame, patient: str, folds: int = 5, trials: int =
     ends = [-(-f * all_.p // folds) for f in range(folds + 1)]
     both = np.concatenate((cohort.counts, cohort.counts[:, 2:] > 0), 1)
 
-    def scored(numbers: range) -> dict:
+    def scored(numbers: range, _outers: list) -> dict:
         s = np.diff(cohort.first(both, ends, numbers, seed), axis=1)
         error = sum(w * ((s[..., i] - fair[i]) / fair[i]) ** 2 if fair[i] else 0.0 for i, w in ((1, 0.25), (2, 1.0), (3, 1.0)))
         raw = np.mean(error, 1) + 0.05 * (s[..., 4].var(1) + s[..., 5].var(1)) + 0.05 * np.log1p(((s[..., 0] - fair[0]) / fair[0]) ** 2).mean(1)
@@ -223,11 +252,14 @@ def inner_search(matrix: DataFrame, patient: str, outer: str, trials: int = 100_
     cohort = Cohort(matrix.withColumn("_outer", F.col(outer).cast("string")), patient, "_outer")
     side_of = cohort.more[0]
     own = {fold: cohort.part(np.array([i for i, f in enumerate(side_of) if f is not None and f != fold], int)) for fold in sorted({f for f in side_of if f is not None})}
+    taken = {fold: max(4, len(part.texts) // 4) for fold, part in own.items()}
+    held = matrix.sparkSession.sparkContext.broadcast(own)
 
-    def scored(numbers: range) -> dict:
+    def scored(numbers: range, outers: list) -> dict:
         out = {}
-        for fold, part in own.items():
-            k, whole = max(4, len(part.texts) // 4), part.counts.sum(0)
+        for fold in outers:
+            part, k = held.value[fold], taken[fold]
+            whole = part.counts.sum(0)
             s = part.first(np.concatenate((part.counts, part.counts[:, 2:] > 0), 1), [k], numbers, seed, fold)[:, 0]
             s, having = s[:, :4], s[:, 4:]
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -237,7 +269,9 @@ def inner_search(matrix: DataFrame, patient: str, outer: str, trials: int = 100_
             out[fold] = np.where(ok, raw, np.inf)
         return out
 
-    chosen = _shortlist(matrix, trials, 5 * len(cohort.texts), scored, "outer,trial")
+    # all trials of a fold share this part of the score, the rest are squares
+    bounds = {fold: float(np.round(0.01 * abs(8 - k), DIGITS)) for fold, k in taken.items()}
+    chosen = _shortlist(matrix, trials, sum(len(part.texts) for part in own.values()), scored, "outer,trial", bounds, _roundings)
     grid = train.withColumn("_text", F.col(outer).cast("string")).join(F.broadcast(chosen.withColumnRenamed("outer", "_text")), "_text").drop("_text")
     order = Window.partitionBy(outer, "trial").orderBy(draw(seed, outer, "trial", patient), patient)
     val = grid.withColumn("rn", F.row_number().over(order)).join(F.broadcast(sizes), outer).where("rn <= k")
