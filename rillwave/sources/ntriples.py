@@ -25,6 +25,15 @@ _STRING = r"(\")((?:[^\x0A\x0D\"\\]++|\\[tbnrf\"'\\]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-
 #: Groups: subject (name, blank), property, object (name, blank, quote, text, datatype, language).
 LINE = rf"^[ \t]*(?:{_IRI}|{_BLANK})[ \t]*{_IRI}[ \t]*(?:{_IRI}|{_BLANK}|{_STRING}(?:\^\^{_IRI}|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?)[ \t]*\.[ \t]*(?:#.*)?$"
 _GROUPS = 9
+_FORBIDDEN = r"\x00-\x20<>\"{}|^`\\"
+#: Lines of a file: files are compressed and read by a task each, so a table is many files.
+LINES = 1 << 15
+
+
+def _simple(base: str) -> str:
+    """Lines as `write_ntriples` writes most: names below `base`, nothing escaped, no language; a space between terms. They are read without groups."""
+    name = rf"<\Q{base}\E[^{_FORBIDDEN}]*+>"
+    return rf"^{name} {name} (?:{name}|\"[^\x0A\x0D\"\\]*+\"(?:\^\^<\Q{XSD}\E[^{_FORBIDDEN}]*+>)?) \.\z"
 
 
 def _by_code(text: Column, unsafe: str) -> Column:
@@ -46,7 +55,8 @@ def escaped(text: Column) -> Column:
 
 
 def _iri(name: Column, base: str) -> Column:
-    return F.concat(F.lit(f"<{base}"), _by_code(name, r"\x00-\x20<>\"{}|^`\\"), F.lit(">"))
+    """A name; `_plain` tells that there is nothing to escape."""
+    return F.concat(F.lit(f"<{base}"), F.when(F.col("_plain"), name).otherwise(_by_code(name, _FORBIDDEN)), F.lit(">"))
 
 
 def unescaped(text: Column) -> Column:
@@ -69,22 +79,28 @@ def unescaped(text: Column) -> Column:
 
 
 def write_ntriples(graph: DataFrame, path: str, base: str = BASE) -> None:
-    """graph: (s, p, o, kind); kind `iri` is a name, `lang:xx` a text in a language, any other a datatype."""
+    """graph: (s, p, o, kind); kind `iri` is a name, `lang:xx` a text in a language, any other a datatype. The files are compressed (gzip)."""
     rows = graph.where("s is not null and p is not null and o is not null and kind is not null")
+    # what has nothing to escape is found by one search of all three terms
+    rows = rows.select("s", "p", "kind", "o", (~F.concat("s", "p", "o").rlike(rf"[{_FORBIDDEN}\x7F]")).alias("_plain"))
     # each step is a column of its own, as the next one reads it more than once
-    rows = rows.select("s", "p", "kind", F.when(F.col("kind") == "iri", F.col("o")).otherwise(_short_escaped(F.col("o"))).alias("o"))
-    rows = rows.select("s", "p", "kind", F.when(F.col("kind") == "iri", _iri(F.col("o"), base)).otherwise(F.concat(F.lit('"'), _by_code(F.col("o"), _CONTROL), F.lit('"'))).alias("o"))
+    whole = F.col("_plain") | (F.col("kind") == "iri")
+    rows = rows.select("s", "p", "kind", "_plain", F.when(whole, F.col("o")).otherwise(_short_escaped(F.col("o"))).alias("o"))
+    quoted = F.concat(F.lit('"'), F.when(whole, F.col("o")).otherwise(_by_code(F.col("o"), _CONTROL)), F.lit('"'))
+    rows = rows.select("s", "p", "kind", "_plain", F.when(F.col("kind") == "iri", _iri(F.col("o"), base)).otherwise(quoted).alias("o"))
     mark = F.when(F.col("kind").isin("iri", "string"), "").when(F.col("kind").startswith("lang:"), F.concat(F.lit("@"), F.substr("kind", F.lit(6)))).otherwise(F.concat(F.lit(f"^^<{XSD}"), F.col("kind"), F.lit(">")))
     line = F.concat_ws(" ", _iri(F.col("s"), base), _iri(F.col("p"), base), F.concat("o", mark), F.lit("."))
-    rows.select(line.alias("value")).write.text(path)
+    rows.select(line.alias("value")).write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", LINES).text(path)
 
 
 def read_ntriples(spark: SparkSession, path: str, base: str = BASE) -> DataFrame:
     """(s, p, o, kind, error, line) of each line that is neither blank nor a comment."""
-    lines = spark.read.text(path).where(~F.col("value").rlike(r"^[ \t]*(#.*)?$"))
-    # the grammar goes over a line once: its groups, one a line, and what it leaves; a line of text has no line end
+    lines = spark.read.text(path).where(F.col("value").startswith("<") | ~F.col("value").rlike(r"^[ \t]*(#.*)?$"))
+    # of a simple line a quote ends what no name holds, and a space each name
+    lines = lines.select("value", F.when(F.col("value").rlike(_simple(base)), F.split("value", '"', 3)).alias("_q"))
+    # the grammar goes over any other line once: its groups, one a line, and what it leaves; a line of text has no line end
     groups = F.regexp_replace("value", LINE, "".join(f"${i + 1}\n" for i in range(_GROUPS)))
-    lines = lines.select("value", F.split(groups, "\n", -1).alias("_g"))
+    lines = lines.select("value", "_q", F.split(F.col("_q")[0], " ", -1).alias("_n"), F.when(F.col("_q").isNull(), F.split(groups, "\n", -1)).alias("_g"))
     group = lambda i: F.col("_g")[i - 1]
 
     def name(iri: Column, blank: Column | None = None) -> Column:
@@ -95,6 +111,15 @@ def read_ntriples(spark: SparkSession, path: str, base: str = BASE) -> DataFrame
     literal = group(6) != ""
     kind = F.when(~literal, "iri").when(group(9) != "", F.concat(F.lit("lang:"), group(9))).when(group(8) != "", F.replace(unescaped(group(8)), F.lit(XSD), F.lit(""))).otherwise("string")
     o = F.when(literal, unescaped(group(7))).otherwise(name(group(4), group(5)))
-    good = F.size("_g") > 1
+    simple, good = F.col("_n").isNotNull(), F.size("_g") > 1
+    below = lambda i: F.substr(F.col("_n")[i], F.lit(len(base) + 2), F.length(F.col("_n")[i]) - (len(base) + 2))
+    quoted, kept = F.size("_q") > 1, F.get("_q", F.lit(2))
+    plain = {
+        "s": below(0),
+        "p": below(1),
+        "o": F.when(quoted, F.get("_q", F.lit(1))).otherwise(below(2)),
+        "kind": F.when(~quoted, "iri").when(kept == " .", "string").otherwise(F.replace(F.substr(kept, F.lit(4), F.length(kept) - 6), F.lit(XSD), F.lit(""))),
+    }
     made = {"s": name(group(1), group(2)), "p": name(group(3)), "o": o, "kind": kind}
-    return lines.select(*[F.when(good, v).alias(k) for k, v in made.items()], (~good).alias("error"), F.when(~good, F.col("value")).alias("line"))
+    bad = ~simple & ~good
+    return lines.select(*[F.when(simple, plain[k]).when(good, v).alias(k) for k, v in made.items()], F.coalesce(bad, F.lit(False)).alias("error"), F.when(bad, F.col("value")).alias("line"))

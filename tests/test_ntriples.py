@@ -46,3 +46,26 @@ def test_long_terms_and_odd_escapes(spark, tmp_path):
     assert sorted((r.s, r.p, r.o, r.kind) for r in N.read_ntriples(spark, str(tmp_path / "g")).collect()) == sorted(rows)
     (tmp_path / "g.nt").write_text('<s> <p> "o" .\u0085\n', encoding="utf-8")  # read as before: a last line end is no part of the line
     assert [(r.o, r.kind, r.error) for r in N.read_ntriples(spark, str(tmp_path / "g.nt")).collect()] == [("o", "string", False)]
+
+
+def test_files_are_compressed_and_many(spark, tmp_path):
+    n = 3 * N.LINES
+    rows = spark.range(0, n, 1, 2).selectExpr("concat('session_', id) s", "'hasRate' p", "concat('rate_', id % 7) o", "if(id % 2 = 0, 'iri', 'string') kind")
+    N.write_ntriples(rows, str(tmp_path / "g"))
+    files = list((tmp_path / "g").glob("part-*"))
+    assert len(files) == 4 and all(f.name.endswith(".gz") for f in files)
+    back = N.read_ntriples(spark, str(tmp_path / "g"))
+    assert sum(f.stat().st_size for f in files) * 5 < n * 80
+    assert back.where("not error").select("s", "p", "o", "kind").exceptAll(rows).count() == 0 and back.count() == n
+
+
+def test_simple_lines_are_read_as_by_the_grammar(spark, tmp_path, monkeypatch):
+    b, x = N.BASE, N.XSD
+    ends = [f"<{b}o>", f"<{b}>", '"text"', '""', '"two words"', '"a\\tb"', '"it\'s <b> {c}"', f'"1"^^<{x}float>', f'"1"^^<{x}>', f'"1"^^<{x}a{x}b>', '"1"^^<urn:t>', '"x"@en', "<http://a/o>", f"<{b}o\\u0020p>", "_:b", f"<{b}é日>", '"é日"', '"a"b"', f"<{b}o> <{b}o>", '"x"^^<>']
+    lines = [f"<{s}> <{p}> {o}{e}" for s, p in ((f"{b}s", f"{b}p"), (b, f"{b}p"), ("urn:s", f"{b}p")) for o in ends for e in (" .", " . ", ".", " .\u0085", " . # n", "")]
+    lines += [f"  <{b}s> <{b}p> <{b}o> .", f"<{b}s>  <{b}p> <{b}o> .", f"<{b}s><{b}p><{b}o> .", "", "# c", " ", "<", f"<{b}s> <{b}p> ."]
+    (tmp_path / "g.nt").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    read = lambda: sorted(map(str, N.read_ntriples(spark, str(tmp_path / "g.nt")).collect()))
+    got = read()
+    monkeypatch.setattr(N, "_simple", lambda base: "(?!)")
+    assert got == read()
